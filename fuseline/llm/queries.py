@@ -6,6 +6,8 @@ import importlib
 
 #: Query name: (module, SQL or None).
 NAMES = {
+    "op9_entropy_mixing": "mixing",
+    "op1_line_dedup": "line_dedup",
     "op2_token_shards": "token_shards",
     "op3_best_fit_packing": "packing",
 }
