@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer, each distinct word encoded once per worker.
 
-Word pieces never cross a white-space boundary in the two kinds of tokenizer recognised here,
-so a text's ids are its words' ids one after the other. Texts for which that could fail (those
-with special-token strings or characters on which white-space definitions differ), and all
-texts of any other kind of tokenizer, are encoded whole."""
+In the two kinds of tokenizer recognised here, a run of letters and what is between two runs are
+encoded apart, so a text's ids are its parts' ids one after the other. Parts that are runs of
+Latin letters go straight to the tokenizer's merges, other parts through all of the tokenizer.
+Texts for which that could fail (those with special-token strings or characters on which
+white-space definitions differ), and all texts of any other kind of tokenizer, are encoded whole."""
 
 from __future__ import annotations
 
@@ -20,6 +21,11 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+#: Letters whose runs are parts of their own where an ASCII character other than a letter follows.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_RUN = rf"[{LATIN}]+(?=[\s!-@\[-`{{-~]|$)"
+#: How texts of either kind of tokenizer fall into parts.
+PARTS = {"byte": rf" ?{_RUN}| ?\S+|\s+(?!\S)|\s+", "word": rf"{_RUN}|\S+"}
 
 
 class Encoder:
@@ -34,17 +40,29 @@ class Encoder:
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.find = _word_finder(spec)
-        odd = [re.escape(t["content"]) for t in spec.get("added_tokens") or []] + [f"[{ODD_SPACE}]"]
-        self.odd = re.compile("|".join(odd)).search
+        self.kind = _kind(spec)
+        self.find = re.compile(PARTS[self.kind]).findall if self.kind else None
+        self.odd = [t["content"] for t in spec.get("added_tokens") or []] + list(ODD_SPACE)
+        self.letters = re.compile(f" ?[{LATIN}]+").fullmatch
+        self.merges = self.tokenizer.model.tokenize
+        self.bytes = str.maketrans(_byte_letters())
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        rest = []
+        for w in words:
+            if self.letters(w) and (self.kind == "byte" or w.islower()):
+                self.known[w] = array("I", [t.id for t in self.merges(w.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+            else:
+                rest.append(w)
+        self.known.update(zip(rest, self._fresh(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.find is None or self.odd(t)]
+        whole = [i for i, t in enumerate(texts) if self.find is None or any(x in t for x in self.odd)]
         for i, ids in zip(whole, self._fresh([texts[i] for i in whole]), strict=True):
             out[i] = ids
         if len(self.known) > self.limit:
@@ -52,25 +70,44 @@ class Encoder:
         known, parts, new = self.known, [], {}
         for i, t in enumerate(texts):
             if out[i] is None:
-                parts.append((i, words := self.find(t)))
-                new.update(dict.fromkeys([w for w in words if w not in known]))
-        if new:
-            names = list(new)
-            known.update(zip(names, self._fresh(names), strict=True))
-        get = known.__getitem__
-        for i, words in parts:
-            out[i] = b"".join(map(get, words))
+                words = self.find(t.lower() if self.kind == "word" and _narrow(t) else t)
+                if None in (ids := list(map(known.get, words))):
+                    parts.append((i, words, ids))
+                    new.update(dict.fromkeys([w for w, x in zip(words, ids, strict=True) if x is None]))
+                else:
+                    out[i] = b"".join(ids)
+        self._learn(list(new))
+        for i, words, ids in parts:
+            out[i] = b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)])
         return out
 
 
-def _word_finder(spec: dict):
-    """The splitter that agrees with the tokenizer's own, or None if it has an unknown form."""
+def _narrow(text: str) -> bool:
+    """Whether all characters are Latin-1: their lower case doesn't hang on neighbours."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _byte_letters() -> dict[str, str]:
+    """The letter that byte-level tokenizers write for each byte (here a Latin-1 character):
+    printable ones stand for themselves, the others take the letters from U+0100 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): chr(b) for b in plain} | {chr(b): chr(0x100 + k) for k, b in enumerate(other)}
+
+
+def _kind(spec: dict) -> str | None:
+    """"byte" (byte level, a space belongs to the next word), "word" (white space dropped, lower
+    case), or None for a tokenizer of another form."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-        return re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+        return "byte"
     steps = (norm or {}).get("normalizers", [])
     first = (pre.get("pretokenizers") or [{}])[0]
-    safe = {"NFC", "Lowercase", "Replace"} >= {s["type"] for s in steps} and any(s["type"] == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
-    if safe and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
-        return str.split
+    spaces = any(s["type"] == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
+    if spaces and {s["type"] for s in steps} == {"NFC", "Lowercase", "Replace"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
+        return "word"
     return None
