@@ -93,9 +93,18 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A word's hash is its UTF-8 bytes as a polynomial modulo 2**64, taken from running sums
     over the joined texts, then mixed."""
+    return hash_words(*joined(texts))
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes, each followed by a new line, and where each ends."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    return buf, np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+
+
+def hash_words(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of joined() texts."""
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     inner = ~space
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inner, [False])).view(np.int8)))

@@ -6,6 +6,11 @@ import importlib
 
 #: Query name: (module, SQL or None).
 NAMES = {
+    "op5_personal_data": "personal_data",
+    "op10_quality_classifier": "quality_classifier",
+    "op8_html_text": "html_text",
+    "op6_embedding_range_join": "embedding_join",
+    "op7_quality_rules": "quality_rules",
     "op9_entropy_mixing": "mixing",
     "op1_line_dedup": "line_dedup",
     "op2_token_shards": "token_shards",
