@@ -29,7 +29,7 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPREAD, MIN_DOCS = 4, 200
 #: Ratio: (margin in units, whether there is a lower fence).
-FENCES = {"symbols": (100, False), "dup_lines": (400, False), "repeats": (250, False), "word_length": (30, True)}
+FENCES = {"symbols": (100, False), "dup_lines": (400, False), "repeats": (300, False), "word_length": (30, True)}
 
 
 def repeat_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ s AS (SELECT 2 AS level, lang, source, ratio, unit, count(*) AS n FROM a GROUP B
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY unit) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS docs FROM s),
 q AS (SELECT level, lang, source, ratio, max(docs) AS docs, min(unit) FILTER (4 * upto >= docs) AS q1, min(unit) FILTER (4 * upto >= 2 * docs) AS q2,
     min(unit) FILTER (4 * upto >= 3 * docs) AS q3 FROM c GROUP BY ALL),
-f AS (SELECT level, lang, source, ratio, q2 + greatest(4 * (q3 - q2), CASE ratio WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 400 WHEN 'word_length' THEN 30 ELSE 250 END) AS hi,
+f AS (SELECT level, lang, source, ratio, q2 + greatest(4 * (q3 - q2), CASE ratio WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 400 WHEN 'word_length' THEN 30 ELSE 300 END) AS hi,
     CASE WHEN ratio = 'word_length' THEN q2 - greatest(4 * (q2 - q1), 30) ELSE -1 END AS lo FROM q WHERE level = 0 OR docs >= 200),
 v AS (SELECT a.r, bool_and(unit <= coalesce(f2.hi, f1.hi, f0.hi) AND unit >= coalesce(f2.lo, f1.lo, f0.lo)) AS good FROM a
     LEFT JOIN f f2 ON f2.level = 2 AND f2.ratio = a.ratio AND f2.lang IS NOT DISTINCT FROM a.lang AND f2.source IS NOT DISTINCT FROM a.source
