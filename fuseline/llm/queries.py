@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: (module, SQL or None).
 NAMES = {
+    "op4_shingle_join": "shingle_join",
     "op5_personal_data": "personal_data",
     "op10_quality_classifier": "quality_classifier",
     "op8_html_text": "html_text",
