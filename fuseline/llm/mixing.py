@@ -123,8 +123,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """doc_id, source, size, source_size, target, rate, copies and taken of each row of docs
     (doc_id, text, source); with_docs: docs itself with each row as often as it has copies."""
     own = docs.columns if with_docs else ["doc_id", "source"]
-    sized = docs.select(*own, *(["text"] if not with_docs else []), size_of(F.col("text")).alias("_size")).select(*own, "_size")
-    sized = stored(sized, "sized")
+    whole_rows = stored(docs.select(*own, size_of(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_row")), "sized")
+    sized = whole_rows.select("doc_id", "source", "_size", "_row")
     histogram = stored(sized.groupBy("source", F.col("_size").alias("size")).agg(F.count("*").alias("n")), "histogram")
     per = {r["source"]: r for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).collect()}
     total, n_docs = {s: r["words"] for s, r in per.items()}, {s: r["docs"] for s, r in per.items()}
@@ -140,13 +140,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     rated = sized.withColumns({"rate": rate, "_part": part})
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_size", "doc_id"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["_size", "doc_id", "_row"], ascending=[False, True, True], kind="stable")
         return pdf.assign(copies=round_rates(pdf["_size"].tolist(), pdf["rate"].tolist())).drop(columns="_part")
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.drop("_part").schema.fields)
     out = rated.groupBy("source", "_part").applyInPandas(whole, shape + ", copies long")
     if with_docs:
-        return out.filter("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
+        taken = out.filter("copies > 0").select("_row", "copies")
+        return whole_rows.join(taken, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
     return out.select(
         "doc_id", "source", F.col("_size").alias("size"), _literal({s: float(v) for s, v in total.items()}, source).cast("long").alias("source_size"),
         _literal(goal, source).alias("target"), "rate", "copies", (F.col("copies") * size).alias("taken"),

@@ -305,6 +305,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each class, one that has its least doc_id, and all rows without doc_id."""
+    copies = similar_documents(docs.select("doc_id", "text"), **options).filter("not kept").select("doc_id").distinct()
+    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+
+
 _KEPT = ["leaf", "i", "j", "place", "block", "rep", "c1", "n", "leaf_of"]
 _SHIPPED = pa.schema([("leaf", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("place", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("leaf_of", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
