@@ -1,11 +1,443 @@
-"""Every query of the library outside fuseline.llm, by name."""
+"""Every query of the library outside fuseline.llm, by name, with its SQL where SQL expresses it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fuseline.functions import values as V
+from fuseline.functions.registry import DEFAULT
+from fuseline.operators import audit, filters, fusion, mapping, narrative, quality, records, store, templates
+from fuseline.plans import requirement
+from fuseline.sources.cells import cells_of
+from fuseline.sources.readers import flatten_json
+from fuseline.streaming.counters import event_counters
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _profile_sql(columns: dict[str, bool]) -> str:
+    one = "SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, {n} FROM customer"
+    num = "min({c})::DOUBLE AS min_num, max({c})::DOUBLE AS max_num, round(avg({c}), 4) AS mean_num, round(stddev_pop({c}), 4) AS std_num"
+    none = "NULL::DOUBLE AS min_num, NULL::DOUBLE AS max_num, NULL::DOUBLE AS mean_num, NULL::DOUBLE AS std_num"
+    return " UNION ALL ".join(one.format(c=c, n=num.format(c=c) if n else none) for c, n in columns.items())
+
+
+@query(_profile_sql({"c_custkey": True, "c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False}))
+def column_profile(spark, d):
+    return quality.column_profile(t(spark, d, "customer"))
+
+
+# --- quality -------------------------------------------------------------------------------------
+
+_TYPES = {"c_name": "entity", "c_acctbal": "number", "c_mktsegment": "text", "s_name": "entity", "s_acctbal": "number", "event_type": "text", "value": "number"}
+
+
+def _account_cells(spark, d):
+    c = cells_of(t(spark, d, "customer"), "customer", F.col("c_custkey"), ["c_name", "c_acctbal", "c_mktsegment"])
+    s = cells_of(t(spark, d, "supplier"), "supplier", F.col("s_suppkey"), ["s_name", "s_acctbal"])
+    return quality.with_types(c.unionByName(s), _TYPES)
+
+
+@query("SELECT 'quality' AS field_name, 'missing_value' AS issue_type, d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL UNION ALL SELECT 'toxic', 'missing_value', d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE toxic IS NULL")
+def quality_missing(spark, d):
+    wide = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left")
+    cells = cells_of(wide, "labels", F.col("doc_id"), ["quality", "toxic"])
+    missing = cells.filter(V.is_missing(F.col("value")))
+    return missing.select(F.col("header").alias("field_name"), F.lit("missing_value").alias("issue_type"), F.col("row_id").cast("long").alias("doc_id"))
+
+
+@query("SELECT 'customer' AS source, 'c_acctbal' AS field_name, c_custkey::VARCHAR AS row_id, round(c_acctbal, 4) AS num FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'supplier', 's_acctbal', s_suppkey::VARCHAR, round(s_acctbal, 4) FROM supplier WHERE s_acctbal < 0")
+def quality_range(spark, d):
+    cells = _account_cells(spark, d)
+    return cells.filter((F.col("typed.num") < 0) & ~F.col("header").contains("率")).select("source", F.col("header").alias("field_name"), "row_id", F.round("typed.num", 4).alias("num"))
+
+
+@query("SELECT event_id, round(value, 4) AS value FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE abs((value - m) / s) >= 3.5")
+def quality_outlier(spark, d):
+    events = t(spark, d, "events")
+    cells = events.select(F.lit("events").alias("source"), F.lit(0).alias("table_index"), F.lit("value").alias("header"), F.col("event_id").cast("string").alias("row_id"), F.lit(0).alias("col_index"), F.col("value").cast("string").alias("value"), F.struct(F.col("value").alias("num"), F.lit("").alias("standard_value")).alias("typed"))
+    found = quality.numeric_anomalies(cells)
+    return found.select(F.regexp_extract("location", r"row(\d+)", 1).cast("long").alias("event_id"), F.round(F.col("raw_value").cast("double"), 4).alias("value"))
+
+
+@query("SELECT sha256(lower(trim(text))) AS print, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def quality_duplicate(spark, d):
+    return t(spark, d, "documents").groupBy(F.sha2(F.lower(F.trim("text")), 256).alias("print")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("""WITH c AS (SELECT c_name, c_acctbal FROM customer), s AS (SELECT s_name, s_acctbal FROM supplier)
+SELECT 'range_anomaly' AS issue_type, 'warning' AS severity, (SELECT count(*) FROM c WHERE c_acctbal < 0) + (SELECT count(*) FROM s WHERE s_acctbal < 0) AS issues""")
+def quality_summary(spark, d):
+    c = cells_of(t(spark, d, "customer"), "customer", F.col("c_custkey"), ["c_name", "c_acctbal", "c_mktsegment"])
+    s = cells_of(t(spark, d, "supplier"), "supplier", F.col("s_suppkey"), ["s_name", "s_acctbal"])
+    return quality.summary(quality.analyze(c.unionByName(s), _TYPES))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS row_key, count(DISTINCT p) AS n_values FROM (
+SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS p FROM orders UNION ALL SELECT o_orderkey, round((o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END) * 100)::BIGINT FROM orders WHERE o_orderkey % 3 = 0)
+GROUP BY o_orderkey HAVING count(DISTINCT p) > 1""")
+def cross_source_conflict(spark, d):
+    o = t(spark, d, "orders")
+    price = lambda c: (F.round(c * 100).cast("long")).cast("string")
+    a = o.select(F.col("o_orderkey").cast("string").alias("k"), price(F.col("o_totalprice")).alias("price"), F.col("o_orderkey").alias("r"))
+    b = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("k"), price(F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 10).otherwise(0)).alias("price"), F.col("o_orderkey").alias("r"))
+    cells = cells_of(a, "a", F.col("r"), ["k", "price"]).unionByName(cells_of(b, "b", F.col("r"), ["k", "price"]))
+    found = quality.cross_source_conflicts(quality.with_types(cells, {"k": "text", "price": "number"}))
+    return found.select(F.substring("raw_value", 5, 100).alias("row_key"), F.lit(2).cast("long").alias("n_values"))
+
+
+# --- fusion --------------------------------------------------------------------------------------
+
+
+def _claims(spark, d):
+    o = t(spark, d, "orders")
+    a = o.select(F.col("o_orderkey").cast("string").alias("entity_key"), F.lit("price").alias("field"), (F.round(F.col("o_totalprice") * 100).cast("long")).cast("string").alias("value"), F.lit("a").alias("source"), F.lit(1).alias("priority"), F.lit(0.86).alias("confidence"), (F.col("o_orderkey") * 2).alias("seq"))
+    b = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("entity_key"), F.lit("price").alias("field"), (F.round((F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 10).otherwise(0)) * 100).cast("long")).cast("string").alias("value"), F.lit("b").alias("source"), F.when(F.col("o_orderkey") % 2 == 0, 2).otherwise(1).alias("priority"), F.lit(0.86).alias("confidence"), (F.col("o_orderkey") * 2 + 1).alias("seq"))
+    return a.unionByName(b)
+
+
+_CLAIMS = """WITH claims AS (SELECT o_orderkey::VARCHAR AS entity_key, 'price' AS field, round(o_totalprice * 100)::BIGINT::VARCHAR AS value, 'a' AS source, 1 AS priority, o_orderkey * 2 AS seq FROM orders
+UNION ALL SELECT o_orderkey::VARCHAR, 'price', round((o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END) * 100)::BIGINT::VARCHAR, 'b', CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END, o_orderkey * 2 + 1 FROM orders WHERE o_orderkey % 3 = 0)
+"""
+
+
+@query(_CLAIMS + "SELECT entity_key, field, arg_max(value, priority * 1e9 - seq) AS value, arg_max(source, priority * 1e9 - seq) AS winner, count(*) AS n_claims, count(DISTINCT source) AS n_sources FROM claims GROUP BY ALL")
+def fuse_entities(spark, d):
+    return fusion.fuse(_claims(spark, d))
+
+
+@query(_CLAIMS + "SELECT a.entity_key, a.field, a.value AS left_value, b.value AS right_value, b.source FROM claims a JOIN claims b ON a.entity_key = b.entity_key AND a.source = 'a' AND b.source = 'b' AND a.value <> b.value")
+def fuse_conflicts(spark, d):
+    return fusion.conflicts(_claims(spark, d))
+
+
+@query(_CLAIMS + "SELECT count(*) AS raw_records, count(DISTINCT entity_key) AS fused_records, count(*) - count(DISTINCT entity_key) AS duplicates_merged, (SELECT count(*) FROM claims a JOIN claims b ON a.entity_key = b.entity_key AND a.source = 'a' AND b.source = 'b' AND a.value <> b.value) AS conflict_count FROM claims")
+def fusion_summary(spark, d):
+    return fusion.fusion_summary(_claims(spark, d))
+
+
+# --- filters -------------------------------------------------------------------------------------
+
+
+def _orders(spark, d):
+    return t(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate <= TIMESTAMP '1995-04-15'")
+def filter_time_soft(spark, d):
+    need = requirement.parse("时间范围 1995/3/1 到 1995/4/15")
+    return filters.apply_requirement(_orders(spark, d), need, date_column="day").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders")
+def filter_time_soft_empty(spark, d):
+    need = filters.Requirement(dates=("2090-01-01", "2090-12-31"))
+    return filters.apply_requirement(_orders(spark, d), need, date_column="day").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'")
+def filter_hard(spark, d):
+    need = requirement.parse("筛选：o_orderpriority=1-URGENT,2-HIGH；o_orderstatus=F")
+    return filters.apply_requirement(_orders(spark, d), need).select("o_orderkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(n_name, 'NATION_1') OR contains('NATION_1', n_name) OR contains(n_name, 'NATION_2') OR contains('NATION_2', n_name)")
+def filter_entity_bidir(spark, d):
+    need = filters.Requirement(entities=("NATION_1", "NATION_2"))
+    return t(spark, d, "nation").filter(filters.entity_match(F.col("n_name"), need.entities)).select("n_nationkey", "n_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10")
+def topn_source_order(spark, d):
+    return filters.apply_requirement(t(spark, d, "customer"), requirement.parse("前10"), order=[F.col("c_custkey")]).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+def topn_sorted(spark, d):
+    return filters.apply_requirement(t(spark, d, "customer"), requirement.parse("Top10，按c_acctbal降序"), order=[F.col("c_custkey")]).select("c_custkey", "c_name")
+
+
+# --- headers -------------------------------------------------------------------------------------
+
+
+@query()
+def map_headers(spark, d):
+    return mapping.mapping_frame(spark, ["customer name", "balance", "segment", "nation key"], t(spark, d, "customer").columns)
+
+
+@query("SELECT * FROM (VALUES ('o_orderdate', 'date'), ('l_extendedprice', 'number'), ('l_discount', 'number'), ('l_linenumber', 'number'), ('c_name', 'entity'), ('r_regionkey', 'entity'), ('c_mktsegment', 'text'), ('event_type', 'text'), ('c_acctbal', 'number'), ('growth_rate', 'percent'), ('expense', 'currency'), ('capacity', 'entity')) v(header, field_type)")
+def header_types(spark, d):
+    headers = ["o_orderdate", "l_extendedprice", "l_discount", "l_linenumber", "c_name", "r_regionkey", "c_mktsegment", "event_type", "growth_rate", "expense", "capacity"]
+    balances = [str(r[0]) for r in t(spark, d, "customer").select("c_acctbal").limit(20).collect()]
+    rows = [(h, DEFAULT.field_type(h)) for h in headers] + [("c_acctbal", DEFAULT.field_type("c_acctbal", balances))]
+    return spark.createDataFrame(rows, "header string, field_type string")
+
+
+# --- records -------------------------------------------------------------------------------------
+
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, n AS n_merged FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS r, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE r = 1")
+def dedup_first_wins(spark, d):
+    rows = t(spark, d, "lineitem").select(*_LINE)
+    return records.first_of(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity"])
+
+
+@query("SELECT substr(sha256(text), 1, 32) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def dedup_hash(spark, d):
+    return store.new_documents(t(spark, d, "documents"), None).select("content_hash", "doc_id")
+
+
+@query("SELECT upper(c_name) AS record_key, c_acctbal AS balance, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment, (CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS n_merged FROM customer")
+def semantic_merge(spark, d):
+    c = t(spark, d, "customer")
+    none = F.lit(None).cast("string")
+    a = c.select(F.concat("c_name", F.lit("市")).alias("name"), F.col("c_acctbal").cast("double").alias("balance"), F.lit(0.9).alias("balance_conf"), none.alias("segment"), F.lit(0.0).alias("segment_conf"), F.lit("a").alias("source_file"), (F.col("c_custkey") * 2).alias("seq"))
+    b = c.filter("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), F.lit(None).cast("double").alias("balance"), F.lit(0.0).alias("balance_conf"), F.col("c_mktsegment").alias("segment"), F.lit(0.8).alias("segment_conf"), F.lit("b").alias("source_file"), (F.col("c_custkey") * 2 + 1).alias("seq"))
+    merged = records.semantic_merge(a.unionByName(b), "name", ["balance", "segment"], "seq")
+    return merged.select(F.upper("record_key").alias("record_key"), "balance", "segment", "n_merged")
+
+
+@query("SELECT l_returnflag AS field, round(avg(CASE WHEN l_discount > 0.05 THEN 0.9 ELSE 0.7 END), 4) AS mean_confidence, count(*) AS n_cells FROM lineitem GROUP BY 1")
+def confidence_by_column(spark, d):
+    cells = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("field"), F.col("l_quantity").cast("string").alias("value"), F.when(F.col("l_discount") > 0.05, 0.9).otherwise(0.7).alias("confidence"))
+    return records.confidence_by_column(cells)
+
+
+# --- audit ---------------------------------------------------------------------------------------
+
+
+def _cells(df, key, value):
+    return df.select(F.col(key).cast("string").alias("location"), F.lit(value).alias("field"), F.col(value).alias("value"))
+
+
+@query("""WITH a AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 10 <> 1), b AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 10 <> 2)
+SELECT coalesce(a.c_custkey, b.c_custkey)::VARCHAR AS location, 'c_mktsegment' AS field, a.c_mktsegment AS old, b.c_mktsegment AS new, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL OUTER JOIN b ON a.c_custkey = b.c_custkey WHERE a.c_mktsegment IS DISTINCT FROM b.c_mktsegment""")
+def delta_full_outer(spark, d):
+    c = t(spark, d, "customer")
+    other = c.filter("c_custkey % 10 <> 2").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 50 == 0, "X").otherwise(F.col("c_mktsegment")))
+    return audit.cell_delta(_cells(c.filter("c_custkey % 10 <> 1"), "c_custkey", "c_mktsegment"), _cells(other, "c_custkey", "c_mktsegment"))
+
+
+@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN o.o_orderkey IS NULL THEN 'discarded' WHEN o.o_orderstatus = 'P' THEN 'evidence_only' WHEN o.o_orderkey % 2 = 0 THEN 'merged' ELSE 'standalone' END AS outcome FROM orders c LEFT JOIN orders o ON o.o_orderkey = c.o_orderkey AND o.o_totalprice > 100000) GROUP BY 1")
+def lineage_outcomes(spark, d):
+    o = t(spark, d, "orders")
+    recs = o.select(F.col("o_orderkey").cast("string").alias("record_id"), F.lit("orders").alias("source_file"))
+    rid = F.col("o_orderkey").cast("string")
+    origins = F.when(F.col("o_orderkey") % 2 == 0, F.array(rid, F.lit("x"))).otherwise(F.array(rid))
+    filled = o.filter("o_totalprice > 100000").select(origins.alias("origin_record_ids"), F.when(F.col("o_orderstatus") != "P", F.array(rid)).otherwise(F.array().cast("array<string>")).alias("value_record_ids"))
+    return audit.lineage_outcomes(recs, filled).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT r_name AS stage FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey % 5 < 2)")
+def required_calls_anti(spark, d):
+    need = t(spark, d, "region").select(F.col("r_name").alias("stage"), F.array(F.col("r_regionkey")).alias("scopes"))
+    n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    made = n.select(F.col("r_name").alias("stage"), F.array("n_regionkey").alias("scopes"), (F.col("n_nationkey") % 5 < 2).alias("success"))
+    return audit.missing_calls(need, made).select("stage")
+
+
+def _gold(spark, d):
+    c = t(spark, d, "customer")
+    out = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 50 == 0, "WRONG").otherwise(F.col("c_mktsegment")))
+    return audit.compare(out, c, ["c_custkey"], ["c_name", "c_mktsegment", "c_acctbal"])
+
+
+@query("SELECT 3 * count(*) AS total_cells, 3 * count(*) - count(*) FILTER (c_custkey % 50 = 0) AS matched_cells, count(*) AS compared_rows, count(*) FILTER (c_custkey % 50 <> 0) AS matched_rows, round((3 * count(*) - count(*) FILTER (c_custkey % 50 = 0)) * 100.0 / (3 * count(*)), 2)::DOUBLE AS cell_accuracy, round(count(*) FILTER (c_custkey % 50 <> 0) * 100.0 / count(*), 2)::DOUBLE AS row_accuracy, true AS meets_threshold FROM customer")
+def gold_compare(spark, d):
+    out = audit.accuracy(_gold(spark, d), ["c_custkey"])
+    return out.withColumns({"cell_accuracy": F.col("cell_accuracy").cast("double"), "row_accuracy": F.col("row_accuracy").cast("double")})
+
+
+@query("SELECT c_custkey, 'c_mktsegment' AS column_name, 'WRONG' AS output, c_mktsegment AS gold FROM customer WHERE c_custkey % 50 = 0")
+def gold_mismatch(spark, d):
+    return _gold(spark, d).filter("not equal").drop("equal")
+
+
+@query("SELECT * FROM (VALUES ('fill_rate', true, true), ('rows_filled', true, true), ('value_without_evidence', false, true), ('missing_fields', false, true), ('record_coverage', true, true), ('list_like_record_count', true, true), ('source_contribution', false, true), ('source_stat_consistency', true, true), ('metric_consistency', true, true), ('confidence_uniformity', false, true)) v(check_name, hard, passed)")
+def validation_checks(spark, d):
+    n = t(spark, d, "customer")
+    filled = n.select(F.col("c_custkey").alias("row_id"), F.lit("name").alias("field"), F.col("c_name").alias("value"), F.lit("customer").alias("source_file"), F.lit(1).alias("n_evidence"), F.when(F.col("c_custkey") % 2 == 0, 0.9).otherwise(0.7).alias("confidence"))
+    sources = n.agg(F.lit("customer").alias("source_file"), F.count("*").alias("extracted_rows"), F.count("*").alias("filled_rows"), F.count("*").alias("contributed"))
+    return audit.validation_checks(filled, sources, expected_rows=0)
+
+
+@query("SELECT count(*) * 2 AS cells, round(avg(CASE WHEN c_acctbal IS NOT NULL THEN 100.0 ELSE 50.0 END), 4) AS fill_rate FROM customer")
+def template_fill(spark, d):
+    c = t(spark, d, "customer").withColumn("source_file", F.lit("customer"))
+    cells = templates.fill_cells(c, ["c_name", "c_acctbal"], "c_custkey")
+    return cells.agg(F.count("*").alias("cells")).join(templates.fill_rate(cells).select(F.col("fill_rate").cast("double").alias("fill_rate")), F.lit(True))
+
+
+@query("SELECT l_returnflag AS source_file, count(*) AS extracted_rows, count(DISTINCT l_orderkey) AS entities, count(*) FILTER (l_discount > 0.05) AS contributed FROM lineitem GROUP BY 1")
+def source_stats(spark, d):
+    li = t(spark, d, "lineitem")
+    return li.groupBy(F.col("l_returnflag").alias("source_file")).agg(F.count("*").alias("extracted_rows"), F.count_distinct("l_orderkey").alias("entities"), F.count_if(F.col("l_discount") > 0.05).alias("contributed"))
+
+
+@query("SELECT 'entity' AS field_type, 'ok' AS status, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'number', 'ok', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'text', 'ok', (SELECT count(*) FROM customer)")
+def normalization_report(spark, d):
+    c = cells_of(t(spark, d, "customer"), "customer", F.col("c_custkey"), ["c_name", "c_acctbal", "c_mktsegment"]).unionByName(cells_of(t(spark, d, "supplier"), "supplier", F.col("s_suppkey"), ["s_name", "s_acctbal"]))
+    kinds = F.create_map(*[x for k, v in _TYPES.items() for x in (F.lit(k), F.lit(v))])
+    typed = quality.with_types(c, _TYPES).withColumn("field_type", F.try_element_at(kinds, F.col("header")))
+    return typed.groupBy("field_type", F.col("typed.status").alias("status")).agg(F.count("*").alias("n"))
+
+
+# --- store ---------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS n_documents, count(DISTINCT substr(sha256(text), 1, 32)) AS n_contents, sum(n_chars)::BIGINT AS n_chars FROM documents")
+def store_documents(spark, d):
+    docs = t(spark, d, "documents").withColumn("content_hash", store.content_hash(F.col("text")))
+    return docs.agg(F.count("*").alias("n_documents"), F.count_distinct("content_hash").alias("n_contents"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("SELECT 'lang' AS dimension, lang AS item, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2")
+def store_stats(spark, d):
+    return store.stats(t(spark, d, "documents"), ["lang", "source"])
+
+
+@query("(SELECT 'document' AS result_type, doc_id, substr(text, 1, 200) AS text FROM documents WHERE text ILIKE '%licensed%' ORDER BY 2, 3 LIMIT 10) UNION ALL (SELECT 'page', page_id, substr(url, 1, 200) FROM pages WHERE url ILIKE '%licensed%' ORDER BY 2, 3 LIMIT 10)")
+def store_search(spark, d):
+    tables = {"document": (t(spark, d, "documents"), "text"), "page": (t(spark, d, "pages").withColumnRenamed("page_id", "doc_id"), "url")}
+    return store.search(tables, "licensed", 20)
+
+
+@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]{11,})', 1)) AS entity_text, 'name' AS entity_type, 0.7::DOUBLE AS confidence FROM documents")
+def store_entities(spark, d):
+    return store.words_with_capital(t(spark, d, "documents"))
+
+
+@query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 25 OFFSET 50")
+def store_page(spark, d):
+    return store.page(t(spark, d, "documents").select("doc_id", "lang", "source"), ["doc_id"], 25, 50)
+
+
+@query("SELECT count(*) AS n_tasks, round(avg(fr), 4) AS mean_fill_rate, round(avg(rt), 4) AS mean_response_time, avg(fr) >= 80 AS fill_rate_ok, avg(rt) <= 90 AS response_time_ok FROM (SELECT (o_totalprice % 100) AS fr, (o_orderkey % 60)::DOUBLE AS rt FROM orders ORDER BY o_orderkey DESC LIMIT 20)")
+def analytics_dashboard(spark, d):
+    m = t(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderkey").alias("created_at"), (F.col("o_totalprice") % 100).alias("fill_rate"), (F.col("o_orderkey") % 60).cast("double").alias("response_time"))
+    return store.dashboard(m)
+
+
+# --- text ----------------------------------------------------------------------------------------
+
+
+@query(r"""WITH b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, e' \t\n\r')), lambda x: x <> '') AS p, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, e' \t\n\r')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, len(CASE WHEN len(p) > 1 THEN p ELSE l END) AS n_blocks, list_sum(list_transform(CASE WHEN len(p) > 1 THEN p ELSE l END, lambda x: length(x)))::BIGINT AS n_chars FROM b WHERE len(CASE WHEN len(p) > 1 THEN p ELSE l END) > 0""")
+def text_blocks(spark, d):
+    b = narrative.blocks(t(spark, d, "documents"))
+    return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("content")).alias("n_chars"))
+
+
+@query()
+def segment_relevance(spark, d):
+    b = narrative.blocks(t(spark, d, "documents"))
+    return b.filter(narrative.relevant(F.col("content"), ["licensed", "the"])).select("doc_id", "block_index", "content")
+
+
+@query()
+def entity_blocks(spark, d):
+    b = narrative.blocks(t(spark, d, "documents"))
+    return narrative.entity_blocks(b, F.regexp_extract("content", r"\b([A-Z][a-z]{11,})\b", 1))
+
+
+@query()
+def top_segments(spark, d):
+    b = narrative.blocks(t(spark, d, "documents"))
+    return narrative.top_segments(b, narrative.relevance(F.col("content"), "the licensed of and"), 3)
+
+
+@query()
+def summarize_sentences(spark, d):
+    return narrative.summarize(t(spark, d, "documents"))
+
+
+@query(r"SELECT doc_id, x AS content FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, e' \t\n\r')), lambda x: contains(x, 'Licensed'))) AS x FROM documents)")
+def find_text(spark, d):
+    lines = t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content")).withColumn("content", V.trimmed(F.col("content")))
+    return lines.filter(F.col("content").contains("Licensed"))
+
+
+@query("SELECT c_custkey, 'Dear ' || c_name || ', segment ' || c_mktsegment || '.' AS letter FROM customer")
+def replace_placeholders(spark, d):
+    text = narrative.replace_placeholders(F.lit("Dear {{name}}, segment 【segment】."), {"name": "\x01", "segment": "\x02"})
+    return t(spark, d, "customer").select("c_custkey", F.replace(F.replace(text, F.lit("\x01"), F.col("c_name")), F.lit("\x02"), F.col("c_mktsegment")).alias("letter"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_flatten(spark, d):
+    events = t(spark, d, "events").select("event_id", F.from_json("props", "k string").alias("props"))
+    flat = flatten_json(events)
+    return flat.select(F.col("event_id").cast("long").alias("event_id"), F.col("`props.k`").alias("k"))
+
+
+@query("SELECT item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'of', 'and'])) AS shared FROM benchmark")
+def source_relevance(spark, d):
+    return t(spark, d, "benchmark").select("item_id", narrative.relevance(F.col("text"), "the of and").cast("long").alias("shared"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
+def page_outline(spark, d):
+    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("paragraphs"))
+
+
+# --- scalar functions ----------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS num, 'USD' AS unit FROM lineitem")
+def normalize_number(spark, d):
+    text = F.concat(F.format_number("l_extendedprice", 2), F.lit(" USD"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(V.number(text), 2).alias("num"), V.unit(text).alias("unit"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS whole, strftime(o_orderdate, '%Y-%m-01') AS month, strftime(o_orderdate, '%Y-01-01') AS year FROM orders")
+def normalize_date(spark, d):
+    o = t(spark, d, "orders")
+    f = lambda p: V.date(F.date_format("o_orderdate", p))
+    return o.select("o_orderkey", f("yyyy/M/d").alias("whole"), f("yyyy年M月").alias("month"), f("yyyy").alias("year"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount, 4) AS fraction FROM lineitem")
+def normalize_percent(spark, d):
+    text = F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(V.percent(text), 4).alias("fraction"))
+
+
+@query("SELECT * FROM (VALUES (1, 57750000.0, '万'), (2, 73000.0, '万元'), (3, 126000.0, '万'), (4, 1.5, ''), (5, 300000000.0, '万'), (6, -12.5, '元'), (7, 1234.0, '个')) v(id, num, unit)")
+def chinese_units(spark, d):
+    rows = [(1, "5775 万"), (2, "7.3 万元"), (3, "12.6 万份"), (4, "１．５"), (5, "三万"), (6, "-12.5元"), (7, "1,234个")]
+    df = spark.createDataFrame(rows, "id int, v string")
+    return df.select("id", V.number(F.col("v")).alias("num"), V.unit(F.col("v")).alias("unit"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, count(*) - count(value) AS n_missing, count(*) FILTER (value < 0) AS n_negative, round(sum(value), 4) AS sum_value FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return event_counters(t(spark, d, "events"))
