@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuseline.llm.common import WORD, stored
-from fuseline.llm.line_dedup import dedup_lines
+from fuseline.llm.line_dedup import deduplicated
 from fuseline.llm.mixing import mix
 from fuseline.llm.packing import pack_documents
 from fuseline.llm.quality_classifier import THRESHOLD, learn, score_documents
@@ -23,15 +23,16 @@ from fuseline.llm.tokens import tokenizer_path
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs less those that score below the threshold."""
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, model).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    scored = score_documents(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return scored.filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs less the later copies of repeated runs of lines, and less documents of which no words
     are left. n_chars, where docs has it, is the new length."""
-    left = dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
-    return left.select(*[F.coalesce(length, F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    left = deduplicated(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return left.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def shingle_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

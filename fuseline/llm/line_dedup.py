@@ -99,24 +99,31 @@ def repeated_lines(arrays: DataFrame, min_lines: int = MIN_LINES, min_words: int
     return gone.select("doc_id", "text_hash", F.array_sort(F.array_distinct(F.flatten("runs"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """docs with text less the later copies of repeated runs, and n_lines and n_removed (long)."""
-    found = repeated_lines(stored(line_arrays(docs), "lines"), min_lines, min_words, window)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    d = docs.select(*own).withColumn("_own", hash60(F.col("text")))
-    d = d.join(found.hint("shuffle_hash"), (d["doc_id"] == found["_id"]) & (d["_own"] == found["_hash"]), "left")
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
+    """row (docs' columns as they were), text less the later copies of repeated runs, n_lines and
+    n_removed."""
+    found = repeated_lines(stored(line_arrays(docs), "lines"), min_lines, min_words, window).withColumnRenamed("doc_id", "id")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), "text", hash60(F.col("text")).alias("own_hash"))
+    d = d.join(found.hint("shuffle_hash"), (F.col("own_id") == F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
     lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.concat_ws("\n", F.transform(left, lambda p: F.get(lines, p)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     return d.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in own],
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
+    """docs with text less the later copies of repeated runs, and n_lines and n_removed (long),
+    which replace columns of these names."""
+    out = deduplicated(docs, min_lines, min_words, window)
+    new = ("text", "n_lines", "n_removed")
+    return out.select(*[F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c == "text" or c not in new], "n_lines", "n_removed")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs)

@@ -106,9 +106,10 @@ def tilts(histogram: DataFrame, goal: dict, total: dict, docs: dict, limit: floa
     return tilt
 
 
-def round_rates(sizes: list[int], rates: list[float]) -> list[int]:
+def round_rates(sizes: list[int], rates: list[float], limit: float = LIMIT) -> list[int]:
     """Whole copies, each rate rounded up or down, so that the words that are left over or
-    lacking so far stay few; sizes fall."""
+    lacking so far stay few; sizes fall. What is left at the end moves the documents of the most
+    fitting size by one copy, a few at most."""
     owed, out = 0.0, []
     for size, rate in zip(sizes, rates, strict=True):
         low, high = math.floor(rate + 1e-9), math.ceil(rate - 1e-9)
@@ -116,14 +117,22 @@ def round_rates(sizes: list[int], rates: list[float]) -> list[int]:
         copies = min(max(math.floor(wanted + 0.5), low), high)
         owed += (rate - copies) * size
         out.append(copies)
+    for _ in range(3):
+        step = 1 if owed > 0 else -1
+        free = [i for i, c in enumerate(out) if 0 < sizes[i] < 2 * abs(owed) - 1 and 0 <= c + step <= limit]
+        if not free:
+            break
+        best = min(free, key=lambda i: abs(abs(owed) - sizes[i]))
+        out[best] += step
+        owed -= step * sizes[best]
     return out
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, group: int = 4096, with_docs: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of each row of docs
     (doc_id, text, source); with_docs: docs itself with each row as often as it has copies."""
-    own = docs.columns if with_docs else ["doc_id", "source"]
-    whole_rows = stored(docs.select(*own, size_of(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_row")), "sized")
+    row = [F.struct(*docs.columns).alias("whole")] if with_docs else []
+    whole_rows = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_row"), *row), "sized")
     sized = whole_rows.select("doc_id", "source", "_size", "_row")
     histogram = stored(sized.groupBy("source", F.col("_size").alias("size")).agg(F.count("*").alias("n")), "histogram")
     per = {r["source"]: r for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).collect()}
@@ -141,13 +150,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_size", "doc_id", "_row"], ascending=[False, True, True], kind="stable")
-        return pdf.assign(copies=round_rates(pdf["_size"].tolist(), pdf["rate"].tolist())).drop(columns="_part")
+        return pdf.assign(copies=round_rates(pdf["_size"].tolist(), pdf["rate"].tolist(), limit)).drop(columns="_part")
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.drop("_part").schema.fields)
     out = rated.groupBy("source", "_part").applyInPandas(whole, shape + ", copies long")
     if with_docs:
         taken = out.filter("copies > 0").select("_row", "copies")
-        return whole_rows.join(taken, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
+        again = F.explode(F.array_repeat("whole", F.col("copies").cast("int")))
+        return whole_rows.select("_row", "whole").join(taken, "_row").select(again.alias("whole")).select("whole.*")
     return out.select(
         "doc_id", "source", F.col("_size").alias("size"), _literal({s: float(v) for s, v in total.items()}, source).cast("long").alias("source_size"),
         _literal(goal, source).alias("target"), "rate", "copies", (F.col("copies") * size).alias("taken"),
