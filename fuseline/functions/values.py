@@ -17,7 +17,6 @@ from fuseline.functions.registry import DEFAULT, PUNCTUATION, Registry
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　\xa0"
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  "
-_MARKS = ("，。：；", ",.:;")
 NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
 #: Fixed: Chinese numerals and the units that end a section.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -30,19 +29,22 @@ def nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
+#: Fixed: white space at the ends of a value.
+_BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_BLANK))
 
 
 def clean(c: Column) -> Column:
     """A cell's text; "" for null, blank and the words nan, none and nat."""
-    text = F.coalesce(trimmed(c.cast("string")), F.lit(""))
-    return F.when(F.lower(text).isin("nan", "none", "nat"), "").otherwise(text)
+    return F.regexp_replace(F.coalesce(trimmed(c.cast("string")), F.lit("")), "(?i)^(?:nan|none|nat)$", "")
 
 
 def plain(c: Column) -> Column:
     """clean() with full-width characters as ASCII and runs of white space as one space."""
-    text = F.translate(F.translate(clean(c), _WIDE, _PLAIN), *_MARKS)
+    text = F.translate(clean(c), _WIDE + "。", _PLAIN + ".")
     return trimmed(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
@@ -74,7 +76,7 @@ def chinese_number(c: Column) -> Column:
             .otherwise(F.struct((s["total"] + or_one(s["section"] + s["digit"]) * v).alias("total"), zero.alias("section"), zero.alias("digit")))
         )
 
-    return F.when(F.size(chars) > 0, F.aggregate(chars, state, step, lambda s: s["total"] + s["section"] + s["digit"]))
+    return F.when(c.rlike(f"[{''.join(known)}]"), F.aggregate(chars, state, step, lambda s: s["total"] + s["section"] + s["digit"]))
 
 
 def multiplier(text: Column) -> Column:
@@ -83,10 +85,10 @@ def multiplier(text: Column) -> Column:
 
 def number(c: Column) -> Column:
     """The first number in a text times the unit 万, 亿 or 万亿 anywhere in it (double)."""
-    return _number(plain(c))
+    return text_number(plain(c))
 
 
-def _number(text: Column) -> Column:
+def text_number(text: Column) -> Column:
     found = F.regexp_extract(text, f"({NUMBER})", 1)
     value = F.regexp_replace(found, ",", "").try_cast("double")
     return F.when(found != "", F.round(value * multiplier(text), 8)).otherwise(chinese_number(text) * multiplier(text))
@@ -94,20 +96,20 @@ def _number(text: Column) -> Column:
 
 def percent(c: Column) -> Column:
     """number() as a fraction where the text has % or 百分."""
-    return _percent(plain(c))
+    return text_percent(plain(c))
 
 
-def _percent(text: Column) -> Column:
-    return F.round(_number(text) / F.when(text.contains("%") | text.contains("百分"), 100).otherwise(1), 8)
+def text_percent(text: Column) -> Column:
+    return F.round(text_number(text) / F.when(text.contains("%") | text.contains("百分"), 100).otherwise(1), 8)
 
 
 def date(c: Column) -> Column:
     """yyyy-MM-dd of a text that starts with a date; parts that can't be are left off, so that a
     month or a year alone gives its first day. Null if there is none."""
-    return _date(plain(c))
+    return text_date(plain(c))
 
 
-def _date(text: Column) -> Column:
+def text_date(text: Column) -> Column:
     text = F.translate(F.translate(text, "年月/.", "----"), "日", "")
     text = F.regexp_replace(F.regexp_replace(text, "-+", "-"), "^[- ]+|[- ]+$", "")
     year, month, day = (F.regexp_extract(text, r"^(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?", k) for k in (1, 2, 3))
@@ -122,10 +124,10 @@ def _date(text: Column) -> Column:
 
 def unit(c: Column, registry: Registry = DEFAULT) -> Column:
     """The longest known unit in a text, else letters or % behind a number, else ""."""
-    return _unit(plain(c), registry)
+    return text_unit(plain(c), registry)
 
 
-def _unit(text: Column, registry: Registry) -> Column:
+def text_unit(text: Column, registry: Registry) -> Column:
     known = [F.when(text.contains(u), F.lit(u)) for u in sorted(registry.units, key=len, reverse=True)]
     return F.coalesce(*known, F.regexp_extract(text, NUMBER + r"\s*([A-Za-z%]+)", 1))
 
@@ -146,9 +148,9 @@ def typed(c: Column, kind: str, registry: Registry = DEFAULT) -> Column:
 def typed_text(text: Column, original: Column, null: Column, kind: str, registry: Registry = DEFAULT) -> Column:
     """typed() from plain(), clean() and is_missing() of a value, so that a plan that has them as
     columns computes them once."""
-    num = _percent(text) if kind == "percent" else _number(text) if kind in ("number", "currency") else F.lit(None).cast("double")
-    value = rendered(num) if kind in ("number", "currency", "percent") else _date(text) if kind == "date" else text
-    own = _unit(text, registry)
+    num = text_percent(text) if kind == "percent" else text_number(text) if kind in ("number", "currency") else F.lit(None).cast("double")
+    value = rendered(num) if kind in ("number", "currency", "percent") else text_date(text) if kind == "date" else text
+    own = text_unit(text, registry)
     found = F.lit("") if kind == "date" else F.when(text.contains("%"), "%").otherwise(own) if kind == "percent" else own
     return F.struct(
         original.alias("original"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuseline.functions.registry import DEFAULT, Registry
-from fuseline.functions.values import clean, name_key, plain, typed_text
+from fuseline.functions.values import clean, name_key, plain, rendered, text_date, text_number, text_percent, text_unit
 from fuseline.sources.cells import location
 
 NUMERIC = ("number", "currency", "percent")
@@ -23,15 +23,26 @@ def header_types(samples: dict[str, list], registry: Registry = DEFAULT) -> dict
 
 
 def with_types(cells: DataFrame, types: dict[str, str], registry: Registry = DEFAULT) -> DataFrame:
-    """cells with typed: the normalised value, by its header's type."""
-    ready = cells.withColumns({"_text": plain(F.col("value")), "_clean": clean(F.col("value"))})
-    ready = ready.withColumn("_null", name_key(F.col("_text")).isin(*sorted(registry.null_keys())))
-    of = lambda kind: typed_text(F.col("_text"), F.col("_clean"), F.col("_null"), kind, registry)
-    out: Column = of("text")
-    for kind in sorted(set(types.values()) - {"text"}):
-        mine = [h for h, k in types.items() if k == kind]
-        out = F.when(F.col("header").isin(*mine), of(kind)).otherwise(out)
-    return ready.withColumn("typed", out).drop("_text", "_clean", "_null")
+    """cells with typed: the normalised value, by its header's type. Each part is a column of its
+    own on the way, so that no regular expression runs twice on a value."""
+    header, text = F.col("header"), F.col("_text")
+    among = lambda *kinds: header.isin(*[h for h, k in types.items() if k in kinds])
+    kind = F.lit("text")
+    for k in sorted(set(types.values()) - {"text"}):
+        kind = F.when(among(k), k).otherwise(kind)
+    out = cells.withColumns({"_text": plain(F.col("value")), "_clean": clean(F.col("value")), "_kind": kind})
+    out = out.withColumn("_null", name_key(text).isin(*sorted(registry.null_keys())))
+    out = out.withColumns({
+        "_num": F.when(~F.col("_null") & among("number", "currency"), text_number(text)).when(~F.col("_null") & among("percent"), text_percent(text)),
+        "_day": F.when(among("date"), text_date(text)),
+        "_unit": F.when(among("date") | F.col("_null"), "").when(among("percent") & text.contains("%"), "%").otherwise(text_unit(text, registry)),
+    })
+    out = out.withColumn("_value", F.when(among(*NUMERIC), rendered(F.col("_num"))).when(among("date"), F.col("_day")).otherwise(text))
+    typed = F.struct(
+        F.col("_clean").alias("original"), F.when(F.col("_null"), "").otherwise(F.coalesce("_value", "_text")).alias("standard_value"), F.col("_num").alias("num"),
+        F.col("_kind").alias("field_type"), F.col("_unit").alias("unit"), F.when(F.col("_null"), "null").when(F.col("_value").isNull(), "type_error").otherwise("ok").alias("status"),
+    )
+    return out.withColumn("typed", typed).drop("_text", "_clean", "_kind", "_null", "_num", "_day", "_unit", "_value")
 
 
 def _issue(rows: DataFrame, kind: str | Column, field: Column, raw: Column, value: Column, where: Column, source: Column | None = None) -> DataFrame:
@@ -62,22 +73,19 @@ def numeric_anomalies(cells: DataFrame, z: float = DEFAULT.outlier_z, least: int
 
 def duplicate_records(cells: DataFrame) -> DataFrame:
     """Rows of a table whose values, as they are compared, another row has too."""
-    filled = cells.filter(clean(F.col("value")) != "")
-    entry = F.struct("col_index", name_key(clean(F.col("value"))).alias("v"))
-    rows = filled.groupBy("source", "table_index", "row_id").agg(F.array_sort(F.collect_list(entry)).alias("vs"))
-    prints = rows.select("source", "table_index", F.concat_ws("|", F.transform("vs", lambda x: x["v"])).alias("print"))
+    prints = cells.filter("col_index = 0 and row_print <> ''").select("source", "table_index", F.col("row_print").alias("print"))
     twice = prints.groupBy("source", "table_index", "print").agg(F.count("*").alias("n")).filter("n > 1")
     return _issue(twice, "duplicate_record", F.lit(""), F.col("print"), F.col("print"), F.concat(F.lit("table"), "table_index"))
 
 
 def cross_source_conflicts(cells: DataFrame) -> DataFrame:
-    """Entity and field with several values from several sources."""
-    mine = cells.filter(F.col("row_key") != "").select("row_key", name_key(F.col("header")).alias("field"), F.col("typed.standard_value").alias("v"), "source", location().alias("at"))
-    found = mine.groupBy("row_key", "field").agg(
-        F.count_distinct(F.when(F.col("v") != "", name_key(F.col("v")))).alias("values"), F.count_distinct("source").alias("sources"),
-        F.concat_ws("；", F.slice(F.array_sort(F.collect_set("source")), 1, 4)).alias("source"), F.min_by("at", F.struct("source", "at")).alias("at"), F.min("v").alias("v"),
-    )
-    return _issue(found.filter("values > 1 and sources > 1"), "cross_source_conflict", F.col("field"), F.concat(F.lit("key="), "row_key"), F.lit(""), F.col("at"))
+    """Entity and field with several values from several sources: the least and the greatest differ."""
+    mine = cells.filter(F.col("row_key") != "").select("row_key", "header", F.col("typed.standard_value").alias("v"), "source", location().alias("at"))
+    keyed = mine.withColumn("k", F.when(F.col("v") != "", name_key(F.col("v"))))
+    found = keyed.groupBy("row_key", "header").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min(F.struct("source", "at")).alias("s0"), F.max("source").alias("s1"))
+    fields = found.groupBy("row_key", name_key(F.col("header")).alias("field")).agg(F.min("k0").alias("k0"), F.max("k1").alias("k1"), F.min("s0").alias("s0"), F.max("s1").alias("s1"))
+    bad = fields.filter("k0 <> k1 and s0.source <> s1")
+    return _issue(bad, "cross_source_conflict", F.col("field"), F.concat(F.lit("key="), "row_key"), F.lit(""), F.col("s0.at"), F.concat_ws("；", "s0.source", "s1"))
 
 
 def analyze(cells: DataFrame, types: dict[str, str], registry: Registry = DEFAULT) -> DataFrame:

@@ -1,8 +1,9 @@
 """The uniform model: a cell per row, with its source, place, header and text.
 
-source, file_type, priority, table_index, row_id, col_index, header, value, row_key: row_key is the
-first of the row's first two values that isn't empty, as it is compared; a cell of the first column
-has only its own."""
+source, file_type, priority, table_index, row_id, col_index, header, value, row_key, row_print:
+row_key is the first of the row's first two values that isn't empty, as it is compared; a cell of the
+first column has only its own. row_print, at the first column only, is all of the row's values as
+they are compared: both come from the wide row, so that rules need not gather its cells again."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fuseline.functions.values import clean, name_key
 
-COLUMNS = ["source", "file_type", "priority", "table_index", "row_id", "col_index", "header", "value", "row_key"]
+COLUMNS = ["source", "file_type", "priority", "table_index", "row_id", "col_index", "header", "value", "row_key", "row_print"]
 
 
 def as_text(df: DataFrame, column: str) -> Column:
@@ -30,10 +31,11 @@ def cells_of(df: DataFrame, source: str, row_id: Column, columns: list[str] | No
     first, second = (clean(as_text(df, c)) for c in (columns + columns)[:2])
     key = F.when(first != "", name_key(first)).otherwise(name_key(second) if len(columns) > 1 else F.lit(""))
     entries = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(c).alias("header"), as_text(df, c).alias("value")) for i, c in enumerate(columns)])
-    rows = df.select(row_id.cast("string").alias("row_id"), name_key(first).alias("k0"), key.alias("k"), F.explode(entries).alias("c"))
+    full = F.filter(F.array(*[name_key(clean(as_text(df, c))) for c in columns]), lambda x: x != "")
+    rows = df.select(row_id.cast("string").alias("row_id"), name_key(first).alias("k0"), key.alias("k"), F.concat_ws("|", full).alias("p"), F.explode(entries).alias("c"))
     return rows.select(
         F.lit(source).alias("source"), F.lit(file_type).alias("file_type"), F.lit(priority).alias("priority"), F.lit(table_index).alias("table_index"),
-        "row_id", "c.col_index", "c.header", "c.value", F.when(F.col("c.col_index") == 0, F.col("k0")).otherwise(F.col("k")).alias("row_key"),
+        "row_id", "c.col_index", "c.header", "c.value", F.when(F.col("c.col_index") == 0, F.col("k0")).otherwise(F.col("k")).alias("row_key"), F.when(F.col("c.col_index") == 0, F.col("p")).alias("row_print"),
     )
 
 
