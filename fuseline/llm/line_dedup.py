@@ -76,8 +76,9 @@ def fingerprints(arrays: DataFrame, min_lines: int, min_words: int, window: int)
 
 
 def repeated_lines(arrays: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash and the sorted numbers of the lines to delete, for documents with any."""
-    arrays = arrays.dropDuplicates(["doc_id", "text_hash"])
+    """doc_id, text_hash and the sorted numbers of the lines to delete, for documents with any.
+    arrays: line_arrays() without repeated rows, stored, so that both sides of the joins below are
+    dealt anew and a document that many others copy is split."""
     seeds = fingerprints(arrays, min_lines, min_words, window)
     place = F.struct("doc_id", "text_hash", "at")
     first = seeds.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -102,7 +103,7 @@ def repeated_lines(arrays: DataFrame, min_lines: int = MIN_LINES, min_words: int
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """row (docs' columns as they were), text less the later copies of repeated runs, n_lines and
     n_removed."""
-    found = repeated_lines(stored(line_arrays(docs), "lines"), min_lines, min_words, window).withColumnRenamed("doc_id", "id")
+    found = repeated_lines(stored(line_arrays(docs).dropDuplicates(["doc_id", "text_hash"]), "lines"), min_lines, min_words, window).withColumnRenamed("doc_id", "id")
     d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), "text", hash60(F.col("text")).alias("own_hash"))
     d = d.join(found.hint("shuffle_hash"), (F.col("own_id") == F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
     lines = _lines(F.col("text"))
