@@ -16,6 +16,7 @@ pages are taken whole; other columns are ignored."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -53,6 +54,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.by_name, self.lines, self.text, self.linked = by_name, [], [], 0
         self.stack: list[tuple[str, bool, bool, int]] = []  # element, unseen, furniture, article
+        self.open: Counter[str] = Counter()
         self.links = self.articles = 0
         self.state = (False, False, 0)
 
@@ -68,6 +70,7 @@ class Lines(HTMLParser):
     def _pop_to(self, k: int) -> None:
         for tag, *_ in self.stack[k:]:
             self.links -= tag == "a"
+            self.open[tag] -= 1
         del self.stack[k:]
         self.state = self.stack[-1][1:] if self.stack else (False, False, 0)
 
@@ -98,6 +101,7 @@ class Lines(HTMLParser):
                 furniture = named and (tag != "article" or (have.get("class") or "").lower().startswith("comment"))
         self.links += tag == "a"
         self.stack.append((tag, unseen, furniture, article))
+        self.open[tag] += 1
         self.state = (unseen, furniture, article)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -108,7 +112,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._cut()
-        for k in range(len(self.stack) - 1, -1, -1):
+        for k in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[k][0] == tag:
                 self._pop_to(k)
                 return

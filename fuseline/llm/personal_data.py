@@ -17,6 +17,7 @@ rows that repeat are searched each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -61,12 +62,34 @@ def _passes(kind: str, found: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: A match starts where a run of digits does; tried elsewhere, a long run takes the square of its length.
+_IP = re.compile("(?<![0-9])" + BASE["ip"].pattern)
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """BASE["email"]'s matches, found from each @, so that long runs of letters cost nothing."""
+    out, free = [], 0
+    at = text.find("@")
+    while at >= 0:
+        local = text[free:at]
+        start = free + len(local.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at) if start < at else None
+        if m:
+            out.append((start, m.end()))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
-    out: list[Span] = []
-    digits = _DIGIT.search(text) is not None
-    for k, kind in enumerate(KINDS):
-        if ("@" in text) if kind == "email" else digits and (kind != "phone" or "+" in text):
-            out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if _passes(kind, m.group())]
+    out: list[Span] = [(0, a, b) for a, b in _emails(text)]
+    if _DIGIT.search(text) is None:
+        return out
+    for k, pattern in ((1, _IP), (2, BASE["card"]), (3, BASE["phone"])):
+        if k != 3 or "+" in text:
+            out += [(k, m.start(), m.end()) for m in pattern.finditer(text) if _passes(KINDS[k], m.group())]
     return out
 
 
@@ -209,17 +232,42 @@ def detector(examples: int = EXAMPLES, seed: int = SEED, precision: float = PREC
     return Detector(trees, tuple(thresholds))
 
 
+class _Taken:
+    """Disjoint intervals; hit() says whether one overlaps any of them."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def hit(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def find_spans(texts: list[str], model: Detector) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, added spans) of each text."""
     base = [base_spans(t) for t in texts]
-    rows = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not any(a < c[2] and c[1] < b for _, a, b in base[i])]
+    taken = [_Taken(b) for b in base]
+    rows = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not taken[i].hit(c[1], c[2])]
     added: list[list[Span]] = [[] for _ in texts]
     if rows:
         p = model.trees.probability(np.array([describe(texts[i], c) for i, c in rows], float))
         for k in np.argsort(-p, kind="stable"):
             i, c = rows[k]
-            if p[k] >= model.thresholds[c[0]] and not any(a < c[2] and c[1] < b for _, a, b in added[i]):
+            if p[k] >= model.thresholds[c[0]] and not taken[i].hit(c[1], c[2]):
                 added[i].append(c)
+                taken[i].add(c[1], c[2])
     return list(zip(base, added, strict=True))
 
 

@@ -122,6 +122,14 @@ def test_base_spans_and_redaction():
     assert "826" not in personal_data.redact(PLANTED, base + added) and "[EMAIL]" in personal_data.redact(PLANTED, base)
 
 
+def test_base_spans_are_the_patterns_matches():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab@..-+ 0123456789()é%") for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    for t in texts + ["x" * 300_000 + "@", "1" * 300_000, "1.2.3.4.5.6.7.8.9", "@a.b@c.d@e.f"]:
+        want = [(k, m.start(), m.end()) for k, kind in enumerate(personal_data.KINDS) for m in (personal_data.BASE[kind].finditer(t) if len(t) < 1000 else ()) if personal_data._passes(kind, m.group())]
+        assert personal_data.base_spans(t) == want
+
+
 def test_detector_on_new_examples():
     rng = random.Random(99)
     model, right, wrong, missed = personal_data.detector(), 0, 0, 0
@@ -196,6 +204,10 @@ def test_html(html, want):
     assert html_text.main_text(html) == want
 
 
+def test_html_of_many_unclosed_elements():
+    assert html_text.main_text("<article>" + "<b>x</i>" * 30_000) == "x" * 30_000
+
+
 def test_regions():
     assert html_text.regions([0, 5, 0, 7, 0, 0, 0, 3], 3) == [(1, 4), (7, 8)]
     assert html_text.regions([], 3) == [] and html_text.regions([0, 0], 3) == []
