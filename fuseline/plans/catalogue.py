@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fuseline.functions import values as V
 from fuseline.functions.registry import DEFAULT
-from fuseline.operators import audit, filters, fusion, mapping, narrative, quality, records, store, templates
+from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, quality, records, store, templates
 from fuseline.plans import requirement
 from fuseline.sources.cells import cells_of
 from fuseline.sources.readers import flatten_json
@@ -409,6 +409,44 @@ def page_outline(spark, d):
     return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("paragraphs"))
 
 
+@query("SELECT * FROM (VALUES (1, '', false), (2, 'date', true), (3, 'sentence', true), (4, 'metric', true), (5, 'granularity', false), (6, 'number', true), (7, '', false), (8, 'narrative', true), (9, 'blank', false)) v(id, filter_reason, hard_reject)")
+def entity_legality(spark, d):
+    rows = [(1, "潍坊市"), (2, "2024年3月"), (3, "经济增长，形势稳定"), (4, "人均收入"), (5, "中国"), (6, "12.5"), (7, "青岛"), (8, "推动经济平稳"), (9, "")]
+    df = spark.createDataFrame(rows, "id int, `城市` string")
+    return entities.with_legality(df, ["城市"]).select("id", "filter_reason", "hard_reject")
+
+
+@query("SELECT c_mktsegment AS source_file, CASE WHEN c_custkey % 4 = 0 THEN 'number' ELSE 'sentence' END AS filter_reason, true AS hard_reject, count(*) AS n_dropped FROM customer WHERE c_custkey % 4 < 2 GROUP BY ALL")
+def entity_rejects(spark, d):
+    name = F.when(F.col("c_custkey") % 4 == 0, "123").when(F.col("c_custkey") % 4 == 1, "a; b").otherwise("青岛")
+    return entities.reject_counts(t(spark, d, "customer").select(name.alias("city"), F.col("c_mktsegment").alias("source_file")), ["city"])
+
+
+@query("SELECT o_orderkey, substr(sha1(o_orderstatus || '|' || o_orderkey || '|'), 1, 16) AS record_id FROM orders")
+def record_provenance(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", extraction.provenance_id(F.col("o_orderstatus"), F.col("o_orderkey"), F.lit(None)).alias("record_id"))
+
+
+@query("SELECT * FROM (VALUES (1, '潍坊市', '7471.4亿元', '939万人'), (2, 'New York', '', '8,804,190')) v(doc_id, entity, gdp, population)")
+def text_records(spark, d):
+    rows = [(1, 0, "潍坊市实现地区生产总值约为7471.4亿元，常住人口939万人。"), (2, 0, "New York has 8,804,190 in population terms, population 8,804,190"), (3, 0, "没有数字")]
+    found = extraction.text_records(spark.createDataFrame(rows, "doc_id int, block_index int, content string"))
+    value = lambda k: F.coalesce(F.try_element_at("values", F.lit(k)), F.lit(""))
+    return found.select("doc_id", "entity", value("gdp").alias("gdp"), value("population").alias("population"))
+
+
+@query("SELECT l_returnflag AS source_file, 'filtered' AS stage, count(*) AS n_in, count(*) FILTER (l_discount > 0.03) AS n_out, count(*) - count(*) FILTER (l_discount > 0.03) AS n_lost, true AS explained FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'merged', count(*) FILTER (l_discount > 0.03), count(*) FILTER (l_discount > 0.06), count(*) FILTER (l_discount > 0.03) - count(*) FILTER (l_discount > 0.06), true FROM lineitem GROUP BY 1")
+def stage_losses(spark, d):
+    c = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("source_file")).agg(F.count("*").alias("raw"), F.count_if(F.col("l_discount") > 0.03).alias("filtered"), F.count_if(F.col("l_discount") > 0.06).alias("merged"))
+    return extraction.stage_losses(c, ["raw", "filtered", "merged"])
+
+
+@query("SELECT s AS source_file, count(*) AS n_evidence, count(*) FILTER (v = s) AS n_values, count(DISTINCT CASE WHEN v = s THEN l_orderkey END) AS n_rows FROM (SELECT l_orderkey, unnest([l_returnflag, l_linestatus]) AS s, l_returnflag AS v FROM lineitem) GROUP BY 1")
+def source_contributions(spark, d):
+    cells = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.array("l_returnflag", "l_linestatus").alias("evidence_sources"), F.array("l_returnflag").alias("value_sources"))
+    return extraction.source_contributions(cells)
+
+
 # --- scalar functions ----------------------------------------------------------------------------
 
 

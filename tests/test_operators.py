@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fuseline.operators import audit, filters, fusion, mapping, narrative, quality, records, templates
+from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, quality, records, templates
 from fuseline.plans import requirement
 from fuseline.sources.cells import cells_of
 
@@ -131,3 +131,19 @@ def test_narrative(spark):
     kept = [r["block_index"] for r in b.filter(narrative.relevant(F.col("content"), ["生产总值"], least=10)).orderBy("block_index").collect()]
     assert kept == [0, 2]
     assert narrative.labelled_values(spark.createDataFrame([(1, "价格： 12\nx")], "doc_id int, text string"), ["价格", "日期"]).first()["value"] == "12"
+
+
+def test_entities(spark):
+    assert [entities.header_kind(h) for h in ("城市", "国家/地区", "省份", "区", "站点名称", "GDP", "城市生产总值")] == ["city", "region", "province", "district", "name", "", ""]
+    df = spark.createDataFrame([("济南市", 1), ("新增病例", 2), ("2024年1月", 3)], "`城市` string, v int")
+    assert [r["v"] for r in entities.legal(df, ["城市", "v"]).collect()] == [1]
+    assert entities.writeback(df, ["城市"]).count() == 1 and entities.legal(df, ["v"]).count() == 3
+    kinds = spark.createDataFrame([("X大学",), ("城东站",), ("法国",), ("张家界",)], "v string").select(entities.granularity(F.col("v"), "region"))
+    assert [r[0] for r in kinds.collect()] == ["organization", "site", "country", "country"]
+
+
+def test_extraction(spark):
+    df = spark.createDataFrame([("GDP 达到 1,200.5 亿元",), ("100万人的总人口",), ("none",)], "v string")
+    assert [r[0] for r in df.select(extraction.concept_value(F.col("v"), "gdp")).collect()] == ["1,200.5 亿元", "", ""]
+    assert [r[0] for r in df.select(extraction.concept_value(F.col("v"), "population")).collect()] == ["", "100万人", ""]
+    assert 0.80 <= df.select(extraction.text_confidence(F.lit("text_context"), F.col("v"))).first()[0] <= 0.89

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fuseline.operators import store
-from fuseline.sources import database, readers
+from fuseline.sources import database, loader, readers
 from fuseline.streaming.counters import event_counters, import_stream
 
 
@@ -104,3 +104,12 @@ def test_streams(spark, data, tmp_path):
     q = import_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")), str(tmp_path / "s"), str(tmp_path / "c"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s" / "documents")).count() == 2
+
+
+def test_loader_goes_on_after_errors(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    sources = [loader.Source("file", str(tmp_path / "a.csv")), loader.Source("file", str(tmp_path / "none.json")), loader.Source("file", "x.bin"), loader.Source("odd", "y")]
+    good, bad = loader.load_all(spark, sources)
+    assert list(good) == [str(tmp_path / "a.csv")] and len(bad) == 3
+    shown = {r["status"]: r for r in loader.preview(spark, sources[:1] + sources[2:3]).collect()}
+    assert shown["ok"]["columns"] == ["x", "y"] and '"1"' in shown["ok"]["sample"] and "ending" in shown["error"]["sample"]
