@@ -103,18 +103,40 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
 
 
-def hash_words(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes() of joined() texts."""
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    inner = ~space
+def hash_words(buf: np.ndarray, ends: np.ndarray, limit: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of joined() texts. A long buffer is taken in parts cut at white space, so that
+    the running sums are short; only a word longer than limit makes a longer part."""
+    parts, firsts, start = [], [], 0
+    while start < len(buf):
+        stop = min(start + limit, len(buf))
+        while stop < len(buf):
+            blanks = np.flatnonzero(_spaces(buf[start:stop]))
+            if len(blanks):
+                stop = start + int(blanks[-1]) + 1
+                break
+            stop = min(stop + limit, len(buf))
+        hashes, first = _hash_part(buf[start:stop])
+        parts.append(hashes)
+        firsts.append(first + start)
+        start = stop
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(len(ends) + 1, np.int64)
+    return np.concatenate(parts), np.concatenate(([0], np.searchsorted(np.concatenate(firsts), ends)))
+
+
+def _spaces(buf: np.ndarray) -> np.ndarray:
+    return (buf == 32) | ((buf >= 9) & (buf <= 13))
+
+
+def _hash_part(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of a buffer."""
+    inner = ~_spaces(buf)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inner, [False])).view(np.int8)))
     first, last = edge[0::2], edge[1::2]
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(len(buf), _BASE), out=total[1:])
     shift = _powers(len(buf), _INVERSE)[first] if len(first) else np.zeros(0, np.uint64)
-    hashes = mix64((total[last] - total[first]) * shift + (last - first).astype(np.uint64) * _MULT)
-    bounds = np.concatenate(([0], np.searchsorted(first, ends)))
-    return hashes, bounds
+    return mix64((total[last] - total[first]) * shift + (last - first).astype(np.uint64) * _MULT), first
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:

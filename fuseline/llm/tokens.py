@@ -61,6 +61,26 @@ class Encoder:
         self.known.update(zip(rest, self._fresh(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Long texts are taken in parts that end at a single space, so that few words are held."""
+        parts = [self._parts(t) for t in texts]
+        if all(len(p) == 1 for p in parts):
+            return self._encode(texts)
+        return [b"".join(b for x in p for b in self._encode([x])) for p in parts]
+
+    def _parts(self, text: str, size: int = 1 << 20) -> list[str]:
+        if len(text) <= 2 * size or self.find is None or any(x in text for x in self.odd):
+            return [text]
+        out, start = [], 0
+        while (cut := text.find(" ", start + size)) >= 0:
+            while cut >= 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 == len(text)):
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            out.append(text[start:cut])
+            start = cut
+        return [*out, text[start:]]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if self.find is None or any(x in t for x in self.odd)]
         for i, ids in zip(whole, self._fresh([texts[i] for i in whole]), strict=True):

@@ -10,7 +10,7 @@ import pytest
 from conftest import rows_of
 
 from fuseline.llm import embedding_join, line_dedup, queries, shingle_join
-from fuseline.llm.common import WORD_RE, shingle_sets, word_hashes
+from fuseline.llm.common import WORD_RE, hash_words, joined, shingle_sets, word_hashes
 from fuseline.llm.graph import components
 
 SQL = queries.oracle_sql()
@@ -140,6 +140,15 @@ def test_word_hashes():
     assert np.array_equal(shingle_sets(["p q", "a b c d e"], 5)[1], shingle_sets(["a b c d e"], 5)[0])
 
 
+def test_word_hashes_in_parts():
+    texts = ["", "a bb ccc " * 40, "y" * 99, " z"]
+    buf, ends = joined(texts)
+    whole, at = hash_words(buf, ends)
+    for limit in (1, 7, 50):
+        part, at2 = hash_words(buf, ends, limit)
+        assert np.array_equal(whole, part) and np.array_equal(at, at2)
+
+
 def test_components(spark):
     links = [(i + 1, i) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

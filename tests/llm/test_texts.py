@@ -34,6 +34,15 @@ def test_encoder_is_the_tokenizer(name):
     assert enc.encode(texts[:50]) + enc.encode(texts[50:]) == [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_takes_long_texts_in_parts(name):
+    rng = random.Random(6)
+    text = "".join(rng.choice(["ab", "The", " ", " ", "  ", "\n", " é", "x,"]) for _ in range(3000))
+    enc = Encoder(tokenizer_path(name))
+    parts = enc._parts(text, 50)
+    assert len(parts) > 10 and "".join(parts) == text and b"".join(enc._encode(parts)) == enc._fresh([text])[0]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for ids in ([0], [1, 2, 3], list(range(70_000)), [2**32 - 1, 0, 5]):
