@@ -39,8 +39,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
 BRANCH, DEPTH, LIMIT, BLOCK, COORDINATES = 2, 3, 1024, 1536, 64
 #: A node one of whose children would keep more than this share of it isn't split.
 PROGRESS = 0.5
-#: Up to so many sets' numbers (some MB) are sent to all executors; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Up to so many sets' numbers (some 30 MB) are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def survival(similarity: float, branch: int, depth: int) -> float:

@@ -112,8 +112,10 @@ def test_shingles_against_brute_force(spark):
     check(spark, near_texts(1) + [None, "", " \n ", "one two", "one two", "one\ttwo", "é ñ ß"])
 
 
-def test_shingles_with_splits_and_tiles(spark):
-    """Small limits: nodes are split, leaves are dealt out in tiles, and nothing is lost or doubled."""
+def test_shingles_with_splits_and_tiles(spark, monkeypatch):
+    """Small limits: nodes are split, leaves are dealt out in tiles, sets are joined by a shuffle, and
+    nothing is lost or doubled."""
+    monkeypatch.setattr(shingle_join, "BROADCAST_ROWS", 0)
     check(spark, near_texts(2, groups=4, most=40), limit=6, block=5, depth=3)
 
 
