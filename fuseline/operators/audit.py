@@ -96,6 +96,61 @@ def validation_checks(filled: DataFrame, sources: DataFrame, expected_rows: int)
     return f.join(F.broadcast(s), F.lit(True)).select(F.inline(entries))
 
 
+#: Those of source_checks() and task_checks() that decide the status.
+HARD_SOURCE = ("effective_contribution_alignment", "unstructured_source_contribution", "narrative_pipeline_effectiveness", "repeated_entity_narrative", "narrative_loss_accounting")
+HARD_TASK = ("output_file_exists", "model_usage_truthfulness", "model_usage_validation")
+
+
+def _checks(one: DataFrame, checks: dict[str, Column], hard: tuple[str, ...]) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(k).alias("check_name"), F.lit(k in hard).alias("hard"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()])
+    return one.select(F.inline(entries))
+
+
+def source_checks(sources: DataFrame) -> DataFrame:
+    """check_name, hard, passed of statistics of relevant sources: source_file, narrative (boolean),
+    n_blocks, n_segments, extracted, filtered, contributed, cell_delta, suspicious, unexplained (counts),
+    model_run (boolean) and n_reasons, by how many reasons its records were dropped. A check
+    passes if no source is against it."""
+    told = F.col("narrative")
+    against = {
+        "effective_contribution_alignment": told & (F.col("contributed") > 0) & (F.col("cell_delta") == 0),
+        "narrative_loss_accounting": told & (F.col("unexplained") != 0),
+        "narrative_records_extracted": told & (F.col("n_blocks") > 0) & (F.col("extracted") == 0),
+        "entity_block_record_flow": told & (F.col("n_blocks") > 0) & (F.col("filtered") == 0),
+        "unstructured_source_contribution": told & (F.col("extracted") > 0) & (F.col("contributed") == 0),
+        "narrative_source_lower_bound": told & (F.col("extracted") > 0) & (F.col("contributed") <= 0),
+        "narrative_pipeline_effectiveness": F.col("model_run") & (F.col("n_segments") >= 3) & ((F.col("extracted") >= 8) | (F.col("suspicious") >= 4)) & (F.col("cell_delta") == 0),
+        "repeated_entity_narrative": told & (F.col("n_blocks") >= 3) & (F.col("filtered") <= 1) & (F.col("contributed") == 0),
+        "uniform_filter_reason": (F.col("filtered") == 0) & (F.col("extracted") >= 2) & (F.col("n_reasons") == 1),
+    }
+    one = sources.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in against.items()])
+    return _checks(one, {k: F.col(k) == 0 for k in against}, HARD_SOURCE)
+
+
+def task_checks(tasks: DataFrame, seconds: float = 90.0) -> DataFrame:
+    """The same of tasks: has_output (boolean), unresolved, response_time, rows_filled, n_row_ids,
+    n_evidence, n_records, model_called (boolean), model_calls, ledger_errors."""
+    against = {
+        "output_file_exists": ~F.col("has_output"),
+        "unresolved_fields": F.col("unresolved") > 0,
+        "response_time": F.col("response_time") > seconds,
+        "writeback_row_count": (F.col("n_row_ids") > 0) & (F.col("n_row_ids") != F.col("rows_filled")),
+        "evidence_report": (F.col("n_evidence") == 0) & (F.col("n_records") > 0),
+        "model_usage_truthfulness": F.col("model_called") & (F.col("model_calls") == 0),
+        "model_usage_validation": F.col("ledger_errors") > 0,
+    }
+    one = tasks.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(k) for k, c in against.items()])
+    return _checks(one, {k: F.col(k) == 0 for k in against}, HARD_TASK)
+
+
+def report(checks: DataFrame) -> DataFrame:
+    """The checks as one JSON text and one Markdown table, as one row."""
+    rows = F.array_sort(F.collect_list(F.struct("check_name", "hard", "passed")))
+    lines = F.transform("rows", lambda r: F.concat(F.lit("| "), r["check_name"], F.lit(" | "), F.when(r["passed"], "ok").otherwise("failed"), F.lit(" |")))
+    head = F.array(F.lit("| check | result |"), F.lit("| --- | --- |"))
+    return checks.agg(rows.alias("rows")).select(F.to_json("rows").alias("json"), F.concat_ws("\n", F.concat(head, lines)).alias("markdown"))
+
+
 def status(checks: DataFrame) -> DataFrame:
     """Whether all hard checks passed, as one row."""
     return checks.agg(F.coalesce(F.every(~F.col("hard") | F.col("passed")), F.lit(True)).alias("passed"), F.count_if(~F.col("passed")).alias("n_failed"))

@@ -290,6 +290,14 @@ def validation_checks(spark, d):
     return audit.validation_checks(filled, sources, expected_rows=0)
 
 
+@query("""WITH s AS (SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0) AS extracted, count(*) FILTER (c_acctbal > 5000) AS filtered, count(*) FILTER (c_acctbal > 9000) AS contributed FROM customer GROUP BY 1)
+SELECT 'unstructured_source_contribution' AS check_name, true AS hard, count(*) FILTER (extracted > 0 AND contributed = 0) = 0 AS passed FROM s UNION ALL SELECT 'entity_block_record_flow', false, count(*) FILTER (filtered = 0) = 0 FROM s UNION ALL SELECT 'uniform_filter_reason', false, count(*) FILTER (filtered = 0 AND extracted >= 2) = 0 FROM s""")
+def source_checks(spark, d):
+    s = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("source_file")).agg(F.count("*").alias("n_blocks"), F.count_if(F.col("c_acctbal") > 0).alias("extracted"), F.count_if(F.col("c_acctbal") > 5000).alias("filtered"), F.count_if(F.col("c_acctbal") > 9000).alias("contributed"))
+    s = s.withColumns({"narrative": F.lit(True), "n_segments": F.col("n_blocks"), "cell_delta": F.col("contributed"), "suspicious": F.lit(0), "unexplained": F.lit(0), "model_run": F.lit(False), "n_reasons": F.lit(1)})
+    return audit.source_checks(s).filter(F.col("check_name").isin("unstructured_source_contribution", "entity_block_record_flow", "uniform_filter_reason"))
+
+
 @query("SELECT count(*) * 2 AS cells, round(avg(CASE WHEN c_acctbal IS NOT NULL THEN 100.0 ELSE 50.0 END), 4) AS fill_rate FROM customer")
 def template_fill(spark, d):
     c = t(spark, d, "customer").withColumn("source_file", F.lit("customer"))

@@ -147,3 +147,14 @@ def test_extraction(spark):
     assert [r[0] for r in df.select(extraction.concept_value(F.col("v"), "gdp")).collect()] == ["1,200.5 亿元", "", ""]
     assert [r[0] for r in df.select(extraction.concept_value(F.col("v"), "population")).collect()] == ["", "100万人", ""]
     assert 0.80 <= df.select(extraction.text_confidence(F.lit("text_context"), F.col("v"))).first()[0] <= 0.89
+
+
+def test_source_and_task_checks(spark):
+    shape = "source_file string, narrative boolean, n_blocks int, n_segments int, extracted int, filtered int, contributed int, cell_delta int, suspicious int, unexplained int, model_run boolean, n_reasons int"
+    rows = [("a", True, 4, 4, 9, 1, 0, 0, 0, 0, True, 2), ("b", False, 0, 0, 5, 0, 0, 0, 0, 3, False, 1)]
+    failed = {r["check_name"] for r in audit.source_checks(spark.createDataFrame(rows, shape)).filter("not passed").collect()}
+    assert failed == {"unstructured_source_contribution", "narrative_source_lower_bound", "narrative_pipeline_effectiveness", "repeated_entity_narrative", "uniform_filter_reason"}
+    shape = "has_output boolean, unresolved int, response_time double, rows_filled int, n_row_ids int, n_evidence int, n_records int, model_called boolean, model_calls int, ledger_errors int"
+    tasks = audit.task_checks(spark.createDataFrame([(True, 0, 95.0, 3, 2, 1, 3, True, 0, 0)], shape))
+    assert {r["check_name"] for r in tasks.filter("not passed").collect()} == {"response_time", "writeback_row_count", "model_usage_truthfulness"}
+    assert "| response_time | failed |" in audit.report(tasks).first()["markdown"]
