@@ -36,13 +36,18 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
 #: Words at the start or end of class names and ids of furniture.
 NAMES = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond replies disqus widget toolbar pagination pager alert paywall".split())
+#: Words before "header" in class names of an article's own heading.
+OWN_HEADER = frozenset("article entry post content story".split())
 _PART = re.compile(r"[A-Za-z]+")
 
 
-def _named(value: str) -> bool:
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class or id value names furniture; inside: within an article."""
     for name in value.split():
         parts = [p.lower() for p in _PART.findall(name)]
-        if parts and not {"has", "with", "no"} & set(parts) and (parts[0] in NAMES or parts[-1] in NAMES):
+        if not parts or {"has", "with", "no"} & set(parts):
+            continue
+        if parts[0] in NAMES or parts[-1] in NAMES or (parts[-1] in ("header", "topbar") and not inside and parts[0] not in OWN_HEADER):
             return True
     return False
 
@@ -97,7 +102,7 @@ class Lines(HTMLParser):
         if not furniture and tag not in ("html", "body", "main"):
             furniture = tag in FURNITURE or (tag == "header" and not article) or (have.get("role") or "").lower() in ROLES
             if self.by_name and not furniture and attrs:
-                named = _named(have.get("class") or "") or _named(have.get("id") or "")
+                named = _named(have.get("class") or "", article > 0) or _named(have.get("id") or "", article > 0)
                 furniture = named and (tag != "article" or (have.get("class") or "").lower().startswith("comment"))
         self.links += tag == "a"
         self.stack.append((tag, unseen, furniture, article))

@@ -205,6 +205,7 @@ def test_quality_rules_cases(spark):
         ("<nav><a>Menu</a></nav><article><h1>T &amp; U</h1><p>One<br>two</p><p><b>three<br><p>four &nbsp; five</article><footer>F</footer>", "T & U\n\nOne two\n\nthree\n\nfour five"),
         ("<header>Site</header><div class='sidebar'><p>Side</p></div><main><header><h1>Head</h1></header><p>Body</p><aside>Ad</aside><form>f<input></form><div id='comments'><p>Nice!</p></div></main>", "Head\n\nBody"),
         ("<body class='has-sidebar'><div class='cookie-notice'>We use cookies</div><div class=content><p>" + "Long text. " * 9 + "</p><script>var x='</p>';</script><style>p{}</style><p>End.</p></div><ul class=menu><li><a>x</a></ul></body>", ("Long text. " * 9).strip() + "\n\nEnd."),
+        ("<div id=site-header><p>Some Site</p></div><div class='entry-header'><h1>Title</h1></div><div class=body><p>" + "Text here. " * 5 + "</p></div>", "Title\n\n" + ("Text here. " * 5).strip()),
         ("<article><p>a &am b &#233; &lt;i&gt;</p><!-- c --><p>unclosed <i>d", "a &am b é <i>\n\nunclosed d"),
         ("<article><table><tr><td>a<td>b<tr><td>c</table><ul><li>x<li>y</ul><pre>p  q</pre></article>", "a b\n\nc\n\nx\n\ny\n\np q"),
     ],
