@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from fuseline.operators import store
+from fuseline.operators import office, store
 from fuseline.sources import database, loader, readers
 from fuseline.streaming.counters import event_counters, import_stream
 
@@ -113,3 +113,26 @@ def test_loader_goes_on_after_errors(spark, tmp_path):
     assert list(good) == [str(tmp_path / "a.csv")] and len(bad) == 3
     shown = {r["status"]: r for r in loader.preview(spark, sources[:1] + sources[2:3]).collect()}
     assert shown["ok"]["columns"] == ["x", "y"] and '"1"' in shown["ok"]["sample"] and "ending" in shown["error"]["sample"]
+
+
+def test_fill_xlsx(spark, tmp_path):
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {s} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        inline = lambda ref, t: f'<c r="{ref}" t="inlineStr"><is><t>{t}</t></is></c>'
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row r="1">{inline("A1", "Name")}{inline("B1", "Value")}</row><row r="2"/><row r="3">{inline("A3", "KEEP")}</row><row r="4"/></sheetData></worksheet>')
+    records = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, "c", None)], "n int, name string, value int")
+    out = office.fill_xlsx((tmp_path / "t.xlsx").read_bytes(), records.withColumnsRenamed({"name": "Name", "value": "Value"}), "n")
+    (_, rows), = readers.sheet_rows(out)
+    assert rows == [["Name", "Value"], ["a", "5"], ["KEEP"], ["b", "6"], ["c", ""]]
+
+
+def test_fill_docx(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    with zipfile.ZipFile(tmp_path / "t.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:r><w:t>For {{{{ci</w:t></w:r><w:r><w:t>ty}}}}.</w:t></w:r></w:p><w:tbl><w:tr>{cell("city")}{cell("gdp")}</w:tr><w:tr>{cell("")}{cell("")}</w:tr></w:tbl></w:body></w:document>')
+    records = spark.createDataFrame([(1, "A", 5), (2, "B", 6)], "n int, city string, gdp int")
+    paragraphs, tables = readers.word_content(office.fill_docx((tmp_path / "t.docx").read_bytes(), records, "n"))
+    assert paragraphs == [("For A；B.", 0)] and tables == [[["city", "gdp"], ["A", "5"], ["B", "6"]]]
