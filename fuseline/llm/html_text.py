@@ -5,8 +5,9 @@ of its text, less what links hold outside an article, and 0 for furniture: menus
 footers, sidebars, notices, adverts, forms and readers' comments, told by their elements, roles
 and class names. The distribution is the sum of the weights in a window that slides over the lines.
 Where it leaves 0 is a surge, where it returns a dive; the lines between the two are a region. The
-heaviest region is the main text, with the other regions of the same article and, in a page without
-one, with those at least a quarter as heavy; furniture within a region stays out.
+heaviest region is the main text, with the other regions that hold lines of its articles and, where
+articles don't hold most of its weight, with those at least a quarter as heavy; furniture within a
+region stays out, and nothing else.
 
 Defined cases: null or empty html gives an empty text; a page in which everything looks like
 furniture is taken once more without looking at class names; unclosed elements end with their
@@ -163,11 +164,11 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
     mass = [sum(line[1] for line in lines[a:b]) for a, b in found]
     top = found[max(range(len(found)), key=mass.__getitem__)]
     home = {line[3] for line in lines[slice(*top)] if line[3]}
+    mostly = 2 * sum(line[1] for line in lines[slice(*top)] if line[3]) > max(mass)
     kept = []
     for (a, b), m in zip(found, mass, strict=True):
-        inside = {line[3] for line in lines[a:b] if line[3]}
-        if home & inside if home else 4 * m >= max(mass):
-            kept += [line[0] for line in lines[a:b] if not line[2] and (not home or line[3] in home)]
+        if any(line[3] in home for line in lines[a:b]) or (not mostly and 4 * m >= max(mass)):
+            kept += [line[0] for line in lines[a:b] if not line[2]]
     return "\n\n".join(kept)
 
 

@@ -214,6 +214,21 @@ def test_html(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG = ("Long text here. " * 12).strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<nav><a>Menu</a></nav><h1>Title</h1><p>Lead.</p><article><p>{LONG}</p></article><p>After.</p><footer>F</footer>", f"Title\n\nLead.\n\n{LONG}\n\nAfter."),
+        (f"<div><p>{LONG}</p><p>More.</p></div><article class=card><p>Teaser</p></article>", f"{LONG}\n\nMore.\n\nTeaser"),
+        (f"<p>{LONG}</p><article><p>Part one.</p><ul class=ad><li>a<li>b<li>c</ul><p>Part two.</p></article>", f"{LONG}\n\nPart one.\n\nPart two."),
+    ],
+)
+def test_html_lines_beside_articles(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_html_of_many_unclosed_elements():
     assert html_text.main_text("<article>" + "<b>x</i>" * 30_000) == "x" * 30_000
 
