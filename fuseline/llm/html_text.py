@@ -3,14 +3,16 @@
 Markup is stripped to lines, one for each block of the page in order. A line's weight is the length
 of its text, less what links hold outside an article, and 0 for furniture: menus, page headers,
 footers, sidebars, notices, adverts, forms and readers' comments, told by their elements, roles
-and class names. The distribution is the sum of the weights in a window that slides over the lines.
+and class names. A form is none if it holds an article or more text than lies outside of forms, as
+where it wraps the whole page. The distribution is the sum of the weights in a window that slides over the lines.
 Where it leaves 0 is a surge, where it returns a dive; the lines between the two are a region. The
 heaviest region is the main text, with the other regions that hold lines of its articles and, where
 articles don't hold most of its weight, with those at least a quarter as heavy; furniture within a
 region stays out, and nothing else.
 
 Defined cases: null or empty html gives an empty text; a page in which everything looks like
-furniture is taken once more without looking at class names; unclosed elements end with their
+furniture is taken once more without looking at class names, then with navigation and footers as the
+only furniture; unclosed elements end with their
 parents; cut character references stay as they are; rows that repeat are extracted each; very long
 pages are taken whole; other columns are ignored."""
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -31,8 +34,13 @@ WINDOW = 3
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button datalist".split())
-FURNITURE = frozenset("nav footer aside form dialog menu search".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+FURNITURE = frozenset("aside dialog menu search".split())
+ROLES = frozenset("banner complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Those that are furniture in any case.
+FIXED = frozenset("nav footer".split())
+FIXED_ROLES = frozenset("navigation contentinfo".split())
+#: Why a line may be furniture.
+NAMED, MARKED, ALWAYS = 1, 2, 4
 #: Elements that end where one of the given elements starts.
 ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
 #: Words at the start or end of class names and ids of furniture.
@@ -54,23 +62,24 @@ def _named(value: str, inside: bool) -> bool:
 
 
 class Lines(HTMLParser):
-    """feed() fills lines with [text, weight, whether it is furniture, number of its article or 0]."""
+    """feed() fills lines with [text, weight if it isn't furniture, why it may be furniture, number of
+    its form or 0, number of its article or 0], and with_article with the forms that hold an article."""
 
-    def __init__(self, by_name: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.by_name, self.lines, self.text, self.linked = by_name, [], [], 0
-        self.stack: list[tuple[str, bool, bool, int]] = []  # element, unseen, furniture, article
+        self.lines, self.text, self.linked = [], [], 0
+        self.stack: list[tuple[str, bool, int, int, int]] = []  # element, unseen, why, form, article
         self.open: Counter[str] = Counter()
-        self.links = self.articles = 0
-        self.state = (False, False, 0)
+        self.links = self.articles = self.forms = 0
+        self.with_article: set[int] = set()
+        self.state = (False, 0, 0, 0)
 
     def _cut(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                _, furniture, article = self.state
-                weight = 0 if furniture else len(text) if article else max(0, len(text) - self.linked)
-                self.lines.append((text, weight, furniture, article))
+                _, why, form, article = self.state
+                self.lines.append((text, len(text) if article else max(0, len(text) - self.linked), why, form, article))
             self.text, self.linked = [], 0
 
     def _pop_to(self, k: int) -> None:
@@ -78,7 +87,7 @@ class Lines(HTMLParser):
             self.links -= tag == "a"
             self.open[tag] -= 1
         del self.stack[k:]
-        self.state = self.stack[-1][1:] if self.stack else (False, False, 0)
+        self.state = self.stack[-1][1:] if self.stack else (False, 0, 0, 0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -94,21 +103,30 @@ class Lines(HTMLParser):
                 break
         if tag in VOID:
             return
-        unseen, furniture, article = self.state
+        unseen, why, form, article = self.state
         have = dict(attrs)
         if tag in ("article", "main") and not article:
             self.articles += 1
             article = self.articles
         unseen = unseen or tag in UNSEEN or "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in (have.get("style") or "").replace(" ", "")
-        if not furniture and tag not in ("html", "body", "main"):
-            furniture = tag in FURNITURE or (tag == "header" and not article) or (have.get("role") or "").lower() in ROLES
-            if self.by_name and not furniture and attrs:
-                named = _named(have.get("class") or "", article > 0) or _named(have.get("id") or "", article > 0)
-                furniture = named and (tag != "article" or (have.get("class") or "").lower().startswith("comment"))
+        if not why & ALWAYS and tag not in ("html", "body", "main"):
+            role = (have.get("role") or "").lower()
+            if tag in FIXED or role in FIXED_ROLES:
+                why |= ALWAYS
+            elif tag in FURNITURE or (tag == "header" and not article) or role in ROLES:
+                why |= MARKED
+            elif not form and (tag == "form" or role == "form"):
+                self.forms += 1
+                form = self.forms
+            if not why & NAMED and attrs and (_named(have.get("class") or "", article > 0) or _named(have.get("id") or "", article > 0)):
+                if tag != "article" or (have.get("class") or "").lower().startswith("comment"):
+                    why |= NAMED
+        if form and not why and tag in ("article", "main"):
+            self.with_article.add(form)
         self.links += tag == "a"
-        self.stack.append((tag, unseen, furniture, article))
+        self.stack.append((tag, unseen, why, form, article))
         self.open[tag] += 1
-        self.state = (unseen, furniture, article)
+        self.state = (unseen, why, form, article)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -148,14 +166,28 @@ def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
+def _candidates(parser: Lines) -> Iterator[list[bool]]:
+    """Which lines are furniture, by ever fewer marks."""
+    for masks in (NAMED | MARKED | ALWAYS, MARKED | ALWAYS):
+        mass: Counter[int] = Counter()
+        for _, weight, why, form, _ in parser.lines:
+            mass[form] += 0 if why & masks else weight
+        least: float = mass[0] / 4
+        if masks & NAMED:
+            least = mass[0] + 1 if mass[0] else 4 * sum(weight for _, weight, why, form, _ in parser.lines if why == NAMED and not form)
+        text = parser.with_article | {f for f in mass if mass[f] >= least}
+        yield [bool(why & masks) or (form > 0 and form not in text) for _, _, why, form, _ in parser.lines]
+    yield [bool(why & ALWAYS) for _, _, why, _, _ in parser.lines]
+
+
 def main_text(html: str | None, window: int = WINDOW) -> str:
     if not html:
         return ""
-    for by_name in (True, False):
-        parser = Lines(by_name)
-        parser.feed(html)
-        parser.close()
-        lines = parser.lines
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    for furniture in _candidates(parser):
+        lines = [(text, 0 if f else weight, f, article) for (text, weight, _, _, article), f in zip(parser.lines, furniture, strict=True)]
         found = regions([line[1] for line in lines], window)
         if found:
             break

@@ -229,6 +229,21 @@ def test_html_lines_beside_articles(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><form id=aspnetForm><nav>N</nav><div class=menu>Menu</div><h1>Title</h1><p>{LONG}</p><footer>F</footer></form></body>", f"Title\n\n{LONG}"),
+        (f"<div>Skip to text</div><form><h1>Title</h1><p>{LONG}</p></form>", f"Skip to text\n\nTitle\n\n{LONG}"),
+        (f"<p>{LONG}</p><form><main><p>Short.</p></main></form>", f"{LONG}\n\nShort."),
+        (f"<div class=comments><p>{LONG}</p></div><form><p>{LONG[:99]}</p></form>", f"{LONG}\n\n{LONG[:99]}"),
+        (f"<nav>N</nav><aside><p>{LONG}</p></aside><footer>F</footer>", LONG),
+        (f"<p>{LONG}</p><form>Name <input> Address <input></form><aside>{LONG * 2}</aside>", LONG),
+    ],
+)
+def test_html_in_forms(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_html_of_many_unclosed_elements():
     assert html_text.main_text("<article>" + "<b>x</i>" * 30_000) == "x" * 30_000
 
