@@ -7,8 +7,9 @@ and class names. A form is none if it holds an article or more text than lies ou
 where it wraps the whole page. The distribution is the sum of the weights in a window that slides over the lines.
 Where it leaves 0 is a surge, where it returns a dive; the lines between the two are a region. The
 heaviest region is the main text, with the other regions that hold lines of its articles and, where
-articles don't hold most of its weight, with those at least a quarter as heavy; furniture within a
-region stays out, and nothing else.
+articles don't hold most of its weight, with those at least a quarter as heavy and those in its common
+container or in siblings of that of the same class, and the lines between them. Headings and paragraphs
+of links next to a kept region belong to it. Furniture within a region stays out, and nothing else.
 
 Defined cases: null or empty html gives an empty text; a page in which everything looks like
 furniture is taken once more without looking at class names, then with navigation and footers as the
@@ -19,6 +20,7 @@ pages are taken whole; other columns are ignored."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -41,6 +43,9 @@ FIXED = frozenset("nav footer".split())
 FIXED_ROLES = frozenset("navigation contentinfo".split())
 #: Why a line may be furniture.
 NAMED, MARKED, ALWAYS = 1, 2, 4
+#: Elements that hold a text's parts, and those that are lines of a text even if all of them is a link.
+CONTAINERS = frozenset("article aside body center details dialog div fieldset form html main search section td th".split())
+PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that end where one of the given elements starts.
 ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
 #: Words at the start or end of class names and ids of furniture.
@@ -63,31 +68,35 @@ def _named(value: str, inside: bool) -> bool:
 
 class Lines(HTMLParser):
     """feed() fills lines with [text, weight if it isn't furniture, why it may be furniture, number of
-    its form or 0, number of its article or 0], and with_article with the forms that hold an article."""
+    its form or 0, number of its article or 0, number of its block], and with_article with the forms
+    that hold an article. Blocks are numbered in the page's order; a block's descendants are those up
+    to its entry in ends."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.text, self.linked = [], [], 0
-        self.stack: list[tuple[str, bool, int, int, int]] = []  # element, unseen, why, form, article
+        self.stack: list[tuple[str, bool, int, int, int, int]] = []  # element, unseen, why, form, article, block
+        self.parents, self.kinds, self.ends = [0], [("", "")], [0]  # kinds: element, class
         self.open: Counter[str] = Counter()
         self.links = self.articles = self.forms = 0
         self.with_article: set[int] = set()
-        self.state = (False, 0, 0, 0)
+        self.state = (False, 0, 0, 0, 0)
 
     def _cut(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                _, why, form, article = self.state
-                self.lines.append((text, len(text) if article else max(0, len(text) - self.linked), why, form, article))
+                _, why, form, article, block = self.state
+                self.lines.append((text, len(text) if article else max(0, len(text) - self.linked), why, form, article, block))
             self.text, self.linked = [], 0
 
     def _pop_to(self, k: int) -> None:
-        for tag, *_ in self.stack[k:]:
+        for tag, *_, block in self.stack[k:]:
             self.links -= tag == "a"
             self.open[tag] -= 1
+            self.ends[block] = len(self.ends) - 1
         del self.stack[k:]
-        self.state = self.stack[-1][1:] if self.stack else (False, 0, 0, 0)
+        self.state = self.stack[-1][1:] if self.stack else (False, 0, 0, 0, 0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -103,7 +112,7 @@ class Lines(HTMLParser):
                 break
         if tag in VOID:
             return
-        unseen, why, form, article = self.state
+        unseen, why, form, article, block = self.state
         have = dict(attrs)
         if tag in ("article", "main") and not article:
             self.articles += 1
@@ -123,10 +132,15 @@ class Lines(HTMLParser):
                     why |= NAMED
         if form and not why and tag in ("article", "main"):
             self.with_article.add(form)
+        if tag in BLOCKS or tag in ("td", "th"):
+            self.parents.append(block)
+            self.kinds.append((tag, have.get("class") or ""))
+            self.ends.append(0)
+            block = len(self.ends) - 1
         self.links += tag == "a"
-        self.stack.append((tag, unseen, why, form, article))
+        self.stack.append((tag, unseen, why, form, article, block))
         self.open[tag] += 1
-        self.state = (unseen, why, form, article)
+        self.state = (unseen, why, form, article, block)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,6 +164,19 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._cut()
+        self._pop_to(0)
+        self.ends[0] = len(self.ends) - 1
+
+    def container(self, blocks: list[int]) -> list[tuple[int, int]]:
+        """(first, last) block of the least container of all the blocks, and of its siblings that are
+        sections like it or of the same class."""
+        at, last = self.parents[min(blocks)], max(blocks)
+        while at and (self.ends[at] < last or self.kinds[at][0] not in CONTAINERS):
+            at = self.parents[at]
+        element, name = self.kinds[at]
+        if element != "section" and not name:
+            return [(at, self.ends[at])]
+        return [(k, self.ends[k]) for k, (p, kind) in enumerate(zip(self.parents, self.kinds, strict=True)) if p == self.parents[at] and (kind == (element, name) or kind[0] == element == "section")]
 
 
 def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -170,14 +197,14 @@ def _candidates(parser: Lines) -> Iterator[list[bool]]:
     """Which lines are furniture, by ever fewer marks."""
     for masks in (NAMED | MARKED | ALWAYS, MARKED | ALWAYS):
         mass: Counter[int] = Counter()
-        for _, weight, why, form, _ in parser.lines:
+        for _, weight, why, form, *_ in parser.lines:
             mass[form] += 0 if why & masks else weight
         least: float = mass[0] / 4
         if masks & NAMED:
-            least = mass[0] + 1 if mass[0] else 4 * sum(weight for _, weight, why, form, _ in parser.lines if why == NAMED and not form)
+            least = mass[0] + 1 if mass[0] else 4 * sum(weight for _, weight, why, form, *_ in parser.lines if why == NAMED and not form)
         text = parser.with_article | {f for f in mass if mass[f] >= least}
-        yield [bool(why & masks) or (form > 0 and form not in text) for _, _, why, form, _ in parser.lines]
-    yield [bool(why & ALWAYS) for _, _, why, _, _ in parser.lines]
+        yield [bool(why & masks) or (form > 0 and form not in text) for _, _, why, form, *_ in parser.lines]
+    yield [bool(why & ALWAYS) for _, _, why, *_ in parser.lines]
 
 
 def main_text(html: str | None, window: int = WINDOW) -> str:
@@ -187,21 +214,37 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
     parser.feed(html)
     parser.close()
     for furniture in _candidates(parser):
-        lines = [(text, 0 if f else weight, f, article) for (text, weight, _, _, article), f in zip(parser.lines, furniture, strict=True)]
-        found = regions([line[1] for line in lines], window)
+        weights = [0 if f else line[1] for line, f in zip(parser.lines, furniture, strict=True)]
+        found = regions(weights, window)
         if found:
             break
     else:
         return ""
-    mass = [sum(line[1] for line in lines[a:b]) for a, b in found]
-    top = found[max(range(len(found)), key=mass.__getitem__)]
-    home = {line[3] for line in lines[slice(*top)] if line[3]}
-    mostly = 2 * sum(line[1] for line in lines[slice(*top)] if line[3]) > max(mass)
-    kept = []
-    for (a, b), m in zip(found, mass, strict=True):
-        if any(line[3] in home for line in lines[a:b]) or (not mostly and 4 * m >= max(mass)):
-            kept += [line[0] for line in lines[a:b] if not line[2]]
-    return "\n\n".join(kept)
+    texts, _, whys, _, articles, blocks = zip(*parser.lines, strict=True)
+    mass = [sum(weights[a:b]) for a, b in found]
+    top = range(*found[max(range(len(found)), key=mass.__getitem__)])
+    home = {articles[i] for i in top if articles[i]}
+    mostly = 2 * sum(weights[i] for i in top if articles[i]) > max(mass)
+    spans = [] if mostly else parser.container([blocks[i] for i in top if weights[i]])
+    firsts = [first for first, _ in spans]
+
+    def inside(i: int) -> bool:
+        k = bisect_right(firsts, blocks[i]) - 1
+        return k >= 0 and blocks[i] <= spans[k][1]
+
+    text = [(a, b) for (a, b), m in zip(found, mass, strict=True) if any(articles[i] in home or (weights[i] and inside(i)) for i in range(a, b)) or (not mostly and 4 * m >= max(mass))]
+    kept = {i for a, b in text for i in range(a, b)} | {i for i in range(text[0][0], text[-1][1]) if inside(i)}
+    for a, b in text:
+        for i, step in ((a - 1, -1), (b, 1)):
+            between = 0
+            while 0 <= i < len(texts) and between < window and i not in kept and not whys[i] & ALWAYS and (furniture[i] or (not weights[i] and parser.kinds[blocks[i]][0] in PARAGRAPHS)):
+                if furniture[i]:
+                    between += 1
+                else:
+                    kept.add(i)
+                    between = 0
+                i += step
+    return "\n\n".join(texts[i] for i in sorted(kept) if not furniture[i])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

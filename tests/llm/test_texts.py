@@ -244,6 +244,31 @@ def test_html_in_forms(html, want):
     assert html_text.main_text(html) == want
 
 
+BOX = "<ul class=related><li>a<li>b<li>c<li>d</ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div class=content><p>{LONG}</p>{BOX}<p>End.</p></div>", f"{LONG}\n\nEnd."),
+        (f"<body><div class=a><section><p>{LONG}</p><p>B</p></section>{BOX}<section><p>End.</p></section></div></body>", f"{LONG}\n\nB\n\nEnd."),
+        (f"<div><div class=part><p>{LONG}</p></div>{BOX}<div class=part>End.</div></div>", f"{LONG}\n\nEnd."),
+        (f"<ul><li><a>x</a></ul><h1><a>Title</a></h1><div class=share>Share</div><p>{LONG}</p><p><a>Last</a></p><ul><li><a>y</a></ul>", f"Title\n\n{LONG}\n\nLast"),
+        (f"<nav>N</nav><h1><a>Title</a></h1><article><p>{LONG}</p></article>", f"Title\n\n{LONG}"),
+        (f"<div id=c><p>{LONG}</p><ul><li><a>p</a><li><a>q</a><li><a>r</a></ul><p>End.</p></div>", f"{LONG}\n\np\n\nq\n\nr\n\nEnd."),
+        (f"<div id=c><p>{LONG}</p><p>B</p></div>{BOX}<div id=d><p>Apart</p></div>", f"{LONG}\n\nB"),
+        (f"<h1><a>Site</a></h1><nav>N</nav><div id=c><p>{LONG}</p><p>B</p></div>", f"{LONG}\n\nB"),
+    ],
+)
+def test_html_parts_of_a_text(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_html_of_deep_and_many_blocks():
+    assert html_text.main_text("<div class=x>a" * 20_000) == "\n\n".join("a" * 20_000)
+    assert html_text.main_text("<div class=x>a</div>" * 20_000) == "\n\n".join("a" * 20_000)
+
+
 def test_html_of_many_unclosed_elements():
     assert html_text.main_text("<article>" + "<b>x</i>" * 30_000) == "x" * 30_000
 
