@@ -1,7 +1,7 @@
 """Templates: their headers and placeholders, and filling them.
 
-A template is a small file of a known form. Records are matched to its slots on Spark; the part
-that a template can show, bounded by its slots or by max_rows, is written by one task."""
+A template is a small file of a known form. Records are matched to its slots on Spark. One document
+holds all records; office.fill_copies writes those of large results as many, in parallel."""
 
 from __future__ import annotations
 
@@ -65,11 +65,16 @@ def write_csv(records: DataFrame, headers: Sequence[str], path: str) -> None:
     project(records, match_headers(list(headers), records.columns)).write.mode("overwrite").csv(path, header=True)
 
 
-def fill_markdown(template: Template, records: DataFrame, order: str, max_rows: int = 1000) -> str:
-    """The template's text with the rows of its first table replaced by records."""
-    pairs = match_headers(template.headers, [c for c in records.columns if c != order])
-    rows = project(records.orderBy(order).limit(max_rows), pairs).collect()
-    by = [dict(zip([t for t, _, _ in pairs], map(lambda v: "" if v is None else str(v), r), strict=True)) for r in rows]
+def matched_rows(records: DataFrame, headers: Sequence[str], order: str) -> tuple[list[str], list[list[str]]]:
+    """(the matched headers, rows of all records' values as text, in order)."""
+    pairs = match_headers(list(headers), [c for c in records.columns if c != order])
+    rows = project(records.orderBy(order), pairs).collect() if pairs else []
+    return [p[0] for p in pairs], [["" if v is None else str(v) for v in r] for r in rows]
+
+
+def markdown_with(template: Template, names: Sequence[str], values: Sequence[Sequence[str]]) -> str:
+    """The template's text with the rows of its first table replaced by values under names."""
+    by = [dict(zip(names, r, strict=True)) for r in values]
     body = ["| " + " | ".join(r.get(h, "") for h in template.headers) + " |" for r in by]
     out, inside, done = [], False, False
     for line in template.text.splitlines():
@@ -84,15 +89,25 @@ def fill_markdown(template: Template, records: DataFrame, order: str, max_rows:
     return "\n".join(out)
 
 
+def fill_markdown(template: Template, records: DataFrame, order: str) -> str:
+    """The template's text with the rows of its first table replaced by all records."""
+    return markdown_with(template, *matched_rows(records, template.headers, order))
+
+
+def first_values(records: DataFrame, column: str, order: str, first: int = 5) -> str:
+    """The first different values of a column of all records, joined by ；."""
+    value = F.col(f"`{column}`").cast("string")
+    got = records.filter(value != "").groupBy(value.alias("v")).agg(F.min(order).alias("o")).orderBy("o", "v").limit(first).collect()
+    return "；".join(r["v"] for r in got)
+
+
 def fill_placeholders(template: Template, records: DataFrame, order: str, first: int = 5) -> str:
     """The template's text with each placeholder replaced by the first different values of the
     column that matches its name, joined by ；."""
     pairs = match_headers(template.placeholders, [c for c in records.columns if c != order])
     text = template.text
     for name, column, _ in pairs:
-        filled = records.filter((F.col(column).isNotNull()) & (F.col(column).cast("string") != ""))
-        got = filled.groupBy(F.col(column).cast("string").alias("v")).agg(F.min(order).alias("o")).orderBy("o").limit(first).collect()
-        value = "；".join(r["v"] for r in got)
+        value = first_values(records, column, order, first)
         for mark in (f"{{{{{name}}}}}", f"${{{name}}}", f"{{{name}}}", f"【{name}】"):
             text = text.replace(mark, value)
     return text

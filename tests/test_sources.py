@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import sqlite3
 import zipfile
@@ -9,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from fuseline.operators import office, store
+from fuseline.operators import office, store, templates
 from fuseline.sources import database, loader, readers
 from fuseline.streaming.counters import event_counters, import_stream
 
@@ -136,3 +137,59 @@ def test_fill_docx(spark, tmp_path):
     records = spark.createDataFrame([(1, "A", 5), (2, "B", 6)], "n int, city string, gdp int")
     paragraphs, tables = readers.word_content(office.fill_docx((tmp_path / "t.docx").read_bytes(), records, "n"))
     assert paragraphs == [("For A；B.", 0)] and tables == [[["city", "gdp"], ["A", "5"], ["B", "6"]]]
+
+
+def small_templates():
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    parts = {
+        "xlsx": {
+            "xl/workbook.xml": f'<workbook {s} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+            "xl/worksheets/sheet1.xml": f'<worksheet {s}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>city</t></is></c><c r="B1" t="inlineStr"><is><t>gdp</t></is></c></row></sheetData></worksheet>',
+        },
+        "docx": {"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>Note: {{{{note}}}}</w:t></w:r></w:p><w:tbl><w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>" for t in ("city", "gdp")) + "</w:tr></w:tbl></w:body></w:document>"},
+    }
+    out = {"markdown": b"| city | gdp |\n| - | - |\nend"}
+    for kind, files in parts.items():
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, text in files.items():
+                z.writestr(name, text)
+        out[kind] = data.getvalue()
+    return out
+
+
+def test_templates_take_all_records(spark):
+    files = small_templates()
+    records = spark.range(10_005).selectExpr("id AS n", "concat('c', id) AS city", "id * 2 AS gdp", "IF(id = 10004, 'late', NULL) AS note")
+    want = [["city", "gdp"], *[[f"c{i}", str(2 * i)] for i in range(10_005)]]
+    (_, rows), = readers.sheet_rows(office.fill_xlsx(files["xlsx"], records, "n"))
+    assert rows == want
+    paragraphs, tables = readers.word_content(office.fill_docx(files["docx"], records, "n"))
+    assert paragraphs == [("Note: late", 0)] and tables == [want]
+    markdown = templates.fill_markdown(templates.inspect(files["markdown"].decode(), "markdown"), records.limit(2000), "n")
+    assert len(markdown.splitlines()) == 2003 and "| c1999 | 3998 |" in markdown
+
+
+def test_fill_copies(spark):
+    files = small_templates()
+    records = spark.range(1000).repartition(7).selectExpr("id AS n", "concat('c', id) AS city", "IF(id % 2 = 0, id, NULL) AS gdp", "IF(id = 999, 'late', NULL) AS note")
+    want = [[f"c{i}", str(i) if i % 2 == 0 else ""] for i in range(1000)]
+    for kind in files:
+        copies = sorted(office.fill_copies(files[kind], kind, records, "n", max_rows=90).collect(), key=lambda r: (r["range_no"], r["copy_no"]))
+        assert len(copies) >= 12 and max(r["n_records"] for r in copies) <= 90 and sum(r["n_records"] for r in copies) == 1000
+        got = []
+        for r in copies:
+            data = bytes(r["content"])
+            if kind == "xlsx":
+                (_, rows), = readers.sheet_rows(data)
+            elif kind == "docx":
+                paragraphs, (rows,) = readers.word_content(data)
+                assert paragraphs == [("Note: late", 0)]
+            else:
+                rows = [[], *[[c.strip() for c in line.split("|")[1:-1]] for line in data.decode().splitlines()[2:-1]]]
+            got += rows[1:]
+        assert got == want
+    with pytest.raises(ValueError, match="no column"):
+        office.fill_copies(files["xlsx"], "xlsx", records.selectExpr("n", "n AS zzz"), "n")
