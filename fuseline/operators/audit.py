@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuseline.functions.values import trimmed
+from fuseline.operators import entities, narrative
 
 
 def cell_delta(baseline: DataFrame, filled: DataFrame) -> DataFrame:
@@ -98,6 +99,7 @@ def validation_checks(filled: DataFrame, sources: DataFrame, expected_rows: int)
 
 #: Those of source_checks() and task_checks() that decide the status.
 HARD_SOURCE = ("effective_contribution_alignment", "unstructured_source_contribution", "narrative_pipeline_effectiveness", "repeated_entity_narrative", "narrative_loss_accounting")
+HARD_CONTEXT = ("entity_legality", "source_topic_match")
 HARD_TASK = ("output_file_exists", "model_usage_truthfulness", "model_usage_validation")
 
 
@@ -143,6 +145,46 @@ def task_checks(tasks: DataFrame, seconds: float = 90.0) -> DataFrame:
     return _checks(one, {k: F.col(k) == 0 for k in against}, HARD_TASK)
 
 
+def illegal_entities(filled: DataFrame) -> DataFrame:
+    """The filled cells (field, value and, if it is there, match_method) of entity fields whose value
+    can't stand there, with the reason. Placeholders' values are left out."""
+    kinds: dict[str, list[str]] = {}
+    for (field,) in filled.select("field").distinct().collect():  # a template's fields
+        if field and (kind := entities.header_kind(field)):
+            kinds.setdefault(kind, []).append(field)
+    why = F.lit(None).cast("string")
+    for kind, fields in kinds.items():
+        why = F.when(F.col("field").isin(fields), entities.reason(F.col("value").cast("string"), kind)).otherwise(why)
+    placed = F.coalesce(F.col("match_method") == "placeholder_replace", F.lit(False)) if "match_method" in filled.columns else F.lit(False)
+    out = filled.withColumn("reason", why)
+    return out.filter(~placed & (F.coalesce(F.col("value"), F.lit("")) != "") & (F.col("value") != "N/A") & (F.col("reason") != "blank"))
+
+
+def context_checks(filled: DataFrame, sources: DataFrame, template: str) -> DataFrame:
+    """check_name, hard, passed of a template's name, its filled cells (field, value) and its relevant
+    sources: source_file, narrative (boolean), extracted, contributed, model_run (boolean) and n_stages,
+    how many stages counted its records. Topics are those of file names: sources that gave something
+    share words with the template, all or none, unless a name lies within the other."""
+    ending = r"[-_ ]?模板$"
+    words, core = narrative.topic_tokens(F.regexp_replace(narrative.stem(F.lit(template)), ending, "")), narrative.topic_text(F.regexp_replace(narrative.stem(F.lit(template)), ending, ""))
+    name = narrative.stem(F.col("source_file"))
+    gave = F.coalesce((F.col("extracted") > 0) | (F.col("contributed") > 0), F.lit(False))
+    close = gave & (core != "") & (narrative.topic_text(name).contains(core) | core.contains(narrative.topic_text(name)))
+    shares = F.arrays_overlap(narrative.topic_tokens(name), words)
+    silent = F.col("narrative") & ((F.col("extracted") > 0) | F.col("model_run")) & (F.coalesce(F.col("n_stages"), F.lit(0)) == 0)
+    one = sources.agg(
+        F.count_if(F.coalesce(close, F.lit(False))).alias("close"), F.count_if(gave & shares).alias("like"), F.count_if(gave & ~shares).alias("unlike"),
+        F.count_if(gave & (F.size(narrative.topic_tokens(name)) > 0)).alias("named"), F.count_if(F.coalesce(silent, F.lit(False))).alias("silent"),
+    ).join(F.broadcast(illegal_entities(filled).agg(F.count("*").alias("illegal"))), F.lit(True))
+    apart = ((F.col("like") > 0) & (F.col("unlike") > 0)) | ((F.col("like") == 0) & (F.col("named") > 0))
+    checks = {
+        "entity_legality": F.col("illegal") == 0,
+        "source_topic_match": (F.col("close") > 0) | (F.size(words) == 0) | ~apart,
+        "narrative_stage_audit": F.col("silent") == 0,
+    }
+    return _checks(one, checks, HARD_CONTEXT)
+
+
 def report(checks: DataFrame) -> DataFrame:
     """The checks as one JSON text and one Markdown table, as one row."""
     rows = F.array_sort(F.collect_list(F.struct("check_name", "hard", "passed")))

@@ -77,6 +77,27 @@ def relevance(c: Column, wanted: str) -> Column:
     return F.size(F.array_intersect(tokens(c), tokens(F.lit(wanted))))
 
 
+def stem(c: Column) -> Column:
+    """A path's file name without its ending."""
+    return F.regexp_replace(F.regexp_extract(F.coalesce(c, F.lit("")), r"([^/]*)/*$", 1), r"(?<=.)\.[^.]+$", "")
+
+
+def topic_text(c: Column) -> Column:
+    """A name without digits, blanks and dashes, for loose comparison."""
+    return F.regexp_replace(F.lower(c), r"(?U)[\d_\- ]+", "")
+
+
+def topic_tokens(c: Column) -> Column:
+    """The different topic words of a text: runs of 2 to 12 letters, digits and ideographs, not all digits."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([一-龥A-Za-z0-9]{2,12})"), 1)
+    return F.array_distinct(F.transform(F.filter(found, lambda x: ~x.rlike("^[0-9]+$")), F.lower))
+
+
+def topic_overlap(c: Column, wanted: Column) -> Column:
+    """The topic words that two texts share, in the first one's order."""
+    return F.array_intersect(topic_tokens(c), topic_tokens(wanted))
+
+
 def find(docs: DataFrame, query: str, text: str = "text", limit: int = 100) -> DataFrame:
     """doc_id, block_index and content of the first blocks that contain query."""
     return blocks(docs, text).filter(F.col("content").contains(query)).orderBy("doc_id", "block_index").limit(limit).select("doc_id", "block_index", "content")

@@ -412,6 +412,16 @@ def source_relevance(spark, d):
     return t(spark, d, "benchmark").select("item_id", narrative.relevance(F.col("text"), "the of and").cast("long").alias("shared"))
 
 
+_TOPIC_WORDS = "list_distinct(list_transform(list_filter(regexp_extract_all(coalesce({}, ''), '[一-龥A-Za-z0-9]{{2,12}}'), lambda x: NOT regexp_full_match(x, '[0-9]+')), lambda x: lower(x)))"
+
+
+@query(f"SELECT d.doc_id, len(list_intersect({_TOPIC_WORDS.format('d.text')}, {_TOPIC_WORDS.format('b.text')})) AS shared, len({_TOPIC_WORDS.format('d.text')}) AS words FROM documents d CROSS JOIN (SELECT text FROM benchmark ORDER BY item_id LIMIT 1) b")
+def topic_overlap(spark, d):
+    b = t(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.col("text").alias("wanted"))
+    docs = t(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(b))
+    return docs.select("doc_id", F.size(narrative.topic_overlap(F.col("text"), F.col("wanted"))).cast("long").alias("shared"), F.size(narrative.topic_tokens(F.col("text"))).cast("long").alias("words"))
+
+
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
 def page_outline(spark, d):
     return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("paragraphs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, quality, records, templates
@@ -158,3 +159,21 @@ def test_source_and_task_checks(spark):
     tasks = audit.task_checks(spark.createDataFrame([(True, 0, 95.0, 3, 2, 1, 3, True, 0, 0)], shape))
     assert {r["check_name"] for r in tasks.filter("not passed").collect()} == {"response_time", "writeback_row_count", "model_usage_truthfulness"}
     assert "| response_time | failed |" in audit.report(tasks).first()["markdown"]
+
+
+@pytest.mark.parametrize(
+    ("template", "value", "names", "stages", "failed"),
+    [
+        ("/t/城市经济-模板.docx", "潍坊市", ["a/城市经济2024.xlsx"], 2, set()),
+        ("covid report-模板.xlsx", "2024年3月", ["covid data.docx", "city list.docx"], 2, {"entity_legality", "source_topic_match"}),
+        ("covid report.xlsx", "N/A", ["city list.docx"], 0, {"source_topic_match", "narrative_stage_audit"}),
+        ("covid report.xlsx", None, ["covid data.docx", "report data.docx", "2024.md"], 1, set()),
+        ("2024.xlsx", "12.5", ["city list.docx"], 1, {"entity_legality"}),
+    ],
+)
+def test_context_checks(spark, template, value, names, stages, failed):
+    filled = spark.createDataFrame([("城市", value, "rule"), ("城市", "2024-01", "placeholder_replace"), ("GDP", "3", "rule")], "field string, value string, match_method string")
+    sources = spark.createDataFrame([(n, True, 3, 1, False, stages) for n in names] + [("odd.md", True, 0, 0, False, 0)], "source_file string, narrative boolean, extracted int, contributed int, model_run boolean, n_stages int")
+    checks = audit.context_checks(filled, sources, template)
+    assert checks.count() == 3 and {r["check_name"] for r in checks.filter("not passed").collect()} == failed
+    assert audit.status(checks).first()["passed"] is not bool(failed - {"narrative_stage_audit"})
