@@ -2,7 +2,7 @@
 
 Base spans of four kinds are found by pattern and check alone and always stay. Beside them,
 generators of high recall propose overlapping candidates: every run of digit groups within longer
-runs, numbers without the plus, cards and addresses with other separators, written-out or bracketed
+runs, up to 19 digits, numbers without the plus, cards and addresses with other separators, written-out or bracketed
 "at" and "dot". Boosted trees score each candidate from its form (digits, groups, separators,
 checksum, prefix) and context (the characters and words beside it); a threshold for each kind,
 calibrated on examples the trees were not fitted to, selects. Selected candidates that overlap
@@ -97,15 +97,17 @@ _AT = r"\s?(?:\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|<\s?at\s?>|\[\s?@\s?\]|\(\s
 _DOT = r"(?:\s?(?:\[\s?dot\s?\]|\(\s?dot\s?\)|\{\s?dot\s?\}|<\s?dot\s?>|\[\.\]|\(\.\))\s?|\sdot\s|\.)"
 WRITTEN = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I)
 HINT = re.compile(r"[\[({<]\s?(?:at|@)\s?[\])}>]|\sdot\s|[\[({<]\s?dot\s?[\])}>]", re.I)
+#: A written-out "at" before a dotted name. WRITTEN matches no text without an @, HINT or this.
+PLAIN = re.compile(rf"\sat\s\s?[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]", re.I)
 RUN = re.compile(r"[+(]{0,2}[0-9](?:[\x20\xa0()./‐-―-]{0,3}[0-9])+")
 GROUP = re.compile(r"[0-9]+")
-GROUPS = 7
+MOST_DIGITS = 19
 
 
 def candidates(text: str) -> list[Span]:
     """Overlapping spans that may be personal data."""
     out: set[Span] = set()
-    if "@" in text or HINT.search(text):
+    if "@" in text or HINT.search(text) or PLAIN.search(text):
         out.update((0, m.start(), m.end()) for m in WRITTEN.finditer(text))
     if _DIGIT.search(text) is None:
         return sorted(out)
@@ -113,14 +115,14 @@ def candidates(text: str) -> list[Span]:
         groups = [(m.start(), m.end()) for m in GROUP.finditer(text, run.start(), run.end())]
         for i, (a, _) in enumerate(groups):
             digits = 0
-            for j in range(i, min(i + GROUPS, len(groups))):
+            for j in range(i, len(groups)):
                 digits += groups[j][1] - groups[j][0]
                 b = groups[j][1]
-                if digits > 19:
+                if digits > MOST_DIGITS:
                     break
                 if j == i + 3 and text[a:b].count(".") == 3:
                     out.add((1, a, b))
-                if 12 <= digits <= 19:
+                if 12 <= digits <= MOST_DIGITS:
                     out.add((2, a, b))
                 if 7 <= digits <= 15:
                     start = a

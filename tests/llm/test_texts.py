@@ -153,6 +153,14 @@ def test_detector_on_new_examples():
     assert personal_data.find_spans([clean], model) == [([], [])]
 
 
+def test_candidates_of_any_groups_and_written_addresses():
+    for kind, found in (("phone", "0 6 1 2 3 4 5 6 7 8"), ("card", "41.11.11.11.11.11.11.11"), ("email", "jane at example.com"), ("email", "jane at mail.example[.]com"), ("phone", "1-2-3-4-5-6-7-8-9-0-1-2-3-4-5")):
+        text = f"Ask {found} now"
+        assert (personal_data.KINDS.index(kind), 4, 4 + len(found)) in personal_data.candidates(text)
+        assert set(personal_data.candidates(text)) == {s for s in personal_data.candidates(text + ", or x@y.") if s[2] <= len(text)}
+    assert personal_data.candidates("We met at noon. It was late.") == [] and len(personal_data.candidates("1 " * 10_000)) < 200_000
+
+
 def test_personal_data_query(spark):
     df = spark.createDataFrame([(1, PLANTED), (2, None), (3, "")], "doc_id long, text string").selectExpr("*", "1 AS spans", "2 AS f")
     out = {r["doc_id"]: r for r in personal_data.detect(df, with_text=True).collect()}
