@@ -10,15 +10,17 @@ most of the node (a group of near copies): such a node is a leaf too. A pair at
 survives a run with a known probability, and runs are repeated until the target recall:
 see runs_needed().
 
-Leaves are dealt out in tiles, pairs of blocks of bounded size, so no task holds more than two
-blocks. A pair meets in several leaves and counts only in the first they share. Sketches of
+Leaves are dealt out in tiles, pairs of blocks bounded in rows and in tokens, so no task holds more
+than two blocks. A pair meets in several leaves and counts only in the first they share. Sketches of
 the coordinates rule out pairs far below the threshold; the sets of what is left are compared
 exactly. Pairs are never written: a tile counts each set's links, weighted by class members, and
 gives a forest, each linked set with the least that it reaches within the tile. There is no cap
 on partners, buckets or candidates.
 
 Defined cases: null or empty texts, and texts without words, link with nothing; a text of fewer
-than five words has one token, all its words; rows that repeat are members of one class; rows without
+than five words has one token, all its words; rows that repeat are members of one class; rows that
+share a doc_id but not a text are documents of their own, told apart by the text's hash; of those
+in one group that have its least doc_id, the one of least hash is kept; rows without
 doc_id link with nothing; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
@@ -31,16 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import mix64, shingle_sets, small_batches, stored, text_or_empty
+from fuseline.llm.common import WORD, mix64, pieces, shingle_sets, stored, text_or_empty
 from fuseline.llm.embedding_join import stars
 from fuseline.llm.graph import components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
-BRANCH, DEPTH, LIMIT, BLOCK, COORDINATES = 2, 3, 1024, 1536, 64
+BRANCH, DEPTH, LIMIT, BLOCK, COORDINATES = 2, 3, 1024, 512, 64
+#: Tokens of a block's sets together (16 MB), on average.
+TOKENS = 1 << 21
 #: A node one of whose children would keep more than this share of it isn't split.
 PROGRESS = 0.5
-#: Up to so many sets' numbers (some 30 MB) are sent to all executors; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def survival(similarity: float, branch: int, depth: int) -> float:
@@ -75,55 +77,57 @@ def sketch(sets: list[np.ndarray], roots: int, coordinates: int) -> tuple[np.nda
 
 
 def sketches(docs: DataFrame, words: int, roots: int, coordinates: int) -> DataFrame:
-    """doc_id, c1, c2 (the class), size, roots and tokens of each row of docs that has words."""
-    small_batches(docs.sparkSession)
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    """doc_id, h (the text's hash), c1, c2 (the class), size, roots and tokens of each row of docs
+    that has words."""
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), text_or_empty().alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), words)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            if some:
-                kept = [sets[i] for i in some]
-                name, wide, narrow = sketch(kept, roots, coordinates)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(some)), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array([len(s) for s in kept], pa.int32()), pa.array(list(wide), pa.list_(pa.int64())), pa.array(list(narrow), pa.list_(pa.int32()))],
-                    names=["doc_id", "c1", "c2", "size", "roots", "tokens"],
-                )
+            for start, texts in pieces(batch.column("text")):
+                sets = shingle_sets(texts, words)
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if some:
+                    kept = [sets[i] for i in some]
+                    name, wide, narrow = sketch(kept, roots, coordinates)
+                    at = pa.array([start + i for i in some])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array([len(s) for s in kept], pa.int32()), pa.array(list(wide), pa.list_(pa.int64())), pa.array(list(narrow), pa.list_(pa.int32()))],
+                        names=["doc_id", "h", "c1", "c2", "size", "roots", "tokens"],
+                    )
 
-    return rows.mapInArrow(make, "doc_id long, c1 long, c2 long, size int, roots array<long>, tokens array<int>")
+    return rows.mapInArrow(make, "doc_id long, h long, c1 long, c2 long, size int, roots array<long>, tokens array<int>")
 
 
 def leaves(classes: DataFrame, branch: int, depth: int, limit: int, coordinates: int) -> DataFrame:
-    """rep, place, leaf, m: each class's leaves with more than one class, of m. place numbers
+    """rep, size, place, leaf, m, w: each class's leaves with more than one class, of m with w tokens. place numbers
     the paths of coordinates; a class has at most one leaf in each place."""
-    nodes = classes.select("rep", F.posexplode("roots").alias("place", "token")).select("rep", "place", F.xxhash64("place", "token").alias("leaf"))
+    nodes = classes.select("rep", "size", F.posexplode("roots").alias("place", "token")).select("rep", "size", "place", F.xxhash64("place", "token").alias("leaf"))
     out = None
     for level in range(1, depth + 1):
-        size = nodes.groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1")
+        size = nodes.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("size").alias("w")).filter("m > 1")
         nodes = stored(nodes.join(size, "leaf"), f"level{level}")
         big = nodes.filter(F.col("m") > limit)
         if level == depth or big.isEmpty():
             return nodes if out is None else out.unionByName(nodes)
         pick = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.pmod(F.xxhash64("leaf", F.lit(b)), F.lit(coordinates)).cast("int").alias("c")) for b in range(branch)]))
-        children = big.join(classes.select("rep", "tokens"), "rep").select("rep", "place", "leaf", "m", "tokens", pick.alias("p"))
-        children = children.select("rep", (F.col("place") * branch + F.col("p.b") + 1000 * level).cast("int").alias("place"), F.col("leaf").alias("parent"), "m", F.xxhash64("leaf", "p.c", F.get("tokens", F.col("p.c"))).alias("leaf"))
+        children = big.join(classes.select("rep", "tokens"), "rep").select("rep", "size", "leaf", "place", "m", "tokens", pick.alias("p"))
+        children = children.select("rep", "size", (F.col("place") * branch + F.col("p.b") + 1000 * level).cast("int").alias("place"), F.col("leaf").alias("parent"), "m", F.xxhash64("leaf", "p.c", F.get("tokens", F.col("p.c"))).alias("leaf"))
         children = stored(children, f"children{level}")
         share = children.groupBy("parent", "leaf").agg(F.count("*").alias("n"), F.first("m").alias("m"))
         stuck = share.groupBy("parent").agg((F.max("n") > PROGRESS * F.first("m")).alias("stuck"))
         ends = big.join(stuck.filter("stuck").select(F.col("parent").alias("leaf")), "leaf", "left_semi")
         done = nodes.filter(F.col("m") <= limit).unionByName(ends.select(nodes.columns))
         out = done if out is None else out.unionByName(done)
-        nodes = children.join(stuck.filter("not stuck").select("parent"), "parent", "left_semi").select("rep", "place", "leaf")
+        nodes = children.join(stuck.filter("not stuck").select("parent"), "parent", "left_semi").select("rep", "size", "place", "leaf")
     return out
 
 
-def _tiles(rows: DataFrame, block: int) -> DataFrame:
-    """rows (leaf, rep, m, ...) for each tile of their leaf: i, j, and block, the row's own."""
-    blocks = F.ceil(F.col("m") / block).cast("int")
+def _tiles(rows: DataFrame, block: int, tokens: int) -> DataFrame:
+    """rows (leaf, rep, m, w, ...) for each tile of their leaf: i, j, and block, the row's own."""
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("w") / tokens)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "leaf"), F.col("blocks")).cast("int"))
     tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    return rows.withColumn("t", F.explode(tile)).withColumns({"i": F.col("t.i"), "j": F.col("t.j")}).drop("t", "blocks")
+    return rows.withColumn("t", F.explode(tile)).withColumns({"i": F.col("t.i"), "j": F.col("t.j")}).drop("t", "blocks", "w")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -206,20 +210,20 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 _TILE = ["leaf", "i", "j"]
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, branch: int = BRANCH, depth: int = DEPTH, limit: int = LIMIT, block: int = BLOCK, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, class_id (the least doc_id that links lead to), n_links (other documents linked
-    directly) and kept (whether it is its class's least) of each row of docs (doc_id, text)."""
+def _grouping(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, branch: int = BRANCH, depth: int = DEPTH, limit: int = LIMIT, block: int = BLOCK, coordinates: int = COORDINATES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, c1, c2 of each row with words; c1, c2, n_links and lead, the least (doc_id, h) that
+    links lead to, of each class)."""
     spark = docs.sparkSession
     roots = branch * runs_needed(similarity, branch, depth, recall)
     sets = stored(sketches(docs, words, roots, coordinates), "sketches")
-    classes = sets.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
-    classes = stored(classes, "classes")
+    classes = sets.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h")).alias("lead"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     places = stored(leaves(classes, branch, depth, limit, coordinates), "leaves")
     order = sorted(r[0] for r in places.select("place").distinct().collect())  # at most the paths' number
     per = places.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("place", "leaf"))).alias("by"))
     row = F.array(*[F.coalesce(F.try_element_at("by", F.lit(p)), F.lit(0).cast("long")) for p in order]) if order else F.array().cast("array<long>")
-    facts = stored(classes.join(per, "rep").select("rep", "c1", "n", "size", "tokens", row.alias("leaf_of")), "facts")
-    tiles = _tiles(places.join(facts, "rep"), block)
+    facts = stored(classes.join(per, "rep").select("rep", "lead", "n", "tokens", row.alias("leaf_of")), "facts")
+    tiles = _tiles(places.join(facts.select("rep", "tokens", "leaf_of"), "rep"), block, TOKENS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = np.array(order)
 
@@ -240,33 +244,30 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
         if out:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
 
-    kept_shape = "leaf long, i int, j int, place int, block int, rep long, c1 long, n long, leaf_of array<long>"
+    kept_shape = "leaf long, i int, j int, place int, block int, rep long"
     dealt = tiles.repartition(parts, *_TILE).sortWithinPartitions(*_TILE)
     found = stored(dealt.mapInArrow(candidates, kept_shape), "candidates")
-    per_rep = found.groupBy("rep", "c1", "n", "leaf_of").agg(F.collect_list(F.struct("leaf", "i", "j", "place", "block")).alias("tiles"))
-    per_rep = stored(per_rep, "wanted")
-    if per_rep.count() <= BROADCAST_ROWS:
-        per_rep = F.broadcast(per_rep)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(per_rep, "rep")
+    homes = found.groupBy("rep").agg(F.collect_list(F.struct("leaf", "i", "j", "place", "block")).alias("tiles"))
+    wanted = stored(homes.join(facts.select("rep", "lead.doc_id", "lead.h", "n", "leaf_of"), "rep"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), text_or_empty().alias("text"))
+    texts = texts.join(wanted, ["doc_id", "h"]).dropDuplicates(["rep"])  # repeated rows
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingles = shingle_sets(batch.column("text").to_pylist(), words)
-            out: dict[str, list] = {k: [] for k in _SHIPPED.names}
-            size = 0
-            columns = [batch.column(k).to_pylist() for k in ("rep", "c1", "n", "leaf_of", "tiles")]
-            for s, rep, c1, n, leaf_of, homes in zip(shingles, *columns, strict=True):
-                if not len(s) or int(np.add.reduce(mix64(s)).view(np.int64)) != c1:
-                    continue  # another row with this doc_id
-                for h in homes:
-                    for k, v in (*h.items(), ("rep", rep), ("n", n), ("leaf_of", leaf_of), ("shingles", s.tobytes())):
-                        out[k].append(v)
-                    size += 8 * len(s)
-                if size > 1 << 24:
+            columns = [batch.column(k) for k in ("rep", "n", "leaf_of", "tiles")]
+            for start, part in pieces(batch.column("text")):
+                out: dict[str, list] = {k: [] for k in _SHIPPED.names}
+                size = 0
+                for s, rep, n, leaf_of, homes in zip(shingle_sets(part, words), *(c.slice(start, len(part)).to_pylist() for c in columns), strict=True):
+                    for h in homes:
+                        for k, v in (*h.items(), ("rep", rep), ("n", n), ("leaf_of", leaf_of), ("shingles", s.tobytes())):
+                            out[k].append(v)
+                        size += 8 * len(s)
+                        if size > 1 << 24:
+                            yield pa.RecordBatch.from_pydict(out, schema=_SHIPPED)
+                            out, size = {k: [] for k in _SHIPPED.names}, 0
+                if size:
                     yield pa.RecordBatch.from_pydict(out, schema=_SHIPPED)
-                    out, size = {k: [] for k in _SHIPPED.names}, 0
-            if size:
-                yield pa.RecordBatch.from_pydict(out, schema=_SHIPPED)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, _TILE):
@@ -296,27 +297,39 @@ def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = S
     linked = stored(shipped.repartition(parts, *_TILE).sortWithinPartitions(*_TILE).mapInArrow(join, "id long, links long, least long"), "linked")
     links = linked.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     comp = components(linked.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    none = F.lit(0).cast("long")
-    known = classes.select("c1", "c2", "rep", "n").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    known = stored(known.select("c1", "c2", (F.coalesce("links", none) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id")), "known")
-    out = sets.select("doc_id", "c1", "c2").join(known, ["c1", "c2"]).select("doc_id", "class_id", "n_links")
-    worded = docs.withColumn("_words", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull())
-    rest = worded.filter("not _words").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), none.alias("n_links"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    leads = comp.join(classes.select(F.col("rep").alias("node"), "lead"), "node").groupBy("component").agg(F.min("lead").alias("group_lead"))
+    comp = comp.join(leads, "component").select(F.col("node").alias("rep"), "group_lead")
+    known = classes.select("c1", "c2", "rep", "n", "lead").join(links, "rep", "left").join(comp, "rep", "left")
+    return sets.select("doc_id", "h", "c1", "c2"), stored(known.select("c1", "c2", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"), F.coalesce("group_lead", "lead").alias("lead")), "known")
+
+
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the least doc_id that links lead to), n_links (other documents linked
+    directly) and kept (whether it is its class's least) of each row of docs (doc_id, text). options:
+    words, similarity, recall and the sizes of the search, as _grouping() has them."""
+    sets, known = _grouping(docs, **options)
+    out = sets.join(known, ["c1", "c2"]).select("doc_id", F.col("lead.doc_id").alias("class_id"), "n_links", (F.struct("doc_id", "h") == F.col("lead")).alias("kept"))
+    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.col("text").rlike(WORD), F.lit(False)) & F.col("doc_id").isNotNull()).alias("worded"))
+    rest = worded.filter("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return out.unionByName(rest)
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, one that has its least doc_id, and all rows without doc_id."""
-    copies = similar_documents(docs.select("doc_id", "text"), **options).filter("not kept").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
+    """docs with one row of each class, one that has its least doc_id, and all rows without doc_id or
+    words. Repeated rows count as copies."""
+    sets, known = _grouping(docs.select("doc_id", "text"), **options)
+    names = sets.groupBy("doc_id", "h", "c1", "c2").agg(F.count("*").alias("n")).join(known, ["c1", "c2"])
+    names = stored(names.select(F.col("doc_id").alias("_fuseline_id"), F.col("h").alias("_fuseline_h"), "n", (F.struct("doc_id", "h") == F.col("lead")).alias("kept")), "names")
+    same = (F.col("doc_id").cast("long") == F.col("_fuseline_id")) & (F.xxhash64("text") == F.col("_fuseline_h"))
+    gone, twice = names.filter("not kept").select("_fuseline_id", "_fuseline_h"), names.filter("kept and n > 1").select("_fuseline_id", "_fuseline_h")
+    left = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
         return left
-    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    again = left.join(twice, same, "left_semi").withColumns({"_fuseline_id": F.col("doc_id").cast("long"), "_fuseline_h": F.xxhash64("text")})
+    return left.join(twice, same, "left_anti").unionByName(again.dropDuplicates(["_fuseline_id", "_fuseline_h"]).select(*docs.columns))
 
 
-_KEPT = ["leaf", "i", "j", "place", "block", "rep", "c1", "n", "leaf_of"]
+_KEPT = ["leaf", "i", "j", "place", "block", "rep"]
 _SHIPPED = pa.schema([("leaf", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("place", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("leaf_of", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
 

@@ -113,10 +113,15 @@ def test_shingles_against_brute_force(spark):
 
 
 def test_shingles_with_splits_and_tiles(spark, monkeypatch):
-    """Small limits: nodes are split, leaves are dealt out in tiles, sets are joined by a shuffle, and
-    nothing is lost or doubled."""
-    monkeypatch.setattr(shingle_join, "BROADCAST_ROWS", 0)
-    check(spark, near_texts(2, groups=4, most=40), limit=6, block=5, depth=3)
+    """Small limits: nodes are split, leaves are dealt out in tiles by rows and by tokens, sets are
+    joined by a shuffle, and nothing is lost or doubled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        check(spark, near_texts(2, groups=4, most=40), limit=6, block=5, depth=3)
+        monkeypatch.setattr(shingle_join, "TOKENS", 100)
+        check(spark, near_texts(3, groups=3, most=20), limit=6)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_shingles_of_empty_and_repeated_rows(spark):
@@ -128,6 +133,26 @@ def test_shingles_of_empty_and_repeated_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in shingle_join.drop_copies(df).collect()) == [0, 1, 2]
 
 
+def test_shingles_of_rows_that_share_an_id(spark):
+    """Rows that share a doc_id but not a text link by their texts, each as a document of its own."""
+    texts = near_texts(5, groups=6, most=8) + ["same words in two of the rows"] * 2
+    ids = [i // 3 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    links, got = brute_links(texts), {}
+    label = classes(len(texts), links)
+    for r in shingle_join.similar_documents(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["class_id"], r["n_links"]))
+    least = {c: min(ids[i] for i in range(len(texts)) if label[i] == c) for c in label}
+    want = {}
+    for i, d in enumerate(ids):
+        want.setdefault(d, []).append((least[label[i]], sum(i in p for p in links)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    left = shingle_join.drop_copies(df).collect()
+    assert len(left) == len(set(label)) and {label[texts.index(r["text"])] for r in left} == set(label)
+    one = spark.createDataFrame([(1, "a b c"), (1, "d e f")], "doc_id long, text string")
+    assert sorted(map(tuple, shingle_join.similar_documents(one).collect())) == [(1, 1, 0, True)] * 2 and shingle_join.drop_copies(one).count() == 2
+
+
 def test_runs_reach_the_target():
     assert shingle_join.survival(0.8, 2, 1) == pytest.approx(0.96)
     runs = shingle_join.runs_needed(0.8, 2, 3, 0.9995)
