@@ -8,8 +8,8 @@ checksum, prefix) and context (the characters and words beside it); a threshold
 calibrated on examples the trees were not fitted to, selects. Selected candidates that overlap
 no base span are added, the likeliest first, none of them overlapping another.
 
-The trees are fitted to EXAMPLES generated sentences with a fixed seed, since no table marks
-personal data: numbers and addresses in the forms in which people write them, and what is
+The trees are fitted, in one task, to the candidates in EXAMPLES generated sentences with fixed seeds, since
+no table marks personal data: numbers and addresses in the forms in which people write them, and what is
 mistaken for them: dates, prices, versions, measures, hexadecimal tokens, parts of longer numbers.
 
 Defined cases: a null or empty text has no spans; positions are code points, the end not included;
@@ -20,17 +20,19 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import pickle
 import random
 import re
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuseline.llm.boosting import Trees, boost
-from fuseline.llm.common import small_batches, text_or_empty
+from fuseline.llm.common import pieces, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, SEED, PRECISION = 4000, 7, 0.995
@@ -57,7 +59,7 @@ def _passes(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in found.split(".")))
     digits = re.sub("[^0-9]", "", found)
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
@@ -210,19 +212,23 @@ def _sentence(rng: random.Random) -> tuple[str, list[Span]]:
     return text + word(), spans
 
 
-@functools.lru_cache(maxsize=1)
-def detector(examples: int = EXAMPLES, seed: int = SEED, precision: float = PRECISION) -> Detector:
-    """Fitted to generated sentences; each kind's threshold is the least at which so large a
-    share of the selected candidates of the last quarter of the sentences is right."""
-    rng = random.Random(seed)
-    x, y, part = [], [], []
-    for k in range(examples):
-        text, spans = _sentence(rng)
+def examples(numbers: range, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, whether it is personal data, number of its sentence) of each candidate in the
+    sentences of these numbers. The features hold the kind first."""
+    x, y, of = [], [], []
+    for k in numbers:
+        text, spans = _sentence(random.Random(seed * 1_000_003 + k))
         for c in candidates(text):
             x.append(describe(text, c))
             y.append(c in spans)
-            part.append(k >= examples * 3 // 4)
-    x, y, part = np.array(x, float), np.array(y), np.array(part)
+            of.append(k)
+    return np.array(x, float).reshape(-1, FEATURES), np.array(y, bool), np.array(of, int)
+
+
+def fit(x: np.ndarray, y: np.ndarray, of: np.ndarray, precision: float = PRECISION) -> Detector:
+    """Fitted to three of four sentences; each kind's threshold is the least at which so large a
+    share of the selected candidates of the other sentences is right."""
+    part = of % 4 == 3
     trees = boost(x[~part], y[~part])
     p, thresholds = trees.probability(x[part]), []
     for kind in range(len(KINDS)):
@@ -234,6 +240,24 @@ def detector(examples: int = EXAMPLES, seed: int = SEED, precision: float = PREC
     return Detector(trees, tuple(thresholds))
 
 
+@functools.lru_cache(maxsize=2)
+def detector(spark: SparkSession, sentences: int = EXAMPLES, seed: int = SEED, precision: float = PRECISION) -> Detector:
+    """The detector; tasks make the examples, and one of their bounded number fits the trees."""
+    step = -(-sentences // 16)
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, of = examples(range(int(pdf["id"].iloc[0]) * step, min(sentences, (int(pdf["id"].iloc[0]) + 1) * step)), seed)
+        return pd.DataFrame({"x": [x.tobytes()], "y": [y.tobytes()], "k": [of.tobytes()], "id": pdf["id"].iloc[:1].tolist()})
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x, y, of = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("x", float), ("y", bool), ("k", int)))
+        return pd.DataFrame({"model": [pickle.dumps(fit(x.reshape(-1, FEATURES), y, of, precision))]})
+
+    made = spark.range(16).groupBy("id").applyInPandas(make, "x binary, y binary, k binary, id long")
+    return pickle.loads(made.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "model binary").first()[0])
+
+
 class _Taken:
     """Disjoint intervals; hit() says whether one overlaps any of them."""
 
@@ -291,19 +315,18 @@ def redact(text: str, spans: list[Span]) -> str:
 def detect(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, the base spans' numbers by kind and digest, all spans, and the number of those that
     were added, of each row of docs (doc_id, text); with_text: the redacted text as well."""
-    small_batches(docs.sparkSession)
-    model = detector()
+    model = detector(docs.sparkSession)
+    shape = [(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())] + [("redacted", pa.string())] * with_text
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long" + ", redacted string" * with_text)
-    def find(text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long" + ", redacted string" * with_text)
+    def find(text: pa.Array) -> pa.Array:
         out = []
-        texts = text.tolist()
-        for t, (base, added) in zip(texts, find_spans(texts, model), strict=True):
-            counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
-            row = (*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(base + added), len(added))
-            out.append((*row, redact(t, base + added)) if with_text else row)
-        names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"] + ["redacted"] * with_text
-        return pd.DataFrame(out, columns=names)
+        for _, texts in pieces(text):
+            for t, (base, added) in zip(texts, find_spans(texts, model), strict=True):
+                counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
+                row = (*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(base + added), len(added))
+                out.append((*row, redact(t, base + added)) if with_text else row)
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(shape)], names=[n for n, _ in shape])
 
     return docs.select("doc_id", find(text_or_empty()).alias("f")).select("doc_id", "f.*")
 
