@@ -2,13 +2,18 @@
 
 Counts are taken of every whole text; from them come ratios in whole units (thousandths, or
 tenths of a character for the mean word length). A sketch of a ratio is the number of documents in
-each unit: sketches merge by adding, in any order and with the same result, are at most one unit
-off, and have as many rows as there are different units. They are made for each language and
-source, merged into one for each language and one for all. A document is held against the fences
-of the narrowest of the three that has at least min_docs documents:
+each bucket: units below 64 have their own, larger ones share those that agree in their first
+six binary digits. So a quantile is at most 1/32 too small, a sketch has at most some 200 buckets for a ratio in
+thousandths and 32 more for each doubling, and sketches merge by adding, in any order and with
+the same result. They are made for each language and source, for each language and for all.
 
-    upper = median + max(spread * (upper quartile - median), margin)
-    lower = median - max(spread * (median - lower quartile), margin)   (mean word length only)
+A group's fence is a tail quantile's distance from the median, times a spread, and at least a small floor:
+
+    upper = median + max(spread * (tail quantile - median), floor)
+    lower = median - max(spread * (median - opposite quantile), floor)   (mean word length only)
+
+Few documents tell little of a tail, so a group's fence is the mean of its own, weighing as many
+documents as it has, and its parent's, weighing PRIOR documents; a language's parent is the whole.
 
 Defined cases: a null text has no words; null languages and sources are groups of their own; rows
 that repeat are counted each; texts below the base limits fail whatever the fences; an empty
@@ -17,19 +22,20 @@ table gives no rows; other columns are ignored."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import WORD_RE, chunked, mix64, small_batches, stored, text_or_empty, word_hashes
+from fuseline.llm.common import WORD_RE, chunked, mix64, pieces, stored, text_or_empty, word_hashes
 
 #: Fixed: what counts as a symbol.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-SPREAD, MIN_DOCS = 4, 200
-#: Ratio: (margin in units, whether there is a lower fence).
-FENCES = {"symbols": (100, False), "dup_lines": (400, False), "repeats": (300, False), "word_length": (30, True)}
+#: Documents that a parent's fence weighs.
+PRIOR = 200
+#: Ratio: (percent of the tail quantile, spread, floor in units, whether there is a lower fence).
+FENCES = {"symbols": (90, 3, 20, False), "dup_lines": (97, 2, 200, False), "repeats": (90, 4, 150, False), "word_length": (90, 4, 8, True)}
 
 
 def repeat_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +63,11 @@ def repeat_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of each row of docs (doc_id, text, lang, source)."""
-    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("n_words long, n_repeat_words long")
-    def windows(text: pd.Series) -> pd.DataFrame:
-        words, repeats = repeat_words(text.tolist())
-        return pd.DataFrame({"n_words": words, "n_repeat_words": repeats})
+    @F.arrow_udf("n_words long, n_repeat_words long")
+    def windows(text: pa.Array) -> pa.Array:
+        found = [repeat_words(part) for _, part in pieces(text)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]), pa.int64()) for k in (0, 1)], names=["n_words", "n_repeat_words"])
 
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD_RE.pattern))
@@ -83,10 +88,15 @@ def _units() -> dict[str, Column]:
     return {"symbols": ratio("n_symbols", "word_chars", 1000), "dup_lines": ratio("n_dup_lines", "n_lines", 1000), "repeats": ratio("n_repeat_words", "n_words", 1000), "word_length": ratio("word_chars", "n_words", 10)}
 
 
+def bucket(unit: Column) -> Column:
+    """The least unit of unit's bucket."""
+    return unit - F.pmod(unit, F.pow(F.lit(2), F.greatest(F.length(F.bin(unit)) - 6, F.lit(0))).cast("long"))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """level, lang, source, ratio, unit, n: level 2 for each language and source, 1 for each
     language, 0 for all. measured has the ratios as columns."""
-    long = measured.select("lang", "source", F.explode(F.create_map(*[x for m in FENCES for x in (F.lit(m), F.col(m))])).alias("ratio", "unit"))
+    long = measured.select("lang", "source", F.explode(F.create_map(*[x for m in FENCES for x in (F.lit(m), bucket(F.col(m)))])).alias("ratio", "unit"))
     fine = long.groupBy("lang", "source", "ratio", "unit").agg(F.count("*").alias("n"))
     middle = fine.groupBy("lang", "ratio", "unit").agg(F.sum("n").alias("n"))
     coarse = middle.groupBy("ratio", "unit").agg(F.sum("n").alias("n"))
@@ -98,41 +108,51 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """level, lang, source, docs and a lower and upper fence for each ratio."""
+def own_fences(sketch: DataFrame) -> DataFrame:
+    """level, lang, source, docs and a lower and upper fence for each ratio, by the group's own sketch."""
     group = Window.partitionBy("level", "lang", "source", "ratio")
     upto = F.sum("n").over(group.orderBy("unit").rowsBetween(Window.unboundedPreceding, 0))
     cum = sketch.withColumns({"upto": upto, "docs": F.sum("n").over(group)})
-    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * quarter, F.col("unit")))
-    q = cum.groupBy("level", "lang", "source", "ratio").agg(F.first("docs").alias("docs"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    tail = F.lit(None).cast("long")
+    for ratio, (percent, *_) in FENCES.items():
+        tail = F.when(F.col("ratio") == ratio, percent).otherwise(tail)
+    cum = cum.withColumn("tail", tail)
+    per = cum.groupBy("level", "lang", "source", "ratio")
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * percent, F.col("unit")))
+    q = per.agg(F.first("docs").alias("docs"), at(100 - F.col("tail")).alias("low"), at(50).alias("mid"), at(F.col("tail")).alias("high"))
     out = []
-    for ratio, (margin, _) in FENCES.items():
-        mine = lambda x, r=ratio: F.max(F.when(F.col("ratio") == r, x))
-        out.append(mine(F.col("q2") + F.greatest((F.col("q3") - F.col("q2")) * spread, F.lit(margin))).alias(f"{ratio}_upper"))
-        out.append(mine(F.col("q2") - F.greatest((F.col("q2") - F.col("q1")) * spread, F.lit(margin))).alias(f"{ratio}_lower"))
+    for ratio, (_, spread, floor, _) in FENCES.items():
+        mine = lambda x, r=ratio: F.max(F.when(F.col("ratio") == r, x)).cast("double")
+        out.append(mine(F.col("mid") + F.greatest((F.col("high") - F.col("mid")) * spread, F.lit(floor))).alias(f"{ratio}_upper"))
+        out.append(mine(F.col("mid") - F.greatest((F.col("mid") - F.col("low")) * spread, F.lit(floor))).alias(f"{ratio}_lower"))
     return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *out)
 
 
-def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source and the fences of each, drawn to those of the language, and these to those of all."""
+    own = stored(own_fences(sketch), "own_fences")
+    limits = [c for c in own.columns if c.endswith(("_upper", "_lower"))]
+
+    def drawn(part: DataFrame, parent: DataFrame, on) -> DataFrame:
+        both = part.alias("p").join(parent.alias("q"), on, "left")
+        return both.select("p.lang", "p.source", *[((F.col(f"p.{c}") * F.col("p.docs") + F.col(f"q.{c}") * prior) / (F.col("p.docs") + prior)).alias(c) for c in limits])
+
+    whole, languages, sources = (own.filter(F.col("level") == k) for k in (0, 1, 2))
+    languages = drawn(languages, F.broadcast(whole), F.lit(True))  # one row
+    return drawn(sources, languages, F.col("p.lang").eqNullSafe(F.col("q.lang")))
+
+
+def apply_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row of docs."""
     measured = stored(counts(docs).withColumns(_units()), "counts")
-    fence = stored(fences(sketches(measured), spread), "fences")
-    limits = [c for c in fence.columns if c.endswith(("_upper", "_lower"))]
-    enough = fence.filter(F.col("docs") >= min_docs)
-
-    def level(k: int, *keys: str) -> DataFrame:
-        part = enough.filter(F.col("level") == k) if k else fence.filter("level = 0")
-        return part.select(*[F.col(c).alias(f"_{c}{k}") for c in keys], F.struct(*limits).alias(f"_f{k}"))
-
-    f2, f1, f0 = level(2, "lang", "source"), level(1, "lang"), level(0)
-    out = measured.join(f2, F.col("lang").eqNullSafe(F.col("_lang2")) & F.col("source").eqNullSafe(F.col("_source2")), "left")
-    out = out.join(f1, F.col("lang").eqNullSafe(F.col("_lang1")), "left").join(F.broadcast(f0), F.lit(True), "left")  # one row
-    out = out.withColumn("f", F.coalesce("_f2", "_f1", "_f0"))
+    fence = stored(fences(sketches(measured), prior), "fences").alias("f")
+    m = measured.alias("m")
+    out = m.join(fence, F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source")), "left")
     verdict = F.lit(True)
-    for ratio, (_, lower) in FENCES.items():
-        verdict &= F.col(ratio) <= F.col(f"f.{ratio}_upper")
+    for ratio, (*_, lower) in FENCES.items():
+        verdict &= F.col(f"m.{ratio}") <= F.col(f"f.{ratio}_upper")
         if lower:
-            verdict &= F.col(ratio) >= F.col(f"f.{ratio}_lower")
+            verdict &= F.col(f"m.{ratio}") >= F.col(f"f.{ratio}_lower")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict).alias("kept"))
 
@@ -156,18 +176,23 @@ a AS (SELECT r, lang, source, 'symbols' AS ratio, CASE WHEN word_chars > 0 THEN
     UNION ALL SELECT r, lang, source, 'dup_lines', CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END FROM m
     UNION ALL SELECT r, lang, source, 'repeats', CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END FROM m
     UNION ALL SELECT r, lang, source, 'word_length', CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END FROM m),
-s AS (SELECT 2 AS level, lang, source, ratio, unit, count(*) AS n FROM a GROUP BY ALL
-    UNION ALL SELECT 1, lang, NULL, ratio, unit, count(*) FROM a GROUP BY ALL
-    UNION ALL SELECT 0, NULL, NULL, ratio, unit, count(*) FROM a GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY unit) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS docs FROM s),
-q AS (SELECT level, lang, source, ratio, max(docs) AS docs, min(unit) FILTER (4 * upto >= docs) AS q1, min(unit) FILTER (4 * upto >= 2 * docs) AS q2,
-    min(unit) FILTER (4 * upto >= 3 * docs) AS q3 FROM c GROUP BY ALL),
-f AS (SELECT level, lang, source, ratio, q2 + greatest(4 * (q3 - q2), CASE ratio WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 400 WHEN 'word_length' THEN 30 ELSE 300 END) AS hi,
-    CASE WHEN ratio = 'word_length' THEN q2 - greatest(4 * (q2 - q1), 30) ELSE -1 END AS lo FROM q WHERE level = 0 OR docs >= 200),
-v AS (SELECT a.r, bool_and(unit <= coalesce(f2.hi, f1.hi, f0.hi) AND unit >= coalesce(f2.lo, f1.lo, f0.lo)) AS good FROM a
-    LEFT JOIN f f2 ON f2.level = 2 AND f2.ratio = a.ratio AND f2.lang IS NOT DISTINCT FROM a.lang AND f2.source IS NOT DISTINCT FROM a.source
-    LEFT JOIN f f1 ON f1.level = 1 AND f1.ratio = a.ratio AND f1.lang IS NOT DISTINCT FROM a.lang
-    LEFT JOIN f f0 ON f0.level = 0 AND f0.ratio = a.ratio GROUP BY a.r)
+k AS (SELECT r, lang, source, ratio, unit - unit % (1::BIGINT << greatest(length(bin(unit)) - 6, 0)) AS unit FROM a),
+s AS (SELECT 2 AS level, lang, source, ratio, unit, count(*) AS n FROM k GROUP BY ALL
+    UNION ALL SELECT 1, lang, NULL, ratio, unit, count(*) FROM k GROUP BY ALL
+    UNION ALL SELECT 0, NULL, NULL, ratio, unit, count(*) FROM k GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY unit) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS docs,
+    CASE ratio WHEN 'dup_lines' THEN 97 ELSE 90 END AS tail FROM s),
+q AS (SELECT level, lang, source, ratio, max(docs) AS docs, min(unit) FILTER (100 * upto >= docs * (100 - tail)) AS low, min(unit) FILTER (100 * upto >= docs * 50) AS mid,
+    min(unit) FILTER (100 * upto >= docs * tail) AS high FROM c GROUP BY ALL),
+rule AS (SELECT * FROM (VALUES ('symbols', 3, 20), ('dup_lines', 2, 200), ('repeats', 4, 150), ('word_length', 4, 8)) AS x(ratio, spread, floor)),
+f AS (SELECT level, lang, source, q.ratio, docs::DOUBLE AS docs, (mid + greatest((high - mid) * spread, floor))::DOUBLE AS hi,
+    (mid - greatest((mid - low) * spread, floor))::DOUBLE AS lo FROM q JOIN rule ON rule.ratio = q.ratio),
+f1 AS (SELECT p.lang, p.ratio, (p.hi * p.docs + o.hi * 200) / (p.docs + 200) AS hi, (p.lo * p.docs + o.lo * 200) / (p.docs + 200) AS lo
+    FROM f p JOIN f o ON p.level = 1 AND o.level = 0 AND p.ratio = o.ratio),
+f2 AS (SELECT p.lang, p.source, p.ratio, (p.hi * p.docs + o.hi * 200) / (p.docs + 200) AS hi, (p.lo * p.docs + o.lo * 200) / (p.docs + 200) AS lo
+    FROM f p JOIN f1 o ON p.level = 2 AND p.ratio = o.ratio AND p.lang IS NOT DISTINCT FROM o.lang),
+v AS (SELECT a.r, bool_and(unit <= hi AND (unit >= lo OR a.ratio <> 'word_length')) AS good FROM a
+    JOIN f2 ON f2.ratio = a.ratio AND f2.lang IS NOT DISTINCT FROM a.lang AND f2.source IS NOT DISTINCT FROM a.source GROUP BY a.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     good AND NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS kept FROM m JOIN v USING (r)
 """
