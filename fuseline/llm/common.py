@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +25,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which all executors share; only where
-    that is unset (tests, one machine) a temporary folder is made and set."""
+    """A new folder's path below spark.checkpoint.dir, which all executors share. Only where that
+    is unset and the master is local (tests, one machine), a temporary folder is made and set; it
+    goes when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-fuseline-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-fuseline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/fuseline-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{_own(spark)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"fuseline-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored. DataFrames that operators gave can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -41,11 +60,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that a Python worker holds few whole texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -62,6 +76,20 @@ def chunked(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, list[
         yield start, texts[start:]
 
 
+def pieces(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+    """(first index, texts) of neighbours of an Arrow array that together have about limit bytes, so
+    that a Python worker holds few whole texts at a time, however many rows a batch has."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 

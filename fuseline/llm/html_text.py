@@ -25,11 +25,11 @@ from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import small_batches
+from fuseline.llm.common import pieces
 
 WINDOW = 3
 #: Fixed values of HTML: elements that start a new block, that have no end tag, whose text isn't shown, and that aren't the article.
@@ -249,11 +249,10 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
-    small_batches(pages.sparkSession, 200)
 
-    @F.pandas_udf("string")
-    def text(html: pd.Series) -> pd.Series:
-        return html.map(main_text, na_action=None).astype(object)
+    @F.arrow_udf("string")
+    def text(html: pa.Array) -> pa.Array:
+        return pa.array([main_text(h) for _, part in pieces(html) for h in part], pa.string())
 
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

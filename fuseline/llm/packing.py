@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import chunked, small_batches, stored, text_or_empty
+from fuseline.llm.common import pieces as parts_of, stored, text_or_empty
 from fuseline.llm.token_shards import END_ID, encoder
 from fuseline.llm.tokens import tokenizer_path
 
@@ -35,7 +35,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of each row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -43,9 +42,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
-            for first, part in chunked(texts):
+            for first, part in parts_of(batch.column("text")):
                 for doc_id, got in zip(ids[first : first + len(part)], encode(part), strict=True):
                     got += end
                     n = len(got) // 4

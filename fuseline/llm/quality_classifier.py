@@ -18,15 +18,15 @@ all scores are that class or 0.5; an empty table gives no rows; other columns pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import chunked, hash_words, joined, mix64, small_batches, text_or_empty
+from fuseline.llm.common import chunked, hash_words, joined, mix64, pieces, text_or_empty
 
 BITS, MAX_ROWS, THRESHOLD = 18, 8_000, 0.7
 ROUNDS, PENALTY, SMOOTHING = 6, 1.0, 1.0
@@ -172,11 +172,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(marked), "doc_id")  # at most max_rows
-    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def numbers(text: pd.Series) -> pd.Series:
-        return pd.Series(features(text.tolist(), bits), dtype=object)
+    @F.arrow_udf("array<int>")
+    def numbers(text: pa.Array) -> pa.Array:
+        return pa.array([r for _, part in pieces(text) for r in features(part, bits)], pa.list_(pa.int32()))
 
     rows = rows.select("doc_id", "quality", numbers("text").alias("row"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("row")).limit(max_rows)
@@ -196,13 +195,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in parts:
-            yield pd.Series(scores(text.tolist(), shared.value))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(scores(part, shared.value) for _, part in pieces(text))]))
 
     return docs.withColumn("score", score(text_or_empty()))
 

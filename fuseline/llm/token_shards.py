@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import chunked, scratch_dir, small_batches, stored, text_or_empty
+from fuseline.llm.common import pieces, scratch_dir, stored, text_or_empty
 from fuseline.llm.tokens import Encoder, tokenizer_path
 
 MAGIC = b"FLPLANE1"
@@ -153,7 +153,6 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int =
     """Encode docs (doc_id, text) and write shard files below the URI out, one for each range
     of doc_id. Returns the manifest, a row for each shard in the documents' order."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -169,8 +168,8 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int =
         with store.open_output_stream(name) as sink:
             writer = ShardWriter(sink, kind, block)
             for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for first, part in chunked(texts):
+                ids = batch.column("doc_id").to_pylist()
+                for first, part in pieces(batch.column("text")):
                     for doc_id, got in zip(ids[first : first + len(part)], encode(part), strict=True):
                         writer.add(doc_id, got + end)
             size = writer.close()
