@@ -3,15 +3,19 @@
 A gram starts at a line and is the shortest run of lines from there that has min_lines lines or
 min_words words. Grams with min_words words are fingerprints; of the other grams' hashes the
 minima of all windows of so many neighbours are (the last of equal ones). So every repeated run of
-min_words words, or of min_lines + window - 1 lines, holds a fingerprint wherever it stands. A
-fingerprint's places are joined to its first place, by document and line; each such match is
-extended both ways for as long as the lines agree, and the run's later copy is deleted. Documents
-come in the order of (doc_id, hash of the text). A deleted line always has an equal one at an
-earlier place, so the first copy of every line stays.
+min_words words, or of min_lines + window - 1 lines, holds a fingerprint wherever it stands.
+
+Places are joined to earlier ones: within a document each place of a fingerprint to the one before
+it, and a document's first and last place to the first of all, by document and line, if that is in
+another document. Each such match is extended both ways for as long as the lines agree, and the run's
+later copy is deleted. Documents come in the order of (doc_id, hash of the text). A deleted line
+always has an equal one at an earlier place, so the first copy of every line stays. Lines that repeat
+at one distance, however often, are one match of one shift, so the work on a text grows with its
+lines times the different shifts of its matches.
 
 Only DataFrame functions are used. The text is read once for the hashes and once to rewrite it,
 and is shuffled once; in between there are arrays of numbers. A fingerprint's places are counted
-with partial sums before the shuffle, and no pair of places is made but that with the first.
+with partial sums before the shuffle, and no pair of places is made but those named.
 
 Defined cases: a null text stays null and has no lines; an empty one has one line without words;
 rows with the same doc_id and text are one document and are treated alike; rows with a null doc_id
@@ -19,7 +23,9 @@ are kept unchanged; columns other than doc_id and text are passed on; an empty t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fuseline.llm.common import WORD, stored
@@ -36,6 +42,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once for each row, also where use has it in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def line_arrays(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, lines (hashes) and words (word counts) of each different document."""
     text = F.col("text")
@@ -48,56 +59,82 @@ def line_arrays(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(arrays: DataFrame, min_lines: int, min_words: int, window: int) -> DataFrame:
-    """doc_id, text_hash, at (line), gram (hash) of each chosen gram."""
+    """doc_id, text_hash, gram (hash), at (line), before (the document's last place of the gram before
+    that, or null) and last (whether it has none after it) of each chosen gram."""
 
     def gram(i: Column) -> Column:
-        """(hash or null, whether it has the words) of the gram from line i, counted from 0."""
+        """(hash or null, whether it has the words, line) of the gram from line i, counted from 0."""
         out = F.when(F.lit(False), F.lit(None))
         count = F.lit(0)
         for n in range(1, min_lines + 1):
             count = count + F.get("words", i + (n - 1))
             name = F.concat_ws(",", F.slice("lines", i + 1, n).cast("array<string>"))
             enough = count >= min_words
-            out = out.when(enough if n < min_lines else i + n <= F.size("lines"), F.struct(hash60(name).alias("gram"), F.coalesce(enough, F.lit(False)).alias("long"), i.alias("at"), (-i).alias("back")))
+            out = out.when(enough if n < min_lines else i + n <= F.size("lines"), F.struct(hash60(name).alias("gram"), (-i).alias("back"), F.coalesce(enough, F.lit(False)).alias("long")))
         return out
 
-    every = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), gram)
-    grams = arrays.select("doc_id", "text_hash", F.filter(every, lambda g: g.isNotNull()).alias("grams"))
-    grams = grams.filter(F.size("grams") > 0)
-    short = F.filter("grams", lambda g: ~g["long"])
-    ranked = F.transform(short, lambda g: F.struct(g["gram"], g["back"], g["at"]))
-    grams = grams.withColumn("short", ranked)
-    minima = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("short") - (window - 1))), lambda s: F.array_min(F.slice("short", s, window)))
-    picked = F.concat(
-        F.transform(F.filter("grams", lambda g: g["long"]), lambda g: F.struct(g["at"], g["gram"])),
-        F.transform(F.filter(F.array_distinct(minima), lambda m: m.isNotNull()), lambda m: F.struct(m["at"], m["gram"])),
-    )
-    return grams.select("doc_id", "text_hash", F.explode(picked).alias("p")).select("doc_id", "text_hash", "p.at", "p.gram")
+    def minima(short: Column) -> Column:
+        """The least of each window, of equal ones the last."""
+        starts = F.greatest(F.lit(1), F.size(short) - (window - 1))
+        near = lambda i: F.sequence(F.greatest(F.lit(1), i + (2 - window)), F.least(i + 1, starts))
+        return F.filter(short, lambda g, i: F.exists(near(i), lambda s: F.array_min(F.slice(short, s, window))["back"] == g["back"]))
+
+    def linked(chosen: Column) -> Column:
+        """chosen by gram and line, each with its neighbours of the same gram."""
+        same = lambda g, i: F.get(chosen, i)["gram"] == g["gram"]
+        return F.transform(
+            chosen, lambda g, i: F.struct(g["gram"], g["at"], F.when(same(g, i - 1), F.get(chosen, i - 1)["at"]).alias("before"), (~F.coalesce(same(g, i + 1), F.lit(False))).alias("last"))
+        )
+
+    grams = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), gram), lambda g: g.isNotNull())
+    short = lambda gs: _let(F.filter(gs, lambda g: ~g["long"]), minima)
+    chosen = _let(grams, lambda gs: F.transform(F.concat(F.filter(gs, lambda g: g["long"]), short(gs)), lambda g: F.struct(g["gram"], (-g["back"]).alias("at"))))
+    return arrays.select("doc_id", "text_hash", F.explode(_let(F.array_sort(chosen), linked)).alias("p")).select("doc_id", "text_hash", "p.*")
+
+
+def aligned(seeds: DataFrame) -> DataFrame:
+    """doc_id, text_hash, first_id, first_hash and found, an array of (shift, at), for each document and
+    document with earlier places of its fingerprints; it may be the same."""
+    ends = seeds.filter("before IS NULL OR last")
+    first = ends.filter("before IS NULL").groupBy("gram").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash"))
+    far = ends.join(first, "gram").filter(other)
+    far = far.select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), (F.col("at") - F.col("first.at")).alias("shift"), "at")
+    own = seeds.filter("before IS NOT NULL").select("doc_id", "text_hash", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), (F.col("at") - F.col("before")).alias("shift"), "at")
+    return far.unionByName(own).groupBy("doc_id", "text_hash", "first_id", "first_hash").agg(F.collect_list(F.struct("shift", "at")).alias("found"))
 
 
 def repeated_lines(arrays: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash and the sorted numbers of the lines to delete, for documents with any.
+    """doc_id, text_hash and gone, the runs (lo, hi) of lines to delete in order, for documents with any.
     arrays: line_arrays() without repeated rows, stored, so that both sides of the joins below are
     dealt anew and a document that many others copy is split."""
-    seeds = fingerprints(arrays, min_lines, min_words, window)
-    place = F.struct("doc_id", "text_hash", "at")
-    first = seeds.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    matches = seeds.join(first, "gram").filter(place != F.col("first"))
-    shift = F.col("at") - F.col("first.at")
-    aligned = matches.groupBy("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), shift.alias("shift")).agg(F.collect_set("at").alias("ats"))
+    pairs = aligned(stored(fingerprints(arrays, min_lines, min_words, window), "fingerprints"))
     source = arrays.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("lines").alias("first_lines"))
-    both = aligned.join(source, ["first_id", "first_hash"]).join(arrays.select("doc_id", "text_hash", "lines", "words"), ["doc_id", "text_hash"])
+    both = pairs.join(source, ["first_id", "first_hash"]).join(arrays.select("doc_id", "text_hash", "lines"), ["doc_id", "text_hash"])
+    key = ["doc_id", "text_hash", "first_id", "first_hash", "shift"]
+    each = both.select(*key[:-1], "found", "lines", "first_lines", F.explode(F.array_distinct(F.transform("found", lambda f: f["shift"]))).alias("shift"))
+
+    def runs(stops: Column) -> Column:
+        between = F.transform(F.sequence(F.lit(0), F.size(stops) - 2), lambda i: F.struct((F.get(stops, i) + 1).alias("pos"), (F.get(stops, i + 1) - 1).alias("hi")))
+        return F.filter(between, lambda r: r["hi"] >= r["pos"])
+
     differ = F.filter(
         F.sequence(F.lit(0), F.size("lines") - 1),
         lambda p: ~F.coalesce(F.get("lines", p) == F.when(p >= F.col("shift"), F.get("first_lines", p - F.col("shift"))), F.lit(False)),
     )
-    both = both.withColumn("stops", F.concat(F.array(F.lit(-1)), differ, F.array(F.size("lines"))))
-    run = lambda s: F.struct(
-        (F.array_max(F.filter("stops", lambda b: b < s)) + 1).alias("lo"), (F.array_min(F.filter("stops", lambda b: b > s)) - 1).alias("hi")
-    )
-    runs = both.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("ats", run))).alias("run")).distinct()
-    gone = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.sequence("run.lo", "run.hi")).alias("runs"))
-    return gone.select("doc_id", "text_hash", F.array_sort(F.array_distinct(F.flatten("runs"))).alias("gone"))
+    seen = F.transform(F.filter("found", lambda f: f["shift"] == F.col("shift")), lambda f: F.struct(f["at"].alias("pos"), F.lit(None).cast("int").alias("hi")))
+    events = F.concat(_let(F.concat(F.array(F.lit(-1)), differ, F.array(F.size("lines"))), runs), seen)
+    # a run's event comes before those of the places in it
+    at = each.select(*key, F.explode(events).alias("e")).select(*key, "e.*")
+    so_far = Window.partitionBy(*key).orderBy("pos", F.col("hi").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = at.select("doc_id", "text_hash", F.last(F.when(F.col("hi").isNotNull(), F.col("pos")), ignorenulls=True).over(so_far).alias("lo"), F.max("hi").over(so_far).alias("to"), F.col("hi").isNull().alias("place"))
+    hit = hit.filter("place").select("doc_id", "text_hash", "lo", F.col("to").alias("hi")).distinct()
+    ahead = Window.partitionBy("doc_id", "text_hash").orderBy("lo", "hi")
+    fresh = F.coalesce(F.col("lo") > F.max("hi").over(ahead.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    hit = hit.withColumn("fresh", fresh.cast("int"))
+    hit = hit.withColumn("part", F.sum("fresh").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = hit.groupBy("doc_id", "text_hash", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
@@ -106,14 +143,20 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     found = repeated_lines(stored(line_arrays(docs).dropDuplicates(["doc_id", "text_hash"]), "lines"), min_lines, min_words, window).withColumnRenamed("doc_id", "id")
     d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), "text", hash60(F.col("text")).alias("own_hash"))
     d = d.join(found.hint("shuffle_hash"), (F.col("own_id") == F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
-    lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.concat_ws("\n", F.transform(left, lambda p: F.get(lines, p)))
+
+    def left(lines: Column) -> Column:
+        """The lines between the runs that go."""
+        gone = F.col("gone")
+        start = lambda i: F.when(i > 0, F.get(gone, i - 1)["hi"] + 1).otherwise(0)
+        stop = lambda i: F.coalesce(F.get(gone, i)["lo"], F.size(lines))
+        return F.concat_ws("\n", F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, start(i) + 1, F.greatest(stop(i) - start(i), F.lit(0))))))
+
+    n_gone = F.aggregate("gone", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"] + 1)
     return d.select(
         "row",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(_let(_lines(F.col("text")), left)).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone).alias("n_removed"),
     )
 
 
@@ -148,9 +191,11 @@ near AS (SELECT *, lead(gram) OVER o AS later, lag(gram) OVER o AS before, count
     FROM g WHERE NOT long WINDOW o AS (PARTITION BY doc_id, text_hash ORDER BY pos)),
 seed AS (SELECT doc_id, text_hash, pos, gram FROM g WHERE long
     UNION ALL SELECT doc_id, text_hash, pos, gram FROM near WHERE n = 1 OR gram < later OR gram <= before),
-fst AS (SELECT gram, min({{'d': doc_id, 't': text_hash, 'p': pos}}) AS f FROM seed GROUP BY gram HAVING count(*) > 1),
-al AS (SELECT DISTINCT s.doc_id, s.text_hash, s.pos, f.d AS fd, f.t AS ft, s.pos - f.p AS shift FROM seed s JOIN fst USING (gram)
-    WHERE {{'d': s.doc_id, 't': s.text_hash, 'p': s.pos}} <> f),
+occ AS (SELECT *, lag(pos) OVER o AS before, lead(pos) OVER o AS after FROM seed WINDOW o AS (PARTITION BY doc_id, text_hash, gram ORDER BY pos)),
+fst AS (SELECT gram, min({{'d': doc_id, 't': text_hash, 'p': pos}}) AS f FROM occ WHERE before IS NULL GROUP BY gram HAVING count(*) > 1),
+al AS (SELECT doc_id, text_hash, pos, doc_id AS fd, text_hash AS ft, pos - before AS shift FROM occ WHERE before IS NOT NULL
+    UNION ALL SELECT s.doc_id, s.text_hash, s.pos, f.d, f.t, s.pos - f.p FROM occ s JOIN fst USING (gram)
+    WHERE (before IS NULL OR after IS NULL) AND NOT (s.doc_id = f.d AND s.text_hash = f.t)),
 pair AS (SELECT DISTINCT doc_id, text_hash, fd, ft, shift FROM al),
 same AS (SELECT p.*, a.pos, a.pos - row_number() OVER (PARTITION BY p.doc_id, p.text_hash, fd, ft, shift ORDER BY a.pos) AS isle
     FROM pair p JOIN num a ON a.doc_id = p.doc_id AND a.text_hash = p.text_hash
