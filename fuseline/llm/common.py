@@ -90,6 +90,34 @@ def pieces(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[st
         start = stop
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key from batches sorted by the keys; holds a key's rows and a batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if last is not None and tuple(key[0]) != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(key[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 

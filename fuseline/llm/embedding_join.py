@@ -1,14 +1,14 @@
 """Operator 6: near-duplicate embeddings by an exact metric range join.
 
-Equal vectors are one class first, so that copies cost nothing. Pivots, a bounded sample of the
-vectors, divide the classes into cells: a vector's home is the nearest pivot's cell. Two vectors
+Equal vectors are one class first, so that copies cost nothing. Pivots, a sample of the vectors that
+grows with their number up to PIVOT_BYTES, divide the classes into cells: a vector's home is the nearest pivot's cell. Two vectors
 within the angle t of one another, u at home in cell j and v in cell h, satisfy by the triangle
 inequality d(v, p_j) <= radius_j + t; and v is then within t of the great circle that divides the
 two cells, sin t >= (v.p_h - v.p_j) / |p_h - p_j|. A vector is copied to each cell of a higher
 number for which both hold, and to no other, so every linked pair meets in exactly one cell, that
 of the higher number. Cells are joined apart from one another. A cell is dealt out in tiles, one
 for each pair of a block of its own vectors and a block of all that it holds, so no task holds more
-than two blocks, however many vectors crowd round one pivot.
+than two blocks, bounded in rows and bytes, however many vectors crowd round one pivot.
 
 Links are never written as pairs: a tile counts each vector's links and gives a forest, each
 linked vector with the smallest that it reaches within the tile. In high dimensions without
@@ -16,7 +16,8 @@ clusters the triangle inequality excludes few cells, and the work nears that of
 
 Defined cases: vectors that are null, zero, or hold a null or a component that isn't finite link
 with nothing, as do rows without vec_id; vectors of different lengths don't link; equal rows are
-vectors of their own and link; an empty table gives no rows; other columns are ignored."""
+vectors of their own and link, and so are different vectors that share a vec_id; products that
+rounding leaves at the limit or above it link; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -24,18 +25,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import stored
-from fuseline.llm.graph import components
+from fuseline.llm.common import grouped, matrix, stored
+from fuseline.llm.graph import leads
 
-COSINE, BLOCK, MAX_PIVOTS = 0.9, 4096, 512
+COSINE, BLOCK = 0.9, 4096
+#: Pivots, which all tasks get, and a block's vectors take at most so many bytes as doubles.
+PIVOT_BYTES, BLOCK_BYTES = 1 << 25, 1 << 25
 #: Rounding of an angle or a product that must not lose a pair.
 SLACK = 1e-9
-PACKED = "cell int, i int, k int, home boolean, own boolean, ids binary, copies binary, vectors binary, dim int"
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -66,33 +67,21 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray, cosine: float):
         self.pivots, self.angle = pivots, math.acos(cosine)
-        apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-        self.reach = math.sin(self.angle) * apart + SLACK
 
-    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = x @ self.pivots.T
-        home = near.argmax(axis=1)
-        return near, home
-
-    def copies(self, near: np.ndarray, home: np.ndarray, radius: np.ndarray | None = None) -> np.ndarray:
-        """Whether each vector is copied to each cell."""
-        own = near[np.arange(len(home)), home]
-        out = own[:, None] - near <= self.reach[home]
-        out &= np.arange(near.shape[1])[None, :] > home[:, None]
-        if radius is not None:
-            out &= np.arccos(np.clip(near, -1, 1)) <= radius[None, :] + self.angle + SLACK
-        return out
-
-
-def _spread(ids: np.ndarray, n: int) -> np.ndarray:
-    """A block number from 0 to n - 1 for each id, evenly."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
-
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = batch.column("embedding")
-    return batch.column("rep").to_numpy(), batch.column("n").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    def place(self, vectors: np.ndarray, radius: np.ndarray | None = None, cells: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, homes, cosine to the home's pivot, whether each is copied to each cell) of strips
+        of vectors, so that a strip's rows times the pivots are bounded."""
+        step = max(1, cells // len(self.pivots))
+        for s in range(0, len(vectors), step):
+            near = unit(vectors[s : s + step]) @ self.pivots.T
+            home = near.argmax(axis=1)
+            own = near[np.arange(len(home)), home]
+            apart = np.sqrt(np.maximum(0, 2 - 2 * self.pivots[home] @ self.pivots.T))
+            to = own[:, None] - near <= math.sin(self.angle) * apart + SLACK
+            to &= np.arange(len(self.pivots))[None, :] > home[:, None]
+            if radius is not None:
+                to &= np.arccos(np.clip(near, -1, 1)) <= radius[None, :] + self.angle + SLACK
+            yield s, home, own, to
 
 
 def _join_tile(u: dict, v: dict, cosine: float, strip: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,6 +107,9 @@ def _join_tile(u: dict, v: dict, cosine: float, strip: int = 512) -> tuple[np.nd
     return every[some], links[some], every[label[some]]
 
 
+_KEY = ["cell", "i", "k"]
+
+
 def range_join(classes: DataFrame, dim: int, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """id, links, least of classes (rep, n, embedding of one length); one row for each tile in
     which a class has links. links counts copies."""
@@ -125,7 +117,8 @@ def range_join(classes: DataFrame, dim: int, cosine: float = COSINE, block: int
     n = classes.count()
     if n < 2:
         return spark.createDataFrame([], "id long, links long, least long")
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(n / block)))
+    block = max(1, min(block, BLOCK_BYTES // (8 * dim)))
+    wanted = max(1, min(math.ceil(n / block), math.isqrt(n), PIVOT_BYTES // (8 * dim)))
     rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("embedding").collect()
     cells = Cells(unit(np.array([r[0] for r in rows])), cosine)
     count = len(rows)
@@ -133,58 +126,48 @@ def range_join(classes: DataFrame, dim: int, cosine: float = COSINE, block: int
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, radius = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count)
         for batch in batches:
-            near, home = cells.homes(unit(_columns(batch)[2]))
-            own += np.bincount(home, minlength=count)
-            held += cells.copies(near, home).sum(axis=0)
-            np.maximum.at(radius, home, np.arccos(np.clip(near[np.arange(len(home)), home], -1, 1)))
+            for _, home, near, to in cells.place(matrix(batch.column("embedding"))):
+                own += np.bincount(home, minlength=count)
+                held += to.sum(axis=0)
+                np.maximum.at(radius, home, np.arccos(np.clip(near, -1, 1)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(count, dtype=np.int32)), pa.array(own), pa.array(held), pa.array(radius)], names=["cell", "own", "held", "radius"])
 
     shape = classes.mapInArrow(measure, "cell int, own long, held long, radius double").groupBy("cell").agg(F.sum("own").alias("own"), F.sum("held").alias("held"), F.max("radius").alias("radius")).orderBy("cell").collect()
     radius = np.array([r["radius"] for r in shape])
-    blocks = [max(1, math.ceil(r["own"] / block)) for r in shape]
-    parts = [max(1, math.ceil((r["own"] + r["held"]) / block)) for r in shape]
+    blocks = np.array([max(1, math.ceil(r["own"] / block)) for r in shape], np.int32)
+    parts = np.array([max(1, math.ceil((r["own"] + r["held"]) / block)) for r in shape], np.int32)
+    real = "array<double>" if dict(classes.dtypes)["embedding"] == "array<double>" else "array<float>"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its cells, its home first, and how many blocks and parts these have."""
         for batch in batches:
-            ids, copies, raw = _columns(batch)
-            near, home = cells.homes(unit(raw))
-            to = cells.copies(near, home, radius)
-            out: list[tuple] = []
-            for cell in range(count):
-                at_home, foreign = np.flatnonzero(home == cell), np.flatnonzero(to[:, cell])
-                if not len(at_home) and not len(foreign):
-                    continue
-                i, k = _spread(ids, blocks[cell]), _spread(ids ^ 0x5BD1E995, parts[cell])
-                for b in range(blocks[cell]):
-                    for p in range(parts[cell]):
-                        for role, own, chosen in ((True, True, at_home[i[at_home] == b]), (False, True, at_home[k[at_home] == p]), (False, False, foreign[k[foreign] == p])):
-                            if len(chosen):
-                                out.append((cell, b, p, role, own, ids[chosen].tobytes(), copies[chosen].tobytes(), raw[chosen].tobytes(), raw.shape[1]))
-                    if sum(len(x[7]) for x in out) > 1 << 25:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    names = ["cell", "i", "k", "home", "own", "ids", "copies", "vectors", "dim"]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
-    real = np.float64 if dict(classes.dtypes)["embedding"] == "array<double>" else np.float32
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = []
-        for part in (pdf[pdf["home"]], pdf[~pdf["home"]]):
-            ids = [np.frombuffer(b, np.int64) for b in part["ids"]]
-            own = [np.full(len(a), o) for a, o in zip(ids, part["own"], strict=True)]
-            x = [np.frombuffer(b, real).reshape(-1, dim) for b in part["vectors"]]
-            n = [np.frombuffer(b, np.int64) for b in part["copies"]]
-            if not ids:
-                return pd.DataFrame({"id": [], "links": [], "least": []}, dtype="int64")
-            sides.append({"ids": np.concatenate(ids), "own": np.concatenate(own), "x": np.concatenate(x), "n": np.concatenate(n)})
-        ids, links, least = _join_tile(*sides, cosine)
-        return pd.DataFrame({"id": ids, "links": links, "least": least})
-
-    dealt = classes.mapInArrow(deal, PACKED)
-    return dealt.groupBy("cell", "i", "k").applyInPandas(tile, "id long, links long, least long")
+            for s, home, _, to in cells.place(matrix(batch.column("embedding")), radius):
+                row, cell = np.nonzero(to)
+                row, cell = np.concatenate((np.arange(len(home)), row)), np.concatenate((home, cell)).astype(np.int32)
+                order = np.argsort(row, kind="stable")
+                row, cell = row[order], cell[order]
+                at = pa.array(np.searchsorted(row, np.arange(len(home) + 1)).astype(np.int32))
+                to_cells = pa.StructArray.from_arrays([pa.array(cell), pa.array(blocks[cell]), pa.array(parts[cell])], names=["cell", "blocks", "parts"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s, len(home)) for c in ("rep", "n", "embedding")), pa.ListArray.from_arrays(at, to_cells)], names=["rep", "n", "embedding", "cells"])
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, _KEY):
+            home = t["home"].to_numpy()
+            sides = [t.filter(pa.array(x)) for x in (home, ~home)]
+            if all(x.num_rows for x in sides):
+                u, v = ({"ids": x["rep"].to_numpy(), "n": x["n"].to_numpy(), "own": x["own"].to_numpy(), "x": matrix(x["embedding"])} for x in sides)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _join_tile(u, v, cosine)], names=["id", "links", "least"])
+
+    placed = classes.select("rep", "n", "embedding").mapInArrow(deal, f"rep long, n long, embedding {real}, cells array<struct<cell: int, blocks: int, parts: int>>")
+    placed = placed.select("rep", "n", "embedding", F.posexplode("cells").alias("at", "c")).select("rep", "n", "embedding", (F.col("at") == 0).alias("own"), "c.*")
+    block_of, part_of = (F.pmod(F.xxhash64("rep", "cell", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("blocks", "parts")))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    as_home = F.transform(upto("parts"), lambda k: F.struct(F.col("b").alias("i"), k.alias("k"), F.lit(True).alias("home")))
+    as_held = F.transform(upto("blocks"), lambda i: F.struct(i.alias("i"), F.col("p").alias("k"), F.lit(False).alias("home")))
+    roles = F.explode(F.when(F.col("own"), F.concat(as_home, as_held)).otherwise(as_held))
+    placed = placed.withColumns({"b": block_of, "p": part_of}).withColumn("role", roles).select("cell", "role.*", "own", "rep", "n", "embedding")
+    dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *_KEY).sortWithinPartitions(*_KEY)
+    return dealt.mapInArrow(tile, "id long, links long, least long")
 
 
 def near_embeddings(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -194,7 +177,8 @@ def near_embeddings(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sound = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.filter(sound)
-    classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "embedding"), "classes")
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("lead"), F.count("*").alias("n"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = None
     for (dim,) in classes.select(F.size("embedding")).distinct().collect():
         part = range_join(classes.filter(F.size("embedding") == dim), dim, cosine, block)
@@ -204,9 +188,10 @@ def near_embeddings(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         return rows.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = stored(found, "tiles")
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    facts = classes.join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("embedding", (F.coalesce("links", none) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = leads(found.select(F.col("id").alias("a"), F.col("least").alias("b")), classes.select(F.col("rep").alias("node"), "lead"))
+    linked = linked.select(F.col("node").alias("rep"), F.col("lead").alias("least"))
+    facts = classes.join(links, "rep", "left").join(linked, "rep", "left")
+    facts = facts.select("embedding", (F.coalesce("links", none) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "lead").alias("component_id"))
     out = good.join(facts, "embedding").select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.filter(~sound).select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -35,3 +35,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def leads(links: DataFrame, names: DataFrame) -> DataFrame:
+    """node and lead for each node of links (a, b): the least lead of the nodes that it reaches. names:
+    node, lead (of any type with an order)."""
+    comp = components(links)
+    least = comp.join(names, "node").groupBy("component").agg(F.min("lead").alias("lead"))
+    return comp.join(least, "component").select("node", "lead")

@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import WORD, mix64, pieces, shingle_sets, stored, text_or_empty
+from fuseline.llm.common import WORD, grouped, matrix, mix64, pieces, shingle_sets, stored, text_or_empty
 from fuseline.llm.embedding_join import stars
-from fuseline.llm.graph import components
+from fuseline.llm.graph import leads
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
 BRANCH, DEPTH, LIMIT, BLOCK, COORDINATES = 2, 3, 1024, 512, 64
@@ -130,28 +130,6 @@ def _tiles(rows: DataFrame, block: int, tokens: int) -> DataFrame:
     return rows.withColumn("t", F.explode(tile)).withColumns({"i": F.col("t.i"), "j": F.col("t.j")}).drop("t", "blocks", "w")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each key from batches sorted by the keys; holds a key's rows and a batch."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        if last is not None and tuple(key[0]) != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            if a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-        last = tuple(key[-1])
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _agreement(tokens: np.ndarray) -> np.ndarray:
     """At how many coordinates each two rows agree."""
     n = len(tokens)
@@ -202,11 +180,6 @@ def _common(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return both[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-
-
 _TILE = ["leaf", "i", "j"]
 
 
@@ -230,10 +203,10 @@ def _grouping(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARIT
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pa.Table] = []
         size = 0
-        for t in _grouped(batches, _TILE):
+        for t in grouped(batches, _TILE):
             if t.num_rows < 2:
                 continue
-            ok = _wanted(_matrix(t["tokens"]), t["size"].to_numpy(), number, _matrix(t["leaf_of"]), t["place"][0].as_py(), t["block"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py(), similarity)
+            ok = _wanted(matrix(t["tokens"]), t["size"].to_numpy(), number, matrix(t["leaf_of"]), t["place"][0].as_py(), t["block"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py(), similarity)
             some = np.flatnonzero(ok.any(axis=0) | ok.any(axis=1))
             if len(some):
                 out.append(t.select(_KEPT).take(some))
@@ -270,7 +243,7 @@ def _grouping(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARIT
                     yield pa.RecordBatch.from_pydict(out, schema=_SHIPPED)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, _TILE):
+        for t in grouped(batches, _TILE):
             rep, first = np.unique(t["rep"].to_numpy(), return_index=True)
             if len(rep) < 2:
                 continue
@@ -279,7 +252,7 @@ def _grouping(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARIT
             sizes = np.array([len(s) for s in sets_])
             tokens = sketch(sets_, 0, coordinates)[2]
             i, j, n = t["i"][0].as_py(), t["j"][0].as_py(), t["n"].to_numpy()
-            ok = _wanted(tokens, sizes, number, _matrix(t["leaf_of"]), t["place"][0].as_py(), t["block"].to_numpy(), i, j, similarity)
+            ok = _wanted(tokens, sizes, number, matrix(t["leaf_of"]), t["place"][0].as_py(), t["block"].to_numpy(), i, j, similarity)
             pairs = np.argwhere(ok)
             if not len(pairs):
                 continue
@@ -296,9 +269,8 @@ def _grouping(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARIT
     shipped = texts.mapInArrow(ship, "leaf long, i int, j int, place int, block int, rep long, n long, leaf_of array<long>, shingles binary")
     linked = stored(shipped.repartition(parts, *_TILE).sortWithinPartitions(*_TILE).mapInArrow(join, "id long, links long, least long"), "linked")
     links = linked.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    comp = components(linked.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    leads = comp.join(classes.select(F.col("rep").alias("node"), "lead"), "node").groupBy("component").agg(F.min("lead").alias("group_lead"))
-    comp = comp.join(leads, "component").select(F.col("node").alias("rep"), "group_lead")
+    comp = leads(linked.select(F.col("id").alias("a"), F.col("least").alias("b")), classes.select(F.col("rep").alias("node"), "lead"))
+    comp = comp.select(F.col("node").alias("rep"), F.col("lead").alias("group_lead"))
     known = classes.select("c1", "c2", "rep", "n", "lead").join(links, "rep", "left").join(comp, "rep", "left")
     return sets.select("doc_id", "h", "c1", "c2"), stored(known.select("c1", "c2", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"), F.coalesce("group_lead", "lead").alias("lead")), "known")
 
