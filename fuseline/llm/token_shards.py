@@ -3,14 +3,18 @@
 A shard file holds the ids of a range of documents, one after the other in ascending doc_id
 order. The ids are cut into blocks of a fixed number of ids (the last may be shorter); a block
 is transposed into byte planes (plane k: byte k of every id) or bit planes, only as many as its
-largest id needs, and each plane is a zstandard frame. The chunk index at the end says where
-each block starts, how many planes it has and how long each is, and lists the documents with
-their numbers of ids, so that a reader can fetch any block or document alone.
+largest id needs, and each plane is a zstandard frame. Between blocks stand lists of the documents so far, each
+of a fixed number of documents with their numbers of ids. The chunk index at the end says where
+each block starts, how many planes it has and how long each is, and where the lists are, so that a
+reader can fetch any block or document alone.
 
-    MAGIC | frames of block 0, block 1, ... | zstandard frame of the index | its length, 8 bytes | MAGIC
+    MAGIC | frames of blocks and lists | zstandard frame of the index | its length, 8 bytes | MAGIC
+
+There are as many shards as shuffle partitions, and more where a shard would hold over SHARD_BYTES of
+text. A writer or reader holds one block and one list, however long its shard is.
 
 Defined cases: a null text counts as empty (one id, the end id); rows that repeat a doc_id are
-kept, by text; a row with a null doc_id comes first; an empty table gives no documents; further
+kept, by the text's hash, and may fill several shards; rows with a null doc_id come first; an empty table gives no documents; further
 columns are ignored. Shards are named by task attempt and only those that the manifest lists
 count, so a lost or repeated task leaves nothing that is read."""
 
@@ -18,8 +22,10 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,8 @@ from fuseline.llm.common import pieces, scratch_dir, stored, text_or_empty
 from fuseline.llm.tokens import Encoder, tokenizer_path
 
 MAGIC = b"FLPLANE1"
-BLOCK = 1 << 16
+BLOCK = LISTED = 1 << 16
+SHARD_BYTES = 1 << 28
 END_ID = 2
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
@@ -66,41 +73,57 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 
 
 class ShardWriter:
-    """Takes the ids of whole documents in order; holds one block of them and the index."""
+    """Takes the ids of whole documents in order; holds one block of ids and one list of documents."""
 
-    def __init__(self, sink, kind: str = "byte", block: int = BLOCK, level: int = 1):
+    def __init__(self, sink, kind: str = "byte", block: int = BLOCK, listed: int = LISTED, level: int = 1):
         import zstandard
 
-        self.sink, self.kind, self.block = sink, kind, block
+        self.sink, self.kind, self.block, self.listed = sink, kind, block, listed
         self.pack = zstandard.ZstdCompressor(level=level).compress
-        self.at, self.left = len(MAGIC), bytearray()
+        self.at, self.left, self.n_docs, self.n_tokens = 0, bytearray(), 0, 0
         self.blocks: list[list[int]] = []
-        self.docs: list[int | None] = []
-        self.counts: list[int] = []
-        sink.write(MAGIC)
+        self.lists: list[list[int]] = []
+        self.names, self.counts, self.nulls = array("q"), array("Q"), 0
+        self._write(MAGIC)
+
+    def _write(self, data: bytes) -> None:
+        self.sink.write(data)
+        self.at += len(data)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append(doc_id)
+        """Documents without doc_id come first."""
+        self.nulls += doc_id is None
+        self.names.append(doc_id or 0)
         self.counts.append(len(ids) // 4)
+        self.n_docs, self.n_tokens = self.n_docs + 1, self.n_tokens + len(ids) // 4
         self.left += ids
         size = 4 * self.block
         while len(self.left) >= size:
             self._put(bytes(self.left[:size]))
             del self.left[:size]
+        if len(self.names) == self.listed:
+            self._list()
 
     def _put(self, ids: bytes) -> None:
         frames = [self.pack(p) for p in to_planes(np.frombuffer(ids, dtype="<u4"), self.kind)]
         self.blocks.append([self.at, len(ids) // 4, *map(len, frames)])
-        for f in frames:
-            self.sink.write(f)
-            self.at += len(f)
+        self._write(b"".join(frames))
+
+    def _list(self) -> None:
+        frame = self.pack(np.array(self.names, "<i8").tobytes() + np.array(self.counts, "<u8").tobytes())
+        self.lists.append([self.at, len(self.names), self.nulls, len(frame)])
+        self._write(frame)
+        self.names, self.counts, self.nulls = array("q"), array("Q"), 0
 
     def close(self) -> int:
+        """The file's size."""
         if self.left:
             self._put(bytes(self.left))
-        index = self.pack(json.dumps({"kind": self.kind, "blocks": self.blocks, "docs": self.docs, "counts": self.counts}).encode())
-        self.sink.write(index + struct.pack("<Q", len(index)) + MAGIC)
-        return self.at + len(index) + 8 + len(MAGIC)
+        if self.names:
+            self._list()
+        index = self.pack(json.dumps({"kind": self.kind, "blocks": self.blocks, "lists": self.lists}).encode())
+        self._write(index + struct.pack("<Q", len(index)) + MAGIC)
+        return self.at
 
 
 def read_index(source) -> dict:
@@ -130,16 +153,21 @@ def read_block(source, entry: list[int], kind: str) -> np.ndarray:
 
 
 def read_documents(source) -> Iterator[tuple[int | None, int, bytes]]:
-    """(doc_id, ids of the shard's documents before it, ids) of each document; holds one block
-    and one document."""
+    """(doc_id, ids of the shard's documents before it, ids) of each document; holds one block,
+    one list and one document."""
+    import zstandard
+
     index = read_index(source)
     held, start, blocks = bytearray(), 0, iter(index["blocks"])
-    for doc_id, count in zip(index["docs"], index["counts"], strict=True):
-        while len(held) < 4 * count:
-            held += read_block(source, next(blocks), index["kind"]).tobytes()
-        yield doc_id, start, bytes(held[: 4 * count])
-        del held[: 4 * count]
-        start += count
+    for at, n, nulls, size in index["lists"]:
+        source.seek(at)
+        names, counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(source.read(size)), "<i8").reshape(2, n).tolist()
+        for k, (name, count) in enumerate(zip(names, counts, strict=True)):
+            while len(held) < 4 * count:
+                held += read_block(source, next(blocks), index["kind"]).tobytes()
+            yield None if k < nulls else name, start, bytes(held[: 4 * count])
+            del held[: 4 * count]
+            start += count
 
 
 def filesystem(uri: str):
@@ -149,12 +177,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
-def write_token_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, kind: str = "byte", block: int = BLOCK) -> DataFrame:
+def write_token_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID, kind: str = "byte", block: int = BLOCK, listed: int = LISTED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode docs (doc_id, text) and write shard files below the URI out, one for each range
     of doc_id. Returns the manifest, a row for each shard in the documents' order."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / shard_bytes))
+    order = ["doc_id", "h", "row"]
+    ranged = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ranged = ranged.select("doc_id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +198,16 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int =
         name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.planes"
         encode = encoder(tokenizer).encode
         with store.open_output_stream(name) as sink:
-            writer = ShardWriter(sink, kind, block)
+            writer = ShardWriter(sink, kind, block, listed)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for first, part in pieces(batch.column("text")):
                     for doc_id, got in zip(ids[first : first + len(part)], encode(part), strict=True):
                         writer.add(doc_id, got + end)
             size = writer.close()
-        if writer.docs:
+        if writer.n_docs:
             path = out.rstrip("/") + name[len(folder) :]
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": path, "n_docs": len(writer.docs), "n_tokens": sum(writer.counts), "n_bytes": size}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": path, "n_docs": writer.n_docs, "n_tokens": writer.n_tokens, "n_bytes": size}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
         else:
             store.delete_file(name)
 
