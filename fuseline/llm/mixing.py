@@ -9,19 +9,21 @@ sources over (source, size, number of documents), with the steps kept inside a b
 
 Rates are then rounded to whole copies, up or down, within bounded groups of a source from the
 largest document to the smallest: each takes over the words that the larger ones owe or have taken
-too many, so a group's error is about half of a small document.
+too many, so a group's error is about half of a small document. Rows with the same doc_id, text and
+source are one entry with a number there, and share its copies evenly.
 
 Only figures for each source (its total, its target, its tilt) come to the driver; the sources
 of a mix are given by the user and few. Defined cases: a null text has size 0; documents of size 0
 are taken as often as rates say, which adds no words; a null source is a source, and the last;
-rows that repeat a doc_id are rounded each; an empty table gives no rows; other columns pass."""
+rows that repeat a doc_id are rounded each, those that repeat its text as well together (which of them
+has one copy more is left open); an empty table gives no rows; other columns pass."""
 
 from __future__ import annotations
 
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fuseline.llm.common import WORD, stored
@@ -103,23 +105,24 @@ def tilts(histogram: DataFrame, goal: dict, total: dict, docs: dict, limit: floa
             if step == tilt[s]:
                 active.discard(s)
             tilt[s] = step
-    return tilt
+    return {s: float(f"{v:.11g}") for s, v in tilt.items()}  # sums in another order give the same
 
 
-def round_rates(sizes: list[int], rates: list[float], limit: float = LIMIT) -> list[int]:
-    """Whole copies, each rate rounded up or down, so that the words that are left over or
-    lacking so far stay few; sizes fall. What is left at the end moves the documents of the most
-    fitting size by one copy, a few at most."""
+def round_rates(sizes: list[int], rates: list[float], counts: list[int] | None = None, limit: float = LIMIT) -> list[int]:
+    """Whole copies of counts equal documents each (one if not given), each rate rounded up or down, so
+    that the words that are left over or lacking so far stay few; sizes fall. What is left at the end
+    moves the documents of the most fitting size by one copy, a few at most."""
     owed, out = 0.0, []
-    for size, rate in zip(sizes, rates, strict=True):
-        low, high = math.floor(rate + 1e-9), math.ceil(rate - 1e-9)
-        wanted = rate + owed / size if size else rate
+    counts = counts or [1] * len(sizes)
+    for size, rate, n in zip(sizes, rates, counts, strict=True):
+        low, high = math.floor(rate + 1e-9) * n, math.ceil(rate - 1e-9) * n
+        wanted = rate * n + owed / size if size else rate * n
         copies = min(max(math.floor(wanted + 0.5), low), high)
-        owed += (rate - copies) * size
+        owed += (rate * n - copies) * size
         out.append(copies)
     for _ in range(3):
         step = 1 if owed > 0 else -1
-        free = [i for i, c in enumerate(out) if 0 < sizes[i] < 2 * abs(owed) - 1 and 0 <= c + step <= limit]
+        free = [i for i, c in enumerate(out) if 0 < sizes[i] < 2 * abs(owed) - 1 and 0 <= c + step <= limit * counts[i]]
         if not free:
             break
         best = min(free, key=lambda i: abs(abs(owed) - sizes[i]))
@@ -128,13 +131,28 @@ def round_rates(sizes: list[int], rates: list[float], limit: float = LIMIT) -> l
     return out
 
 
+_ENTRY = ["source", "doc_id", "_size", "_hash"]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with number, from 1 among those of an entry; counted in each stored partition first, so
+    that no task takes an entry's rows whole."""
+    rows = rows.withColumn("_part", F.shiftright("_row", 33))
+    inner = F.row_number().over(Window.partitionBy(*_ENTRY, "_part").orderBy("_row"))
+    per = rows.groupBy(*_ENTRY, "_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*_ENTRY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(*[F.col(c).alias(f"{c}_2") for c in (*_ENTRY, "_part")], before.alias("before"))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in (*_ENTRY, "_part")]
+    return rows.withColumn("inner", inner).join(per, on).withColumn("number", F.col("inner") + F.col("before"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, group: int = 4096, with_docs: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of each row of docs
     (doc_id, text, source); with_docs: docs itself with each row as often as it has copies."""
     row = [F.struct(*docs.columns).alias("whole")] if with_docs else []
-    whole_rows = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_row"), *row), "sized")
-    sized = whole_rows.select("doc_id", "source", "_size", "_row")
-    histogram = stored(sized.groupBy("source", F.col("_size").alias("size")).agg(F.count("*").alias("n")), "histogram")
+    rows = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("_size"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"), *row), "sized")
+    entries = stored(rows.groupBy(*_ENTRY).agg(F.count("*").alias("_n")), "entries")
+    histogram = stored(entries.groupBy("source", F.col("_size").alias("size")).agg(F.sum("_n").alias("n")), "histogram")
     per = {r["source"]: r for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).collect()}
     total, n_docs = {s: r["words"] for s, r in per.items()}, {s: r["docs"] for s, r in per.items()}
     goal = targets(total, weights, share, limit)
@@ -145,19 +163,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     power = F.least(_literal(capped, source) * size / _literal(mean, source), F.lit(math.log(limit)))
     rate = F.when(_literal({s: float(math.isinf(v) and v > 0) for s, v in tilt.items()}, source) > 0, F.lit(limit)).otherwise(F.exp(power))
     groups = {s: float(max(1, -(-n_docs[s] // group))) for s in per}
-    part = F.pmod(F.xxhash64("doc_id"), _literal(groups, source).cast("long"))
-    rated = sized.withColumns({"rate": rate, "_part": part})
+    part = F.pmod(F.xxhash64("doc_id", "_hash"), _literal(groups, source).cast("long"))
+    rated = entries.withColumns({"rate": rate, "_group": part})
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_size", "doc_id", "_row"], ascending=[False, True, True], kind="stable")
-        return pdf.assign(copies=round_rates(pdf["_size"].tolist(), pdf["rate"].tolist(), limit)).drop(columns="_part")
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.drop("_part").schema.fields)
-    out = rated.groupBy("source", "_part").applyInPandas(whole, shape + ", copies long")
+        pdf = pdf.sort_values(["_size", "doc_id", "_hash"], ascending=[False, True, True], kind="stable")
+        return pdf.assign(copies=round_rates(pdf["_size"].tolist(), pdf["rate"].tolist(), pdf["_n"].tolist(), limit)).drop(columns="_group")
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.drop("_group").schema.fields)
+    done = stored(rated.groupBy("source", "_group").applyInPandas(whole, shape + ", copies long"), "copies")
+    each = done.select(*[F.col(c).alias(f"{c}_1") for c in _ENTRY], "rate", F.expr("copies div _n").alias("least"), F.expr("copies % _n").alias("more"))
+    out = rows.join(each, [F.col(c).eqNullSafe(F.col(f"{c}_1")) for c in _ENTRY])
+    even, uneven = out.filter("more = 0").withColumn("copies", F.col("least")), out.filter("more > 0")
+    uneven = _numbered(uneven).withColumn("copies", F.col("least") + (F.col("number") <= F.col("more")).cast("long"))
+    out = even.unionByName(uneven.select(even.columns))
     if with_docs:
-        taken = out.filter("copies > 0").select("_row", "copies")
         again = F.explode(F.array_repeat("whole", F.col("copies").cast("int")))
-        return whole_rows.select("_row", "whole").join(taken, "_row").select(again.alias("whole")).select("whole.*")
+        return out.filter("copies > 0").select(again.alias("whole")).select("whole.*")
     return out.select(
         "doc_id", "source", F.col("_size").alias("size"), _literal({s: float(v) for s, v in total.items()}, source).cast("long").alias("source_size"),
         _literal(goal, source).alias("target"), "rate", "copies", (F.col("copies") * size).alias("taken"),

@@ -41,6 +41,41 @@ def test_rates_are_tilted_and_meet_the_targets(spark):
         assert g.groupby("size").rate.nunique().max() == 1
 
 
+def test_mix_of_many_equal_rows(spark):
+    """A third of all rows are one row: they share their copies evenly, and other splits of the rows
+    give the same."""
+    rows = [(7, "w " * 9, "a")] * 500 + [(i, "w " * (1 + i % 40), "ab"[i % 2]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(tuple, mixing.mix(x, group=100).collect())) for x in (df, df.repartition(7, "text").orderBy("text")))
+    assert one == two and len(one) == 1500
+    per = {}
+    for d, s, size, _, target, rate, copies, taken in one:
+        assert taken == copies * size and abs(copies - rate) < 2 and 0 <= copies <= 2
+        per[s] = (per.get(s, (0, 0))[0] + taken, target)
+    assert all(abs(t / g - 1) < 0.01 for t, g in per.values())
+    assert mixing.mix(df, with_docs=True, group=100).groupBy("doc_id", "text").count().filter("doc_id = 7 AND length(text) = 18").first()["count"] == sum(r[6] for r in one if r[0] == 7 and r[2] == 9)
+
+
+#: What op9's contract says of sizes and targets, round by round of the excess.
+MIX_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS words, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+step AS (SELECT 0 AS k, source, words, weight, NULL::DOUBLE AS fixed FROM s
+    UNION ALL SELECT k + 1, source, words, weight, coalesce(fixed, CASE WHEN weight * (1.5 * sum(words) OVER () - coalesce(sum(fixed) OVER (), 0)) / sum(weight) FILTER (fixed IS NULL) OVER () > 2 * words THEN 2 * words END) FROM step WHERE k < 100),
+last AS (SELECT source, words, coalesce(fixed, weight * (1.5 * sum(words) OVER () - coalesce(sum(fixed) OVER (), 0)) / sum(weight) FILTER (fixed IS NULL) OVER ()) AS target FROM step WHERE k = 100)
+SELECT d.doc_id, d.size, last.words::BIGINT AS source_size, last.target FROM d JOIN last ON d.source IS NOT DISTINCT FROM last.source
+"""
+
+
+def test_mix_sizes_and_targets_against_sql(spark, data, duck):
+    got = mixing.mix(spark.read.parquet(f"{data}/documents.parquet")).toPandas().sort_values("doc_id")
+    want = duck.sql(MIX_SQL).df().sort_values("doc_id")
+    for c in ("doc_id", "size", "source_size"):
+        assert got[c].tolist() == want[c].tolist()
+    assert got.target.tolist() == pytest.approx(want.target.tolist(), rel=1e-12)
+    assert ((got.copies - got.rate).abs() < 2).all() and got.copies.between(0, 2).all()
+
+
 def test_mix_cases(spark):
     rows = [(1, "a b c", "x"), (2, None, "x"), (3, "", None), (4, "d " * 500, None), (5, "e", "y"), (5, "e", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS copies", "2 AS rate", "3 AS _row", "4 AS whole")

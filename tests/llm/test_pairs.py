@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,27 @@ def test_every_long_run_is_found(spark):
         assert r["text"].split("\n") == [x for x in texts[d].split("\n") if x not in gone]
 
 
+@pytest.mark.parametrize("period", [["a"], ["a", "b"], ["x", "x", "x", "x", "y"], [f"{i}" for i in range(997)]])
+def test_lines_of_very_many_repeats(spark, period):
+    """The work grows with the lines: one period stays, in the first document."""
+    lines = (period * (100_000 // len(period) + 1))[:100_000]
+    began = time.time()
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(docs_of(spark, ["\n".join(lines), "top\n" + "\n".join(lines[:50_000]) + "\nend"])).collect()}
+    assert out[1] == ["top", "end"] and len(out[0]) <= 2 * len(period) and out[0][: len(period)] == period and set(out[0]) == set(period)
+    assert time.time() - began < 60
+
+
+def test_lines_against_sql(spark, duck):
+    """Texts of few different lines, so that runs repeat within and between them at many distances."""
+    rng = random.Random(8)
+    rows = [(i // 2, "\n".join(rng.choice(["a", "b", "c", "long " * 60, ""]) for _ in range(rng.randint(1, 40)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few_lines = df.toPandas()  # noqa: F841
+    want = duck.sql(line_dedup.SQL.format(docs="few_lines") + "SELECT doc_id, text_hash, coalesce(text, '') AS text, n_lines, n_removed FROM kept").df()
+    got = line_dedup.deduplicated(df).selectExpr("row.doc_id AS doc_id", "CAST(conv(substring(md5(row.text), 1, 15), 16, 10) AS LONG) AS text_hash", "text", "n_lines", "n_removed").distinct()
+    assert rows_of(got.toPandas()) == rows_of(want)
+
+
 # --- shingles ------------------------------------------------------------------------------------
 
 
@@ -205,6 +227,20 @@ def test_vectors_against_brute_force(spark, block):
     check_vectors(spark, [list(map(float, v)) for v in near + [near[0]] * 9 + [near[0] * 3]] + odd, block)
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in embedding_join.near_embeddings(df).collect()))
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1)]
+
+
+def test_vectors_at_the_limit(spark):
+    """Ties: a product of just 0.9 links, the next smaller one doesn't."""
+    y = float(np.sqrt(1 - 0.81))
+    over = [[0.9 + e, y] for e in (-1e-6, 0.0, 1e-6)]
+    check_vectors(spark, [[1.0, 0.0], *over, [3.0, 0.0]], 4096, "double")
+
+
 def test_vectors_in_double(spark):
     check_vectors(spark, [[1e300, 1e300], [1.0, 1.0], [1e-300, 0.0]], 4, "double")
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")

@@ -55,10 +55,12 @@ def test_planes_round_trip(kind):
 def test_shards_round_trip(spark, kind):
     docs = odd_docs(spark)
     path = tokenizer_path("word_bpe_49k.json")
-    manifest = token_shards.write_token_shards(docs, scratch_dir(spark), path, kind=kind, block=1000)
+    manifest = token_shards.write_token_shards(docs, scratch_dir(spark), path, kind=kind, block=1000, listed=2, shard_bytes=40_000)
+    assert 2 < manifest.count() <= 6
     got = token_shards.read_token_shards(manifest).collect()
     tok = Encoder(path).tokenizer
-    want = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in docs.collect()))
+    rows = docs.selectExpr("coalesce(doc_id, -1)", "xxhash64(coalesce(text, ''))", "coalesce(text, '')").collect()
+    want = [(d, t) for d, _, t in sorted(map(tuple, rows))]
     start, rows = 0, sorted(got, key=lambda r: r["start"])
     for (doc_id, text), r in zip(want, rows, strict=True):
         ids = np.array(tok.encode(text, add_special_tokens=False).ids + [2], "<u4").tobytes()
