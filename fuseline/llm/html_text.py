@@ -1,15 +1,17 @@
 """Operator 8: a page's main text by its line-block distribution.
 
 Markup is stripped to lines, one for each block of the page in order. A line's weight is the length
-of its text, less what links hold outside an article, and 0 for furniture: menus, page headers,
+of its text less what links hold, and 0 for furniture: menus, page headers,
 footers, sidebars, notices, adverts, forms and readers' comments, told by their elements, roles
 and class names. A form is none if it holds an article or more text than lies outside of forms, as
-where it wraps the whole page. The distribution is the sum of the weights in a window that slides over the lines.
-Where it leaves 0 is a surge, where it returns a dive; the lines between the two are a region. The
-heaviest region is the main text, with the other regions that hold lines of its articles and, where
-articles don't hold most of its weight, with those at least a quarter as heavy and those in its common
-container or in siblings of that of the same class, and the lines between them. Headings and paragraphs
-of links next to a kept region belong to it. Furniture within a region stays out, and nothing else.
+where it wraps the whole page. The distribution is the sum of the weights in a window that slides over
+the lines, from one that only its last line has entered to one that only its first hasn't left. Its
+threshold is a share of the page's own mean over windows with any weight. Where the sum
+passes it is a surge, where it falls below a dive; the lines of the windows between the two are a region.
+The heaviest region is the main text. With it go the regions at least a quarter as heavy, and what
+lies in the least container of all its lines (or in siblings of that of the same class) even where the
+distribution is low: a text's own short ends and lists. Headings and paragraphs of links next to a kept
+region belong to it. Furniture within a region stays out, and nothing else.
 
 Defined cases: null or empty html gives an empty text; a page in which everything looks like
 furniture is taken once more without looking at class names, then with navigation and footers as the
@@ -24,6 +26,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from fuseline.llm.common import pieces
 
 WINDOW = 3
+#: The threshold of a window's sum, as a share of the page's mean; and a region's weight, as one of the heaviest's.
+THRESHOLD, SIDE = 1 / 8, 1 / 4
 #: Fixed values of HTML: elements that start a new block, that have no end tag, whose text isn't shown, and that aren't the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,7 +92,7 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 _, why, form, article, block = self.state
-                self.lines.append((text, len(text) if article else max(0, len(text) - self.linked), why, form, article, block))
+                self.lines.append((text, max(0, len(text) - self.linked), why, form, article, block))
             self.text, self.linked = [], 0
 
     def _pop_to(self, k: int) -> None:
@@ -167,6 +172,15 @@ class Lines(HTMLParser):
         self._pop_to(0)
         self.ends[0] = len(self.ends) - 1
 
+    def is_page(self, block: int) -> bool:
+        return self.kinds[block][0] in ("", "html", "body")
+
+    def holder(self, block: int) -> int:
+        """The container that a block is or lies in."""
+        while block and self.kinds[block][0] not in CONTAINERS:
+            block = self.parents[block]
+        return block
+
     def container(self, blocks: list[int]) -> list[tuple[int, int]]:
         """(first, last) block of the least container of all the blocks, and of its siblings that are
         sections like it or of the same class."""
@@ -179,20 +193,35 @@ class Lines(HTMLParser):
         return [(k, self.ends[k]) for k, (p, kind) in enumerate(zip(self.parents, self.kinds, strict=True)) if p == self.parents[at] and (kind == (element, name) or kind[0] == element == "section")]
 
 
-def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(first, last + 1) of the lines from each surge to the next dive of the window's sum."""
-    sums = [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights))] + [0]
+def regions(weights: list[int], window: int = WINDOW, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(first, last + 1) of the lines from each surge to the next dive of the window's sum, less those
+    without weight at either end."""
+    run = [0, *accumulate(weights)]
+    sums = [run[min(len(weights), i + 1)] - run[max(0, i + 1 - window)] for i in range(len(weights) + window - 1)]
+    some = [s for s in sums if s]
+    least = threshold * sum(some) / len(some) if some else 0
     out, surge = [], None
-    for i, s in enumerate(sums):
-        if s and surge is None:
+    for i, s in enumerate([*sums, 0]):
+        if s and s >= least and surge is None:
             surge = i
-        elif not s and surge is not None:
-            last = max(k for k in range(surge, i) if weights[k])
-            out.append((surge, last + 1))
+        elif not (s and s >= least) and surge is not None:
+            lines = [k for k in range(max(0, surge - window + 1), min(i, len(weights))) if weights[k]]
+            if out and lines[0] < out[-1][1]:  # the windows of two surges share lines
+                lines[0] = out.pop()[0]
+            out.append((lines[0], lines[-1] + 1))
             surge = None
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those within others left out."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def _candidates(parser: Lines) -> Iterator[list[bool]]:
     """Which lines are furniture, by ever fewer marks."""
     for masks in (NAMED | MARKED | ALWAYS, MARKED | ALWAYS):
@@ -220,20 +249,22 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
             break
     else:
         return ""
-    texts, _, whys, _, articles, blocks = zip(*parser.lines, strict=True)
+    texts, _, whys, _, _, blocks = zip(*parser.lines, strict=True)
     mass = [sum(weights[a:b]) for a, b in found]
     top = range(*found[max(range(len(found)), key=mass.__getitem__)])
-    home = {articles[i] for i in top if articles[i]}
-    mostly = 2 * sum(weights[i] for i in top if articles[i]) > max(mass)
-    spans = [] if mostly else parser.container([blocks[i] for i in top if weights[i]])
+    spans = parser.container([blocks[i] for i in top if weights[i]])
+    page = parser.is_page(spans[0][0])
+    own = {parser.holder(blocks[i]) for i in top if weights[i]}
+    spans = merged([*(() if page else spans), *((k, parser.ends[k]) for k in own if not parser.is_page(k))])
     firsts = [first for first, _ in spans]
 
     def inside(i: int) -> bool:
         k = bisect_right(firsts, blocks[i]) - 1
         return k >= 0 and blocks[i] <= spans[k][1]
 
-    text = [(a, b) for (a, b), m in zip(found, mass, strict=True) if any(articles[i] in home or (weights[i] and inside(i)) for i in range(a, b)) or (not mostly and 4 * m >= max(mass))]
-    kept = {i for a, b in text for i in range(a, b)} | {i for i in range(text[0][0], text[-1][1]) if inside(i)}
+    text = [(a, b) for (a, b), m in zip(found, mass, strict=True) if m >= SIDE * max(mass) or any(weights[i] and inside(i) for i in range(a, b))]
+    kept = {i for a, b in text for i in range(a, b)} | {i for i in range(len(texts)) if weights[i] and inside(i)}
+    kept |= {i for i in range(min(kept), max(kept)) if page or inside(i)}
     for a, b in text:
         for i, step in ((a - 1, -1), (b, 1)):
             between = 0

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pytest
@@ -312,6 +314,40 @@ def test_regions():
     assert html_text.regions([], 3) == [] and html_text.regions([0, 0], 3) == []
 
 
+NO_NAMES = f"<body><div>Log in or join</div><ul>{'<li><a href=/x>One of the links</a>' * 5}</ul><div><h2>Title</h2><p>{LONG}</p><p>{LONG[:60]}</p></div><ul>{'<li><a href=/y>More of the links</a>' * 5}</ul><div>Made by somebody in a town</div></body>"
+PLAIN_TEXT = f"Title\n\n{LONG}\n\n{LONG[:60]}"
+
+
+def test_html_without_articles_and_names(monkeypatch):
+    """The distribution alone finds the text: no article, no roles, no class names; taking all lines, or
+    windows that span the page, gives what is no text."""
+    assert html_text.main_text(NO_NAMES) == PLAIN_TEXT
+    assert html_text.main_text(NO_NAMES, window=12) != PLAIN_TEXT
+    monkeypatch.setattr(html_text, "regions", lambda weights, window: [(0, len(weights))])
+    assert html_text.main_text(NO_NAMES) != PLAIN_TEXT
+
+
+def test_html_threshold_follows_the_page():
+    """The same short line is a dive on a page of long lines and text on a page of short ones."""
+    rows = lambda line, n: "".join(f"<div><div>{line}</div></div>" for _ in range(n))
+    long = html_text.main_text(rows(LONG, 6) + rows("short", 4) + "<div><div><a>x</a></div></div>" * 3)
+    assert long == "\n\n".join([LONG] * 6 + ["short"] * 2)
+    assert html_text.main_text(rows("short", 10)) == "\n\n".join(["short"] * 10)
+
+
+def brute_article(html):
+    """All text of the article element, block by block, of a page in which nothing else is in it."""
+    body = re.search("<article>(.*?)</article>", html, re.S)[1]
+    cut = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", re.sub("<!--.*?-->", "", body))
+    return "\n\n".join(filter(None, (" ".join(unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in cut)))
+
+
+def test_html_of_all_pages(spark, data):
+    """On the pages of the tables, whose truth their articles hold, the text is just that."""
+    rows = spark.read.parquet(f"{data}/pages.parquet").collect()
+    assert rows and all(html_text.main_text(r["html"]) == brute_article(r["html"]) for r in rows)
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>" + "x " * 100_000 + "</p></article>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     out = sorted((r["page_id"], r["n_chars"]) for r in html_text.extract_text(df).collect())
