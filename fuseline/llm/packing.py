@@ -4,9 +4,11 @@ A document's ids (with the end id) are one piece, or, if they are more than a se
 pieces of exactly a sequence's length after a first piece with the rest. Full pieces are
 sequences of their own. The others are dealt evenly at random to islands' problems of a bounded
 number of pieces. Each problem is solved by several islands, populations that evolve in tasks of
-their own: crossover injects whole well-filled bins of one parent into the other, drops bins that
-share pieces with them, and best-fits the displaced pieces. After each round every island's best
-packing migrates to the next island of its problem. Bins that the best packing fills well are
+their own and keep all their members from round to round: crossover injects whole well-filled bins of one
+parent into the other, drops bins that share pieces with them, and fits the displaced pieces again,
+best fit first by swapping them for smaller pieces of open bins, then by falling size into what is free.
+After each round every island's best packing migrates to the next island of its problem. An island
+stops where its packing meets the lower bound, or no longer improves. Bins that the best packing fills well are
 kept; the pieces of the rest go on, mixed anew, to the next pooling round, so what one problem
 can't fill is filled with what others have left.
 
@@ -17,6 +19,7 @@ the same in each run on the same rows, but for the numbers of sequences."""
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,7 @@ from fuseline.llm.token_shards import END_ID, encoder
 from fuseline.llm.tokens import tokenizer_path
 
 CAPACITY = 1024
+_LAST = 1 << 62  # after every piece of a size
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,34 +108,79 @@ def fitness(p: Bins) -> tuple[int, float]:
     return -len(p.bins), sum(((p.capacity - r) / p.capacity) ** 2 for r in p.room)
 
 
+def _swap(items: list[int], room: int, loose: list[tuple[int, int]], sizes: list[int]) -> int:
+    """Fill a bin better: a piece goes for a larger loose one, or for two. loose (size, piece) is in
+    order and stays so. Gives the room left."""
+    for at, item in enumerate(items):
+        size = sizes[item]
+        j = bisect_right(loose, (size + room, _LAST)) - 1
+        if j >= 0 and loose[j][0] > size:
+            gain, items[at] = loose[j][0] - size, loose[j][1]
+            del loose[j]
+            insort(loose, (size, item))
+            room -= gain
+            if not room:
+                return 0
+    for at, item in enumerate(items):
+        size, found = sizes[item], (sizes[item], 0, 0)
+        half = bisect_right(loose, ((size + room) // 2, _LAST))
+        for j in range(0, half, max(1, half // 64)):  # some of the possible lighter ones
+            k = bisect_right(loose, (size + room - loose[j][0], _LAST)) - 1
+            if k > j and loose[j][0] + loose[k][0] > found[0]:
+                found = (loose[j][0] + loose[k][0], j, k)
+                if found[0] == size + room:
+                    break
+        if found[0] > size:
+            _, j, k = found
+            items[at : at + 1] = [loose[j][1], loose[k][1]]
+            del loose[k], loose[j]
+            insort(loose, (size, item))
+            return room - (found[0] - size)
+    return room
+
+
+def refit(kept: list[tuple[list[int], int]], displaced: list[int], sizes: list[int], capacity: int, rng: np.random.Generator) -> Bins:
+    """The kept bins with the displaced pieces fitted in: open bins, in random order, first swap pieces
+    for larger ones, then what is left is best-fitted, the largest first."""
+    loose = sorted((sizes[i], i) for i in displaced)
+    for k in rng.permutation(len(kept)).tolist():
+        items, room = kept[k]
+        if room and loose:
+            kept[k] = (items, _swap(items, room, loose, sizes))
+    return best_fit(sizes, [i for _, i in reversed(loose)], kept, capacity)
+
+
 def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
     """a with well-filled bins of b injected whole; a's bins that share pieces with them are
-    dropped, and their other pieces best-fitted again, the largest first."""
+    dropped, and so are its worst and a few others; their other pieces are fitted again."""
     limit = int(np.quantile(b.room, rng.uniform(0.2, 0.6))) if b.room else 0
     injected = [k for k, r in enumerate(b.room) if r <= limit and rng.random() < 0.5]
     taken = {i for k in injected for i in b.bins[k]}
     kept, displaced = [(list(b.bins[k]), b.room[k]) for k in injected], []
     worst = np.quantile(a.room, 0.9) if a.room else 0
     for items, room in zip(a.bins, a.room, strict=True):
-        if taken.isdisjoint(items) and not (room and room >= worst):
+        if taken.isdisjoint(items) and not (room and (room >= worst or rng.random() < 0.02)):
             kept.append((list(items), room))
         else:
             displaced += [i for i in items if i not in taken]
-    displaced.sort(key=sizes.__getitem__, reverse=True)
-    return best_fit(sizes, displaced, kept, a.capacity)
+    return refit(kept, displaced, sizes, a.capacity, rng)
 
 
-def evolve(sizes: list[int], capacity: int, population: list[Bins], children: int, rng: np.random.Generator) -> list[Bins]:
-    """The population after so many children each replaced its worst member, if better."""
+def evolve(sizes: list[int], capacity: int, population: list[Bins], children: int, rng: np.random.Generator, patience: int = 40) -> list[Bins]:
+    """The population, best first, after so many children each replaced its worst member, if better;
+    fewer where the lower bound is met or the last patience children saved no bin."""
     scored = sorted(((fitness(p), p) for p in population), key=lambda x: x[0], reverse=True)
+    waited = 0
     for _ in range(children):
-        if len(scored) < 2 or -scored[0][0][0] <= -(-sum(sizes) // capacity):
-            break  # as few bins as can be
+        least = -scored[0][0][0]
+        if len(scored) < 2 or least <= -(-sum(sizes) // capacity) or waited >= patience:
+            break
         i, j = rng.choice(len(scored), 2, replace=False)
         child = crossover(scored[i][1], scored[j][1], sizes, rng)
         if (got := fitness(child)) > scored[-1][0]:
             scored[-1] = (got, child)
             scored.sort(key=lambda x: x[0], reverse=True)
+        waited = 0 if -scored[0][0][0] < least else waited + 1
     return [p for _, p in scored]
 
 
@@ -159,36 +208,53 @@ def _packing(labels: np.ndarray, sizes: list[int], capacity: int) -> Bins:
     return out
 
 
+_ISLAND = "problem long, island int, uids binary, lengths binary, members binary"
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64)
+
+
 def _solved(pieces: DataFrame, problems: int, capacity: int, islands: int, population: int, children: int, migrations: int, seed: int) -> DataFrame:
-    """pieces (uid, length) with problem, bin and room, the bin's, in the best packing found."""
+    """pieces (uid, length) with problem, bin and room, the bin's, in the best packing found. Between
+    rounds an island is one row with the bins of all its members, and one for its neighbour with
+    those of its best."""
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("uid", kind="stable")
+        one = (pdf["uid"].to_numpy(np.int64).tobytes(), pdf["length"].to_numpy(np.int64).tobytes(), b"")
+        return pd.DataFrame([(int(pdf["problem"].iloc[0]), i, *one) for i in range(islands)], columns=["problem", "island", "uids", "lengths", "members"])
+
     def island_of(round_: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("uid", kind="stable").reset_index(drop=True)
-            key = (int(pdf["problem"].iloc[0]), int(pdf["island"].iloc[0]))
-            sizes, rng = pdf["length"].tolist(), np.random.default_rng([seed, round_, *key])
-            people = first_population(sizes, capacity, population, rng)
-            if pdf["elite"].notna().all():
-                people[-1] = _packing(pdf["elite"].to_numpy(np.int64), sizes, capacity)
-            best = evolve(sizes, capacity, people, children, rng)[0]
-            score, bins = fitness(best), _labels(best, len(sizes))
-            return pdf.assign(elite=bins, room=np.asarray(best.room)[bins], n_bins=-score[0], fill=score[1])
+            own = pdf[pdf["uids"].str.len() > 0].iloc[0]
+            problem, island, n = int(own["problem"]), int(own["island"]), len(own["uids"]) // 8
+            sizes, rng = _numbers(own["lengths"]).tolist(), np.random.default_rng([seed, round_, problem, island])
+            labels = np.concatenate([_numbers(m) for m in pdf["members"]]).reshape(-1, n)
+            people = [_packing(x, sizes, capacity) for x in labels] or first_population(sizes, capacity, population, rng)
+            people = evolve(sizes, capacity, people, children, rng)[:population]
+            members = [_labels(p, n).tobytes() for p in people]
+            rows = [(problem, island, own["uids"], own["lengths"], b"".join(members))]
+            if round_ < migrations and islands > 1:
+                rows.append((problem, (island + 1) % islands, b"", b"", members[0]))
+            return pd.DataFrame(rows, columns=["problem", "island", "uids", "lengths", "members"])
 
         return run
 
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes, n = _numbers(pdf["lengths"].iloc[0]).tolist(), len(pdf["uids"].iloc[0]) // 8
+        best = max((_packing(_numbers(m)[:n], sizes, capacity) for m in pdf.sort_values("island")["members"]), key=fitness)
+        bins = _labels(best, n)
+        return pd.DataFrame({"uid": _numbers(pdf["uids"].iloc[0]), "length": sizes, "problem": pdf["problem"].iloc[0], "bin": bins, "room": np.asarray(best.room)[bins]})
+
     problem = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(problems))
-    state = pieces.select("uid", "length", problem.alias("problem"), F.lit(None).cast("long").alias("elite"))
-    state = state.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    shape = "uid long, length long, problem long, elite long, island int, room long, n_bins long, fill double"
+    state = pieces.select("uid", "length", problem.alias("problem")).groupBy("problem").applyInPandas(settle, _ISLAND)
     for round_ in range(migrations + 1):
-        state = state.groupBy("problem", "island").applyInPandas(island_of(round_), shape)
-        if round_ < migrations:  # each island's best packing moves on to its neighbour
-            state = state.select("uid", "length", "problem", "elite", ((F.col("island") + 1) % islands).cast("int").alias("island"))
-    best = F.max_by(F.struct("elite", "room"), F.struct(-F.col("n_bins"), "fill", -F.col("island")))
-    out = state.groupBy("uid", "length", "problem").agg(best.alias("best"))
-    return out.select("uid", "length", "problem", F.col("best.elite").alias("bin"), F.col("best.room").alias("room"))
+        state = state.groupBy("problem", "island").applyInPandas(island_of(round_), _ISLAND)
+    return state.groupBy("problem").applyInPandas(choose, "uid long, length long, problem long, bin long, room long")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_problem: int = 4096, islands: int = 2, population: int = 4, children: int = 6, migrations: int = 1, poolings: int = 2, spare: float = 0.004) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_problem: int = 4096, islands: int = 2, population: int = 5, children: int = 60, migrations: int = 1, poolings: int = 2, spare: float = 0.004) -> DataFrame:
     """pieces with sequence_id and offset. spare: bins with at most this share of room are kept
     before the last of the pooling rounds; problems have about per_problem pieces."""
     spark = pieces.sparkSession

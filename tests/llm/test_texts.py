@@ -111,6 +111,26 @@ def test_packing_is_near_the_bound(spark):
     assert len(out) == 3000 and n <= 1.01 * -(-sum(sizes) // 1024) + 1
 
 
+def hard_sizes(rng, bins):
+    """Sizes that fill so many sequences with three pieces each, which best fit by falling size misses."""
+    out = []
+    for _ in range(bins):
+        a = rng.randint(390, 499)
+        b = rng.randint(260, (1024 - a) // 2)
+        out += [a, b, 1024 - a - b]
+    return out
+
+
+def test_packing_beats_best_fit_on_hard_sizes(spark):
+    """The search saves a twelfth and more of best fit's sequences; short rounds that go on from one
+    another get as far as a long one."""
+    sizes = hard_sizes(random.Random(4), 300) + [random.Random(5).randint(342, 360) for _ in range(120)]
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES).repartition(3)
+    plain = len(packing.best_fit(sizes, sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), [], 1024).bins)
+    counts = [check_packed(packing.pack_pieces(df, per_problem=2000, migrations=m, children=c).collect(), 1024) for m, c in ((0, 0), (0, 10), (5, 10))]
+    assert counts[0] <= plain and counts[1] < 0.96 * counts[0] and counts[2] < counts[1] and counts[2] < 0.92 * plain
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 100, 200).tolist()
