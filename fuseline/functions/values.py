@@ -6,7 +6,9 @@ characters."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,29 +35,60 @@ def nfkc(c: pd.Series) -> pd.Series:
 _BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+assert sorted(re.findall(_SPACE.replace(r"\x{", "\\u").replace("}", ""), "".join(map(chr, range(0x3001))))) == sorted(_BLANK)
+
+
+def is_ascii(c: Column) -> Column:
+    """Whether a text holds printable ASCII alone: most values do, and need few of the steps below."""
+    return c.rlike(r"\A[ -~]*\z")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once for each row, however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANK))
 
 
 def clean(c: Column) -> Column:
     """A cell's text; "" for null, blank and the words nan, none and nat."""
-    return F.regexp_replace(F.coalesce(trimmed(c.cast("string")), F.lit("")), "(?i)^(?:nan|none|nat)$", "")
+    word = lambda x: F.when(F.lower(x).isin("nan", "none", "nat"), "").otherwise(x)
+    bare = lambda x: is_ascii(x) & ~x.startswith(" ") & ~x.endswith(" ")
+    return let(F.coalesce(c.cast("string"), F.lit("")), lambda x: F.when(bare(x), word(x)).otherwise(let(trimmed(x), word)))
 
 
 def plain(c: Column) -> Column:
     """clean() with full-width characters as ASCII and runs of white space as one space."""
-    text = F.translate(clean(c), _WIDE + "。", _PLAIN + ".")
-    return trimmed(F.regexp_replace(text, r"(?U)\s+", " "))
+    return plain_text(clean(c))
+
+
+def plain_text(text: Column) -> Column:
+    """plain() of a text that is clean() already."""
+    full = lambda x: trimmed(F.regexp_replace(F.translate(x, _WIDE + "。", _PLAIN + "."), f"{_SPACE}+", " "))
+    return let(text, lambda x: F.when(is_ascii(x) & ~x.contains("  "), x).otherwise(full(x)))
+
+
+_LEFT_OUT = r"\([^)]*\)|" + PUNCTUATION.replace("[\\s", "[" + _SPACE[1:-1])
 
 
 def name_key(c: Column) -> Column:
     """fuseline.functions.registry.name_key for text without other compatibility characters."""
-    text = F.lower(trimmed(F.translate(F.coalesce(c.cast("string"), F.lit("")), _WIDE, _PLAIN)))
-    return F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", ""), PUNCTUATION.replace("[\\s", "(?U)[\\s"), "")
+    full = lambda x: F.regexp_replace(F.lower(trimmed(F.translate(x, _WIDE, _PLAIN))), _LEFT_OUT, "")
+    return let(F.coalesce(c.cast("string"), F.lit("")), lambda x: F.when(x.rlike(r"\A[A-Za-z0-9#$%&+*=@]*\z"), F.lower(x)).otherwise(full(x)))
 
 
 def is_missing(c: Column, registry: Registry = DEFAULT) -> Column:
-    return name_key(plain(c)).isin(*sorted(registry.null_keys()))
+    return is_null_text(plain(c), registry)
+
+
+def is_null_text(text: Column, registry: Registry = DEFAULT) -> Column:
+    """is_missing() of a plain() text. Letters and digits alone, longer than any null token, are none."""
+    tokens = sorted(registry.null_keys())
+    longer = lambda x: x.rlike(rf"\A[A-Za-z0-9]{{{max(map(len, tokens)) + 1},}}\z")
+    return let(text, lambda x: ~longer(x) & name_key(x).isin(*tokens))
 
 
 def chinese_number(c: Column) -> Column:
@@ -89,9 +122,8 @@ def number(c: Column) -> Column:
 
 
 def text_number(text: Column) -> Column:
-    found = F.regexp_extract(text, f"({NUMBER})", 1)
-    value = F.regexp_replace(found, ",", "").try_cast("double")
-    return F.when(found != "", F.round(value * multiplier(text), 8)).otherwise(chinese_number(text) * multiplier(text))
+    value = lambda x: F.replace(F.regexp_extract(x, f"({NUMBER})", 1), F.lit(","), F.lit("")).try_cast("double")
+    return let(text, lambda x: F.coalesce(F.round(value(x) * multiplier(x), 8), chinese_number(x) * multiplier(x)))
 
 
 def percent(c: Column) -> Column:
@@ -100,7 +132,7 @@ def percent(c: Column) -> Column:
 
 
 def text_percent(text: Column) -> Column:
-    return F.round(text_number(text) / F.when(text.contains("%") | text.contains("百分"), 100).otherwise(1), 8)
+    return let(text, lambda x: F.round(text_number(x) / F.when(x.contains("%") | x.contains("百分"), 100).otherwise(1), 8))
 
 
 def date(c: Column) -> Column:
@@ -112,14 +144,16 @@ def date(c: Column) -> Column:
 def text_date(text: Column) -> Column:
     text = F.translate(F.translate(text, "年月/.", "----"), "日", "")
     text = F.regexp_replace(F.regexp_replace(text, "-+", "-"), "^[- ]+|[- ]+$", "")
-    year, month, day = (F.regexp_extract(text, r"^(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?", k) for k in (1, 2, 3))
-    shorter_month = F.regexp_extract(text, r"^(\d{4})-?(\d{2})", 2)
-    m = F.when(month != "", F.lpad(month, 2, "0")).otherwise(shorter_month)
-    whole = F.when(day != "", F.concat_ws("-", year, m, F.lpad(day, 2, "0")))
-    to_month = F.when(m != "", F.concat(year, F.lit("-"), m, F.lit("-01")))
-    to_year = F.when((year != "") & (year != "0000"), F.concat(year, F.lit("-01-01")))
-    real = lambda x: F.when(x.try_cast("date").isNotNull(), x)
-    return F.coalesce(real(whole), real(to_month), real(to_year))
+    # year|month|day, parts that aren't there left empty; a text without a year stays as it is
+    parts = F.regexp_replace(text, r"(?s)^(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?|(\d{2}))?.*$", "$1|$2$4|$3")
+
+    def best(p: Column) -> Column:
+        day = lambda x: F.replace(x, F.lit("|"), F.lit("-")).try_cast("date")
+        year = F.substring_index(p, "|", 1)
+        found = F.coalesce(day(p), day(F.substring_index(p, "|", 2)), F.when(year != "0000", day(year)))
+        return F.when(p.contains("|"), found.cast("string"))
+
+    return let(parts, best)
 
 
 def unit(c: Column, registry: Registry = DEFAULT) -> Column:
@@ -128,15 +162,17 @@ def unit(c: Column, registry: Registry = DEFAULT) -> Column:
 
 
 def text_unit(text: Column, registry: Registry) -> Column:
-    known = [F.when(text.contains(u), F.lit(u)) for u in sorted(registry.units, key=len, reverse=True)]
-    return F.coalesce(*known, F.regexp_extract(text, NUMBER + r"\s*([A-Za-z%]+)", 1))
+    units = sorted(registry.units, key=len, reverse=True)
+    first = lambda x, us: F.coalesce(*[F.when(x.contains(u), F.lit(u)) for u in us], F.regexp_extract(x, NUMBER + r"\s*([A-Za-z%]+)", 1))
+    return let(text, lambda x: F.when(is_ascii(x), first(x, [u for u in units if u.isascii()])).otherwise(first(x, units)))
 
 
 def rendered(value: Column) -> Column:
     """A double as text without exponent: whole numbers without a point."""
     whole = value == F.floor(value)
-    exact = F.regexp_replace(F.regexp_replace(value.cast("decimal(30,8)").cast("string"), r"0+$", ""), r"\.$", "")
-    return F.when(whole, value.cast("decimal(30,0)").cast("string")).otherwise(exact)
+    exact = F.regexp_replace(value.cast("decimal(30,8)").cast("string"), r"\.?0+$", "")
+    small = whole & (F.abs(value) < 1e15)
+    return F.when(small, value.cast("long").cast("string")).when(whole, value.cast("decimal(30,0)").cast("string")).otherwise(exact)
 
 
 def typed(c: Column, kind: str, registry: Registry = DEFAULT) -> Column:

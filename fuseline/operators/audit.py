@@ -66,6 +66,21 @@ def accuracy(compared: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("meets_threshold", F.col("cell_accuracy") >= 80)
 
 
+def similar_outputs(cells: DataFrame) -> DataFrame:
+    """n_cells and tasks: tasks whose filled cells (task, row_no, field, value, source_file) are all the same.
+    A task's signature is made of sums over its cells' hashes, so no task's cells are gathered."""
+    cell = F.struct("row_no", "field", F.coalesce("value", F.lit("")), F.coalesce("source_file", F.lit("")))
+    one = cells.withColumns({"_a": F.xxhash64(cell), "_b": F.xxhash64(cell, F.lit(1))})
+    signed = one.groupBy("task").agg(F.count("*").alias("n_cells"), F.sum(F.col("_a").cast("decimal(38,0)")).alias("_a"), F.bit_xor("_b").alias("_b"))
+    return signed.groupBy("n_cells", "_a", "_b").agg(F.array_sort(F.collect_list("task")).alias("tasks")).filter(F.size("tasks") > 1).select("n_cells", "tasks")
+
+
+def field_match_rate(cells: DataFrame) -> DataFrame:
+    """Percent of cells (value, match_method) with a value and a method, and the mean confidence of these."""
+    hit = (F.coalesce("value", F.lit("")) != "") & (F.coalesce("match_method", F.lit("")) != "")
+    return cells.agg(F.round(F.count_if(hit) * 100.0 / F.greatest(F.count("*"), F.lit(1)), 4).alias("match_rate"), F.round(F.avg(F.when(hit, F.col("confidence"))), 4).alias("mean_confidence"))
+
+
 #: Checks that decide the status; the others are advice.
 HARD = ("fill_rate", "rows_filled", "record_coverage", "list_like_record_count", "source_stat_consistency", "metric_consistency")
 

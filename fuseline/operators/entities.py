@@ -5,6 +5,8 @@ against it are expressions, so legality of any number of records is one filter w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def header_kind(header: str) -> str:
 
 def _any(c: Column, words: tuple[str, ...], form: str = "{}") -> Column:
     """Whether a text has one of the words: anywhere, or as form says ("^{}", "{}$")."""
-    return c.rlike(form.format(f"(?:{'|'.join(words)})"))
+    return c.rlike(form.format(f"(?:{'|'.join(map(re.escape, words))})"))
 
 
 def granularity(c: Column, kind: str) -> Column:

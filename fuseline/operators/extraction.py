@@ -3,6 +3,7 @@ confidence, provenance and the stages' losses."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ LEADING = r"^\s*(?:[-*•]|\d+[.)、])?\s*([一-龥]{2,8}?(?:省|市|区|县|州
 def near_number(text: Column, names: Sequence[str], reach: int = 32) -> Column:
     """The first number at most reach characters behind one of the names, the first name that has
     one; else one at most reach characters before it."""
+    names = [re.escape(n) for n in names]
     found = [F.regexp_extract(text, rf"(?i){n}[^\d\n]{{0,{reach}}}?({NUMBER})", 1) for n in names]
     before = [F.regexp_extract(text, rf"(?i)({NUMBER})[^\d\n]{{0,{reach}}}?{n}", 1) for n in names]
     return F.coalesce(*[F.when(x != "", F.trim(x)) for x in found + before], F.lit(""))

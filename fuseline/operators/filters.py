@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuseline.functions.values import trimmed
+from fuseline.operators.mapping import match_headers
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,22 @@ def entity_match(c: Column, entities: Sequence[str]) -> Column:
     return out
 
 
+def same_date(a: Column, b: Column) -> Column:
+    plain = lambda c: F.translate(F.regexp_replace(trimmed(c), r"\.0$", ""), "/.", "--")
+    return (a != "") & (b != "") & (plain(a) == plain(b))
+
+
+def apply_table_spec(df: DataFrame, spec: dict[str, str]) -> DataFrame:
+    """df where the columns that match the spec's keys hold their values, contain them, lie within them or are
+    the same date; a key that would leave nothing, or that no column matches, is passed over."""
+    for key, value in spec.items():
+        if pairs := match_headers([key], df.columns):
+            cell = trimmed(F.coalesce(F.col(f"`{pairs[0][1]}`").cast("string"), F.lit("")))
+            want = F.lit(value)
+            df = soft(df, cell.contains(want) | F.contains(want, cell) | same_date(cell, want))
+    return df
+
+
 def apply_requirement(df: DataFrame, need: Requirement, date_column: str | None = None, entity_column: str | None = None, order: Sequence[Column] = ()) -> DataFrame:
     """df after the date range, the values, the entities and the number of rows, in this order.
     order: the source's order, needed for a number of rows."""

@@ -29,7 +29,8 @@ def sentences(c: Column) -> Column:
 
 
 def summarize(docs: DataFrame, text: str = "text", least: int = 12, points: int = 8, lead: int = 3) -> DataFrame:
-    """doc_id, key_points and summary: the first sentences of some length, as asked for."""
+    """doc_id, key_points and summary: the first points sentences of at least so many characters, and the
+    first lead of them in at most 800 characters, as a summary is meant to be."""
     found = F.slice(F.filter(sentences(F.col(text)), lambda x: F.length(x) >= least), 1, points)
     return docs.select("doc_id", found.alias("key_points")).withColumn("summary", F.substring(F.concat_ws(" ", F.slice("key_points", 1, lead)), 1, 800))
 
@@ -43,12 +44,27 @@ def relevant(content: Column, words: Sequence[str], least: int = 18) -> Column:
 
 
 def top_segments(segments: DataFrame, score: Column, k: int) -> DataFrame:
-    """Each document's k segments of the highest score, the earlier of equal ones. The list of a
-    document's best is kept short by slicing within its own blocks."""
-    scored = segments.withColumn("score", score)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "block_index", "content"))), 1, k)
-    out = scored.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.posexplode("b").alias("place", "x"))
-    return out.select("doc_id", "place", F.col("x.block_index").alias("block_index"), F.col("x.content").alias("content"), (-F.col("x.s")).alias("score"))
+    """Each document's k segments of the highest score, the earlier of equal ones. Spark keeps each
+    task's k best of a document before the shuffle, so no document's blocks are gathered."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "block_index"))
+    best = segments.withColumn("score", score).withColumn("place", place - 1).filter(F.col("place") < k)
+    return best.select("doc_id", "place", "block_index", "content", "score")
+
+
+#: A block that stands alone: a list item, or one with a number, a date or a label.
+ALONE = r"^\s*(?:\d+[.)、]|[一二三四五六七八九十]+、|[-*•])\s+|\d|[^：:\s]{1,16}[：:][^：:]{1,32}"
+
+
+def continuations(segments: DataFrame, entity: Column, longest: int = 180) -> DataFrame:
+    """doc_id, group_no, first_block, n_blocks and content: short blocks without an entity, a number or a
+    label go on the block before them."""
+    doc = Window.partitionBy("doc_id").orderBy("block_index")
+    start = (F.coalesce(entity, F.lit("")) != "") | F.col("content").rlike(ALONE) | (F.length("content") > longest) | (F.row_number().over(doc) == 1)
+    rows = segments.withColumn("_start", start.cast("int"))
+    rows = rows.withColumn("group_no", F.sum("_start").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("block_index", "content")))
+    out = rows.groupBy("doc_id", "group_no").agg(F.min("block_index").alias("first_block"), F.count("*").alias("n_blocks"), parts.alias("parts"))
+    return out.select("doc_id", "group_no", "first_block", "n_blocks", F.concat_ws("\n", "parts.content").alias("content"))
 
 
 def entity_blocks(segments: DataFrame, entity: Column, longest: int = 1400) -> DataFrame:
@@ -98,9 +114,19 @@ def topic_overlap(c: Column, wanted: Column) -> Column:
     return F.array_intersect(topic_tokens(c), topic_tokens(wanted))
 
 
-def find(docs: DataFrame, query: str, text: str = "text", limit: int = 100) -> DataFrame:
-    """doc_id, block_index and content of the first blocks that contain query."""
-    return blocks(docs, text).filter(F.col("content").contains(query)).orderBy("doc_id", "block_index").limit(limit).select("doc_id", "block_index", "content")
+def find(docs: DataFrame, query: str, text: str = "text", limit: int | None = None) -> DataFrame:
+    """doc_id, block_index and content of the blocks that contain query; of the first ones if a limit is given."""
+    hits = blocks(docs, text).filter(F.col("content").contains(query)).select("doc_id", "block_index", "content")
+    return hits if limit is None else hits.orderBy("doc_id", "block_index").limit(limit)
+
+
+def titles(docs: DataFrame, name: Column, text: str = "text") -> DataFrame:
+    """doc_id and title: the first line of 2 to 80 characters that starts one of the first six blocks, else the
+    file's name without its ending."""
+    first = F.when(F.col("block_index") < 6, F.get(F.split("content", "\n"), F.lit(0)))
+    line = F.when(F.length(trimmed(first)).between(2, 80), trimmed(first))
+    found = blocks(docs, text).withColumn("line", line).filter("line is not null").groupBy("doc_id").agg(F.min_by("line", "block_index").alias("line"))
+    return docs.select("doc_id", stem(name).alias("name")).join(found, "doc_id", "left").select("doc_id", F.coalesce("line", "name").alias("title"))
 
 
 def replace_placeholders(c: Column, values: dict[str, str]) -> Column:

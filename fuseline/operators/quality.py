@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuseline.functions.registry import DEFAULT, Registry
-from fuseline.functions.values import clean, name_key, plain, rendered, text_date, text_number, text_percent, text_unit
+from fuseline.functions.values import clean, is_null_text, name_key, plain_text, rendered, text_date, text_number, text_percent, text_unit
 from fuseline.sources.cells import location
+from fuseline.sources.scratch import stored
 
 NUMERIC = ("number", "currency", "percent")
 SEVERITY = {"cross_source_conflict": "error", "value_without_evidence": "error"}
@@ -30,8 +31,8 @@ def with_types(cells: DataFrame, types: dict[str, str], registry: Registry = DEF
     kind = F.lit("text")
     for k in sorted(set(types.values()) - {"text"}):
         kind = F.when(among(k), k).otherwise(kind)
-    out = cells.withColumns({"_text": plain(F.col("value")), "_clean": clean(F.col("value")), "_kind": kind})
-    out = out.withColumn("_null", name_key(text).isin(*sorted(registry.null_keys())))
+    out = cells.withColumns({"_clean": clean(F.col("value")), "_kind": kind}).withColumn("_text", plain_text(F.col("_clean")))
+    out = out.withColumn("_null", is_null_text(text, registry))
     out = out.withColumns({
         "_num": F.when(~F.col("_null") & among("number", "currency"), text_number(text)).when(~F.col("_null") & among("percent"), text_percent(text)),
         "_day": F.when(among("date"), text_date(text)),
@@ -90,8 +91,8 @@ def cross_source_conflicts(cells: DataFrame) -> DataFrame:
 
 def analyze(cells: DataFrame, types: dict[str, str], registry: Registry = DEFAULT) -> DataFrame:
     """All issues of the cells."""
-    full = with_types(cells, types, registry)
-    rules = [cell_issues(full), duplicate_records(cells), numeric_anomalies(full, registry.outlier_z), cross_source_conflicts(full)]
+    full = stored(with_types(cells, types, registry), "typed_cells")  # regular expressions run once on a cell
+    rules = [cell_issues(full), duplicate_records(full), numeric_anomalies(full, registry.outlier_z), cross_source_conflicts(full)]
     return reduce(DataFrame.unionByName, rules)
 
 
@@ -108,13 +109,14 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue_type", "severity").agg(F.count("*").alias("issues"))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row for each column: rows, nulls, distinct values, least and greatest text, and for
-    numeric columns mean and population standard deviation."""
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row for each column: rows, nulls, distinct values, and for numeric columns the least, the
+    greatest, mean and population standard deviation. exact=False: distinct values are estimated by sketches
+    that merge, so that no value is shuffled."""
     numeric = {c for c, k in df.dtypes if k in ("int", "bigint", "double", "float", "smallint", "tinyint") or k.startswith("decimal")}
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num")) for c in df.columns])
     long = df.select(F.explode(entries).alias("e")).select("e.*")
     return long.groupBy("column_name").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("v").isNull()).alias("n_nulls"), F.count_distinct("v").alias("n_distinct"),
+        F.count("*").alias("n_rows"), F.count_if(F.col("v").isNull()).alias("n_nulls"), (F.count_distinct("v") if exact else F.approx_count_distinct("v")).alias("n_distinct"),
         F.min("num").alias("min_num"), F.max("num").alias("max_num"), F.round(F.avg("num"), 4).alias("mean_num"), F.round(F.stddev_pop("num"), 4).alias("std_num"),
     )

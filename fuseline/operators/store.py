@@ -5,7 +5,7 @@ repeated import adds nothing: documents whose content hash is known are left out
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLACE = "市县区省州镇"
@@ -76,6 +76,25 @@ def page(df: DataFrame, order: list[str], limit: int, offset: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def quality_issues(issues: DataFrame, limit: int, doc: str = "source") -> DataFrame:
+    """The first issues: errors, then warnings, then others, each by source, field and place."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return issues.orderBy(rank, doc, "field_name", "location", "issue_type").limit(limit)
+
+
+def details(docs: DataFrame, blocks: DataFrame, found: DataFrame, first: int) -> DataFrame:
+    """docs (doc_id, ...) with n_blocks, n_entities and first_blocks, the first few of each document:
+    the parts are aggregated before they are joined."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_index"))
+    shown = blocks.withColumn("place", place).filter(F.col("place") <= first)
+    shown = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "content"))).alias("b")).select("doc_id", F.col("b.content").alias("first_blocks"))
+    counts = [t.groupBy("doc_id").agg(F.count("*").alias(n)) for t, n in ((blocks, "n_blocks"), (found, "n_entities"))]
+    out = docs
+    for part in (*counts, shown):
+        out = out.join(part, "doc_id", "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("n_blocks", "n_entities")})
+
+
 def stats(docs: DataFrame, by: list[str]) -> DataFrame:
     """dimension, item and count for each of the columns by."""
     entries = F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("item")) for c in by])

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fuseline.functions import headers, lenient
 from fuseline.functions import values as V
 from fuseline.functions.registry import DEFAULT
-from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, quality, records, store, templates
+from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, pairing, quality, records, store, templates
 from fuseline.plans import requirement
 from fuseline.sources.cells import cells_of
 from fuseline.sources.readers import flatten_json
@@ -91,12 +92,45 @@ def quality_duplicate(spark, d):
     return t(spark, d, "documents").groupBy(F.sha2(F.lower(F.trim("text")), 256).alias("print")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("""WITH c AS (SELECT c_name, c_acctbal FROM customer), s AS (SELECT s_name, s_acctbal FROM supplier)
-SELECT 'range_anomaly' AS issue_type, 'warning' AS severity, (SELECT count(*) FROM c WHERE c_acctbal < 0) + (SELECT count(*) FROM s WHERE s_acctbal < 0) AS issues""")
+#: customer with cells made bad by key: no name, a balance that is no number, one far too large, a row twice.
+_BAD = {"name": "c_custkey % 97 = 1", "text": "c_custkey % 89 = 2", "large": "c_custkey % 499 = 3", "twice": "c_custkey % 83 = 4", "other": "c_custkey % 71 = 5"}
+_BAD_SQL = f"""WITH c AS (SELECT c_custkey AS k, CASE WHEN {_BAD['name']} THEN 'N/A' ELSE c_name END AS name, CASE WHEN {_BAD['text']} THEN 'unknown sum' WHEN {_BAD['large']} THEN '9999999.5' ELSE c_acctbal::VARCHAR END AS balance,
+    CASE WHEN {_BAD['text']} THEN NULL WHEN {_BAD['large']} THEN 9999999.5 ELSE c_acctbal END AS num, c_mktsegment AS segment FROM customer),
+crm AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN {_BAD['other']} THEN 'OTHER' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 2 = 1),
+st AS (SELECT avg(num) AS m, stddev_pop(num) AS s FROM (SELECT num FROM c UNION ALL SELECT num FROM c WHERE {_BAD['twice'].replace('c_custkey', 'k')})),
+both_c AS (SELECT *, false AS again FROM c UNION ALL SELECT *, true FROM c WHERE {_BAD['twice'].replace('c_custkey', 'k')})
+"""
+
+
+def _bad_cells(spark, d):
+    c = t(spark, d, "customer")
+    bad = c.select(
+        "c_custkey", F.when(F.expr(_BAD["name"]), "N/A").otherwise(F.col("c_name")).alias("name"),
+        F.when(F.expr(_BAD["text"]), "unknown sum").when(F.expr(_BAD["large"]), "9999999.5").otherwise(V.rendered(F.col("c_acctbal"))).alias("balance"), F.col("c_mktsegment").alias("segment"),
+    )
+    again = bad.filter(F.expr(_BAD["twice"])).withColumn("c_custkey", -F.col("c_custkey"))
+    crm = c.filter("c_custkey % 2 = 1").select("c_custkey", F.col("c_name").alias("name"), F.when(F.expr(_BAD["other"]), "OTHER").otherwise(F.col("c_mktsegment")).alias("segment"))
+    return cells_of(bad.unionByName(again), "customer", F.col("c_custkey"), ["name", "balance", "segment"]).unionByName(cells_of(crm, "crm", F.col("c_custkey"), ["name", "segment"]))
+
+
+_BAD_TYPES = {"name": "entity", "balance": "number", "segment": "text"}
+_ISSUES_SQL = _BAD_SQL + """, i AS (SELECT 'missing_value' AS issue_type, count(*) AS n FROM both_c WHERE name = 'N/A' UNION ALL SELECT 'type_error', count(*) FROM both_c WHERE balance = 'unknown sum'
+UNION ALL SELECT 'range_anomaly', count(*) FROM both_c WHERE num < 0 UNION ALL SELECT 'numeric_anomaly', count(*) FROM both_c, st WHERE abs((num - m) / s) >= 3.5
+UNION ALL SELECT 'duplicate_record', count(*) FROM (SELECT name, balance, segment FROM both_c GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'cross_source_conflict', count(*) FROM c JOIN crm ON c.name = crm.name WHERE c.segment <> crm.segment)
+"""
+
+
+@query(_ISSUES_SQL + "SELECT issue_type, CASE WHEN issue_type = 'cross_source_conflict' THEN 'error' ELSE 'warning' END AS severity, n AS issues FROM i WHERE n > 0")
 def quality_summary(spark, d):
-    c = cells_of(t(spark, d, "customer"), "customer", F.col("c_custkey"), ["c_name", "c_acctbal", "c_mktsegment"])
-    s = cells_of(t(spark, d, "supplier"), "supplier", F.col("s_suppkey"), ["s_name", "s_acctbal"])
-    return quality.summary(quality.analyze(c.unionByName(s), _TYPES))
+    return quality.summary(quality.analyze(_bad_cells(spark, d), _BAD_TYPES))
+
+
+@query(_BAD_SQL + """SELECT 'error' AS severity, 'segment' AS field_name, 'key=' || lower(c.name) AS raw_value FROM c JOIN crm ON c.name = crm.name WHERE c.segment <> crm.segment ORDER BY 3 LIMIT 12""")
+def quality_issue_page(spark, d):
+    found = quality.cross_source_conflicts(quality.with_types(_bad_cells(spark, d), _BAD_TYPES)).withColumns({"location": F.col("raw_value"), "source": F.lit("")})
+    first = store.quality_issues(found, 12)
+    return first.select("severity", "field_name", "raw_value")
 
 
 @query("""SELECT o_orderkey::VARCHAR AS row_key, count(DISTINCT p) AS n_values FROM (
@@ -199,6 +233,38 @@ def header_types(spark, d):
     return spark.createDataFrame(rows, "header string, field_type string")
 
 
+#: Five templates and, of every order, a source with three headers: which can fill which.
+_TEMPLATES = (["城市", "GDP总量"], ["城市", "AQI"], ["date", "confirmed cases"], ["firm", "priority level"], ["first-name", "remark"])
+_STATUS = {"F": "gdp of city", "O": "aqi station", "P": "confirmed"}
+
+
+@query("""WITH s AS (SELECT o_orderkey AS source, o_orderstatus AS st, contains(o_orderpriority, 'NOT') AS level FROM orders)
+SELECT 't0' AS template, source, 2 AS shared_concepts, 1 AS shared_words FROM s WHERE st = 'F'
+UNION ALL SELECT 't1', source, CASE st WHEN 'O' THEN 2 ELSE 1 END, (st = 'O')::INT FROM s WHERE st IN ('O', 'P')
+UNION ALL SELECT 't2', source, CASE st WHEN 'P' THEN 2 ELSE 1 END, (st = 'P')::INT FROM s WHERE st IN ('O', 'P')
+UNION ALL SELECT 't3', source, 0, 1 FROM s WHERE level
+UNION ALL SELECT 't4', source, (st <> 'P')::INT, (NOT level)::INT FROM s WHERE st <> 'P' OR NOT level""")
+def template_pairs(spark, d):
+    templates = spark.createDataFrame([(f"t{i}", h) for i, h in enumerate(_TEMPLATES)], "name string, headers array<string>")
+    status = F.lit("")
+    for k, v in _STATUS.items():
+        status = F.when(F.col("o_orderstatus") == k, v).otherwise(status)
+    last = F.when(F.col("o_orderpriority").contains("NOT"), "level").otherwise("remark")
+    sources = t(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.array(status, F.lit(" "), last).alias("headers"))
+    found = pairing.plausible_pairs(templates, sources)
+    return found.select("template", "source", *[F.col(c).cast("int").alias(c) for c in ("shared_concepts", "shared_words")])
+
+
+_SECTIONS = "表一：\nmktsegment：BUILDING\n表二：\nn_name：NATION_1\n没有的列：x\n严格匹配：是，指标：余额、人口"
+
+
+@query("SELECT 0 AS table_no, c_custkey AS k FROM customer WHERE contains(c_mktsegment, 'BUILDING') OR contains('BUILDING', c_mktsegment) UNION ALL SELECT 1, n_nationkey FROM nation WHERE contains(n_name, 'NATION_1') OR contains('NATION_1', n_name)")
+def table_spec_filter(spark, d):
+    specs = requirement.details(_SECTIONS).tables
+    parts = [filters.apply_table_spec(t(spark, d, name).select(key, column), specs[k]).select(F.lit(k).alias("table_no"), F.col(key).cast("long").alias("k")) for k, (name, key, column) in enumerate((("customer", "c_custkey", "c_mktsegment"), ("nation", "n_nationkey", "n_name")))]
+    return parts[0].unionByName(parts[1])
+
+
 # --- records -------------------------------------------------------------------------------------
 
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
@@ -290,12 +356,47 @@ def validation_checks(spark, d):
     return audit.validation_checks(filled, sources, expected_rows=0)
 
 
-@query("""WITH s AS (SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0) AS extracted, count(*) FILTER (c_acctbal > 5000) AS filtered, count(*) FILTER (c_acctbal > 9000) AS contributed FROM customer GROUP BY 1)
-SELECT 'unstructured_source_contribution' AS check_name, true AS hard, count(*) FILTER (extracted > 0 AND contributed = 0) = 0 AS passed FROM s UNION ALL SELECT 'entity_block_record_flow', false, count(*) FILTER (filtered = 0) = 0 FROM s UNION ALL SELECT 'uniform_filter_reason', false, count(*) FILTER (filtered = 0 AND extracted >= 2) = 0 FROM s""")
+@query("""WITH s AS (SELECT c_custkey AS k, c_custkey % 9 AS n_blocks, c_custkey % 11 AS extracted, c_custkey % 5 AS filtered, c_custkey % 4 AS contributed, c_custkey % 3 AS cell_delta, c_custkey % 6 AS suspicious, (c_custkey % 1000 = 7)::INT AS unexplained, c_custkey % 2 = 0 AS model, c_custkey % 3 AS n_reasons, c_custkey % 7 <> 0 AS told FROM customer)
+SELECT 'effective_contribution_alignment' AS check_name, true AS hard, count(*) FILTER (told AND contributed > 0 AND cell_delta = 0) = 0 AS passed FROM s
+UNION ALL SELECT 'narrative_loss_accounting', true, count(*) FILTER (told AND unexplained <> 0) = 0 FROM s
+UNION ALL SELECT 'narrative_records_extracted', false, count(*) FILTER (told AND n_blocks > 0 AND extracted = 0) = 0 FROM s
+UNION ALL SELECT 'entity_block_record_flow', false, count(*) FILTER (told AND n_blocks > 0 AND filtered = 0) = 0 FROM s
+UNION ALL SELECT 'unstructured_source_contribution', true, count(*) FILTER (told AND extracted > 0 AND contributed = 0) = 0 FROM s
+UNION ALL SELECT 'narrative_source_lower_bound', false, count(*) FILTER (told AND extracted > 0 AND contributed <= 0) = 0 FROM s
+UNION ALL SELECT 'narrative_pipeline_effectiveness', true, count(*) FILTER (model AND n_blocks >= 3 AND (extracted >= 8 OR suspicious >= 4) AND cell_delta = 0) = 0 FROM s
+UNION ALL SELECT 'repeated_entity_narrative', true, count(*) FILTER (told AND n_blocks >= 3 AND filtered <= 1 AND contributed = 0) = 0 FROM s
+UNION ALL SELECT 'uniform_filter_reason', false, count(*) FILTER (filtered = 0 AND extracted >= 2 AND n_reasons = 1) = 0 FROM s""")
 def source_checks(spark, d):
-    s = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("source_file")).agg(F.count("*").alias("n_blocks"), F.count_if(F.col("c_acctbal") > 0).alias("extracted"), F.count_if(F.col("c_acctbal") > 5000).alias("filtered"), F.count_if(F.col("c_acctbal") > 9000).alias("contributed"))
-    s = s.withColumns({"narrative": F.lit(True), "n_segments": F.col("n_blocks"), "cell_delta": F.col("contributed"), "suspicious": F.lit(0), "unexplained": F.lit(0), "model_run": F.lit(False), "n_reasons": F.lit(1)})
-    return audit.source_checks(s).filter(F.col("check_name").isin("unstructured_source_contribution", "entity_block_record_flow", "uniform_filter_reason"))
+    k = F.col("c_custkey")
+    s = t(spark, d, "customer").select(
+        k.alias("source_file"), (k % 7 != 0).alias("narrative"), (k % 9).alias("n_blocks"), (k % 9).alias("n_segments"), (k % 11).alias("extracted"), (k % 5).alias("filtered"), (k % 4).alias("contributed"), (k % 3).alias("cell_delta"),
+        (k % 6).alias("suspicious"), (k % 1000 == 7).cast("int").alias("unexplained"), (k % 2 == 0).alias("model_run"), (k % 3).alias("n_reasons"),
+    )
+    return audit.source_checks(s)
+
+
+@query("""SELECT 'entity_legality' AS check_name, true AS hard, count(*) FILTER (c_custkey % 10 = 3) = 0 AS passed FROM customer
+UNION ALL SELECT 'source_topic_match', true, false FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'narrative_stage_audit', false, count(*) FILTER (r_regionkey = 9) = 0 FROM region""")
+def context_checks(spark, d):
+    filled = t(spark, d, "customer").select(F.lit("城市").alias("field"), F.when(F.col("c_custkey") % 10 == 3, "12.5").otherwise("青岛市").alias("value"))
+    sources = t(spark, d, "region").select(F.concat(F.lit("/in/"), F.when(F.col("r_regionkey") == 0, "city gdp").otherwise("weather"), F.lit("_"), "r_name", F.lit(".csv")).alias("source_file"), F.lit(True).alias("narrative"), F.lit(3).alias("extracted"), F.lit(1).alias("contributed"), F.lit(False).alias("model_run"), F.when(F.col("r_regionkey") == 9, 0).otherwise(2).alias("n_stages"))
+    return audit.context_checks(filled, sources, "gdp table-模板.xlsx")
+
+
+@query("SELECT 2 AS n_cells, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS tasks FROM (SELECT c_custkey, c_mktsegment, c_nationkey FROM customer) GROUP BY c_mktsegment, c_nationkey HAVING count(*) > 1".replace("SELECT 2 AS", "SELECT 2::BIGINT AS"))
+def similar_outputs(spark, d):
+    c = t(spark, d, "customer")
+    cell = lambda n, v: F.struct(F.lit(n).alias("field"), F.col(v).cast("string").alias("value"))
+    cells = c.select(F.col("c_custkey").alias("task"), F.lit(1).alias("row_no"), F.lit("customer").alias("source_file"), F.inline(F.array(cell("segment", "c_mktsegment"), cell("nation", "c_nationkey"))))
+    return audit.similar_outputs(cells).select("n_cells", F.concat_ws(",", F.col("tasks").cast("array<string>")).alias("tasks"))
+
+
+@query("SELECT round(count(*) FILTER (c_custkey % 4 <> 0 AND c_custkey % 5 <> 0) * 100.0 / count(*), 4)::DOUBLE AS match_rate, round(avg(CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.7 END END), 4)::DOUBLE AS mean_confidence FROM customer")
+def field_match_rate(spark, d):
+    k = F.col("c_custkey")
+    cells = t(spark, d, "customer").select(F.when(k % 4 != 0, F.col("c_name")).alias("value"), F.when(k % 5 != 0, "exact").alias("match_method"), F.when(k % 2 == 0, 0.9).otherwise(0.7).alias("confidence"))
+    out = audit.field_match_rate(cells)
+    return out.select(*[F.col(c).cast("double").alias(c) for c in out.columns])
 
 
 @query("SELECT count(*) * 2 AS cells, round(avg(CASE WHEN c_acctbal IS NOT NULL THEN 100.0 ELSE 50.0 END), 4) AS fill_rate FROM customer")
@@ -365,33 +466,71 @@ def text_blocks(spark, d):
     return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("content")).alias("n_chars"))
 
 
-@query()
+_BLOCKS_SQL = r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, e' \t\n\r')), lambda x: x <> '') AS p, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, e' \t\n\r')), lambda x: x <> '') AS l FROM documents),
+b AS (SELECT doc_id, unnest(CASE WHEN len(p) > 1 THEN p ELSE l END) AS content, unnest(range(len(CASE WHEN len(p) > 1 THEN p ELSE l END))) AS block_index FROM parts)
+"""
+
+
+@query(_BLOCKS_SQL + "SELECT doc_id, block_index::INT AS block_index, content FROM b WHERE length(content) >= 18 AND regexp_matches(content, '[0-9]') AND (contains(lower(content), 'licensed') OR contains(lower(content), 'the'))")
 def segment_relevance(spark, d):
     b = narrative.blocks(t(spark, d, "documents"))
     return b.filter(narrative.relevant(F.col("content"), ["licensed", "the"])).select("doc_id", "block_index", "content")
 
 
-@query()
+@query(_BLOCKS_SQL + r""", e AS (SELECT *, regexp_extract(content, '[A-Z][a-z]{11,}') AS e FROM b),
+k AS (SELECT *, last_value(CASE WHEN e <> '' THEN e END IGNORE NULLS) OVER o AS known, coalesce(sum(length(content)) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1400 AS part FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, (block_index = 0 OR regexp_matches(content, '^#{1,6} ') OR regexp_matches(content, '^(?:[-*•]|[0-9]+[.)、]) ?') OR known IS DISTINCT FROM lag(known) OVER o OR part <> lag(part) OVER o)::INT AS start FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY block_index)),
+n AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY block_index) AS group_no FROM g)
+SELECT doc_id, group_no::BIGINT AS group_no, min(block_index)::INT AS first_block, count(*) AS n_blocks, sum(length(content))::BIGINT AS n_chars FROM n GROUP BY doc_id, group_no""")
 def entity_blocks(spark, d):
     b = narrative.blocks(t(spark, d, "documents"))
-    return narrative.entity_blocks(b, F.regexp_extract("content", r"\b([A-Z][a-z]{11,})\b", 1))
+    return narrative.entity_blocks(b, F.regexp_extract("content", "[A-Z][a-z]{11,}", 0))
 
 
-@query()
+@query(_BLOCKS_SQL + r""", c AS (SELECT *, (block_index = 0 OR regexp_extract(content, '[A-Z][a-z]{11,}') <> '' OR length(content) > 180
+    OR regexp_matches(content, '^\s*(?:[0-9]+[.)、]|[一二三四五六七八九十]+、|[-*•])\s+|[0-9]|[^：:\s]{1,16}[：:][^：:]{1,32}'))::INT AS start FROM b),
+n AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY block_index) AS group_no FROM c)
+SELECT doc_id, group_no::BIGINT AS group_no, min(block_index)::INT AS first_block, count(*) AS n_blocks, string_agg(content, chr(10) ORDER BY block_index) AS content FROM n GROUP BY doc_id, group_no""")
+def continuation_blocks(spark, d):
+    b = narrative.blocks(t(spark, d, "documents"))
+    return narrative.continuations(b, F.regexp_extract("content", "[A-Z][a-z]{11,}", 0))
+
+
+@query(_BLOCKS_SQL + r""", s AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+|[一-龥]{1,4}')), ['the', 'licensed', 'of', 'and'])) AS score FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_index) - 1 AS place FROM s)
+SELECT doc_id, place::INT AS place, block_index::INT AS block_index, content, score::INT AS score FROM r WHERE place < 3""")
 def top_segments(spark, d):
     b = narrative.blocks(t(spark, d, "documents"))
     return narrative.top_segments(b, narrative.relevance(F.col("content"), "the licensed of and"), 3)
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '。', '.'), '[^！？.!?]*[！？.!?]|[^！？.!?]+$'), lambda x: ltrim(x)), lambda x: length(x) >= 12)[:8] AS p FROM documents)
+SELECT doc_id, array_to_string(p, '|') AS key_points, substr(array_to_string(p[:3], ' '), 1, 800) AS summary FROM s""")
 def summarize_sentences(spark, d):
-    return narrative.summarize(t(spark, d, "documents"))
+    return narrative.summarize(t(spark, d, "documents")).withColumn("key_points", F.concat_ws("|", "key_points"))
 
 
-@query(r"SELECT doc_id, x AS content FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, e' \t\n\r')), lambda x: contains(x, 'Licensed'))) AS x FROM documents)")
+@query(_BLOCKS_SQL + "SELECT f AS field, doc_id, block_index::INT AS block_index, round(len(list_filter(string_split(f, ' '), lambda w: contains(content, w))) / len(string_split(f, ' ')), 4)::DOUBLE AS confidence FROM b, (SELECT unnest(['license name', 'the city and region', 'phone']) AS f) WHERE len(list_filter(string_split(f, ' '), lambda w: contains(content, w))) / len(string_split(f, ' ')) >= 0.3")
+def text_evidence(spark, d):
+    return pairing.text_evidence(narrative.blocks(t(spark, d, "documents")), ["license name", "the city and region", "phone"])
+
+
+@query(_BLOCKS_SQL + r""", n AS (SELECT doc_id, count(*) AS n_blocks, array_to_string(list(content ORDER BY block_index)[:2], '|') AS first_blocks FROM b GROUP BY doc_id), e AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]{11,}')) AS n FROM documents)
+SELECT d.doc_id, d.lang, coalesce(n_blocks, 0) AS n_blocks, e.n::BIGINT AS n_entities, first_blocks FROM documents d LEFT JOIN n USING (doc_id) JOIN e USING (doc_id)""")
+def store_detail(spark, d):
+    docs = t(spark, d, "documents")
+    found = store.details(docs.select("doc_id", "lang"), narrative.blocks(docs), store.words_with_capital(docs), 2)
+    return found.withColumn("first_blocks", F.when(F.col("first_blocks").isNotNull(), F.concat_ws("|", "first_blocks")))
+
+
+@query(_BLOCKS_SQL + ", f AS (SELECT doc_id, block_index, trim(string_split(content, chr(10))[1], e' \\t\\r') AS line FROM b WHERE block_index < 6), g AS (SELECT doc_id, arg_min(line, block_index) AS line FROM f WHERE length(line) BETWEEN 2 AND 80 GROUP BY doc_id) SELECT d.doc_id, coalesce(line, 'doc-' || d.doc_id) AS title FROM documents d LEFT JOIN g USING (doc_id)")
+def document_titles(spark, d):
+    return narrative.titles(t(spark, d, "documents"), F.concat(F.lit("/in/doc-"), "doc_id", F.lit(".txt")))
+
+
+@query(_BLOCKS_SQL + "SELECT doc_id, block_index::INT AS block_index, content FROM b WHERE contains(content, 'Licensed')")
 def find_text(spark, d):
-    lines = t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("content")).withColumn("content", V.trimmed(F.col("content")))
-    return lines.filter(F.col("content").contains("Licensed"))
+    return narrative.find(t(spark, d, "documents"), "Licensed")
 
 
 @query("SELECT c_custkey, 'Dear ' || c_name || ', segment ' || c_mktsegment || '.' AS letter FROM customer")
@@ -487,6 +626,52 @@ def normalize_percent(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(V.percent(text), 4).alias("fraction"))
 
 
+_FOUR = "regexp_replace(printf('%.4f', {}), '\\.?0+$', '')"
+
+
+@query(f"SELECT c_custkey, {_FOUR.format('round(c_acctbal, 2) * 10000')} AS per_head, {_FOUR.format('c_custkey * 10000.0')} AS people, {_FOUR.format('c_custkey * 10000.0')} AS revenue, {_FOUR.format('round(c_acctbal, 2)')} AS in_units, c_name AS name FROM customer")
+def header_units(spark, d):
+    c, money, n = t(spark, d, "customer"), F.format_number("c_acctbal", 2), F.col("c_custkey").cast("string")
+    cells = {"per_head": (F.concat(money, F.lit(" 万元")), "人均GDP（元）"), "people": (F.concat(n, F.lit("万人")), "常住人口"), "revenue": (F.concat(F.lit("约"), n, F.lit("万亿元")), "一般公共预算收入（亿元）"), "in_units": (F.concat(money, F.lit("万元")), "金额（万元）"), "name": (F.col("c_name"), "名称")}
+    return c.select("c_custkey", *[headers.header_value(v, h).alias(k) for k, (v, h) in cells.items()])
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:00') AS moment, strftime(o_orderdate, '%Y-%m-01') AS month, 'at noon' AS other FROM orders")
+def header_dates(spark, d):
+    f = lambda p: headers.header_value(F.date_format("o_orderdate", p), "监测时间")
+    return t(spark, d, "orders").select("o_orderkey", f("'am 'yyyy年M月d日 H:mm").alias("moment"), f("yyyy/M").alias("month"), headers.header_value(F.lit(" at noon "), "时间").alias("other"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, user_id, event_id % 4 = 3 AS failed FROM (SELECT event_id, user_id, CASE WHEN event_id % 4 <> 3 THEN props END AS props FROM events)")
+def lenient_values(spark, d):
+    e = t(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("Here: {'k': "), k, F.lit(", 'more': [1, 2,],}"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("so {k: "), k, F.lit(", ok: True, \"cut\": [\"a"))).otherwise("nothing here")
+    got = e.select("event_id", "user_id", lenient.lenient_json(text).alias("j"))
+    return got.select("event_id", F.get_json_object("j.json", "$.k").alias("k"), "user_id", F.col("j.error").isNotNull().alias("failed"))
+
+
+@query("SELECT c_custkey, 'n' || c_custkey || '|' || c_mktsegment || '|' AS first, 2 AS n_rows FROM customer")
+def json_table_rows(spark, d):
+    c = t(spark, d, "customer")
+    one = F.to_json(F.struct(F.concat(F.lit("n"), "c_custkey").alias("customer name"), F.col("c_mktsegment").alias("segment")))
+    rows = lenient.json_rows(F.concat(F.lit("["), one, F.lit(", null, "), one, F.lit("]")), ["name", "segment", "balance"])
+    return c.select("c_custkey", rows.alias("rows")).select("c_custkey", F.concat_ws("|", F.get("rows", F.lit(0))).alias("first"), F.size("rows").alias("n_rows"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || chr(10) || '... (truncated, total ' || length(text) || ' chars)' ELSE text END AS shown,
+array_to_string(list_transform(regexp_extract_all(text, '[-+]?[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')), ' ') AS numbers FROM documents""")
+def shortened_texts(spark, d):
+    return t(spark, d, "documents").select("doc_id", lenient.shortened(F.col("text"), 100).alias("shown"), F.concat_ws(" ", lenient.digit_runs(F.col("text"))).alias("numbers"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 ELSE -1 END AS whole, CASE WHEN c_custkey % 3 = 1 THEN round(c_acctbal, 2) ELSE -1.0 END AS real, CASE WHEN c_custkey % 3 = 2 THEN c_name ELSE '' END AS text FROM customer")
+def smart_values(spark, d):
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.format_number(k * 1000, 0)).when(k % 3 == 1, F.format_number("c_acctbal", 2)).otherwise(F.col("c_name"))
+    return t(spark, d, "customer").select("c_custkey", lenient.smart_value(text).alias("v")).select("c_custkey", F.coalesce("v.whole", F.lit(-1).cast("long")).alias("whole"), F.coalesce("v.real", F.lit(-1.0)).alias("real"), F.coalesce("v.text", F.lit("")).alias("text"))
+
+
 @query("SELECT * FROM (VALUES (1, 57750000.0, '万'), (2, 73000.0, '万元'), (3, 126000.0, '万'), (4, 1.5, ''), (5, 300000000.0, '万'), (6, -12.5, '元'), (7, 1234.0, '个')) v(id, num, unit)")
 def chinese_units(spark, d):
     rows = [(1, "5775 万"), (2, "7.3 万元"), (3, "12.6 万份"), (4, "１．５"), (5, "三万"), (6, "-12.5元"), (7, "1,234个")]

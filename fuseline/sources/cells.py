@@ -28,11 +28,14 @@ def as_text(df: DataFrame, column: str) -> Column:
 def cells_of(df: DataFrame, source: str, row_id: Column, columns: list[str] | None = None, file_type: str = "csv", priority: int = 0, table_index: int = 0) -> DataFrame:
     """The cells of a wide table; one narrow pass that emits each row's cells."""
     columns = columns or df.columns
-    first, second = (clean(as_text(df, c)) for c in (columns + columns)[:2])
-    key = F.when(first != "", name_key(first)).otherwise(name_key(second) if len(columns) > 1 else F.lit(""))
-    entries = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(c).alias("header"), as_text(df, c).alias("value")) for i, c in enumerate(columns)])
-    full = F.filter(F.array(*[name_key(clean(as_text(df, c))) for c in columns]), lambda x: x != "")
-    rows = df.select(row_id.cast("string").alias("row_id"), name_key(first).alias("k0"), key.alias("k"), F.concat_ws("|", full).alias("p"), F.explode(entries).alias("c"))
+    # each value is made text, cleaned and keyed once
+    wide = df.select(row_id.cast("string").alias("row_id"), *[as_text(df, c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    wide = wide.withColumns({f"_c{i}": clean(F.col(f"_v{i}")) for i in range(len(columns))})
+    wide = wide.withColumns({f"_k{i}": name_key(F.col(f"_c{i}")) for i in range(len(columns))})
+    entries = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(c).alias("header"), F.col(f"_v{i}").alias("value")) for i, c in enumerate(columns)])
+    key = F.when(F.col("_c0") != "", F.col("_k0")).otherwise(F.col("_k1") if len(columns) > 1 else F.lit(""))
+    keys = F.filter(F.array(*[f"_k{i}" for i in range(len(columns))]), lambda x: x != "")
+    rows = wide.select("row_id", F.col("_k0").alias("k0"), key.alias("k"), F.concat_ws("|", keys).alias("p"), F.explode(entries).alias("c"))
     return rows.select(
         F.lit(source).alias("source"), F.lit(file_type).alias("file_type"), F.lit(priority).alias("priority"), F.lit(table_index).alias("table_index"),
         "row_id", "c.col_index", "c.header", "c.value", F.when(F.col("c.col_index") == 0, F.col("k0")).otherwise(F.col("k")).alias("row_key"), F.when(F.col("c.col_index") == 0, F.col("p")).alias("row_print"),
