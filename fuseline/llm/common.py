@@ -1,12 +1,9 @@
-"""What the operators of this folder share: reading, scratch tables, word and shingle arrays."""
+"""What the operators of this folder share: reading, Arrow batches, word and shingle arrays."""
 
 from __future__ import annotations
 
-import atexit
+import contextlib
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fuseline.sources.scratch import scratch_dir, stored
+
+__all__ = ["WORD", "WORD_RE", "batches_of", "chunked", "grouped", "hash_words", "joined", "matrix", "mix64", "pieces", "scratch_dir", "shingle_sets", "stored", "table", "text_or_empty", "word_hashes"]
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -24,40 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which all executors share. Only where that
-    is unset and the master is local (tests, one machine), a temporary folder is made and set; it
-    goes when the process ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-fuseline-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = "file://" + folder
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{_own(spark)}/{uuid.uuid4().hex}"
-
-
-def _own(spark: SparkSession) -> str:
-    return f"fuseline-{spark.sparkContext.applicationId}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application has stored. DataFrames that operators gave can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).getParent()
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back. Cuts the lineage, and lost
-    executors don't lose it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of few rows for what is written inside; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -76,7 +53,7 @@ def chunked(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, list[
         yield start, texts[start:]
 
 
-def pieces(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first index, texts) of neighbours of an Arrow array that together have about limit bytes, so
     that a Python worker holds few whole texts at a time, however many rows a batch has."""
     if isinstance(texts, pa.ChunkedArray):

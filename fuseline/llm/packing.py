@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import pieces as parts_of, stored, text_or_empty
+from fuseline.llm.common import batches_of, stored, text_or_empty
+from fuseline.llm.common import pieces as parts_of
 from fuseline.llm.token_shards import END_ID, encoder
 from fuseline.llm.tokens import tokenizer_path
 
@@ -258,7 +259,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_problem: int =
     """pieces with sequence_id and offset. spare: bins with at most this share of room are kept
     before the last of the pooling rounds; problems have about per_problem pieces."""
     spark = pieces.sparkSession
-    pieces = stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    with batches_of(spark):
+        pieces = stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": F.col("uid") * 2 + 1, "offset": F.lit(0).cast("long")})
     open_ = pieces.filter(F.col("length") != capacity).select("uid", "length")
     parts, made = [], 0

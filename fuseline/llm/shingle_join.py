@@ -38,7 +38,7 @@ from fuseline.llm.embedding_join import stars
 from fuseline.llm.graph import leads
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
-BRANCH, DEPTH, LIMIT, BLOCK, COORDINATES = 2, 3, 1024, 512, 64
+BRANCH, DEPTH, LIMIT, BLOCK, COORDINATES = 2, 3, 1024, 128, 64
 #: Tokens of a block's sets together (16 MB), on average.
 TOKENS = 1 << 21
 #: A node one of whose children would keep more than this share of it isn't split.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import pieces, scratch_dir, stored, text_or_empty
+from fuseline.llm.common import batches_of, pieces, scratch_dir, stored, text_or_empty
 from fuseline.llm.tokens import Encoder, tokenizer_path
 
 MAGIC = b"FLPLANE1"
@@ -211,7 +211,8 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int =
         else:
             store.delete_file(name)
 
-    return stored(ranged.mapInArrow(write, MANIFEST), "manifest")
+    with batches_of(spark):
+        return stored(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_token_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
+from collections import Counter
+
 import corpus_pipeline
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from test_pairs import brute_links, classes
+from tokenizers import Tokenizer
 
-from fuseline.llm import mixing
+from fuseline.llm import line_dedup, mixing, quality_classifier
+from fuseline.llm.common import WORD, WORD_RE, word_hashes
+from fuseline.llm.tokens import tokenizer_path
 
 
 def test_targets():
@@ -111,5 +122,126 @@ def test_stages(spark, data, tmp_path):
     assert sequences.count() <= 1.02 * docs.agg(F.sum("length")).first()[0] / 1024 + 2
 
 
-def test_run(spark, data):
-    assert corpus_pipeline.run(spark, data).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+CLASHING = ("row", "score", "rep", "lead", "leaf", "kept", "gone", "id", "copies", "rate", "whole", "size", "start", "length", "sequence_id", "quality", "n")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def odd_docs(spark):
+    near = " ".join(f"word{i}" for i in range(90))
+    rows = [(1, near, "en", "a", 1), (2, near + " more", "en", "a", 2), (2, near + " again", "en", None, 3), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "x " * 60_000, "de", "b", 5)]
+    rows += [(6, "same\nsame\n" * 3, "fr", "b", 6)] * 2 + [(None, near, "en", "a", 7), (None, None, None, None, None), (7, "line one\n" * 400, "en", "b", 8)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'x' AS {c}" for c in CLASHING])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(name, spark, data, tmp_path):
+    """Nulls in any column, rows that share an id or repeat, long texts, clashing columns, empty tables."""
+    stage, docs = dict(corpus_pipeline.STAGES)[name], odd_docs(spark)
+    ids = [1, 2, 3, 4, 5, 6, 7]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(None, 1)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = stage(spark, docs, str(tmp_path)).collect()
+    assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+    got = sorted(r["doc_id"] or 0 for r in out)
+    if name == "quality_classifier":
+        assert set(got) <= {0, *ids} and len(out) < docs.count()
+    if name == "line_dedup":
+        assert got == [0, 0, 1, 2, 2, 3, 4, 5, 6, 6, 7] and {r["doc_id"]: r["text"] for r in out}[7] == "line one\n" and out[0].asDict().keys() == docs.first().asDict().keys()
+    if name == "shingle_join":
+        assert got == [0, 0, 1, 3, 4, 5, 6, 7] and all(r["kept"] == "x" for r in out)
+    if name == "mixing":
+        assert set(got) <= {0, *ids} and max(got.count(i) for i in (1, 3, 4, 5, 7)) <= 2 and got.count(2) <= 4
+    if name == "best_fit_packing":
+        assert len({(r["doc_id"], r["piece"]) for r in out}) > 60 and sum(r["piece"] == 0 for r in out) == docs.count()
+
+
+def test_run_against_brute_force(spark, data, duck):
+    """run()'s pieces are those of documents that plain code scores, SQL dedups, all pairs compare and
+    the plain tokenizer cuts; only the mix's copies are the operator's, whose totals must meet the targets."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*COLUMNS)
+    model = quality_classifier.learn(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    rows = [r for r in docs.collect() if naive_score(r["text"] or "", model) >= 0.7]
+    scored = pd.DataFrame([(r["doc_id"], r["text"]) for r in rows], columns=["doc_id", "text"])  # noqa: F841
+    sql = line_dedup.SQL.format(docs="scored") + "SELECT doc_id, coalesce(text, '') AS text, n_removed FROM kept"
+    clean = duck.sql(sql).df()
+    source = {r["doc_id"]: r["source"] for r in rows}
+    clean = clean[(clean.n_removed == 0) | clean.text.str.contains(WORD)].sort_values("doc_id").reset_index(drop=True)
+    label = classes(len(clean), brute_links(clean.text.tolist()))
+    left = clean[[c == i for i, c in enumerate(label)]].assign(source=lambda d: d.doc_id.map(source))
+    mixed = mixing.mix(spark.createDataFrame(left[["doc_id", "text", "source"]], "doc_id long, text string, source string")).toPandas()
+    per = mixed.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((per.taken / per.target - 1).abs() < 0.05).all()
+    encode, want = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode, Counter()
+    text = dict(zip(left.doc_id, left.text, strict=True))
+    for doc_id, copies in zip(mixed.doc_id, mixed.copies, strict=True):
+        ids = encode(text[doc_id], add_special_tokens=False).ids + [2]
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            want[doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += int(copies)
+    out = corpus_pipeline.run(spark, data)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    out = out.collect()
+    assert Counter(tuple(r)[:5] for r in out) == +want
+    at = {}
+    for s, o, n in sorted((r["sequence_id"], r["offset"], r["length"]) for r in out):
+        assert at.get(s, 0) == o
+        at[s] = o + n
+    assert max(at.values()) <= 1024 and len(at) <= 1.02 * sum(at.values()) / 1024 + 2
+
+
+M64 = (1 << 64) - 1
+
+
+def naive_mix(x):
+    """common.mix64 for one number."""
+    for _ in range(2):
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & M64
+    return x ^ (x >> 32)
+
+
+def naive_features(text, bits):
+    """quality_classifier.features for one text, gram by gram."""
+    hash_of = lambda w: int(word_hashes([w])[0][0])
+    shape = re.sub(rb"A+|a+|0+", lambda m: m[0][:1], bytes(quality_classifier._SHAPE[np.frombuffer(text.encode(), np.uint8)])).decode("latin-1")
+    words, shapes, out = [hash_of(w) for w in WORD_RE.findall(text)], [hash_of(w) for w in WORD_RE.findall(shape)], set()
+    for of, n, kind in ((words, 1, 1), (words, 2, 2), (shapes, 1, 3), (shapes, 2, 4), (shapes, 3, 5)):
+        for i in range(len(of) - n + 1):
+            h = naive_mix((of[i] + kind) & M64)
+            for k in range(1, n):
+                # the gram before it of the same kind, then this word
+                h = naive_mix((h * 0x9E3779B97F4A7C15 + of[i + k]) & M64)
+            out.add(h >> (64 - bits))
+    same = [words[i] == words[i + 1] for i in range(len(words) - 1)]
+    for found, kind in ((any(same), 7), (any(a and b for a, b in zip(same, same[1:], strict=False)), 8)):
+        if found:
+            out.add(naive_mix(kind) >> (64 - bits))
+    return sorted(out)
+
+
+def naive_score(text, model):
+    numbers = naive_features(text, len(model.weight).bit_length() - 1)
+    margin = (sum(model.weight[f] for f in numbers) / max(math.sqrt(sum(model.square[f] for f in numbers)), 1e-12) if numbers else 0.0) + model.bias
+    return 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+
+
+def test_classifier_scores_against_brute_force(spark, data):
+    texts = ["", "a", "Ab ab AB 12 12 12 x-y, é", "one one\ttwo two two", "HTTP 404!! a1B2"] + [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").limit(60).collect()]
+    got = quality_classifier.features(texts)
+    assert [g.tolist() for g in got] == [naive_features(t, quality_classifier.BITS) for t in texts]
+    model = quality_classifier.learn(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    assert quality_classifier.scores(texts, model).tolist() == pytest.approx([naive_score(t, model) for t in texts], rel=1e-6)
+
+
+def test_descent_reaches_the_least_loss():
+    """The dual's solution: primal and dual objectives meet."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(40, 6, replace=False)) for _ in range(120)]
+    y, scale, cost = np.where(rng.random(120) < 0.5, 1.0, -1.0), rng.normal(size=40), np.full(120, 0.5)
+    w, bias = quality_classifier.descend(rows, scale, y, cost, rounds=300)
+    x = np.zeros((120, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt((scale[r] ** 2).sum())
+    x[:, 40] = 1
+    full = np.append(w, bias)
+    loss = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert all(loss(full) <= loss(full + rng.normal(scale=s, size=41)) + 1e-3 for s in (1e-3, 1e-2, 0.1) for _ in range(200))
