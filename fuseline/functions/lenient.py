@@ -103,7 +103,7 @@ def read_lenient(text: str | None):
     for part in (body, fence[1] if fence else ""):
         try:
             return json.loads(part)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     body = fence[1] if fence and re.search(r"[{\[]", fence[1]) else body
     start = re.search(r"[{\[]", body)
@@ -123,7 +123,7 @@ def lenient_json(text: pa.Array) -> pa.Array:
     for t in text.to_pylist():
         try:
             out.append({"json": _finite(read_lenient(t)), "error": None})
-        except ValueError as e:
+        except (ValueError, RecursionError) as e:
             out.append({"json": None, "error": str(e)[:200]})
     return pa.array(out, pa.struct([("json", pa.string()), ("error", pa.string())]))
 

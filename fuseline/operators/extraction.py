@@ -36,6 +36,27 @@ def concept_value(text: Column, concept: str) -> Column:
     return near_number(plain(text), CONCEPTS[concept])
 
 
+DATE = r"(?:19\d{2}|20\d{2}|2100)[-/.年](?:1[0-2]|0?[1-9])(?:[-/.月](?:3[01]|[12]\d|0?[1-9]))?[日号]?"
+
+
+def near_date(text: Column, names: Sequence[str]) -> Column:
+    """The date right behind one of the names, the first name that has one; else the text's first date."""
+    behind = [F.regexp_extract(text, rf"{re.escape(n)}[：:\s]{{0,3}}({DATE})", 1) for n in names]
+    return F.coalesce(*[F.when(x != "", x) for x in behind], F.regexp_extract(text, f"({DATE})", 1))
+
+
+def entity_estimate(segments: DataFrame, tables: DataFrame) -> DataFrame:
+    """source_file and n_entities, how many entities a source likely has: the most of its tables' rows (tables:
+    source_file, n_rows) or the different leading entities of its segments (source_file, content), and where
+    there are neither, its list items."""
+    entity = F.when(leading_entity(F.col("content")) != "", leading_entity(F.col("content")))
+    text = segments.groupBy("source_file").agg(F.count_distinct(entity).alias("led"), F.count_if(F.col("content").rlike(r"^\s*(?:\d+[.)]|[-*•])\s+")).alias("items"))
+    rows = tables.groupBy("source_file").agg(F.max("n_rows").alias("n_rows"))
+    both = text.join(rows, "source_file", "full")
+    most = F.greatest(F.coalesce("n_rows", F.lit(0)), F.coalesce("led", F.lit(0)))
+    return both.select("source_file", F.when(most > 0, most).otherwise(F.coalesce("items", F.lit(0))).alias("n_entities"))
+
+
 def leading_entity(text: Column) -> Column:
     return F.regexp_extract(text, LEADING, 1)
 

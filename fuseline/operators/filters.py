@@ -103,3 +103,12 @@ def apply_requirement(df: DataFrame, need: Requirement, date_column: str | None
         by = [F.desc(need.sort_by) if need.descending else F.asc(need.sort_by), *order] if need.sort_by else list(order)
         df = df.orderBy(*by).limit(need.top_n)
     return df
+
+
+def between_and_in(df: DataFrame, dates: dict[str, tuple[str, str]] | None = None, values: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """df where dates lie between two days, both included, and columns have one of some values."""
+    for column, (start, end) in (dates or {}).items():
+        df = df.filter(F.to_date(cell_date(F.col(column).cast("string"))).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    for column, allowed in (values or {}).items():
+        df = df.filter(F.col(column).cast("string").isin(*allowed))
+    return df

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fuseline.functions.headers import header_date
 from fuseline.functions.values import clean, name_key
 
 #: Fixed: endings that an entity's name may lack.
@@ -98,3 +99,41 @@ def match_band(a: Column, b: Column, ratio: Column) -> Column:
 def confidence_by_column(cells: DataFrame) -> DataFrame:
     """field and its mean confidence over cells that have a value."""
     return cells.filter(clean(F.col("value")) != "").groupBy("field").agg(F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count("*").alias("n_cells"))
+
+
+def complementary(a: str, b: str, headers: Sequence[str], table_backed: str | None = None, when: str | None = None) -> Column:
+    """Whether two records (structs a and b) of one source may be one: neither is a table's row, their times don't
+    differ, they fill each other's blanks or share a value, and at most one value differs. headers: those that
+    aren't the key."""
+    pairs = [(clean(F.col(f"{a}.{h}")), clean(F.col(f"{b}.{h}"))) for h in headers]
+    count = lambda test: sum((F.when(test(x, y), 1).otherwise(0) for x, y in pairs), F.lit(0))
+    fills = count(lambda x, y: (x == "") != (y == ""))
+    shared, conflicts = count(lambda x, y: (x != "") & (x == y)), count(lambda x, y: (x != "") & (y != "") & (x != y))
+    out = (conflicts < 2) & ((fills > 0) | (shared > 0))
+    if when:
+        x, y = header_date(F.col(f"{a}.{when}")), header_date(F.col(f"{b}.{when}"))
+        out &= (x == "") | (y == "") | (F.lower(x) == F.lower(y))
+    if table_backed:
+        out &= ~(F.coalesce(F.col(f"{a}.{table_backed}"), F.lit(False)) | F.coalesce(F.col(f"{b}.{table_backed}"), F.lit(False)))
+    return out
+
+
+def scope_confidence(rank: Column, method: Column) -> Column:
+    """Confidence of a value from a document's scope by its segment's rank (from 0) and how it was found;
+    fixed constants of the model."""
+    lift = F.when(method.isin("text_context", "text_exact"), 0.08).when(method == "entity_lead", 0.03).otherwise(0.0)
+    first = F.when(rank == 0, 0.06).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.52), F.least(F.lit(0.82), 0.66 - F.least(rank, F.lit(4)) * 0.04 + lift + first)), 4)
+
+
+#: Fixed: a cell's confidence by its table's method, where neither its record nor its column has one.
+BY_METHOD = {"rule": 0.76, "llm": 0.54, "llm_multi": 0.57, "qwen": 0.54, "qwen_multi": 0.57, "qwen_narrative": 0.58}
+
+
+def cell_confidence(value: Column, n_evidence: Column, own: Column, column: Column, method: Column) -> Column:
+    """A filled cell's confidence: its record's, its column's mean, or its method's; none without value or
+    evidence."""
+    default = F.when(method == "none", F.lit(None).cast("double")).otherwise(0.60)
+    for name, c in BY_METHOD.items():
+        default = F.when(method == name, c).otherwise(default)
+    return F.when((F.coalesce(value, F.lit("")) != "") & (F.coalesce(n_evidence, F.lit(0)) > 0), F.coalesce(own, column, default))

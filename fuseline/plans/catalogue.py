@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from fuseline.functions import headers, lenient
 from fuseline.functions import values as V
 from fuseline.functions.registry import DEFAULT
-from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, pairing, quality, records, store, templates
+from fuseline.operators import audit, documents, entities, extraction, filters, fusion, mapping, narrative, pairing, quality, records, store, templates
 from fuseline.plans import requirement
 from fuseline.sources.cells import cells_of
-from fuseline.sources.readers import flatten_json
+from fuseline.sources.readers import body_cells, flatten_json, page_blocks
 from fuseline.streaming.counters import event_counters
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,7 +228,7 @@ def map_headers(spark, d):
 @query("SELECT * FROM (VALUES ('o_orderdate', 'date'), ('l_extendedprice', 'number'), ('l_discount', 'number'), ('l_linenumber', 'number'), ('c_name', 'entity'), ('r_regionkey', 'entity'), ('c_mktsegment', 'text'), ('event_type', 'text'), ('c_acctbal', 'number'), ('growth_rate', 'percent'), ('expense', 'currency'), ('capacity', 'entity')) v(header, field_type)")
 def header_types(spark, d):
     headers = ["o_orderdate", "l_extendedprice", "l_discount", "l_linenumber", "c_name", "r_regionkey", "c_mktsegment", "event_type", "growth_rate", "expense", "capacity"]
-    balances = [str(r[0]) for r in t(spark, d, "customer").select("c_acctbal").limit(20).collect()]
+    balances = [str(r[0]) for r in t(spark, d, "customer").orderBy("c_custkey").select("c_acctbal").limit(20).collect()]
     rows = [(h, DEFAULT.field_type(h)) for h in headers] + [("c_acctbal", DEFAULT.field_type("c_acctbal", balances))]
     return spark.createDataFrame(rows, "header string, field_type string")
 
@@ -626,6 +626,75 @@ def normalize_percent(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(V.percent(text), 4).alias("fraction"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Sheet1!' || o_custkey WHEN 1 THEN 'table2.row' || o_custkey WHEN 2 THEN 'text_block3.row' || o_custkey ELSE '' END AS row_id FROM orders")
+def row_identifiers(spark, d):
+    at = F.col("o_custkey").cast("string")
+    k = F.col("o_orderkey") % 4
+    place = F.when(k == 0, F.concat(F.lit("Sheet1!AB"), at)).when(k == 1, F.concat(F.lit("word.table2.row"), at, F.lit(".col1"))).when(k == 2, F.concat(F.lit("x/text_block3.row"), at)).otherwise(F.lit("nowhere"))
+    return t(spark, d, "orders").select("o_orderkey", documents.row_identifier(place).alias("row_id"))
+
+
+@query("""SELECT 0 AS table_no, 0 AS part, '' AS at, '# table 0,nation' AS line UNION ALL SELECT 0, 1, '', 'n_name,n_regionkey' UNION ALL SELECT 0, 3, '', '' UNION ALL SELECT 0, 2, n_nationkey::VARCHAR, n_name || ',' || n_regionkey FROM nation
+UNION ALL SELECT 1, 0, '', '# table 1,customer' UNION ALL SELECT 1, 1, '', 'c_name,c_mktsegment' UNION ALL SELECT 1, 3, '', '' UNION ALL SELECT 1, 2, c_custkey::VARCHAR, c_name || ',' || c_mktsegment FROM customer""")
+def export_lines(spark, d):
+    return documents.table_lines({"nation": (t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey"), "customer": (t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")})
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, 'summary') THEN 'summarize' WHEN contains(text, 'extract') THEN 'extract' WHEN contains(text, 'find') OR contains(text, 'search') THEN 'find' WHEN contains(text, 'replace') THEN 'replace' WHEN contains(text, 'export') THEN 'export_table' WHEN contains(text, 'format') THEN 'format' ELSE 'inspect' END AS intent FROM documents")
+def asked_intents(spark, d):
+    return t(spark, d, "documents").select("doc_id", documents.intent(F.col("text")).alias("intent"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey::VARCHAR ELSE '' END AS n, '20' || lpad((c_custkey % 2)::VARCHAR, 2, '0') || '-01' AS w FROM customer),
+p AS (SELECT a.k, a.m AS am, b.m AS bm, a.n AS an, b.n AS bn, a.w AS aw, b.w AS bw FROM c a JOIN c b ON b.k = a.k + 2)
+SELECT k, (((am <> bm)::INT + (an <> '' AND bn <> '' AND an <> bn)::INT) < 2 AND ((an = '') <> (bn = '') OR am = bm OR (an <> '' AND an = bn)) AND aw = bw) AS merges FROM p""")
+def same_source_merges(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("m"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey").cast("string")).otherwise("").alias("n"), F.concat(F.lit("20"), F.lpad((F.col("c_custkey") % 2).cast("string"), 2, "0"), F.lit("-01")).alias("w"))
+    a, b = c.select("k", F.struct("m", "n", "w").alias("a")), c.select((F.col("k") - 2).alias("k"), F.struct("m", "n", "w").alias("b"))
+    return a.join(b, "k").select("k", records.complementary("a", "b", ["m", "n"], when="w").alias("merges"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0.52, least(0.82, 0.66 - least(l_linenumber - 1, 4) * 0.04 + CASE l_returnflag WHEN 'A' THEN 0.08 WHEN 'N' THEN 0.03 ELSE 0.0 END + CASE WHEN l_linenumber = 1 THEN 0.06 ELSE 0.0 END)), 4)::DOUBLE AS scope,
+CASE WHEN l_quantity > 10 THEN CASE WHEN l_quantity > 30 THEN 0.9 WHEN l_linestatus = 'O' THEN 0.76 ELSE 0.6 END ELSE -1.0 END::DOUBLE AS cell FROM lineitem""")
+def cell_confidences(spark, d):
+    method = F.when(F.col("l_returnflag") == "A", "text_exact").when(F.col("l_returnflag") == "N", "entity_lead").otherwise("text_approx")
+    own, value = F.when(F.col("l_quantity") > 30, 0.9), F.when(F.col("l_quantity") > 10, "x")
+    cell = records.cell_confidence(value, F.lit(1), own, F.lit(None).cast("double"), F.when(F.col("l_linestatus") == "O", "rule").otherwise("other"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", records.scope_confidence(F.col("l_linenumber") - 1, method).alias("scope"), F.coalesce(cell, F.lit(-1.0)).alias("cell"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def near_dates(spark, d):
+    text = F.concat(F.lit("填报于2001年1月1日，日期："), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 止"))
+    return t(spark, d, "orders").select("o_orderkey", extraction.near_date(text, ["监测日期", "日期"]).alias("day"))
+
+
+@query("SELECT c_mktsegment AS source_file, greatest(max(c_custkey % 50), count(DISTINCT c_nationkey))::BIGINT AS n_entities FROM customer GROUP BY 1")
+def entity_estimates(spark, d):
+    c = t(spark, d, "customer")
+    cities = F.concat(F.lit("- "), F.element_at(F.array(*[F.lit(chr(0x4E00 + i) * 2 + "市") for i in range(25)]), F.col("c_nationkey") + 1), F.lit("增长"))
+    return extraction.entity_estimate(c.select(F.col("c_mktsegment").alias("source_file"), cities.alias("content")), c.select(F.col("c_mktsegment").alias("source_file"), (F.col("c_custkey") % 50).alias("n_rows")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN DATE '1995-03-01' AND DATE '1995-04-15' AND o_orderstatus IN ('F', 'P')")
+def filter_between(spark, d):
+    return filters.between_and_in(t(spark, d, "orders"), {"o_orderdate": ("1995-03-01", "1995-04-15")}, {"o_orderstatus": ["F", "P"]}).select("o_orderkey")
+
+
+@query("SELECT c_custkey::VARCHAR AS url, 0::BIGINT AS row_id, h AS header, CASE h WHEN 'name' THEN c_name ELSE c_mktsegment END AS value FROM customer, (SELECT unnest(['name', 'segment']) AS h)")
+def http_body_cells(spark, d):
+    c = t(spark, d, "customer")
+    one = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
+    k = F.col("c_custkey") % 3
+    body = F.when(k == 0, F.concat(F.lit('name;segment\n"'), "c_name", F.lit('";'), "c_mktsegment", F.lit("\n\n"))).when(k == 1, F.concat(F.lit('{"total": 1, "rows": ['), one, F.lit("]}"))).otherwise(one)
+    return body_cells(c.select(F.col("c_custkey").cast("string").alias("url"), F.when(k == 0, "text/csv").when(k == 1, "application/json; charset=utf-8").otherwise("").alias("content_type"), body.alias("body")))
+
+
+@query("SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def page_headings(spark, d):
+    return page_blocks(t(spark, d, "pages")).filter("heading_level = 1").select("page_id", F.col("content").alias("title"))
+
+
 _FOUR = "regexp_replace(printf('%.4f', {}), '\\.?0+$', '')"
 
 

@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +40,9 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> Da
     return df.dropna("all")
 
 
-def flatten_json(df: DataFrame, depth: int = 3, joiner: str = "；", most: int = 20) -> DataFrame:
-    """Nested columns as dotted ones: structs to the given depth, arrays of plain values joined,
-    anything deeper as JSON text."""
+def flatten_json(df: DataFrame, depth: int = 3, joiner: str = "；", most: int | None = None) -> DataFrame:
+    """Nested columns as dotted ones: structs to the given depth, arrays of plain values joined (all of
+    them, or the first most), anything deeper as JSON text."""
     out: list[Column] = []
 
     def walk(c: Column, name: str, kind: T.DataType, left: int) -> None:
@@ -49,7 +50,7 @@ def flatten_json(df: DataFrame, depth: int = 3, joiner: str = "；", most: int =
             for f in kind.fields:
                 walk(c.getField(f.name), f"{name}.{f.name}" if name else f.name, f.dataType, left - 1)
         elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
-            out.append(F.concat_ws(joiner, F.slice(c, 1, most).cast("array<string>")).alias(name))
+            out.append(F.concat_ws(joiner, (c if most is None else F.slice(c, 1, most)).cast("array<string>")).alias(name))
         elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
             out.append(F.to_json(c).alias(name))
         else:
@@ -139,6 +140,58 @@ def word_content(data: bytes) -> tuple[list[tuple[str, int]], list[list[list[str
     return paragraphs, [[[text(c) for c in r.findall(_W + "tc")] for r in t.findall(_W + "tr")] for t in body.findall(_W + "tbl")]
 
 
+#: Fixed: elements that hold a block of a page's text, and those whose text isn't shown.
+_BLOCKS = ("p", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "dt", "dd")
+_UNSEEN = ("script", "style", "noscript", "head", "template")
+
+
+class _Blocks(HTMLParser):
+    """blocks: (text, heading level or 0) of the page in order, tables left out; title."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks: list[tuple[str, int]] = []
+        self.text: list[str] = []
+        self.level = self.unseen = self.tables = 0
+        self.title: list[str] = []
+        self.in_title = False
+
+    def _cut(self) -> None:
+        if text := " ".join("".join(self.text).split()):
+            self.blocks.append((text, self.level))
+        self.text, self.level = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.in_title = tag == "title"
+        self.unseen += tag in _UNSEEN
+        self.tables += tag == "table"
+        if tag in _BLOCKS or tag in ("div", "table", "ul", "ol"):
+            self._cut()
+            self.level = int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0
+
+    def handle_endtag(self, tag):
+        self.in_title = False
+        self.unseen -= tag in _UNSEEN and self.unseen > 0
+        if tag == "table" and self.tables:
+            self.tables -= 1
+        if tag in _BLOCKS or tag in ("div", "body", "html"):
+            self._cut()
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title.append(data)
+        elif not self.unseen and not self.tables:
+            self.text.append(data)
+
+
+def html_blocks(html: str | None) -> list[tuple[str, int]]:
+    parser = _Blocks()
+    parser.feed(html or "")
+    parser.close()
+    parser._cut()
+    return parser.blocks
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()
@@ -217,3 +270,50 @@ def page_cells(pages: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     return pages.select("page_id", F.inline(parse("html")))
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, block_index, content, heading_level of the text of pages."""
+    shape = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.StructField("heading_level", T.IntegerType())]))
+
+    @F.arrow_udf(shape)
+    def parse(html: pa.Array) -> pa.Array:
+        out = [[{"content": t, "heading_level": level} for t, level in html_blocks(h.as_py())] for h in html]
+        return pa.array(out, pa.list_(pa.struct([("content", pa.string()), ("heading_level", pa.int32())])))
+
+    return pages.select("page_id", F.posexplode(parse("html")).alias("block_index", "b")).select("page_id", "block_index", "b.*")
+
+
+def _csv_cells(body: str) -> list[dict]:
+    rows = [r for r in csv.reader(io.StringIO(body), delimiter=sniff_delimiter(body)) if any(c.strip() for c in r)]
+    heads = rows[0] if rows else []
+    return [{"row_id": i, "header": (heads[j] if j < len(heads) else "").strip(), "value": v.strip()} for i, r in enumerate(rows[1:]) for j, v in enumerate(r)]
+
+
+def body_cells(responses: DataFrame) -> DataFrame:
+    """url, row_id, header, value of HTTP responses (url, content_type, body) that hold JSON (objects, a list of
+    them, or an object with such a list) or CSV, told by the type, else by how the body starts."""
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    body = F.trim(F.coalesce("body", F.lit("")))
+    json_like = kind.contains("json") | (~kind.contains("csv") & body.rlike(r"\A\s*[\[{]"))
+    typed = responses.select("url", body.alias("body"), json_like.alias("json"), (kind.contains("csv") | kind.contains("text/plain")).alias("csv"))
+    cell = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("header", T.StringType()), T.StructField("value", T.StringType())])
+
+    @F.arrow_udf(T.ArrayType(cell))
+    def parse(text: pa.Array) -> pa.Array:
+        return pa.array([_csv_cells(t.as_py() or "") for t in text], pa.list_(pa.struct([("row_id", pa.int64()), ("header", pa.string()), ("value", pa.string())])))
+
+    tables = typed.filter("csv and not json").select("url", F.inline(parse("body")))
+    fields = F.from_json("body", "map<string,string>")
+    listed = F.get(F.filter(F.map_values(fields), lambda v: v.rlike(r"\A\[\s*\{")), F.lit(0))
+    whole = F.when(F.col("body").startswith("["), F.col("body")).otherwise(F.coalesce(listed, F.concat(F.lit("["), "body", F.lit("]"))))
+    objects = typed.filter("json").select("url", F.posexplode(F.from_json(whole, "array<map<string,string>>")).alias("row_id", "m"))
+    values = objects.filter("m is not null").select("url", F.col("row_id").cast("long").alias("row_id"), F.explode("m").alias("header", "value"))
+    return tables.unionByName(values)
+
+
+def body_blocks(responses: DataFrame) -> DataFrame:
+    """url, block_index, content, heading_level of responses whose body is text: its lines or paragraphs."""
+    from fuseline.operators.narrative import blocks
+
+    return blocks(responses.select(F.col("url").alias("doc_id"), F.col("body").alias("text"))).withColumnRenamed("doc_id", "url")
