@@ -573,6 +573,18 @@ def entity_legality(spark, d):
     return entities.with_legality(df, ["城市"]).select("id", "filter_reason", "hard_reject")
 
 
+#: Values of a city field, what is made of each, and why.
+_CITIES = [("青岛市", "city", "accepted", "", 0.96), ("历下区", "district", "soft_filter", "district_in_city_field", 0.52), ("山东省", "sub_national", "soft_filter", "province_like_in_city_field", 0.38), ("泰国", "country", "soft_filter", "granularity_mismatch", 0.2), ("12.5万", "", "hard_filter", "looks_numeric_or_date", 0.0), ("推动平稳", "", "hard_filter", "starts_with_narrative_prefix", 0.0), ("济南，青岛", "", "hard_filter", "contains_sentence_punctuation", 0.0), ("市", "", "hard_filter", "too_short", 0.0), ("某某大学", "", "hard_filter", "entity_type_mismatch", 0.0), ("华北", "", "hard_filter", "geographic_descriptor_not_entity", 0.0), ("平原县", "district", "soft_filter", "district_in_city_field", 0.52), ("人均值", "", "hard_filter", "contains_metric_term", 0.0), ("美丽的城", "", "hard_filter", "contains_predicate_particle", 0.0), ("边境城", "", "hard_filter", "non_entity_phrase", 0.0), ("a@b", "", "hard_filter", "contains_illegal_chars", 0.0), ("", "", "accepted", "", 1.0)]
+
+
+@query("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v[2]}', '{v[3]}', {v[4]}::DOUBLE)" for i, v in enumerate(_CITIES)) + f") AS x(i, level, reason, score)) SELECT level, reason, score, count(*) AS n FROM customer JOIN v ON v.i = c_custkey % {len(_CITIES)} GROUP BY ALL")
+def entity_verdicts(spark, d):
+    values = F.array(*[F.lit(v[0]) for v in _CITIES])
+    city = F.element_at(values, (F.col("c_custkey") % len(_CITIES) + 1).cast("int"))
+    rows = t(spark, d, "customer").select(entities.verdict(city, entities.field_kind("城市")).alias("v"))
+    return rows.groupBy("v.level", "v.reason", "v.score").agg(F.count("*").alias("n"))
+
+
 @query("SELECT c_mktsegment AS source_file, CASE WHEN c_custkey % 4 = 0 THEN 'number' ELSE 'sentence' END AS filter_reason, true AS hard_reject, count(*) AS n_dropped FROM customer WHERE c_custkey % 4 < 2 GROUP BY ALL")
 def entity_rejects(spark, d):
     name = F.when(F.col("c_custkey") % 4 == 0, "123").when(F.col("c_custkey") % 4 == 1, "a; b").otherwise("青岛")

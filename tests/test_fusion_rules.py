@@ -12,7 +12,7 @@ from fuseline.functions import headers, lenient
 from fuseline.functions.registry import DEFAULT, Registry, name_key
 from fuseline.functions.values import clean, plain
 from fuseline.functions.values import name_key as name_key_of
-from fuseline.operators import documents, filters, mapping, pairing, records
+from fuseline.operators import documents, entities, filters, mapping, pairing, records
 from fuseline.plans import requirement
 from fuseline.sources import readers
 
@@ -153,3 +153,18 @@ def test_records_that_may_merge(spark):
     rows = [(("x", "", "", False), ("x", "1", "2024-01", False), True), (("x", "1", "2024-01", False), ("y", "2", "2024-01", False), False), (("x", "1", "2024-02", False), ("x", "", "2024年1月", False), False), (("x", "", "", True), ("x", "1", "", False), False), (("", "", "", False), ("", "", "", False), False)]
     df = spark.createDataFrame(rows, "a struct<p string, q string, w string, t boolean>, b struct<p string, q string, w string, t boolean>, want boolean")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", records.complementary("a", "b", ["p", "q"], "t", "w")).collect())
+
+
+@pytest.mark.parametrize(
+    ("header", "peers", "value", "level", "reason"),
+    [
+        ("国家", ["大洲"], "山东省", "soft_filter", "region_field_country_only"), ("国家", ["大洲"], "泰国", "accepted", ""), ("国家/地区", [], "山东省", "accepted", "compatible_admin_granularity"),
+        ("地区", ["城市"], "山东", "accepted", "compatible_admin_granularity"), ("省份", [], "青岛市", "soft_filter", "city_in_province_field"), ("区县", [], "山东省", "soft_filter", "granularity_mismatch"),
+        ("区", [], "寿光市", "accepted", ""), ("站点名称", [], "市政府", "accepted", ""), ("机构名称", [], "某某公司", "accepted", ""), ("名称", [], "人均值", "accepted", ""), ("GDP", [], "任何，东西", "accepted", ""),
+        ("城市", [], "x" * 41, "hard_filter", "too_long"), ("城市", [], "高质量发展市", "hard_filter", "contains_narrative_phrase"),
+    ],
+)
+def test_entity_verdicts(spark, header, peers, value, level, reason):
+    got = one(spark, entities.verdict(F.lit(value), entities.field_kind(header, peers)))
+    assert (got["level"], got["reason"]) == (level, reason)
+    assert one(spark, entities.reason_text(F.lit(reason))) == (entities.REASONS.get(reason) or "未知原因")
