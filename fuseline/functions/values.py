@@ -142,10 +142,10 @@ def date(c: Column) -> Column:
 
 
 def text_date(text: Column) -> Column:
-    text = F.translate(F.translate(text, "年月/.", "----"), "日", "")
-    text = F.regexp_replace(F.regexp_replace(text, "-+", "-"), "^[- ]+|[- ]+$", "")
-    # year|month|day, parts that aren't there left empty; a text without a year stays as it is
-    parts = F.regexp_replace(text, r"(?s)^(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?|(\d{2}))?.*$", "$1|$2$4|$3")
+    def loose(t: Column) -> Column:
+        """Dates of any form: year|month|day, parts that aren't there left empty; a text without a year stays."""
+        t = F.regexp_replace(t, "-+", "-")
+        return let(F.regexp_replace(t, r"(?s)^(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?|(\d{2}))?.*$", "$1|$2$4|$3"), best)
 
     def best(p: Column) -> Column:
         day = lambda x: F.replace(x, F.lit("|"), F.lit("-")).try_cast("date")
@@ -153,7 +153,11 @@ def text_date(text: Column) -> Column:
         found = F.coalesce(day(p), day(F.substring_index(p, "|", 2)), F.when(year != "0000", day(year)))
         return F.when(p.contains("|"), found.cast("string"))
 
-    return let(parts, best)
+    def read(t: Column) -> Column:
+        whole = F.when(t.rlike(r"\A(?!0000)\d{4}(?:-\d{1,2}){0,2}\z"), t.try_cast("date").cast("string"))
+        return F.coalesce(whole, loose(t))
+
+    return let(F.btrim(F.translate(text, "年月/.日", "----"), F.lit("- ")), read)
 
 
 def unit(c: Column, registry: Registry = DEFAULT) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuseline.functions.values import clean, plain
+from fuseline.operators.entities import FieldKind, verdict
+from fuseline.operators.records import scope_confidence
 
 NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?\s*(?:万亿|亿|万|千|百)?(?:元|人|例|份|个|%)?"
 #: Fixed: names under which the concepts are written.
@@ -100,3 +102,22 @@ def source_contributions(cells: DataFrame) -> DataFrame:
     value = cells.select("row_id", F.explode("value_sources").alias("source_file")).withColumn("kind", F.lit("value"))
     both = evidence.unionByName(value)
     return both.groupBy("source_file").agg(F.count_if(F.col("kind") == "evidence").alias("n_evidence"), F.count_if(F.col("kind") == "value").alias("n_values"), F.count_distinct(F.when(F.col("kind") == "value", F.col("row_id"))).alias("n_rows"))
+
+
+def document_scopes(segments: DataFrame, asked: FieldKind, first: int = 6) -> DataFrame:
+    """doc_id, scope and confidence: what a document is about, for an entity field: of the entities that lead its
+    first segments (doc_id, block_index, content) and may stand in the field, the likeliest, the earliest of
+    equal ones."""
+    early = segments.filter(F.col("block_index") < first).withColumn("entity", leading_entity(F.col("content")))
+    good = early.filter((F.col("entity") != "") & (verdict(F.col("entity"), asked)["level"] == "accepted"))
+    rated = good.withColumn("confidence", scope_confidence(F.col("block_index"), F.lit("entity_lead")))
+    best = F.max_by(F.struct("entity", "confidence"), F.struct("confidence", -F.col("block_index")))
+    return rated.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.entity").alias("scope"), F.col("b.confidence").alias("confidence"))
+
+
+def remapped(records: DataFrame, entity: str, asked: FieldKind, scopes: DataFrame) -> DataFrame:
+    """records (doc_id, the entity column, ...) with the document's scope in place of entities that speak softly
+    against the field, and remapped; those that can't stand there at all, and documents without a scope, stay."""
+    out = records.join(scopes.select("doc_id", "scope"), "doc_id", "left").withColumn("_level", verdict(F.col(f"`{entity}`"), asked)["level"])
+    hit = F.coalesce((F.col("_level") == "soft_filter") & F.col("scope").isNotNull(), F.lit(False))
+    return out.withColumn("remapped", hit).withColumn(entity, F.when(F.col("remapped"), F.col("scope")).otherwise(F.col(f"`{entity}`"))).drop("scope", "_level")

@@ -585,6 +585,17 @@ def entity_verdicts(spark, d):
     return rows.groupBy("v.level", "v.reason", "v.score").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_nationkey % 5 = 4 THEN '历下区' ELSE chr(19968 + c_nationkey) || '城市' END WHEN 1 THEN '青岛市' ELSE '2024年3月' END AS city, c_custkey % 3 = 0 AND c_nationkey % 5 <> 4 AS remapped
+FROM customer""")
+def scope_remap(spark, d):
+    asked = entities.field_kind("城市")
+    name = F.concat(F.element_at(F.array(*[F.lit(chr(0x4E00 + i)) for i in range(25)]), F.col("n_nationkey") + 1), F.when(F.col("n_nationkey") % 5 == 4, "省").otherwise("城市"))
+    blocks = t(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.inline(F.array(F.struct(F.lit(0).alias("block_index"), F.lit("概况如下").alias("content")), F.struct(F.lit(1).alias("block_index"), F.concat(name, F.lit("经济增长")).alias("content")))))
+    city = F.when(F.col("c_custkey") % 3 == 0, "历下区").when(F.col("c_custkey") % 3 == 1, "青岛市").otherwise("2024年3月")
+    rows = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("doc_id"), city.alias("city"))
+    return extraction.remapped(rows, "city", asked, extraction.document_scopes(blocks, asked)).select("c_custkey", "city", "remapped")
+
+
 @query("SELECT c_mktsegment AS source_file, CASE WHEN c_custkey % 4 = 0 THEN 'number' ELSE 'sentence' END AS filter_reason, true AS hard_reject, count(*) AS n_dropped FROM customer WHERE c_custkey % 4 < 2 GROUP BY ALL")
 def entity_rejects(spark, d):
     name = F.when(F.col("c_custkey") % 4 == 0, "123").when(F.col("c_custkey") % 4 == 1, "a; b").otherwise("青岛")
@@ -622,7 +633,8 @@ def source_contributions(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS num, 'USD' AS unit FROM lineitem")
 def normalize_number(spark, d):
     text = F.concat(F.format_number("l_extendedprice", 2), F.lit(" USD"))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(V.number(text), 2).alias("num"), V.unit(text).alias("unit"))
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", V.plain(text).alias("text"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(V.text_number(F.col("text")), 2).alias("num"), V.text_unit(F.col("text"), DEFAULT).alias("unit"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS whole, strftime(o_orderdate, '%Y-%m-01') AS month, strftime(o_orderdate, '%Y-01-01') AS year FROM orders")
