@@ -173,10 +173,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.drop("_group").schema.fields)
     done = stored(rated.groupBy("source", "_group").applyInPandas(whole, shape + ", copies long"), "copies")
     each = done.select(*[F.col(c).alias(f"{c}_1") for c in _ENTRY], "rate", F.expr("copies div _n").alias("least"), F.expr("copies % _n").alias("more"))
-    out = rows.join(each, [F.col(c).eqNullSafe(F.col(f"{c}_1")) for c in _ENTRY])
-    even, uneven = out.filter("more = 0").withColumn("copies", F.col("least")), out.filter("more > 0")
-    uneven = _numbered(uneven).withColumn("copies", F.col("least") + (F.col("number") <= F.col("more")).cast("long"))
-    out = even.unionByName(uneven.select(even.columns))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_1")) for c in _ENTRY]
+    out = rows.join(each.filter("more = 0"), on).withColumn("copies", F.col("least"))
+    uneven = each.filter("more > 0")
+    if not uneven.isEmpty():  # only rows that repeat share copies unevenly
+        shared = _numbered(rows.join(uneven, on)).withColumn("copies", F.col("least") + (F.col("number") <= F.col("more")).cast("long"))
+        out = out.unionByName(shared.select(out.columns))
     if with_docs:
         again = F.explode(F.array_repeat("whole", F.col("copies").cast("int")))
         return out.filter("copies > 0").select(again.alias("whole")).select("whole.*")

@@ -178,6 +178,25 @@ def test_detector_on_new_examples(spark):
     assert personal_data.find_spans([clean], model) == [([], [])]
 
 
+def test_detector_in_the_tables_texts(spark, data):
+    """Generated personal data put into real texts is found there, and the texts' own clean ones stay clean."""
+    rng = random.Random(17)
+    model, right, wrong, missed = personal_data.detector(spark), 0, 0, 0
+    docs = spark.read.parquet(f"{data}/documents.parquet").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("quality = 1").select("text").collect()
+    for (body,) in docs * 3:
+        planted, spans = personal_data._sentence(rng)
+        cut = rng.choice([m.start() for m in re.finditer(" ", body)] or [0])
+        text = f"{body[:cut]} {planted} {body[cut:]}"
+        spans = {(k, a + cut + 1, b + cut + 1) for k, a, b in spans}
+        (_, own), (base, added) = personal_data.find_spans([body, text], model)
+        near = lambda a, b: cut - 30 < b and a < cut + len(planted) + 30  # noqa: B023, E731
+        mine = [s for s in added if near(s[1], s[2])]
+        right, wrong = right + sum(s in spans for s in mine), wrong + sum(not any(a < s[2] and s[1] < b for _, a, b in spans) for s in mine)
+        missed += sum(not any(a < s[2] and s[1] < b for _, a, b in base + added) for s in spans)
+        assert len(own) <= 3
+    assert right > 60 and wrong <= 0.06 * right and missed <= 0.3 * (right + missed)
+
+
 def test_candidates_of_any_groups_and_written_addresses():
     for kind, found in (("phone", "0 6 1 2 3 4 5 6 7 8"), ("card", "41.11.11.11.11.11.11.11"), ("email", "jane at example.com"), ("email", "jane at mail.example[.]com"), ("phone", "1-2-3-4-5-6-7-8-9-0-1-2-3-4-5")):
         text = f"Ask {found} now"
