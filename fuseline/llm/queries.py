@@ -16,6 +16,9 @@ NAMES = {
     "op1_line_dedup": "line_dedup",
     "op2_token_shards": "token_shards",
     "op3_best_fit_packing": "packing",
+    "op11_byte_bpe": "byte_bpe",
+    "op12_annulus_clusters": "centroid_clusters",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 

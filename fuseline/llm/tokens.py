@@ -45,7 +45,7 @@ class Encoder:
         self.odd = [t["content"] for t in spec.get("added_tokens") or []] + list(ODD_SPACE)
         self.letters = re.compile(f" ?[{LATIN}]+").fullmatch
         self.merges = self.tokenizer.model.tokenize
-        self.bytes = str.maketrans(_byte_letters())
+        self.bytes = str.maketrans(byte_letters())
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -111,7 +111,7 @@ def _narrow(text: str) -> bool:
     return True
 
 
-def _byte_letters() -> dict[str, str]:
+def byte_letters() -> dict[str, str]:
     """The letter that byte-level tokenizers write for each byte (here a Latin-1 character):
     printable ones stand for themselves, the others take the letters from U+0100 on, in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
