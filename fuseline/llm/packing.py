@@ -8,8 +8,7 @@ their own and keep all their members from round to round: crossover injects whol
 parent into the other, drops bins that share pieces with them, and fits the displaced pieces again,
 best fit first by swapping them for smaller pieces of open bins, then by falling size into what is free.
 After each round every island's best packing migrates to the next island of its problem. An island
-stops where its packing meets the lower bound, or no longer improves; while more pooling rounds follow,
-it stops within 0.2 % of the bound, as badly filled bins are packed again anyway. Bins that the best packing fills well are
+stops where its packing meets the lower bound, or no longer improves. Bins that the best packing fills well are
 kept; the pieces of the rest go on, mixed anew, to the next pooling round, so what one problem
 can't fill is filled with what others have left.
 
@@ -64,42 +63,51 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
 class Bins:
     """Open bins by free room; finds the fullest one that takes a piece in a few steps: bit r of
-    free says that some bin has room r."""
+    free says that some bin has room r. Lists of pieces are shared between packings and never changed."""
 
-    def __init__(self, capacity: int):
-        self.capacity, self.by_room, self.free = capacity, [[] for _ in range(capacity + 1)], 0
-        self.bins: list[list[int]] = []
-        self.room: list[int] = []
-
-    def open(self, items: list[int], room: int) -> None:
-        self.bins.append(items)
-        self.room.append(room)
-        self._list(len(self.bins) - 1, room)
+    def __init__(self, capacity: int, kept: list[tuple[list[int], int]] = ()):
+        self.capacity, self.by_room, self.free = capacity, {}, 0
+        self.bins: list[list[int]] = [items for items, _ in kept]
+        self.room: list[int] = [room for _, room in kept]
+        self._of: list[int] | None = None
+        for b, room in enumerate(self.room):
+            if room:
+                self._list(b, room)
 
     def _list(self, b: int, room: int) -> None:
-        if room:
-            self.by_room[room].append(b)
-            self.free |= 1 << room
+        self.by_room.setdefault(room, []).append(b)
+        self.free |= 1 << room
 
     def put(self, item: int, size: int) -> None:
         fits = self.free >> size
         if not fits:
-            self.open([item], self.capacity - size)
+            self.bins.append([item])
+            self.room.append(self.capacity - size)
+            if self.capacity > size:
+                self._list(len(self.bins) - 1, self.capacity - size)
             return
         room = size + (fits & -fits).bit_length() - 1
         b = self.by_room[room].pop()
         if not self.by_room[room]:
             self.free &= ~(1 << room)
-        self.bins[b].append(item)
+        self.bins[b] = [*self.bins[b], item]
         self.room[b] = room - size
-        self._list(b, room - size)
+        if room > size:
+            self._list(b, room - size)
+
+    def of(self, n: int) -> list[int]:
+        """The bin of each of n pieces; asked for when nothing more is put in."""
+        if self._of is None:
+            self._of = [0] * n
+            for b, items in enumerate(self.bins):
+                for i in items:
+                    self._of[i] = b
+        return self._of
 
 
 def best_fit(sizes: list[int], order, kept: list[tuple[list[int], int]], capacity: int) -> Bins:
     """The kept bins with the pieces of order best-fitted, one after the other, to them or new ones."""
-    out = Bins(capacity)
-    for items, room in kept:
-        out.open(items, room)
+    out = Bins(capacity, kept)
     for i in order:
         out.put(i, sizes[i])
     return out
@@ -107,7 +115,7 @@ def best_fit(sizes: list[int], order, kept: list[tuple[list[int], int]], capacit
 
 def fitness(p: Bins) -> tuple[int, float]:
     """Fewer bins are better; of as many bins, more uneven filling is."""
-    return -len(p.bins), sum(((p.capacity - r) / p.capacity) ** 2 for r in p.room)
+    return -len(p.bins), float((((p.capacity - np.asarray(p.room)) / p.capacity) ** 2).sum())
 
 
 def _swap(items: list[int], room: int, loose: list[tuple[int, int]], sizes: list[int]) -> int:
@@ -145,37 +153,36 @@ def refit(kept: list[tuple[list[int], int]], displaced: list[int], sizes: list[i
     """The kept bins with the displaced pieces fitted in: open bins, in random order, first swap pieces
     for larger ones, then what is left is best-fitted, the largest first."""
     loose = sorted((sizes[i], i) for i in displaced)
-    for k in rng.permutation(len(kept)).tolist():
-        items, room = kept[k]
-        if room and loose:
-            kept[k] = (items, _swap(items, room, loose, sizes))
+    for k in rng.permutation([k for k, (_, room) in enumerate(kept) if room]).tolist():
+        if not loose:
+            break
+        items = list(kept[k][0])
+        kept[k] = (items, _swap(items, kept[k][1], loose, sizes))
     return best_fit(sizes, [i for _, i in reversed(loose)], kept, capacity)
 
 
 def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
     """a with well-filled bins of b injected whole; a's bins that share pieces with them are
     dropped, and so are its worst and a few others; their other pieces are fitted again."""
-    limit = int(np.quantile(b.room, rng.uniform(0.2, 0.6))) if b.room else 0
-    injected = [k for k, r in enumerate(b.room) if r <= limit and rng.random() < 0.5]
+    rooms_a, rooms_b = np.asarray(a.room), np.asarray(b.room)
+    limit = np.quantile(rooms_b, rng.uniform(0.2, 0.6))
+    injected = np.flatnonzero((rooms_b <= limit) & (rng.random(len(rooms_b)) < 0.5)).tolist()
     taken = {i for k in injected for i in b.bins[k]}
-    kept, displaced = [(list(b.bins[k]), b.room[k]) for k in injected], []
-    worst = np.quantile(a.room, 0.9) if a.room else 0
-    for items, room in zip(a.bins, a.room, strict=True):
-        if taken.isdisjoint(items) and not (room and (room >= worst or rng.random() < 0.02)):
-            kept.append((list(items), room))
-        else:
-            displaced += [i for i in items if i not in taken]
-    return refit(kept, displaced, sizes, a.capacity, rng)
+    lost = (rooms_a > 0) & ((rooms_a >= np.quantile(rooms_a, 0.9)) | (rng.random(len(rooms_a)) < 0.02))
+    of = a.of(len(sizes))
+    lost[[of[i] for i in taken]] = True
+    kept = [(b.bins[k], b.room[k]) for k in injected] + [(a.bins[k], a.room[k]) for k in np.flatnonzero(~lost).tolist()]
+    return refit(kept, [i for k in np.flatnonzero(lost).tolist() for i in a.bins[k] if i not in taken], sizes, a.capacity, rng)
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
     return -(-sum(sizes) // capacity)
 
 
-def evolve(sizes: list[int], capacity: int, population: list[Bins], children: int, rng: np.random.Generator, enough: int | None = None, patience: int = 40) -> list[Bins]:
+def evolve(sizes: list[int], capacity: int, population: list[Bins], children: int, rng: np.random.Generator, patience: int = 40) -> list[Bins]:
     """The population, best first, after so many children each replaced its worst member, if better;
-    fewer where so few bins are enough (None: the lower bound) or the last patience children saved none."""
-    enough = lower_bound(sizes, capacity) if enough is None else enough
+    fewer where the lower bound is met or the last patience children saved no bin."""
+    enough = lower_bound(sizes, capacity)
     scored = sorted(((fitness(p), p) for p in population), key=lambda x: x[0], reverse=True)
     waited = 0
     for _ in range(children):
@@ -199,20 +206,14 @@ def first_population(sizes: list[int], capacity: int, n: int, rng: np.random.Gen
 
 
 def _labels(p: Bins, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=np.int64)
-    for b, items in enumerate(p.bins):
-        out[items] = b
-    return out
+    return np.array(p.of(n), dtype=np.int64)
 
 
 def _packing(labels: np.ndarray, sizes: list[int], capacity: int) -> Bins:
     groups: list[list[int]] = [[] for _ in range(int(labels.max()) + 1)]
     for i, b in enumerate(labels.tolist()):
         groups[b].append(i)
-    out = Bins(capacity)
-    for items in groups:
-        out.open(items, capacity - sum(sizes[i] for i in items))
-    return out
+    return Bins(capacity, [(items, capacity - sum(sizes[i] for i in items)) for items in groups])
 
 
 _ISLAND = "problem long, island int, uids binary, lengths binary, members binary"
@@ -222,7 +223,7 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
-def _solved(pieces: DataFrame, problems: int, capacity: int, islands: int, population: int, children: int, migrations: int, seed: int, slack: float) -> DataFrame:
+def _solved(pieces: DataFrame, problems: int, capacity: int, islands: int, population: int, children: int, migrations: int, seed: int) -> DataFrame:
     """pieces (uid, length) with problem, bin and room, the bin's, in the best packing found. Between
     rounds an island is one row with the bins of all its members, and one for its neighbour with
     those of its best."""
@@ -238,11 +239,8 @@ def _solved(pieces: DataFrame, problems: int, capacity: int, islands: int, popul
             problem, island, n = int(own["problem"]), int(own["island"]), len(own["uids"]) // 8
             sizes, rng = _numbers(own["lengths"]).tolist(), np.random.default_rng([seed, round_, problem, island])
             labels = np.concatenate([_numbers(m) for m in pdf["members"]]).reshape(-1, n)
-            enough = int(lower_bound(sizes, capacity) * (1 + slack))
-            people = [_packing(x, sizes, capacity) for x in labels] or first_population(sizes, capacity, 1, rng)
-            if len(people) < population and len(people[0].bins) > enough:
-                people += first_population(sizes, capacity, population, rng)[1:]
-            people = evolve(sizes, capacity, people, children, rng, enough)[:population]
+            people = [_packing(x, sizes, capacity) for x in labels] or first_population(sizes, capacity, population, rng)
+            people = evolve(sizes, capacity, people, children, rng)[:population]
             members = [_labels(p, n).tobytes() for p in people]
             rows = [(problem, island, own["uids"], own["lengths"], b"".join(members))]
             if round_ < migrations and islands > 1:
@@ -265,9 +263,8 @@ def _solved(pieces: DataFrame, problems: int, capacity: int, islands: int, popul
     return state.groupBy("problem").applyInPandas(choose, "uid long, length long, problem long, bin long, room long")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_problem: int = 4096, islands: int = 2, population: int = 5, children: int = 60, migrations: int = 1, poolings: int = 2, spare: float = 0.004, slack: float = 0.002) -> DataFrame:
-    """pieces with sequence_id and offset. slack: the share above the lower bound at which a search stops
-    before the last of the pooling rounds. spare: bins with at most this share of room are kept
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_problem: int = 4096, islands: int = 2, population: int = 5, children: int = 60, migrations: int = 1, poolings: int = 2, spare: float = 0.004) -> DataFrame:
+    """pieces with sequence_id and offset. spare: bins with at most this share of room are kept
     before the last of the pooling rounds; problems have about per_problem pieces."""
     spark = pieces.sparkSession
     with batches_of(spark):
@@ -281,7 +278,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_problem: int =
             break
         problems = max(1, round(n / per_problem))
         more = k < poolings and problems > 1
-        done = stored(_solved(open_, problems, capacity, islands, population, children, migrations, k, slack if more else 0.0), f"pooling{k}")
+        done = stored(_solved(open_, problems, capacity, islands, population, children, migrations, k), f"pooling{k}")
         if more:
             good = F.col("room") <= int(spare * capacity)
             parts.append(done.filter(good).withColumn("base", F.lit(made)))
