@@ -7,13 +7,17 @@ six binary digits. So a quantile is at most 1/32 too small, a sketch has at most
 thousandths and 32 more for each doubling, and sketches merge by adding, in any order and with
 the same result. They are made for each language and source, for each language and for all.
 
-A group's fence is a tail quantile's distance from the median, times a spread, and at least a small floor:
+Only documents within the base limits are counted there, so junk that these reject shapes no tail. A group's
+fence is its median and a distance beyond it, a multiple of a tail quantile's, and at least a small floor:
 
     upper = median + max(spread * (tail quantile - median), floor)
     lower = median - max(spread * (median - opposite quantile), floor)   (mean word length only)
 
-Few documents tell little of a tail, so a group's fence is the mean of its own, weighing as many
-documents as it has, and its parent's, weighing PRIOR documents; a language's parent is the whole.
+The tail quantile of symbols and word length is the upper quartile, which up to a quarter of bad documents
+can't move far. Few documents tell little of a tail, and bad ones may fill one group's: so a
+group's distance counts up to LIMIT times its parent's, and median and distances are the means of the group's own, weighing as many
+documents as it has, and its parent's, weighing PRIOR documents; a language's parent is the whole. No share's fence is above
+100 %.
 
 Defined cases: a null text has no words; null languages and sources are groups of their own; rows
 that repeat are counted each; texts below the base limits fail whatever the fences; an empty
@@ -34,8 +38,12 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents that a parent's fence weighs.
 PRIOR = 200
+#: Times its parent's distance that a group's may count.
+LIMIT = 8
 #: Ratio: (percent of the tail quantile, spread, floor in units, whether there is a lower fence).
-FENCES = {"symbols": (90, 3, 20, False), "dup_lines": (97, 2, 200, False), "repeats": (90, 4, 150, False), "word_length": (90, 4, 8, True)}
+FENCES = {"symbols": (75, 4, 20, False), "dup_lines": (90, 3, 400, False), "repeats": (90, 4, 300, False), "word_length": (75, 6, 10, True)}
+#: Units of a whole, where a ratio is a share of one.
+WHOLE = {"symbols": 1000, "dup_lines": 1000, "repeats": 1000}
 
 
 def repeat_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,29 +131,41 @@ def own_fences(sketch: DataFrame) -> DataFrame:
     out = []
     for ratio, (_, spread, floor, _) in FENCES.items():
         mine = lambda x, r=ratio: F.max(F.when(F.col("ratio") == r, x)).cast("double")
-        out.append(mine(F.col("mid") + F.greatest((F.col("high") - F.col("mid")) * spread, F.lit(floor))).alias(f"{ratio}_upper"))
-        out.append(mine(F.col("mid") - F.greatest((F.col("mid") - F.col("low")) * spread, F.lit(floor))).alias(f"{ratio}_lower"))
+        out.append(mine(F.col("mid")).alias(f"{ratio}_mid"))
+        out.append(mine(F.greatest((F.col("high") - F.col("mid")) * spread, F.lit(floor))).alias(f"{ratio}_up"))
+        out.append(mine(F.greatest((F.col("mid") - F.col("low")) * spread, F.lit(floor))).alias(f"{ratio}_down"))
     return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *out)
 
 
-def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """lang, source and the fences of each, drawn to those of the language, and these to those of all."""
+def fences(sketch: DataFrame, prior: int = PRIOR, limit: float = LIMIT) -> DataFrame:
+    """lang, source and each ratio's upper and lower fence; all are drawn to those of the language, and these to those of all."""
     own = stored(own_fences(sketch), "own_fences")
-    limits = [c for c in own.columns if c.endswith(("_upper", "_lower"))]
+    parts = [f"{r}_{k}" for r in FENCES for k in ("mid", "up", "down")]
 
     def drawn(part: DataFrame, parent: DataFrame, on) -> DataFrame:
+        def mean(c: str) -> Column:
+            mine = F.col(f"p.{c}") if c.endswith("_mid") else F.least(F.col(f"p.{c}"), F.col(f"q.{c}") * limit)
+            return ((mine * F.col("p.docs") + F.col(f"q.{c}") * prior) / (F.col("p.docs") + prior)).alias(c)
+
         both = part.alias("p").join(parent.alias("q"), on, "left")
-        return both.select("p.lang", "p.source", *[((F.col(f"p.{c}") * F.col("p.docs") + F.col(f"q.{c}") * prior) / (F.col("p.docs") + prior)).alias(c) for c in limits])
+        return both.select("p.lang", "p.source", *map(mean, parts))
 
     whole, languages, sources = (own.filter(F.col("level") == k) for k in (0, 1, 2))
     languages = drawn(languages, F.broadcast(whole), F.lit(True))  # one row
-    return drawn(sources, languages, F.col("p.lang").eqNullSafe(F.col("q.lang")))
+    found = drawn(sources, languages, F.col("p.lang").eqNullSafe(F.col("q.lang")))
+    upper = {r: F.col(f"{r}_mid") + F.col(f"{r}_up") for r in FENCES}
+    upper |= {r: F.least(upper[r], F.lit(float(n))) for r, n in WHOLE.items()}
+    return found.select("lang", "source", *[upper[r].alias(f"{r}_upper") for r in FENCES], *[(F.col(f"{r}_mid") - F.col(f"{r}_down")).alias(f"{r}_lower") for r in FENCES])
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
 
 
 def apply_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row of docs."""
     measured = stored(counts(docs).withColumns(_units()), "counts")
-    fence = stored(fences(sketches(measured), prior), "fences").alias("f")
+    fence = stored(fences(sketches(measured.filter(~base_failed())), prior), "fences").alias("f")
     m = measured.alias("m")
     out = m.join(fence, F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source")), "left")
     verdict = F.lit(True)
@@ -153,7 +173,7 @@ def apply_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
         verdict &= F.col(f"m.{ratio}") <= F.col(f"f.{ratio}_upper")
         if lower:
             verdict &= F.col(f"m.{ratio}") >= F.col(f"f.{ratio}_lower")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    failed = base_failed()
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict).alias("kept"))
 
 
@@ -176,24 +196,25 @@ a AS (SELECT r, lang, source, 'symbols' AS ratio, CASE WHEN word_chars > 0 THEN
     UNION ALL SELECT r, lang, source, 'dup_lines', CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END FROM m
     UNION ALL SELECT r, lang, source, 'repeats', CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END FROM m
     UNION ALL SELECT r, lang, source, 'word_length', CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END FROM m),
-k AS (SELECT r, lang, source, ratio, unit - unit % (1::BIGINT << greatest(length(bin(unit)) - 6, 0)) AS unit FROM a),
+k AS (SELECT a.r, a.lang, a.source, ratio, unit - unit % (1::BIGINT << greatest(length(bin(unit)) - 6, 0)) AS unit FROM a JOIN m USING (r) WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)),
 s AS (SELECT 2 AS level, lang, source, ratio, unit, count(*) AS n FROM k GROUP BY ALL
     UNION ALL SELECT 1, lang, NULL, ratio, unit, count(*) FROM k GROUP BY ALL
     UNION ALL SELECT 0, NULL, NULL, ratio, unit, count(*) FROM k GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY unit) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS docs,
-    CASE ratio WHEN 'dup_lines' THEN 97 ELSE 90 END AS tail FROM s),
+    CASE WHEN ratio IN ('dup_lines', 'repeats') THEN 90 ELSE 75 END AS tail FROM s),
 q AS (SELECT level, lang, source, ratio, max(docs) AS docs, min(unit) FILTER (100 * upto >= docs * (100 - tail)) AS low, min(unit) FILTER (100 * upto >= docs * 50) AS mid,
     min(unit) FILTER (100 * upto >= docs * tail) AS high FROM c GROUP BY ALL),
-rule AS (SELECT * FROM (VALUES ('symbols', 3, 20), ('dup_lines', 2, 200), ('repeats', 4, 150), ('word_length', 4, 8)) AS x(ratio, spread, floor)),
-f AS (SELECT level, lang, source, q.ratio, docs::DOUBLE AS docs, (mid + greatest((high - mid) * spread, floor))::DOUBLE AS hi,
-    (mid - greatest((mid - low) * spread, floor))::DOUBLE AS lo FROM q JOIN rule ON rule.ratio = q.ratio),
-f1 AS (SELECT p.lang, p.ratio, (p.hi * p.docs + o.hi * 200) / (p.docs + 200) AS hi, (p.lo * p.docs + o.lo * 200) / (p.docs + 200) AS lo
-    FROM f p JOIN f o ON p.level = 1 AND o.level = 0 AND p.ratio = o.ratio),
-f2 AS (SELECT p.lang, p.source, p.ratio, (p.hi * p.docs + o.hi * 200) / (p.docs + 200) AS hi, (p.lo * p.docs + o.lo * 200) / (p.docs + 200) AS lo
-    FROM f p JOIN f1 o ON p.level = 2 AND p.ratio = o.ratio AND p.lang IS NOT DISTINCT FROM o.lang),
+rule AS (SELECT * FROM (VALUES ('symbols', 4, 20, 1000), ('dup_lines', 3, 400, 1000), ('repeats', 4, 300, 1000), ('word_length', 6, 10, NULL)) AS x(ratio, spread, floor, whole)),
+f AS (SELECT level, lang, source, q.ratio, docs::DOUBLE AS docs, mid::DOUBLE AS mid, greatest((high - mid) * spread, floor)::DOUBLE AS up,
+    greatest((mid - low) * spread, floor)::DOUBLE AS down, whole FROM q JOIN rule ON rule.ratio = q.ratio),
+f1 AS (SELECT p.lang, p.ratio, (p.mid * p.docs + o.mid * 200) / (p.docs + 200) AS mid, (least(p.up, o.up * 8) * p.docs + o.up * 200) / (p.docs + 200) AS up,
+    (least(p.down, o.down * 8) * p.docs + o.down * 200) / (p.docs + 200) AS down FROM f p JOIN f o ON p.level = 1 AND o.level = 0 AND p.ratio = o.ratio),
+f3 AS (SELECT p.lang, p.source, p.ratio, p.whole, (p.mid * p.docs + o.mid * 200) / (p.docs + 200) AS mid, (least(p.up, o.up * 8) * p.docs + o.up * 200) / (p.docs + 200) AS up,
+    (least(p.down, o.down * 8) * p.docs + o.down * 200) / (p.docs + 200) AS down FROM f p JOIN f1 o ON p.level = 2 AND p.ratio = o.ratio AND p.lang IS NOT DISTINCT FROM o.lang),
+f2 AS (SELECT lang, source, ratio, CASE WHEN whole IS NULL THEN mid + up ELSE least(mid + up, whole) END AS hi, mid - down AS lo FROM f3),
 v AS (SELECT a.r, bool_and(unit <= hi AND (unit >= lo OR a.ratio <> 'word_length')) AS good FROM a
-    JOIN f2 ON f2.ratio = a.ratio AND f2.lang IS NOT DISTINCT FROM a.lang AND f2.source IS NOT DISTINCT FROM a.source GROUP BY a.r)
+    LEFT JOIN f2 ON f2.ratio = a.ratio AND f2.lang IS NOT DISTINCT FROM a.lang AND f2.source IS NOT DISTINCT FROM a.source GROUP BY a.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    good AND NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS kept FROM m JOIN v USING (r)
+    coalesce(good, FALSE) AND NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS kept FROM m JOIN v USING (r)
 """
 }
