@@ -7,8 +7,9 @@ crosses the token's ends, so it is the same there, and one merge a token gives t
 against the ranks would give. A match that is a token itself is taken whole. Decoding goes back from letters to bytes.
 
 Texts are encoded in Arrow batches, few at a time, and a long text in parts that end before a single space between
-two other characters, where a match ends in any case, so a worker holds the encoding of few characters however
-long a text is. Offsets count code points; a token that is part of a character has that whole character's, and a character that
+two other characters, where a match of the public pattern ends in any case, so a worker holds the encoding of few characters however
+long a text is. For the same reason each distinct part between such places is encoded once in a worker. With another pattern texts are
+encoded whole. Offsets count code points; a token that is part of a character has that whole character's, and a character that
 is split between tokens is decoded with the last of them.
 
 Defined cases: a null text counts as empty and gives no ids, an empty digest's text and no bytes; strings of special tokens are ordinary
@@ -20,7 +21,6 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuseline.llm.common import pieces, table, text_or_empty
-from fuseline.llm.tokens import byte_letters, tokenizer_path
+from fuseline.llm.tokens import Encoder, byte_letters, tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PART = 1 << 19
@@ -61,7 +61,6 @@ class ByteBpe:
     """encode() and decode() by a file of ranks and the pattern that splits texts before the merges."""
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Regex, Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
@@ -73,21 +72,21 @@ class ByteBpe:
         merges = [tuple(map(as_letters, m)) for m in (last_merge(t, ranks) for t in order) if m]
         self.tokenizer = Tokenizer(BPE({as_letters(t): r for t, r in ranks.items()}, merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.parts = pattern == public_pattern()
+        self.encoder = Encoder.of(self.tokenizer, "byte" if self.parts else None)
         from_letter = str.maketrans({v: k for k, v in letters.items()})
         self.bytes = {i: t.translate(from_letter).encode("latin-1") for t, i in self.tokenizer.get_vocab().items()}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids."""
-        short = [t for t in texts if len(t) <= 2 * PART]
-        found = iter(self.tokenizer.encode_batch_fast(short, add_special_tokens=False))
-        return [np.array(next(found).ids, np.int32) if len(t) <= 2 * PART else np.concatenate([ids for ids, _ in self._long(t)]) for t in texts]
+        return [np.frombuffer(ids, "<u4").astype(np.int32) for ids in self.encoder.encode(texts)]
 
     def encode_offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's ids and their code points, a row (start, end) for each id."""
         return [tuple(map(np.concatenate, zip(*self._long(t), strict=True))) for t in texts]
 
     def _long(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for start, part in cut_at_spaces(text):
+        for start, part in cut_at_spaces(text) if self.parts else [(0, text)]:
             found = self.tokenizer.encode(part, add_special_tokens=False)
             yield np.array(found.ids, np.int32), np.array(found.offsets, np.int32).reshape(-1, 2) + start
 

@@ -34,17 +34,26 @@ class Encoder:
     limit: words kept; when there are more the memory is emptied and filled anew."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.kind = _kind(spec)
-        self.find = re.compile(PARTS[self.kind]).findall if self.kind else None
-        self.odd = [t["content"] for t in spec.get("added_tokens") or []] + list(ODD_SPACE)
+        self._set(Tokenizer.from_file(path), _kind(spec), [t["content"] for t in spec.get("added_tokens") or []], limit)
+
+    @classmethod
+    def of(cls, tokenizer, kind: str | None, limit: int = 1_000_000) -> Encoder:
+        """For a tokenizer of the given kind that has no special tokens."""
+        out = cls.__new__(cls)
+        out._set(tokenizer, kind, [], limit)
+        return out
+
+    def _set(self, tokenizer, kind: str | None, special: list[str], limit: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.kind, self.limit, self.known = tokenizer, kind, limit, {}
+        self.find = re.compile(PARTS[kind]).findall if kind else None
+        self.odd = special + list(ODD_SPACE)
         self.letters = re.compile(f" ?[{LATIN}]+").fullmatch
-        self.merges = self.tokenizer.model.tokenize
+        self.merges = tokenizer.model.tokenize
         self.bytes = str.maketrans(byte_letters())
 
     def _fresh(self, texts: list[str]) -> list[bytes]:

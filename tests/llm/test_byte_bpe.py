@@ -65,19 +65,27 @@ def test_split_characters():
     assert bpe.decode_each(ids[:-1])[-1] == "�" and bpe.decode_each([]) == []
 
 
-def test_long_texts_in_parts(monkeypatch):
+def test_long_texts_in_parts():
     rng = random.Random(3)
     text = "".join(rng.choice(["word", "don't", " ", "  ", "\n", "12", "é中", "!?", " a"]) for _ in range(60_000))
-    want = plain(PATHS[0]).encode_ordinary(text)
+    ranks = plain(PATHS[0])
+    want = ranks.encode_ordinary(text)
     for size in (10, 1000, byte_bpe.PART):
         parts = list(byte_bpe.cut_at_spaces(text, size))
         assert "".join(p for _, p in parts) == text and all(text[a : a + len(p)] == p for a, p in parts)
-        monkeypatch.setattr(byte_bpe, "PART", size)
-        monkeypatch.setattr(byte_bpe, "cut_at_spaces", lambda t, s=size, cut=byte_bpe.cut_at_spaces: cut(t, s))
-        assert codec(PATHS[0]).encode([text])[0].tolist() == want
-        ids, at = codec(PATHS[0]).encode_offsets([text])[0]
-        assert ids.tolist() == want and "".join(text[a:b] for a, b in dict.fromkeys(map(tuple, at.tolist()))) == text
-        monkeypatch.undo()
+        assert [i for _, p in parts for i in ranks.encode_ordinary(p)] == want
+    long = text * 30
+    ids, at = codec(PATHS[0]).encode_offsets([long])[0]
+    assert ids.tolist() == codec(PATHS[0]).encode([long])[0].tolist() == ranks.encode_ordinary(long)
+    assert "".join(long[a:b] for a, b in dict.fromkeys(map(tuple, at.tolist()))) == long
+
+
+def test_another_pattern():
+    """Digits one by one: what is safe to cut with the public pattern isn't with every other."""
+    pattern = r"\p{N}|[^\p{N}]+"
+    other = tiktoken.Encoding("digits", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(tokenizer_path(PATHS[0])), special_tokens={})
+    texts = ["one two 1234 three  four", *ODD]
+    assert [x.tolist() for x in byte_bpe.codec(tokenizer_path(PATHS[0]), pattern).encode(texts)] == other.encode_ordinary_batch(texts)
 
 
 def sha(x) -> str:

@@ -131,6 +131,16 @@ def test_packing_beats_best_fit_on_hard_sizes(spark):
     assert counts[0] <= plain and counts[1] < 0.96 * counts[0] and counts[2] < counts[1] and counts[2] < 0.92 * plain
 
 
+def test_search_of_many_problems_beats_best_fit(spark):
+    """As it is called by default, with problems pooled again: fewer sequences than best fit of all sizes at once."""
+    sizes = hard_sizes(random.Random(6), 1500)
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES).repartition(3)
+    plain = len(packing.best_fit(sizes, sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), [], 1024).bins)
+    found = check_packed(packing.pack_pieces(df, per_problem=900).collect(), 1024)
+    alone = check_packed(packing.pack_pieces(df, per_problem=900, children=0).collect(), 1024)
+    assert 1500 <= found < 0.96 * plain and found < 0.97 * alone
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 100, 200).tolist()
@@ -257,6 +267,36 @@ def test_fences_follow_each_group(spark):
     assert kept[0] and kept[1] and kept[1001] and not kept[5000] and not kept[5001] and kept[5002]
 
 
+def test_fences_withstand_bad_groups(spark):
+    """A fifth of a group is junk of symbols, which the base limits pass: its fence stays. A group that is junk
+    above all counts LIMIT times its language's distance at most, and no share's fence passes the whole."""
+    rows = [(5 * k + 1 if k % 10 == 1 else 0, 0, "mixed" if k % 2 else "clean") for k in range(1000)] + [(900, 950, "junk")] * 100
+    measured = spark.createDataFrame([("en", s, min(n, 900), 0, r, 50) for n, r, s in rows], "lang string, source string, symbols long, dup_lines long, repeats long, word_length long")
+    f = {r["source"]: r for r in quality_rules.fences(quality_rules.sketches(measured)).collect()}
+    assert f["mixed"]["symbols_upper"] == f["clean"]["symbols_upper"] < 300
+    assert f["junk"]["symbols_upper"] <= 1000 and f["junk"]["repeats_upper"] <= 1000
+    junk = spark.createDataFrame([("en", "junk", 5 * i, 0, 0, 50) for i in range(100)] + [("en", "clean", 0, 0, 0, 50)] * 2000, measured.schema)
+    f = {r["source"]: r for r in quality_rules.fences(quality_rules.sketches(junk)).collect()}
+    assert f["clean"]["symbols_upper"] < 40 and f["junk"]["symbols_upper"] <= 240 + quality_rules.LIMIT * 20
+
+
+def test_fences_against_constants(spark, data):
+    """On the tables, no document labelled bad is kept, one set of constants (the groups' median fences) keeps
+    no more of the good ones, and no fence is above the whole."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    measured = quality_rules.counts(docs).withColumns(quality_rules._units()).filter(~quality_rules.base_failed())
+    labelled = measured.join(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/labels.parquet"), "doc_id").toPandas()
+    fence = quality_rules.fences(quality_rules.sketches(measured)).toPandas()
+    assert all((fence[f"{r}_upper"] <= 1000).all() for r in quality_rules.WHOLE)
+    both = labelled.merge(fence, on=["lang", "source"])
+    own, same = both.n_words > 0, both.n_words > 0
+    for r, (*_, lower) in quality_rules.FENCES.items():
+        own &= (both[r] <= both[f"{r}_upper"]) & ((both[r] >= both[f"{r}_lower"]) | (not lower))
+        same &= (both[r] <= fence[f"{r}_upper"].median()) & ((both[r] >= fence[f"{r}_lower"].median()) | (not lower))
+    assert not (own & ~same & (both.quality == 0)).any() and (own & (both.quality == 1)).sum() >= (same & (both.quality == 1)).sum()
+    assert (own & (both.quality == 1)).sum() >= 0.99 * (both.quality == 1).sum()
+
+
 def test_sketches_are_bounded_and_merge(spark):
     units = spark.range(0, 200_000, 7).select("id", quality_rules.bucket(F.col("id")).alias("unit"))
     wrong = units.filter("unit > id or id - unit > id / 32").count()
