@@ -1,21 +1,23 @@
 """Operator 8: a page's main text by its line-block distribution.
 
 Markup is stripped to lines, one for each block of the page in order. A line's weight is the length
-of its text less what links hold, and 0 for furniture: menus, page headers,
-footers, sidebars, notices, adverts, forms and readers' comments, told by their elements, roles
-and class names. A form is none if it holds an article or more text than lies outside of forms, as
-where it wraps the whole page. The distribution is the sum of the weights in a window that slides over
-the lines, from one that only its last line has entered to one that only its first hasn't left. Its
-threshold is a share of the page's own mean over windows with any weight. Where the sum
+of its text less what links hold, and 0 in what HTML itself calls no part of an article: navigation, page headers,
+footers, asides and forms, by element or role. A form is none if it holds an article or more text than lies outside of forms, as
+where it wraps the whole page. Where a class name or id is one of menus, notices, adverts, comments and the like, a line's weight is a
+thirty-second (0 within an article and in comments), unless the element holds half of the page's text and a paragraph at least: then its name says nothing.
+
+The distribution is the sum of the weights in a window that slides over
+the lines, from one that only its last line has entered to one that only its first hasn't left. The edge of an element so named, and
+of an article with an element beside it, is as many empty lines as the window has, so that what stands beside an article is a peak of its own (where the
+heaviest peak is no article, articles have no such edges). The threshold is a share of the page's own mean over windows with any weight. Where the sum
 passes it is a surge, where it falls below a dive; the lines of the windows between the two are a region.
 The heaviest region is the main text. With it go the regions at least a quarter as heavy, and what
 lies in the least container of all its lines (or in siblings of that of the same class) even where the
 distribution is low: a text's own short ends and lists. Headings and paragraphs of links next to a kept
-region belong to it. Furniture within a region stays out, and nothing else.
+region belong to it. Furniture within an article stays out, and nothing else.
 
-Defined cases: null or empty html gives an empty text; a page in which everything looks like
-furniture is taken once more without looking at class names, then with navigation and footers as the
-only furniture; unclosed elements end with their
+Defined cases: null or empty html gives an empty text; a page in which everything is
+furniture is taken once more with navigation and footers as the only furniture; a page without lines gives an empty text; an empty table gives no rows; unclosed elements end with their
 parents; cut character references stay as they are; rows that repeat are extracted each; very long
 pages are taken whole; other columns are ignored."""
 
@@ -37,6 +39,8 @@ from fuseline.llm.common import pieces
 WINDOW = 3
 #: The threshold of a window's sum, as a share of the page's mean; and a region's weight, as one of the heaviest's.
 THRESHOLD, SIDE = 1 / 8, 1 / 4
+#: What an element named like furniture divides its lines' weights by; and the share of the page's text, and the characters, with which it is none.
+NAMED_BY, HALF, ENOUGH = 32, 1 / 2, 150
 #: Fixed values of HTML: elements that start a new block, that have no end tag, whose text isn't shown, and that aren't the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +61,8 @@ ENDS = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd
 NAMES = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond replies disqus widget toolbar pagination pager alert paywall".split())
 #: Words before "header" in class names of an article's own heading.
 OWN_HEADER = frozenset("article entry post content story".split())
+#: Names of readers' comments, which may be longer than the text that they are about.
+COMMENTS = frozenset("comment comments respond replies disqus".split())
 _PART = re.compile(r"[A-Za-z]+")
 
 
@@ -73,35 +79,35 @@ def _named(value: str, inside: bool) -> bool:
 
 class Lines(HTMLParser):
     """feed() fills lines with [text, weight if it isn't furniture, why it may be furniture, number of
-    its form or 0, number of its article or 0, number of its block], and with_article with the forms
-    that hold an article. Blocks are numbered in the page's order; a block's descendants are those up
+    its form or 0, number of its article or 0, number of its block, number of the outermost element named like furniture or 0],
+    with_article with the forms that hold an article, and marks with (whether it is within an article, whether it names comments) of the elements so named. Blocks are numbered in the page's order; a block's descendants are those up
     to its entry in ends."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.text, self.linked = [], [], 0
-        self.stack: list[tuple[str, bool, int, int, int, int]] = []  # element, unseen, why, form, article, block
+        self.stack: list[tuple[str, bool, int, int, int, int, int]] = []  # element, unseen, why, form, article, block, mark
         self.parents, self.kinds, self.ends = [0], [("", "")], [0]  # kinds: element, class
         self.open: Counter[str] = Counter()
         self.links = self.articles = self.forms = 0
         self.with_article: set[int] = set()
-        self.state = (False, 0, 0, 0, 0)
+        self.marks: list[tuple[bool, bool]] = [(False, False)]
+        self.state = (False, 0, 0, 0, 0, 0)
 
     def _cut(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                _, why, form, article, block = self.state
-                self.lines.append((text, max(0, len(text) - self.linked), why, form, article, block))
+                self.lines.append((text, max(0, len(text) - self.linked), *self.state[1:]))
             self.text, self.linked = [], 0
 
     def _pop_to(self, k: int) -> None:
-        for tag, *_, block in self.stack[k:]:
+        for tag, *_, block, _ in self.stack[k:]:
             self.links -= tag == "a"
             self.open[tag] -= 1
             self.ends[block] = len(self.ends) - 1
         del self.stack[k:]
-        self.state = self.stack[-1][1:] if self.stack else (False, 0, 0, 0, 0)
+        self.state = self.stack[-1][1:] if self.stack else (False, 0, 0, 0, 0, 0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -117,7 +123,7 @@ class Lines(HTMLParser):
                 break
         if tag in VOID:
             return
-        unseen, why, form, article, block = self.state
+        unseen, why, form, article, block, mark = self.state
         have = dict(attrs)
         if tag in ("article", "main") and not article:
             self.articles += 1
@@ -135,6 +141,9 @@ class Lines(HTMLParser):
             if not why & NAMED and attrs and (_named(have.get("class") or "", article > 0) or _named(have.get("id") or "", article > 0)):
                 if tag != "article" or (have.get("class") or "").lower().startswith("comment"):
                     why |= NAMED
+                    words = {w.lower() for c in ("class", "id") for w in _PART.findall(have.get(c) or "")}
+                    self.marks.append((article > 0, bool(words & COMMENTS)))
+                    mark = len(self.marks) - 1
         if form and not why and tag in ("article", "main"):
             self.with_article.add(form)
         if tag in BLOCKS or tag in ("td", "th"):
@@ -143,9 +152,9 @@ class Lines(HTMLParser):
             self.ends.append(0)
             block = len(self.ends) - 1
         self.links += tag == "a"
-        self.stack.append((tag, unseen, why, form, article, block))
+        self.stack.append((tag, unseen, why, form, article, block, mark))
         self.open[tag] += 1
-        self.state = (unseen, why, form, article, block)
+        self.state = (unseen, why, form, article, block, mark)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -222,18 +231,57 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(parser: Lines) -> Iterator[list[bool]]:
-    """Which lines are furniture, by ever fewer marks."""
-    for masks in (NAMED | MARKED | ALWAYS, MARKED | ALWAYS):
-        mass: Counter[int] = Counter()
-        for _, weight, why, form, *_ in parser.lines:
-            mass[form] += 0 if why & masks else weight
-        least: float = mass[0] / 4
-        if masks & NAMED:
-            least = mass[0] + 1 if mass[0] else 4 * sum(weight for _, weight, why, form, *_ in parser.lines if why == NAMED and not form)
-        text = parser.with_article | {f for f in mass if mass[f] >= least}
-        yield [bool(why & masks) or (form > 0 and form not in text) for _, _, why, form, *_ in parser.lines]
-    yield [bool(why & ALWAYS) for _, _, why, *_ in parser.lines]
+def _believed(parser: Lines) -> tuple[set[int], bool]:
+    """The elements whose names are believed, those with less than half of the page's text and comments on other text; whether there are others."""
+    mass: Counter[int] = Counter()
+    other = 0
+    for _, weight, why, form, _, _, mark in parser.lines:
+        if not why & (MARKED | ALWAYS):
+            mass[mark] += weight
+            other += 0 if mark or form else weight
+    total = sum(mass.values())
+    out = {m for m in mass if m and (mass[m] < max(HALF * total, ENOUGH) or (parser.marks[m][1] and other > 0))}
+    return out, len(out) < sum(m > 0 for m in mass)
+
+
+def _candidates(parser: Lines) -> Iterator[tuple[list[bool], list[int]]]:
+    """(which lines are furniture, each line's element that is named like it or 0), by ever fewer marks."""
+    believed, others = _believed(parser)
+    named = [mark if mark in believed else 0 for *_, mark in parser.lines]
+    mass: Counter[int] = Counter()
+    for (_, weight, why, form, *_), mark in zip(parser.lines, named, strict=True):
+        mass[form] += 0 if mark or why & (MARKED | ALWAYS) else weight
+    least = mass[0] / 4 if others else mass[0] + 1 if mass[0] else 4 * sum(line[1] for line, mark in zip(parser.lines, named, strict=True) if mark and not line[3])
+    text = parser.with_article | {f for f in mass if mass[f] >= least}
+    inner = [mark > 0 and any(parser.marks[mark]) for mark in named]  # within an article, or comments
+    for read in (named, [0] * len(named)):
+        yield [bool(why & (MARKED | ALWAYS)) or (form > 0 and form not in text) or (x and m > 0) for (_, _, why, form, *_), x, m in zip(parser.lines, inner, read, strict=True)], read
+    yield [bool(why & ALWAYS) for _, _, why, *_ in parser.lines], [0] * len(named)
+
+
+def _found(parser: Lines, weights: list[int], named: list[int], window: int) -> list[tuple[int, int]]:
+    """regions() of the lines with the empty ones at the edges of named elements and of articles."""
+    for articles in (True, False):
+        wide, line_of = [], []
+        for i, (line, weight) in enumerate(zip(parser.lines, weights, strict=True)):
+            if i and ((articles and _edge(parser, parser.lines[i - 1], line)) or (named[i] != named[i - 1] and not line[4])):
+                wide += [0] * WINDOW
+                line_of += [i] * WINDOW
+            wide.append(weight)
+            line_of.append(i)
+        found = [(line_of[a], line_of[b - 1] + 1) for a, b in regions(wide, window)]
+        if not found or any(parser.lines[i][4] for i in range(*max(found, key=lambda r: sum(weights[r[0] : r[1]])))):
+            break
+    return found
+
+
+def _edge(parser: Lines, a: tuple, b: tuple) -> bool:
+    """Whether an article and an element beside it meet between two lines; a's or b's own text in what holds the article is none."""
+    if (a[4] > 0) == (b[4] > 0):
+        return False
+    out, within = (b[5], a[5]) if a[4] else (a[5], b[5])
+    holder = parser.holder(out)
+    return not holder <= within <= parser.ends[holder]
 
 
 def main_text(html: str | None, window: int = WINDOW) -> str:
@@ -242,14 +290,14 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    for furniture in _candidates(parser):
-        weights = [0 if f else line[1] for line, f in zip(parser.lines, furniture, strict=True)]
-        found = regions(weights, window)
+    for furniture, named in _candidates(parser):
+        weights = [0 if f else -(-line[1] // NAMED_BY) if m else line[1] for line, f, m in zip(parser.lines, furniture, named, strict=True)]
+        found = _found(parser, weights, named, window)
         if found:
             break
     else:
         return ""
-    texts, _, whys, _, _, blocks = zip(*parser.lines, strict=True)
+    texts, _, whys, _, _, blocks, _ = zip(*parser.lines, strict=True)
     mass = [sum(weights[a:b]) for a, b in found]
     top = range(*found[max(range(len(found)), key=mass.__getitem__)])
     spans = parser.container([blocks[i] for i in top if weights[i]])
@@ -262,14 +310,15 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
         k = bisect_right(firsts, blocks[i]) - 1
         return k >= 0 and blocks[i] <= spans[k][1]
 
-    text = [(a, b) for (a, b), m in zip(found, mass, strict=True) if m >= SIDE * max(mass) or any(weights[i] and inside(i) for i in range(a, b))]
-    kept = {i for a, b in text for i in range(a, b)} | {i for i in range(len(texts)) if weights[i] and inside(i)}
-    kept |= {i for i in range(min(kept), max(kept)) if page or inside(i)}
+    text = [(a, b) for (a, b), m in zip(found, mass, strict=True) if m >= SIDE * max(mass) or any(weights[i] and not named[i] and inside(i) for i in range(a, b))]
+    kept = {i for a, b in text for i in range(a, b)}
+    kept |= {i for i in range(len(texts)) if weights[i] and not named[i] and inside(i)}
+    kept |= {i for i in range(min(kept), max(kept)) if not named[i] and (page or inside(i))}
     for a, b in text:
         for i, step in ((a - 1, -1), (b, 1)):
             between = 0
-            while 0 <= i < len(texts) and between < window and i not in kept and not whys[i] & ALWAYS and (furniture[i] or (not weights[i] and parser.kinds[blocks[i]][0] in PARAGRAPHS)):
-                if furniture[i]:
+            while 0 <= i < len(texts) and between < window and i not in kept and not whys[i] & ALWAYS and (furniture[i] or named[i] or (not weights[i] and parser.kinds[blocks[i]][0] in PARAGRAPHS)):
+                if furniture[i] or named[i]:
                     between += 1
                 else:
                     kept.add(i)

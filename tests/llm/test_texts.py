@@ -388,6 +388,31 @@ def test_html_of_many_unclosed_elements():
     assert html_text.main_text("<article>" + "<b>x</i>" * 30_000) == "x" * 30_000
 
 
+@pytest.mark.parametrize("attribute", ["class='notice-content'", "class='share-price-report'", "id='login-story-body'", "class='widget'", "class=ad"])
+def test_html_names_say_nothing_of_the_main_text(attribute):
+    """A class name alone loses no text: an element that holds most of the page is its text."""
+    two = [" ".join(f"{w}{i}" for i in range(90)) for w in ("one", "two")]
+    html = f"<body><nav><a>Menu</a></nav><p>Short.</p><div {attribute}><p>{two[0]}</p><p>{two[1]}</p></div><footer>F</footer></body>"
+    assert [t for t in two if t in html_text.main_text(html)] == two
+    assert html_text.main_text(f"<body><div {attribute}><p>{two[0]}</p></div></body>") == two[0]
+    assert html_text.main_text(f"<article><p>{two[0]}</p><div {attribute}>Short.</div><p>{two[1]}</p></article>") in ("\n\n".join(two), f"{two[0]}\n\nShort.\n\n{two[1]}")
+
+
+def test_html_comments_longer_than_the_text():
+    html = f"<div class=wrap><p>{LONG}</p><p>{LONG}</p></div><div class=comments>{f'<p>{LONG[::-1]}</p>' * 40}</div>"
+    assert html_text.main_text(html) == f"{LONG}\n\n{LONG}"
+
+
+def test_html_the_distribution_decides(data, duck, monkeypatch):
+    """On nearly all pages of the tables a window over all lines takes in what the method leaves out, and the
+    words of class names change next to nothing."""
+    pages = [r[0] for r in duck.sql(f"SELECT html FROM read_parquet('{data.replace('sf0.001', 'sf0.1')}/pages.parquet') WHERE html <> '' LIMIT 300").fetchall()]
+    text = [html_text.main_text(h) for h in pages]
+    assert sum(html_text.main_text(h, 100_000) != t for h, t in zip(pages, text, strict=True)) > 0.95 * len(pages)
+    monkeypatch.setattr(html_text, "NAMES", frozenset())
+    assert sum(html_text.main_text(h) != t for h, t in zip(pages, text, strict=True)) < 0.05 * len(pages)
+
+
 def test_regions():
     assert html_text.regions([0, 5, 0, 7, 0, 0, 0, 3], 3) == [(1, 4), (7, 8)]
     assert html_text.regions([], 3) == [] and html_text.regions([0, 0], 3) == []
