@@ -775,3 +775,6 @@ def chinese_units(spark, d):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, count(*) - count(value) AS n_missing, count(*) FILTER (value < 0) AS n_negative, round(sum(value), 4) AS sum_value FROM events GROUP BY ALL")
 def event_windows(spark, d):
     return event_counters(t(spark, d, "events"))
+
+
+from fuseline.plans import matching as _matching  # noqa: E402,F401  registers its queries
