@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fuseline.operators import position
-from fuseline.plans.catalogue import query, t
+from fuseline.operators import context, narrative, position
+from fuseline.operators.context import DOMAIN_WORDS
+from fuseline.plans.catalogue import _BLOCKS_SQL, query, t
 
 
 def _shifted(spark, d):
@@ -42,3 +43,99 @@ def gold_positions(spark, d):
 def gold_position_cells(spark, d):
     cells = position.compare_positions(*_shifted(spark, d))
     return cells.groupBy("column_name", "status").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"))
+
+
+# --- contexts ------------------------------------------------------------------------------------
+
+_WORDS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z]{{2,20}}|[一-龥]{{2,24}}'), lambda w: lower(w)))"
+
+
+def _planted(spark, d):
+    """Each document's blocks; every seventh from the sixth on stands for a table."""
+    b = narrative.blocks(t(spark, d, "documents")).withColumnRenamed("block_index", "position")
+    return b.filter("position % 7 <> 5"), b.filter("position % 7 = 5").select("doc_id", "position", F.array(F.lit("City"), F.lit("GDP total")).alias("headers"))
+
+
+@query(_BLOCKS_SQL + """, x AS (SELECT doc_id, block_index, content FROM b WHERE block_index % 7 <> 5), g AS (SELECT doc_id, block_index FROM b WHERE block_index % 7 = 5),
+u AS (SELECT x.doc_id, g.block_index AS position, string_agg(x.content, chr(10) ORDER BY x.block_index) AS description FROM x ASOF JOIN g ON x.doc_id = g.doc_id AND x.block_index < g.block_index GROUP BY ALL),
+h AS (SELECT doc_id, string_agg(content, ' ' ORDER BY block_index) AS heads FROM (SELECT * FROM x WHERE regexp_matches(content, '^#{1,6} ') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY block_index) <= 2) GROUP BY doc_id),
+a AS (SELECT g.doc_id, g.block_index AS position, coalesce(description, '') AS description, concat_ws(' ', 'doc-' || g.doc_id, coalesce(description, ''), heads) AS anchor FROM g LEFT JOIN u ON u.doc_id = g.doc_id AND u.position = g.block_index LEFT JOIN h ON h.doc_id = g.doc_id)
+SELECT doc_id, position::INTEGER AS position, description, len(""" + _WORDS.format("anchor") + ") AS n_anchor_words, len(" + _WORDS.format("anchor || ' City GDP total'") + """) AS n_topic_words, true AS about_economy FROM a""")
+def table_contexts(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.concat(F.lit("/in/doc-"), "doc_id", F.lit(".txt")).alias("name"))
+    found = context.table_contexts(docs, *_planted(spark, d))
+    return found.select("doc_id", "position", "description", F.size("anchor_words").cast("long").alias("n_anchor_words"), F.size("topic_words").cast("long").alias("n_topic_words"), F.array_contains("topic_domains", "economy").alias("about_economy"))
+
+
+#: Templates of the regions: name, description of the table.
+_ABOUT = ["gdp overview", "building sites\nsegment：BUILDING", "covid spread", "weather", "machinery trade；segment：MACHINERY"]
+_FROM = ["gdp yearbook", "covid bulletin", "weather notes", "building report"]
+
+
+def _domains_sql(words: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN len(list_filter({words}, lambda w: regexp_matches(w, '{'|'.join(of)}'))) > 0 THEN '{d}' END" for d, of in DOMAIN_WORDS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def _checked(spark, d):
+    about = F.element_at(F.array(*map(F.lit, _ABOUT)), (F.col("r_regionkey") % len(_ABOUT) + 1).cast("int"))
+    r = t(spark, d, "region").select(F.col("r_regionkey").alias("template"), about.alias("about"))
+    words = context.topic_words(F.col("about"))
+    contexts = r.select("template", words.alias("anchor_words"), context.topic_domains(words).alias("anchor_domains"), F.array_union(words, F.array(F.lit("customers"))).alias("topic_words"), context.topic_domains(words).alias("topic_domains"), context.filter_hints(F.col("about")).alias("hints"))
+    c = t(spark, d, "customer").join(t(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("template")), F.col("c_nationkey") == F.col("n_nationkey"))
+    source = F.concat(F.lit("/in/"), F.element_at(F.array(*map(F.lit, _FROM)), (F.col("c_custkey") % len(_FROM) + 1).cast("int")), F.lit(".txt"))
+    records = c.select(
+        F.col("c_custkey").alias("record_id"), "template", source.alias("source_file"), (F.col("c_custkey") % 5 != 0).alias("narrative"), F.array(F.col("c_mktsegment")).alias("snippets"),
+        (F.col("c_custkey") % 4).cast("int").alias("n_backed"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("market segment"), F.col("c_mktsegment")).alias("values"),
+    )
+    return context.with_context(records, contexts)
+
+
+_CHECKED = f"""WITH c AS (SELECT c_custkey AS id, c_custkey % 5 <> 0 AS narrative, n_regionkey AS template, {_FROM!r}[c_custkey % 4 + 1] AS stem, c_mktsegment AS seg, c_custkey % 4 AS backed,
+    {[a.split(chr(10))[0].split('；')[0] + (' segment BUILDING' if 'BUILDING' in a else ' segment MACHINERY' if 'MACHINERY' in a else '') for a in _ABOUT]!r}[n_regionkey + 1] AS about, [NULL, 'BUILDING', NULL, NULL, 'MACHINERY'][n_regionkey + 1] AS hint
+    FROM customer JOIN nation ON c_nationkey = n_nationkey),
+w AS (SELECT *, {_WORDS.format('about')} AS aw, {_WORDS.format('stem')} AS own, {_WORDS.format("stem || ' ' || seg")} AS wrd FROM c),
+v AS (SELECT *, {_domains_sql('aw')} AS ad, {_domains_sql('own')} AS od, {_domains_sql('wrd')} AS wd FROM w),
+k AS (SELECT *, CASE WHEN NOT narrative OR list_has_any(aw, own) OR list_has_any(aw, wrd) THEN true WHEN len(ad) > 0 AND len(od) > 0 AND NOT list_has_any(ad, od) THEN false WHEN list_has_any(list_append(aw, 'customers'), wrd) THEN true
+    WHEN len(ad) > 0 AND len(wd) > 0 AND NOT list_has_any(ad, wd) THEN false WHEN len(ad) > 0 AND len(wd) = 0 THEN true ELSE backed >= 2 END AS topic, coalesce(hint <> seg, false) AS against FROM v),
+z AS (SELECT id, '/in/' || stem || '.txt' AS source_file, CASE WHEN NOT topic THEN 'template_topic_mismatch' WHEN against THEN 'template_filter_mismatch' ELSE '' END AS reason FROM k)
+"""
+
+
+@query(_CHECKED + "SELECT id AS record_id, source_file, reason FROM z")
+def context_filter(spark, d):
+    return _checked(spark, d).select("record_id", "source_file", "reason")
+
+
+@query(_CHECKED + "SELECT source_file, count(*) FILTER (reason = '') AS remaining, count(*) FILTER (reason <> '') AS dropped, count(*) FILTER (reason = 'template_topic_mismatch') AS n_topic, count(*) FILTER (reason = 'template_filter_mismatch') AS n_filter FROM z GROUP BY 1")
+def context_losses(spark, d):
+    out = context.context_losses(_checked(spark, d))
+    n = lambda r: F.coalesce(F.try_element_at("reasons", F.lit(r)), F.lit(0)).cast("long")
+    return out.select("source_file", "remaining", "dropped", n("template_topic_mismatch").alias("n_topic"), n("template_filter_mismatch").alias("n_filter"))
+
+
+#: Templates that ask the documents: topic words, indicators, entities.
+_ASKED = [("licences", ["licensed", "copyright"], ["licensed", "rights", "all"], ["license"]), ("contacts", ["phone", "mail", "contact"], ["phone", "e-mail"], ["street"]), ("prose", ["the", "thing"], ["thati", "ing of"], ["and"]), ("none", ["zzzz"], ["qqqq"], [])]
+_MARKS_SQL = r"regexp_replace(lower({0}), '[\s_\-:：,，、/\\()（）\[\]【】]+', '', 'g')"
+
+
+def _scores_sql() -> str:
+    strip = lambda x: "".join(ch for ch in x.lower() if ch not in " -_")
+    rows = []
+    for name, words, indicators, entities in _ASKED:
+        n = lambda xs, test: " + ".join([f"({test.format(strip(x))})::INT" for x in xs]) or "0"
+        wt, wb = (f"len(list_intersect({w}, {words!r}))" for w in ("tw", "bw"))
+        it, ib = n(indicators, "contains(tt, '{0}')"), n(indicators, "contains(tt, '{0}') OR contains(bt, '{0}')")
+        et, eb = n(entities, "contains(tt, '{0}')"), n(entities, "contains(tt, '{0}') OR contains(bt, '{0}')")
+        rows.append(f"SELECT '{name}' AS template, source, sig, {wt} AS wt, {wb} AS wb, ({it}) AS it, ({ib}) AS ni, ({et}) AS et, ({eb}) AS ne FROM p")
+    return f"""WITH p AS (SELECT 'doc' || doc_id AS source, doc_id % 6 AS sig, {_WORDS.format("source || ' ' || lang")} AS tw, {_WORDS.format('text')} AS bw, {_MARKS_SQL.format("source || ' ' || lang")} AS tt, {_MARKS_SQL.format('text')} AS bt
+    FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents)),
+r AS ({' UNION ALL '.join(rows)}),
+s AS (SELECT *, CASE WHEN wt > 0 THEN 5 + least(wt, 4) WHEN wb > 0 THEN 3 + least(wb, 3) ELSE -1 END + 3 * it + 2 * (ni - it) + 3 * et + (ne - et) + CASE WHEN ni >= 2 THEN 2 ELSE 0 END + CASE WHEN ni > 0 AND ne > 0 THEN 1 ELSE 0 END AS q FROM r WHERE wt + wb + ni + ne > 0)
+SELECT template, source, (CASE WHEN q >= 3 THEN q WHEN sig >= 3 AND ni >= 1 THEN q + 2 WHEN sig >= 4 THEN q + 1 ELSE q END)::BIGINT AS score, ni::BIGINT AS n_indicators, ne::BIGINT AS n_entities, row_number() OVER (PARTITION BY template ORDER BY score DESC, source) AS place FROM s QUALIFY place <= 4"""
+
+
+@query(_scores_sql().replace("AS place FROM s QUALIFY place <= 4", "::INTEGER AS place FROM s QUALIFY place <= 4"))
+def source_scores(spark, d):
+    docs = t(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("source"), F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("title"), F.coalesce("text", F.lit("")).alias("body"), (F.col("doc_id") % 6).alias("n_signals"))
+    asked = spark.createDataFrame(_ASKED, "template string, topic_words array<string>, indicators array<string>, entities array<string>")
+    return context.source_scores(docs, asked)

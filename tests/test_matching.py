@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from fuseline.operators import position
+from fuseline.functions.automaton import Automaton, words_in
+from fuseline.operators import context, position
 
 
 def test_numbers_in_order(spark):
@@ -37,3 +38,83 @@ def test_positions(spark):
     same = position.positional_accuracy(gold, gold).first()
     assert same["matched_rows"] == 4 and same["meets_threshold"]
     assert position.compare_positions(gold.withColumn("a.b", F.lit(1)), gold).filter("column_name = 'a.b'").count() == 0
+
+
+def test_automaton_finds_every_place(spark):
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)})
+    machine = Automaton(words)
+    for _ in range(200):
+        text = "".join(rng.choice("abcd") for _ in range(60))
+        want = sorted((i, i + len(w), k) for k, w in enumerate(words) for i in range(len(text)) if text.startswith(w, i))
+        assert sorted(machine.hits(text)) == want
+        spans = [(a, b) for a, b, _ in want]
+        outer = sorted({s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)})
+        assert [(a, b) for a, b, _ in machine.longest(text)] == outer
+    df = spark.createDataFrame([("xaby",), (None,), ("",), ("b a",)], "c string")
+    assert [r[0] for r in df.select(words_in(F.col("c"), ["b", "a", "zz", "b", ""])).collect()] == [["b", "a"], [], [], ["b", "a"]]
+    assert [r[0] for r in df.select(words_in(F.col("c"), [])).collect()] == [[], [], [], []]
+
+
+def test_topic_words_and_domains(spark):
+    rows = [("2024年GDP Report of the 济南市国民经济和社会发展统计公报 数据",), ("AQI x 空气质量 一",), (None,)]
+    df = spark.createDataFrame(rows, "c string").select(context.topic_words(F.col("c")).alias("w")).withColumn("d", context.topic_domains(F.col("w")))
+    got = [tuple(r) for r in df.collect()]
+    assert got[0] == (["gdp", "report", "of", "the", "济南市国民经济和社会发展统计公报", "济南市国民经济和", "社会发展统计公报"], ["economy"])
+    assert got[1] == (["aqi", "空气质量"], ["air_quality"]) and got[2] == ([], [])
+
+
+def test_hints(spark):
+    text = "城市：南京\n站点: A1；说明文字\n太：长" + "长" * 40 + "\n日期：" + "九" * 35 + "\n城市：苏州\na b：c"
+    assert spark.range(1).select(context.filter_hints(F.lit(text))).first()[0] == {"站点": "A1", "日期": "九" * 35, "城市": "苏州"}
+    assert spark.range(1).select(context.filter_hints(F.lit(None).cast("string"))).first()[0] == {}
+
+
+def test_blocks_go_to_the_next_table(spark):
+    blocks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 4, "c"), (1, 9, "late"), (2, 0, "no table")], "doc_id int, position int, content string")
+    tables = spark.createDataFrame([(1, 2), (1, 3), (1, 5), (3, 0)], "doc_id int, position int")
+    got = {(r[0], r[1]): r[2] for r in context.descriptions(blocks, tables).collect()}
+    assert got == {(1, 2): "a\nb", (1, 3): "", (1, 5): "c", (3, 0): ""}
+
+
+def _context(spark, anchor, topic=(), hints=None):
+    row = ("t", list(anchor), list({*anchor, *topic}), hints or {})
+    df = spark.createDataFrame([row], "template string, anchor_words array<string>, topic_words array<string>, hints map<string,string>")
+    return df.withColumns({"anchor_domains": context.topic_domains(F.col("anchor_words")), "topic_domains": context.topic_domains(F.col("topic_words"))})
+
+
+RECORD = "record_id int, template string, source_file string, narrative boolean, snippets array<string>, n_backed int, values map<string,string>"
+
+
+def test_records_meet_their_template(spark):
+    """Of another domain goes, of the same stays, a table's record stays, as does one whose template is unknown; hints count
+    for columns of like names, dates in any form."""
+    rows = [
+        (1, "t", "/in/covid.txt", True, ["确诊病例 12 例"], 3, {"城市": "南京"}),
+        (2, "t", "/in/济南经济.md", True, [], 0, {"城市": "南京市"}),
+        (3, "t", "/in/covid.csv", False, [], 0, {"城市": "南京"}),
+        (4, "u", "/in/covid.txt", True, [], 0, {"城市": "北京"}),
+        (5, "t", "/in/经济.txt", True, [], 0, {"城市名": "北京"}),
+        (6, "t", "/in/经济.txt", True, [], 0, {"日期": "2024/1/2.0", "城市": ""}),
+        (7, "t", "/in/notes.txt", True, ["nothing told"], 1, {"a": "1", "b": "2"}),
+        (8, "t", None, True, None, 0, None),
+    ]
+    ctx = _context(spark, ["济南经济", "经济"], hints={"城市": "南京", "日期": "2024-1-2"})
+    out = context.with_context(spark.createDataFrame(rows, RECORD), ctx)
+    got = {r["record_id"]: r["reason"] for r in out.collect()}
+    assert got == {1: "template_topic_mismatch", 2: "", 3: "", 4: "", 5: "template_filter_mismatch", 6: "", 7: "", 8: ""}
+    lost = {r["source_file"]: (r["remaining"], r["dropped"], r["reasons"]) for r in context.context_losses(out).collect()}
+    assert lost["/in/covid.txt"] == (1, 1, {"template_topic_mismatch": 1}) and lost["/in/经济.txt"] == (1, 1, {"template_filter_mismatch": 1})
+    assert lost["/in/济南经济.md"] == (1, 0, {})
+    bare = _context(spark, ["weather"])
+    few = {r["record_id"]: r["reason"] for r in context.with_context(spark.createDataFrame(rows, RECORD), bare).collect()}
+    assert few[1] == "" and few[7] == "template_topic_mismatch"  # without domains, two fields with evidence are enough
+    assert context.with_context(spark.createDataFrame([], RECORD), ctx).count() == 0
+
+
+def test_scores_of_sources(spark):
+    sources = spark.createDataFrame([("b", "GDP of Jinan", "population and budget", 0), ("a", "gdp of jinan", "Population", 0), ("c", "notes", "gdp", 4), ("d", "notes", "other", 8), ("e", "x", None, 0)], "source string, title string, body string, n_signals int")
+    contexts = spark.createDataFrame([("t", ["gdp"], ["Pop-ulation", "budget", "x", "数据"], ["Jinan"]), ("u", [], [], [])], "template string, topic_words array<string>, indicators array<string>, entities array<string>")
+    got = [tuple(r) for r in context.source_scores(sources, contexts).orderBy("place").collect()]
+    assert [g[:5] for g in got] == [("t", "b", 6 + 3 + 2 * 2 + 2 + 1, 2, 1), ("t", "a", 6 + 3 + 2 + 1, 1, 1), ("t", "c", 4, 0, 0)]
+    assert context.source_scores(sources, contexts, 1).count() == 1 and context.source_scores(sources.filter("false"), contexts).count() == 0
