@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -69,39 +70,36 @@ class Bins:
         self.capacity, self.by_room, self.free = capacity, {}, 0
         self.bins: list[list[int]] = [items for items, _ in kept]
         self.room: list[int] = [room for _, room in kept]
-        self._of: list[int] | None = None
+        self._of: np.ndarray | None = None
         for b, room in enumerate(self.room):
             if room:
-                self._list(b, room)
-
-    def _list(self, b: int, room: int) -> None:
-        self.by_room.setdefault(room, []).append(b)
-        self.free |= 1 << room
+                self.by_room.setdefault(room, []).append(b)
+        for room in self.by_room:
+            self.free |= 1 << room
 
     def put(self, item: int, size: int) -> None:
         fits = self.free >> size
-        if not fits:
+        if fits:
+            room = size + (fits & -fits).bit_length() - 1
+            same = self.by_room[room]
+            b = same.pop()
+            if not same:
+                self.free ^= 1 << room
+            self.bins[b] = [*self.bins[b], item]
+            self.room[b] = room = room - size
+        else:
+            b, room = len(self.bins), self.capacity - size
             self.bins.append([item])
-            self.room.append(self.capacity - size)
-            if self.capacity > size:
-                self._list(len(self.bins) - 1, self.capacity - size)
-            return
-        room = size + (fits & -fits).bit_length() - 1
-        b = self.by_room[room].pop()
-        if not self.by_room[room]:
-            self.free &= ~(1 << room)
-        self.bins[b] = [*self.bins[b], item]
-        self.room[b] = room - size
-        if room > size:
-            self._list(b, room - size)
-
-    def of(self, n: int) -> list[int]:
+            self.room.append(room)
+        if room:
+            self.by_room.setdefault(room, []).append(b)
+            self.free |= 1 << room
+
+    def of(self, n: int) -> np.ndarray:
         """The bin of each of n pieces; asked for when nothing more is put in."""
         if self._of is None:
-            self._of = [0] * n
-            for b, items in enumerate(self.bins):
-                for i in items:
-                    self._of[i] = b
+            self._of = np.zeros(n, np.int64)
+            self._of[list(chain.from_iterable(self.bins))] = np.repeat(np.arange(len(self.bins)), list(map(len, self.bins)))
         return self._of
 
 
@@ -167,12 +165,12 @@ def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator) -> B
     rooms_a, rooms_b = np.asarray(a.room), np.asarray(b.room)
     limit = np.quantile(rooms_b, rng.uniform(0.2, 0.6))
     injected = np.flatnonzero((rooms_b <= limit) & (rng.random(len(rooms_b)) < 0.5)).tolist()
-    taken = {i for k in injected for i in b.bins[k]}
+    taken = list(chain.from_iterable(b.bins[k] for k in injected))
     lost = (rooms_a > 0) & ((rooms_a >= np.quantile(rooms_a, 0.9)) | (rng.random(len(rooms_a)) < 0.02))
-    of = a.of(len(sizes))
-    lost[[of[i] for i in taken]] = True
+    lost[a.of(len(sizes))[taken]] = True
+    here = set(taken)
     kept = [(b.bins[k], b.room[k]) for k in injected] + [(a.bins[k], a.room[k]) for k in np.flatnonzero(~lost).tolist()]
-    return refit(kept, [i for k in np.flatnonzero(lost).tolist() for i in a.bins[k] if i not in taken], sizes, a.capacity, rng)
+    return refit(kept, [i for k in np.flatnonzero(lost).tolist() for i in a.bins[k] if i not in here], sizes, a.capacity, rng)
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -206,7 +204,7 @@ def first_population(sizes: list[int], capacity: int, n: int, rng: np.random.Gen
 
 
 def _labels(p: Bins, n: int) -> np.ndarray:
-    return np.array(p.of(n), dtype=np.int64)
+    return p.of(n)
 
 
 def _packing(labels: np.ndarray, sizes: list[int], capacity: int) -> Bins:
