@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fuseline.operators import context, narrative, position
+from fuseline.operators import context, merging, narrative, position, regions
 from fuseline.operators.context import DOMAIN_WORDS
 from fuseline.plans.catalogue import _BLOCKS_SQL, query, t
 
@@ -139,3 +139,40 @@ def source_scores(spark, d):
     docs = t(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("source"), F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("title"), F.coalesce("text", F.lit("")).alias("body"), (F.col("doc_id") % 6).alias("n_signals"))
     asked = spark.createDataFrame(_ASKED, "template string, topic_words array<string>, indicators array<string>, entities array<string>")
     return context.source_scores(docs, asked)
+
+
+# --- records as maps, tables in texts ------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS s, l_returnflag AS flag, CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus END AS status, (l_partkey % 10) / 10.0 AS c, 'f' || l_suppkey % 3 AS src, 'p' || l_partkey % 7 AS ev FROM lineitem),
+v AS (SELECT k, s, unnest(['flag', 'status']) AS field, unnest([flag, status]) AS value, c, src, ev FROM l),
+p AS (SELECT * FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k, field, value ORDER BY c DESC, s) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, field ORDER BY c DESC, s) AS place FROM p),
+w AS (SELECT a.k, a.field, a.value, coalesce(b.c > a.c - 0.08 AND b.src <> a.src, false) AS review FROM r a LEFT JOIN r b ON b.k = a.k AND b.field = a.field AND b.place = 2 WHERE a.place = 1),
+e AS (SELECT k, string_agg(ev, ',' ORDER BY s) AS evidence FROM (SELECT * FROM (SELECT k, ev, min(s) AS s FROM l GROUP BY k, ev) QUALIFY row_number() OVER (PARTITION BY k ORDER BY s) <= 5) GROUP BY k),
+n AS (SELECT k, count(*) AS n, max(c)::DOUBLE AS c FROM l GROUP BY k)
+SELECT n.k AS l_orderkey, n.n AS n_merged, n.c AS confidence, max(value) FILTER (field = 'flag') AS flag, max(value) FILTER (field = 'status') AS status, e.evidence, coalesce(string_agg(field, ',' ORDER BY field) FILTER (review), '') AS review FROM n JOIN e USING (k) LEFT JOIN w USING (k) GROUP BY n.k, n.n, n.c, e.evidence""")
+def merged_maps(spark, d):
+    lines = position.numbered(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "seq")
+    c = (F.col("l_partkey") % 10 / 10.0).cast("double")
+    both = lambda a, b: F.create_map(F.lit("flag"), a, F.lit("status"), b)
+    piece = F.array(F.concat(F.lit("p"), F.col("l_partkey") % 7))
+    records = lines.select("l_orderkey", "seq", F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("source_file"), both(F.col("l_returnflag"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linestatus"))).alias("values"), both(c, c).alias("confidences"), F.create_map(F.lit("flag"), piece).alias("evidence"), both(F.lit("rule"), F.lit("rule")).alias("methods"))
+    out = merging.merge_maps(records, "l_orderkey", "seq")
+    get = lambda m, f: F.try_element_at(m, F.lit(f))
+    return out.select("l_orderkey", "n_merged", get("confidences", "flag").alias("confidence"), get("values", "flag").alias("flag"), get("values", "status").alias("status"), F.concat_ws(",", get("evidence", "flag")).alias("evidence"), F.concat_ws(",", "needs_review").alias("review"))
+
+
+_HEADERS = ["name", "value", "unit"]
+
+
+@query("""WITH x AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(9), ' '), ',', ' ') AS body FROM documents),
+y AS (SELECT doc_id, body, body || chr(10) || 'name' || chr(9) || 'value' || chr(9) || 'unit' || chr(10) || 'old' || chr(9) || '1' || chr(9) || 'x' || chr(10) || chr(10) || 'old' || chr(9) || '2' || chr(9) || 'y' || chr(10) || 'after ' || doc_id AS planted FROM x),
+n AS (SELECT *, 'name' || chr(9) || 'value' || chr(9) || 'unit' || chr(10) || 'doc' || chr(9) || doc_id || chr(9) || 'id' AS fresh FROM y)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN body || chr(10) || chr(10) || fresh WHEN doc_id % 3 = 1 THEN body || chr(10) || fresh || chr(10) || 'after ' || doc_id ELSE planted END AS text, doc_id % 3 = 1 AS replaced FROM n WHERE body <> ''""")
+def text_regions(spark, d):
+    body = F.translate(F.coalesce("text", F.lit("")), "\t,", "  ")
+    table = F.concat(F.lit("\nname\tvalue\tunit\nold\t1\tx\n\nold\t2\ty\nafter "), "doc_id")
+    docs = t(spark, d, "documents").withColumn("body", body).filter("body <> ''").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("body")).otherwise(F.concat("body", table)).alias("text"))
+    new = docs.filter("doc_id % 3 <> 2").select("doc_id", F.array(F.array(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("id"))).alias("rows"))
+    return regions.replace_tables(docs, _HEADERS, new)

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from fuseline.functions.automaton import Automaton, words_in
-from fuseline.operators import context, position
+from fuseline.operators import context, merging, position, regions
 
 
 def test_numbers_in_order(spark):
@@ -118,3 +118,79 @@ def test_scores_of_sources(spark):
     got = [tuple(r) for r in context.source_scores(sources, contexts).orderBy("place").collect()]
     assert [g[:5] for g in got] == [("t", "b", 6 + 3 + 2 * 2 + 2 + 1, 2, 1), ("t", "a", 6 + 3 + 2 + 1, 1, 1), ("t", "c", 4, 0, 0)]
     assert context.source_scores(sources, contexts, 1).count() == 1 and context.source_scores(sources.filter("false"), contexts).count() == 0
+
+
+MAPS = "k string, seq int, source_file string, values map<string,string>, confidences map<string,double>, evidence map<string,array<string>>, methods map<string,string>"
+
+
+def test_maps_merge(spark):
+    rows = [
+        ("a", 1, "s1", {"x": "1", "y": " "}, {"x": 0.5, "y": 0.9}, {"x": ["p", "q", "p"]}, {"x": "", "y": "rule"}),
+        ("a", 2, "s2", {"x": "2", "y": "yes"}, {"x": 0.55, "y": 0.2}, {"x": ["q", "r"], "y": ["e"]}, {"x": "text", "y": "text"}),
+        ("a", 3, "s3", {"x": "2"}, {"x": 0.4}, None, None),
+        ("b", 4, "s1", {"x": "v"}, None, None, {"x": "m"}),
+        (None, 5, "s1", {"x": "1"}, {"x": 0.5}, {}, {}),
+        (None, 6, "s1", {"x": "1"}, {"x": 0.5}, {}, {}),
+        ("c", 7, "s1", {}, {}, {}, {}),
+        ("d", 8, "s1", None, None, None, None),
+    ]
+    out = {r["seq"]: r for r in merging.merge_maps(spark.createDataFrame(rows, MAPS), "k", "seq", evidence=2).collect()}
+    a = out[1]
+    assert a["k"] == "a" and a["n_merged"] == 3 and a["values"] == {"x": "2", "y": "yes"} and a["confidences"] == {"x": 0.55, "y": 0.9}
+    assert a["evidence"] == {"x": ["p", "q"], "y": ["e"]} and a["value_sources"] == {"x": ["s2", "s3"], "y": ["s2"]}
+    assert a["methods"] == {"x": "text", "y": "rule"} and a["needs_review"] == ["x"]
+    assert out[4]["values"] == {"x": "v"} and out[4]["confidences"] == {} and out[4]["needs_review"] == []
+    assert out[5]["n_merged"] == out[6]["n_merged"] == 1 and out[5]["k"] is None
+    assert out[7]["values"] == {} and out[8]["values"] == {} and len(out) == 6
+    assert merging.merge_maps(spark.createDataFrame([], MAPS), "k", "seq").count() == 0
+
+
+def test_a_hot_record_keeps_two_values_and_a_few_pieces(spark):
+    rows = spark.range(20_000).selectExpr("'k' AS k", "cast(id AS int) AS seq", "concat('s', id) AS source_file", "map('x', cast(id AS string)) AS values", "map('x', double(id % 1000) / 1000) AS confidences", "map('x', array(concat('e', id))) AS evidence", "map('x', 'rule') AS methods")
+    one = merging.merge_maps(rows, "k", "seq").first()
+    assert one["values"] == {"x": "999"} and one["evidence"] == {"x": [f"e{i}" for i in range(5)]} and one["needs_review"] == ["x"] and one["n_merged"] == 20_000
+
+
+def test_first_distinct(spark):
+    rows = [("a", 3, "z"), ("a", 1, "y"), ("a", 2, "y"), ("a", 4, "x"), ("a", 5, None), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    got = {r["k"]: r["first"] for r in merging.first_distinct(df, ["k"], F.col("v"), F.col("o"), 2, "first").collect()}
+    assert got == {"a": ["y", "z"]}
+
+
+def test_split_by_quality(spark):
+    df = spark.createDataFrame([("12", 5), ("city", None), (None, 200)], "name string, n int")
+    out = merging.split_by_quality(df, {"entity": F.col("name").rlike("^[0-9]+$"), "range": F.col("n") > 100}).collect()
+    assert [(r["quality_flags"], r["stable"]) for r in out] == [(["entity"], False), ([], True), (["range"], False)]
+    assert merging.split_by_quality(df, {}).filter("stable").count() == 3
+
+
+def region_of(text, headers, rows):
+    """What the replacement is to give, line by line."""
+    d = "\t" if "\t" in text or "," not in text else ","
+    lines = text.split("\n")
+    new = "\n".join([d.join(headers), *[d.join(r) for r in rows]])
+    for i, line in enumerate(lines):
+        fields = [f.strip() for f in line.strip().split(d)]
+        if line.strip() and len(fields) >= 0.6 * len(headers) and sum(any(h in f or f in h for f in fields) for h in headers) >= 0.5 * len(headers):
+            end = i + 1
+            while end < len(lines):
+                bare = lines[end].strip()
+                if (bare and d not in bare) or (not bare and not (end + 1 < len(lines) and d in lines[end + 1].strip())):
+                    break
+                end += 1
+            return "\n".join(p for p in ("\n".join(lines[:i]), new, "\n".join(lines[end:])) if p), True
+    return f"{text}\n\n{new}", False
+
+
+def test_text_regions(spark):
+    headers, rng = ["city", "gdp", "year"], random.Random(9)
+    parts = ["text", "city,gdp,year", "a,1,2", "", " ", "the city, gdp", "x", "city\tgdp\tyear", "b\t2", ",", "gdp of city,2024"]
+    texts = ["", "city,gdp,year", "city,gdp,year\na,1,2\n\nb,2,3\n\n\nc,3", "no table"] + ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(-1, None), (-2, "stays, as it is")], "doc_id int, text string")
+    new = [["n", "1"], ["m", "", "3"]]
+    tables = spark.createDataFrame([(i, new) for i in range(-1, len(texts))], "doc_id int, rows array<array<string>>")
+    got = {r["doc_id"]: (r["text"], r["replaced"]) for r in regions.replace_tables(docs, headers, tables).collect()}
+    assert got[-2] == ("stays, as it is", False) and got[-1] == region_of("", headers, new)
+    for i, text in enumerate(texts):
+        assert got[i] == region_of(text, headers, new), text
