@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fuseline.operators import context, merging, narrative, position, regions
+from fuseline.operators import concepts, context, merging, narrative, position, regions
 from fuseline.operators.context import DOMAIN_WORDS
 from fuseline.plans.catalogue import _BLOCKS_SQL, query, t
 
@@ -176,3 +176,19 @@ def text_regions(spark, d):
     docs = t(spark, d, "documents").withColumn("body", body).filter("body <> ''").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("body")).otherwise(F.concat("body", table)).alias("text"))
     new = docs.filter("doc_id % 3 <> 2").select("doc_id", F.array(F.array(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("id"))).alias("rows"))
     return regions.replace_tables(docs, _HEADERS, new)
+
+
+#: Columns of 21 concepts, and what a text is given for some of them.
+_ASKED_HEADERS = ["城市", "国家/地区", "省份", "区县", "名称", "GDP总量", "常住人口", "人均GDP", "一般公共预算收入", "一般公共预算支出", "病例数", "每日检测数", "AQI", "PM10", "PM2.5", "首要污染物", "污染类型", "大洲", "日期", "占比", "备注"]
+
+
+@query(r"""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[0-9:=：]', ' ', 'g') AS body FROM documents)
+SELECT doc_id, '青岛市' AS city, doc_id || ' 亿元' AS gdp, (doc_id % 97) || ' 万人' AS people, '2024-03-0' || (1 + doc_id % 9) AS day, CASE WHEN doc_id % 2 = 0 THEN '臭氧' ELSE '' END AS pollutant, (doc_id % 300)::VARCHAR AS aqi FROM x""")
+def concept_values(spark, d):
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9:=：]", " ")
+    end = F.when(F.col("doc_id") % 2 == 0, "；首要污染物：臭氧").otherwise("")
+    content = F.concat(F.lit("青岛市地区生产总值达 "), "doc_id", F.lit(" 亿元，常住人口 "), F.col("doc_id") % 97, F.lit(" 万人。\n"), body, F.lit("\n监测时间：2024-03-0"), 1 + F.col("doc_id") % 9, end, F.lit("；本日测得的 AQI: "), F.col("doc_id") % 300)
+    segments = t(spark, d, "documents").select("doc_id", F.lit(0).alias("block_index"), content.alias("content"))
+    found = concepts.header_records(segments, _ASKED_HEADERS)
+    names = {"city": "城市", "gdp": "GDP总量", "people": "常住人口", "day": "日期", "pollutant": "首要污染物", "aqi": "AQI"}
+    return found.select("doc_id", *[F.coalesce(F.try_element_at("values", F.lit(h)), F.lit("")).alias(c) for c, h in names.items()])
