@@ -7,11 +7,11 @@ min_words words, or of min_lines + window - 1 lines, holds a fingerprint whereve
 
 Places are joined to earlier ones: within a document each place of a fingerprint to the one before
 it, and a document's first and last place to the first of all, by document and line, if that is in
-another document. Each such match is extended both ways for as long as the lines agree, and the run's
+another document. Each such match is extended both ways to the first lines that differ, and the run's
 later copy is deleted. Documents come in the order of (doc_id, hash of the text). A deleted line
-always has an equal one at an earlier place, so the first copy of every line stays. Lines that repeat
-at one distance, however often, are one match of one shift, so the work on a text grows with its
-lines times the different shifts of its matches.
+always has an equal one at an earlier place, so the first copy of every line stays. A match is extended by
+doubling and halving steps, and no further than to the neighbouring match at the same distance, which goes on from there: so
+the work grows with the lines of the matched runs, whether they repeat at one distance or at many.
 
 Only DataFrame functions are used. The text is read once for the hashes and once to rewrite it,
 and is shuffled once; in between there are arrays of numbers. A fingerprint's places are counted
@@ -104,6 +104,29 @@ def aligned(seeds: DataFrame) -> DataFrame:
     return far.unionByName(own).groupBy("doc_id", "text_hash", "first_id", "first_hash").agg(F.collect_list(F.struct("shift", "at")).alias("found"))
 
 
+def extended(found: Column, f: Column, i: Column) -> Column:
+    """(lo, hi) of the equal lines round the match f, the i-th of found (shift, at), which are in order; no further than to the
+    matches before and behind it of the same shift."""
+    at, shift = f["at"], f["shift"]
+    same = lambda k: F.when(F.get(found, k)["shift"] == shift, F.get(found, k)["at"])
+    ahead = F.coalesce(same(i + 1) - at, F.size("lines") - 1 - at)
+    back = F.coalesce(at - same(i - 1), F.least(at, at - shift))
+    equal = lambda start, n: F.slice("lines", start + 1, n) == F.slice("first_lines", start - shift + 1, n)
+    return F.struct((at - _reach(back, lambda e, n: equal(at - e - n, n))).alias("lo"), (at + _reach(ahead, lambda e, n: equal(at + 1 + e, n))).alias("hi"))
+
+
+def _reach(most: Column, equal: Callable[[Column, Column], Column]) -> Column:
+    """The greatest number of lines, at most most, that are equal; equal(e, n) tells it of the n lines behind the first e.
+    Steps of 1, 2, 4, ... lines as long as these are equal, then ever shorter ones."""
+    top = F.ceil(F.log2(most + 1)).cast("int")
+    n = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    step = lambda e, k: (e + n(k) <= most) & equal(e, n(k))
+    # as long as all steps went on, 2**k - 1 lines are known before step k
+    up = F.aggregate(F.sequence(F.lit(0), top), F.lit(0), lambda e, k: F.when((e == n(k) - 1) & step(e, k), e + n(k)).otherwise(e))
+    down = lambda e0: F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), e0, lambda e, k: F.when((n(k) <= e + 1) & step(e, k), e + n(k)).otherwise(e))
+    return F.when(most <= 0, 0).otherwise(_let(up, down))
+
+
 def repeated_lines(arrays: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash and gone, the runs (lo, hi) of lines to delete in order, for documents with any.
     arrays: line_arrays() without repeated rows, stored, so that both sides of the joins below are
@@ -111,24 +134,8 @@ def repeated_lines(arrays: DataFrame, min_lines: int = MIN_LINES, min_words: int
     pairs = aligned(stored(fingerprints(arrays, min_lines, min_words, window), "fingerprints"))
     source = arrays.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("lines").alias("first_lines"))
     both = pairs.join(source, ["first_id", "first_hash"]).join(arrays.select("doc_id", "text_hash", "lines"), ["doc_id", "text_hash"])
-    key = ["doc_id", "text_hash", "first_id", "first_hash", "shift"]
-    each = both.select(*key[:-1], "found", "lines", "first_lines", F.explode(F.array_distinct(F.transform("found", lambda f: f["shift"]))).alias("shift"))
-
-    def runs(stops: Column) -> Column:
-        between = F.transform(F.sequence(F.lit(0), F.size(stops) - 2), lambda i: F.struct((F.get(stops, i) + 1).alias("pos"), (F.get(stops, i + 1) - 1).alias("hi")))
-        return F.filter(between, lambda r: r["hi"] >= r["pos"])
-
-    differ = F.filter(
-        F.sequence(F.lit(0), F.size("lines") - 1),
-        lambda p: ~F.coalesce(F.get("lines", p) == F.when(p >= F.col("shift"), F.get("first_lines", p - F.col("shift"))), F.lit(False)),
-    )
-    seen = F.transform(F.filter("found", lambda f: f["shift"] == F.col("shift")), lambda f: F.struct(f["at"].alias("pos"), F.lit(None).cast("int").alias("hi")))
-    events = F.concat(_let(F.concat(F.array(F.lit(-1)), differ, F.array(F.size("lines"))), runs), seen)
-    # a run's event comes before those of the places in it
-    at = each.select(*key, F.explode(events).alias("e")).select(*key, "e.*")
-    so_far = Window.partitionBy(*key).orderBy("pos", F.col("hi").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    hit = at.select("doc_id", "text_hash", F.last(F.when(F.col("hi").isNotNull(), F.col("pos")), ignorenulls=True).over(so_far).alias("lo"), F.max("hi").over(so_far).alias("to"), F.col("hi").isNull().alias("place"))
-    hit = hit.filter("place").select("doc_id", "text_hash", "lo", F.col("to").alias("hi")).distinct()
+    runs = _let(F.array_sort("found"), lambda found: F.transform(found, lambda f, i: extended(found, f, i)))
+    hit = both.select("doc_id", "text_hash", F.explode(runs).alias("r")).select("doc_id", "text_hash", "r.*").distinct()
     ahead = Window.partitionBy("doc_id", "text_hash").orderBy("lo", "hi")
     fresh = F.coalesce(F.col("lo") > F.max("hi").over(ahead.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
     hit = hit.withColumn("fresh", fresh.cast("int"))

@@ -78,6 +78,19 @@ def test_lines_of_very_many_repeats(spark, period):
     assert time.time() - began < 60
 
 
+def test_lines_of_many_shifts(spark, duck):
+    """100,000 lines of seven kinds, which repeat at thousands of distances; a shorter text is held against the SQL."""
+    rng = random.Random(5)
+    lines = [f"kind {rng.randrange(7)}" for _ in range(100_000)]
+    began = time.time()
+    out = line_dedup.dedup_lines(docs_of(spark, ["\n".join(lines)])).first()
+    assert out["n_lines"] == 100_000 and out["n_removed"] > 90_000 and time.time() - began < 40
+    few_lines = docs_of(spark, ["\n".join(lines[:1500]), "\n".join(lines[700:2000])]).toPandas()  # noqa: F841
+    want = duck.sql(line_dedup.SQL.format(docs="few_lines") + "SELECT doc_id, coalesce(text, '') AS text, n_removed FROM kept ORDER BY doc_id").fetchall()
+    got = line_dedup.dedup_lines(docs_of(spark, ["\n".join(lines[:1500]), "\n".join(lines[700:2000])])).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"], r["n_removed"]) for r in got] == want
+
+
 def test_lines_against_sql(spark, duck):
     """Texts of few different lines, so that runs repeat within and between them at many distances."""
     rng = random.Random(8)
