@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from fuseline.operators import concepts, context, merging, narrative, position, regions
 from fuseline.operators.context import DOMAIN_WORDS
 from fuseline.plans.catalogue import _BLOCKS_SQL, query, t
+from fuseline.sources import sinks
+from fuseline.sources.scratch import scratch_dir
 
 
 def _shifted(spark, d):
@@ -192,3 +194,13 @@ def concept_values(spark, d):
     found = concepts.header_records(segments, _ASKED_HEADERS)
     names = {"city": "城市", "gdp": "GDP总量", "people": "常住人口", "day": "日期", "pollutant": "首要污染物", "aqi": "AQI"}
     return found.select("doc_id", *[F.coalesce(F.try_element_at("values", F.lit(h)), F.lit("")).alias(c) for c, h in names.items()])
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def workbook_rows(spark, d):
+    """customer written to workbooks and read from them."""
+    sinks.register(spark)
+    path = scratch_dir(spark)
+    t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").write.format("xlsx").mode("append").option("max_rows", 5000).save(path)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return sinks.read_workbooks(spark, path).filter("row_no > 0").select(cell(0).cast("long").alias("c_custkey"), cell(1).alias("c_name"), F.when(cell(2) != "", cell(2)).alias("c_mktsegment"))
