@@ -3,6 +3,7 @@ topics and placeholder replacement."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,5 +148,5 @@ def narrative_profile(docs: DataFrame) -> DataFrame:
 
 def labelled_values(docs: DataFrame, labels: Sequence[str], text: str = "text") -> DataFrame:
     """doc_id, label and value of "label: value" lines."""
-    out = F.array(*[F.struct(F.lit(w).alias("label"), F.regexp_extract(F.coalesce(F.col(text), F.lit("")), rf"(?im)^\s*{w}\s*[:=：]\s*(.+?)\s*$", 1).alias("value")) for w in labels])
+    out = F.array(*[F.struct(F.lit(w).alias("label"), F.regexp_extract(F.coalesce(F.col(text), F.lit("")), rf"(?im)^\s*{re.escape(w)}\s*[:=：]\s*(.+?)\s*$", 1).alias("value")) for w in labels])
     return docs.select("doc_id", F.inline(out)).filter(clean(F.col("value")) != "")

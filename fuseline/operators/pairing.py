@@ -6,8 +6,11 @@ rules over the pair's few sets decide, and headers are matched for pairs that ar
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuseline.operators.mapping import match_headers, usable
@@ -38,7 +41,7 @@ def header_words(headers: Column) -> Column:
 def header_concepts(headers: Column) -> Column:
     """The concepts one of whose words a header contains."""
     keys = F.transform(headers, bare)
-    has = lambda words: F.exists(keys, lambda h: h.rlike("|".join(w.replace(".", r"\.") for w in words)))
+    has = lambda words: F.exists(keys, lambda h: h.rlike("|".join(re.escape(w) for w in words)))
     return F.filter(F.array(*[F.when(has(words), F.lit(c)) for c, words in CONCEPTS.items()]), lambda c: c.isNotNull())
 
 
@@ -48,30 +51,42 @@ def described(tables: DataFrame) -> DataFrame:
     return named.withColumns({"words": header_words(F.col("headers")), "concepts": header_concepts(F.col("headers"))})
 
 
-def plausible_pairs(templates: DataFrame, sources: DataFrame) -> DataFrame:
-    """template, source and how many words and concepts they share, of pairs of tables (name, headers)
-    about the same thing: a template of some domain takes sources of one of its domains only, and any
-    pair must share a word, an entity or time column, or a domain."""
+def _plausible_kinds(templates: DataFrame, sources: DataFrame) -> DataFrame:
+    """wanted, found (headers) and how many words and concepts they share, of the different header rows of the tables that
+    may be about the same. Very many tables have few of these, and all rules are worked out on them alone."""
 
     def items(tables: DataFrame, name: str) -> DataFrame:
         both = F.concat(F.transform("words", lambda w: F.concat(F.lit("word:"), w)), F.transform("concepts", lambda c: F.concat(F.lit("concept:"), c)))
         domains = F.array_intersect("concepts", F.array(*map(F.lit, DOMAINS)))
-        return described(tables).select(F.col("name").alias(name), domains.alias(f"{name}_domains"), F.explode(both).alias("item"))
+        kinds = tables.select(F.col("headers").alias("name"), "headers").distinct()
+        return described(kinds).select(F.col("name").alias(name), domains.alias(f"{name}_domains"), F.explode(both).alias("item"))
 
-    met = items(sources, "source").join(items(templates, "template"), "item")
+    met = items(sources, "found").join(items(templates, "wanted"), "item")
     word = F.col("item").startswith("word:")
-    pairs = met.groupBy("template", "source", "template_domains", "source_domains").agg(F.count_if(word).alias("shared_words"), F.count_if(~word).alias("shared_concepts"))
-    own, theirs = F.col("template_domains"), F.col("source_domains")
+    pairs = met.groupBy("wanted", "found", "wanted_domains", "found_domains").agg(F.count_if(word).alias("shared_words"), F.count_if(~word).alias("shared_concepts"))
+    own, theirs = F.col("wanted_domains"), F.col("found_domains")
     # whatever is shared will do once the domains agree; without words it's a concept, of which any will do
-    return pairs.filter((F.size(own) == 0) | F.arrays_overlap(own, theirs)).select("template", "source", "shared_words", "shared_concepts")
+    return pairs.filter((F.size(own) == 0) | F.arrays_overlap(own, theirs)).select("wanted", "found", "shared_words", "shared_concepts")
+
+
+def _of_kinds(templates: DataFrame, sources: DataFrame, kinds: DataFrame) -> DataFrame:
+    """kinds with the names of the tables that have these headers."""
+    named = kinds.join(templates.select(F.col("name").alias("template"), F.col("headers").alias("wanted")), "wanted")
+    return named.join(sources.select(F.col("name").alias("source"), F.col("headers").alias("found")), "found")
+
+
+def plausible_pairs(templates: DataFrame, sources: DataFrame) -> DataFrame:
+    """template, source and how many words and concepts they share, of pairs of tables (name, headers)
+    about the same thing: a template of some domain takes sources of one of its domains only, and any
+    pair must share a word, an entity or time column, or a domain."""
+    return _of_kinds(templates, sources, _plausible_kinds(templates, sources)).select("template", "source", "shared_words", "shared_concepts")
 
 
 def table_candidates(templates: DataFrame, sources: DataFrame) -> DataFrame:
     """template, source, mapping (of template_header, source_header, score) and confidence, the share of
     matched headers, of plausible pairs whose mapping can be used."""
-    t = described(templates).select(F.col("name").alias("template"), F.col("headers").alias("wanted"))
-    s = described(sources).select(F.col("name").alias("source"), F.col("headers").alias("found"))
-    pairs = plausible_pairs(templates, sources).join(t, "template").join(s, "source")
+    full = lambda c: F.filter(c, lambda h: F.trim(F.coalesce(h, F.lit(""))) != "")
+    kinds = _plausible_kinds(templates, sources).withColumns({"w": full("wanted"), "f": full("found")})
     shape = pa.list_(pa.struct([("template_header", pa.string()), ("source_header", pa.string()), ("score", pa.float64())]))
 
     @F.arrow_udf("array<struct<template_header: string, source_header: string, score: double>>")
@@ -82,8 +97,22 @@ def table_candidates(templates: DataFrame, sources: DataFrame) -> DataFrame:
             out.append([dict(zip(("template_header", "source_header", "score"), p, strict=True)) for p in got] if usable(w, got) else [])
         return pa.array(out, shape)
 
-    mapped = pairs.withColumn("mapping", mapping("wanted", "found")).filter(F.size("mapping") > 0)
-    return mapped.select("template", "source", "mapping", F.round(F.size("mapping") / F.size("wanted"), 4).alias("confidence"))
+    mapped = kinds.withColumn("mapping", mapping("w", "f")).filter(F.size("mapping") > 0)
+    mapped = mapped.select("wanted", "found", "mapping", F.round(F.size("mapping") / F.size("w"), 4).alias("confidence"))
+    return _of_kinds(templates, sources, mapped).select("template", "source", "mapping", "confidence")
+
+
+def ranked_evidence(templates: DataFrame, sources: DataFrame, rows: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """template, source, rank, confidence, row_no and values of the rows of sources that can fill templates: rank is one more than the
+    template's candidates of greater confidence, values a map by the template's headers, and keep tells of
+    it which rows stay. rows: source, row_no, values (a map by the source's headers). Candidates without rows that stay have none here."""
+    found = table_candidates(templates, sources)
+    steps = found.groupBy("template", "confidence").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("template").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = steps.select("template", "confidence", (F.coalesce(above, F.lit(0)) + 1).alias("rank"))
+    under = F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["template_header"], F.try_element_at("own", m["source_header"]))))
+    out = found.join(ranks, ["template", "confidence"]).join(rows.select("source", "row_no", F.col("values").alias("own")), "source").withColumn("values", under)
+    return (out.filter(keep(F.col("values"))) if keep else out).select("template", "source", "rank", "confidence", "row_no", "values")
 
 
 def text_evidence(blocks: DataFrame, fields: list[str], least: float = 0.3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fuseline.operators import concepts, context, merging, narrative, position, regions
+from fuseline.operators import concepts, context, merging, narrative, pairing, position, regions
 from fuseline.operators.context import DOMAIN_WORDS
 from fuseline.plans.catalogue import _BLOCKS_SQL, query, t
 from fuseline.sources import sinks
@@ -204,3 +204,28 @@ def workbook_rows(spark, d):
     t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").write.format("xlsx").mode("append").option("max_rows", 5000).save(path)
     cell = lambda i: F.get("cells", F.lit(i))
     return sinks.read_workbooks(spark, path).filter("row_no > 0").select(cell(0).cast("long").alias("c_custkey"), cell(1).alias("c_name"), F.when(cell(2) != "", cell(2)).alias("c_mktsegment"))
+
+
+#: Header rows of the orders' tables by o_orderkey % 3, and of two templates.
+_KINDS = [["订单号", "客户", "金额(元)"], ["日期", "地区"], ["客户名称", "金额"]]
+_WANTED = [("invoice", ["客户", "金额", "订单号", "备注"]), ("calendar", ["日期", "地区"])]
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, o_orderkey % 3 AS kind FROM orders), n AS (SELECT count(*) FILTER (kind = 0) AS n0 FROM s),
+r AS (SELECT k, kind, l_linenumber AS row_no, l_partkey AS tie, l_suppkey, l_quantity, l_shipdate FROM s JOIN lineitem ON l_orderkey = k)
+SELECT 'invoice' AS template, k AS source, (CASE kind WHEN 0 THEN 1 ELSE 1 + n0 END)::INTEGER AS rank, CASE kind WHEN 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence, row_no::BIGINT AS row_no, 's' || l_suppkey AS first, l_quantity::INTEGER::VARCHAR AS second FROM r, n WHERE kind IN (0, 2) AND l_quantity >= 25
+UNION ALL SELECT 'calendar', k, 1, 1.0, row_no, l_shipdate::DATE::VARCHAR, 'p' || tie FROM r WHERE kind = 1""")
+def ranked_evidence(spark, d):
+    """Every order is a source table of one of three kinds, its lines are the rows; invoices take those of at least 25 pieces."""
+    kinds = F.array(*[F.array(*map(F.lit, k)) for k in _KINDS])
+    kind = (F.col("o_orderkey") % 3).cast("int")
+    sources = t(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.get(kinds, kind).alias("headers"))
+    pieces = F.col("l_quantity").cast("int").cast("string")
+    maps = [(["订单号", "客户", "金额(元)"], [F.col("l_orderkey").cast("string"), F.concat(F.lit("s"), "l_suppkey"), pieces]), (["日期", "地区"], [F.to_date("l_shipdate").cast("string"), F.concat(F.lit("p"), "l_partkey")]), (["客户名称", "金额"], [F.concat(F.lit("s"), "l_suppkey"), pieces])]
+    values = F.coalesce(*[F.when(F.col("l_orderkey") % 3 == k, F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*cols))) for k, (names, cols) in enumerate(maps)])
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").cast("long").alias("row_no"), values.alias("values"))
+    templates = spark.createDataFrame(_WANTED, "name string, headers array<string>")
+    enough = lambda v: F.coalesce(F.try_element_at(v, F.lit("金额")).cast("int") >= 25, F.lit(True))
+    found = pairing.ranked_evidence(templates, sources, rows, enough)
+    get = lambda *names: F.coalesce(*[F.try_element_at("values", F.lit(n)) for n in names])
+    return found.select("template", "source", F.col("rank").cast("int").alias("rank"), "confidence", "row_no", get("客户", "日期").alias("first"), get("金额", "地区").alias("second"))

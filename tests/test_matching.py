@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from fuseline.functions.automaton import Automaton, words_in
-from fuseline.operators import context, merging, position, regions
+from fuseline.operators import context, merging, narrative, pairing, position, regions
 
 
 def test_numbers_in_order(spark):
@@ -194,3 +194,21 @@ def test_text_regions(spark):
     assert got[-2] == ("stays, as it is", False) and got[-1] == region_of("", headers, new)
     for i, text in enumerate(texts):
         assert got[i] == region_of(text, headers, new), text
+
+
+def test_evidence_with_rows(spark):
+    tables = "name string, headers array<string>"
+    templates = spark.createDataFrame([("t", ["城市", "GDP"]), ("u", ["日期"]), ("none", []), ("same", ["城市", "GDP"])], tables)
+    sources = spark.createDataFrame([("a", ["城市名", "GDP", " "]), ("b", ["城市名", "GDP", " "]), ("c", ["城市"]), ("d", None), ("e", ["零件"])], tables)
+    rows = spark.createDataFrame([("a", 1, {"城市名": "青岛", "GDP": "5"}), ("a", 2, {"城市名": "济南"}), ("b", 1, {"GDP": "7"}), ("c", 1, {"城市": "x"}), ("e", 1, {"零件": "y"})], "source string, row_no long, values map<string,string>")
+    got = {(r["template"], r["source"], r["row_no"]): (r["rank"], r["confidence"], r["values"]) for r in pairing.ranked_evidence(templates, sources, rows).collect()}
+    assert {k for k in got if k[0] == "t"} == {("t", "a", 1), ("t", "a", 2), ("t", "b", 1)} and {k[0] for k in got} == {"t", "same"}
+    assert got["t", "a", 1] == (1, 1.0, {"城市": "青岛", "GDP": "5"}) and got["t", "a", 2][2] == {"城市": "济南", "GDP": None}
+    kept = pairing.ranked_evidence(templates, sources, rows, lambda v: F.try_element_at(v, F.lit("GDP")).cast("int") > 5).collect()
+    assert {(r["template"], r["source"]) for r in kept} == {("t", "b"), ("same", "b")}
+
+
+def test_labels_are_plain_text(spark):
+    docs = spark.createDataFrame([(1, "a.b: yes\naxb: no\n(c): 3")], "doc_id int, text string")
+    got = {(r["label"], r["value"]) for r in narrative.labelled_values(docs, ["a.b", "(c)", "d+"]).collect()}
+    assert got == {("a.b", "yes"), ("(c)", "3")}
