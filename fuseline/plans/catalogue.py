@@ -220,9 +220,13 @@ def topn_sorted(spark, d):
 # --- headers -------------------------------------------------------------------------------------
 
 
-@query()
+@query("""SELECT c_custkey, unnest(['customer name', 'segment', 'nation key']) AS header, unnest([c_name, c_mktsegment, c_nationkey::VARCHAR]) AS value FROM (SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer)""")
 def map_headers(spark, d):
-    return mapping.mapping_frame(spark, ["customer name", "balance", "segment", "nation key"], t(spark, d, "customer").columns)
+    """customer's cells under the headers of a template that its columns match."""
+    c = t(spark, d, "customer")
+    pairs = mapping.match_headers(["customer name", "segment", "nation key"], c.columns)
+    under = mapping.project(c, [("c_custkey", "c_custkey", 1.0), *pairs])
+    return under.select("c_custkey", F.inline(F.array(*[F.struct(F.lit(w).alias("header"), F.col(f"`{w}`").cast("string").alias("value")) for w, *_ in pairs])))
 
 
 @query("SELECT * FROM (VALUES ('o_orderdate', 'date'), ('l_extendedprice', 'number'), ('l_discount', 'number'), ('l_linenumber', 'number'), ('c_name', 'entity'), ('r_regionkey', 'entity'), ('c_mktsegment', 'text'), ('event_type', 'text'), ('c_acctbal', 'number'), ('growth_rate', 'percent'), ('expense', 'currency'), ('capacity', 'entity')) v(header, field_type)")
@@ -566,11 +570,15 @@ def page_outline(spark, d):
     return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("paragraphs"))
 
 
-@query("SELECT * FROM (VALUES (1, '', false), (2, 'date', true), (3, 'sentence', true), (4, 'metric', true), (5, 'granularity', false), (6, 'number', true), (7, '', false), (8, 'narrative', true), (9, 'blank', false)) v(id, filter_reason, hard_reject)")
+#: Values of a city field, the reason against each, and whether it is one to reject for.
+_LEGAL = [("潍坊市", "", False), ("2024年3月", "date", True), ("经济增长，形势稳定", "sentence", True), ("人均收入", "metric", True), ("中国", "granularity", False), ("12.5", "number", True), ("青岛", "", False), ("推动经济平稳", "narrative", True), ("", "blank", False)]
+
+
+@query("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}', {h})" for i, (_, r, h) in enumerate(_LEGAL)) + f") AS x(i, filter_reason, hard_reject)) SELECT c_custkey, filter_reason, hard_reject FROM customer JOIN v ON v.i = c_custkey % {len(_LEGAL)}")
 def entity_legality(spark, d):
-    rows = [(1, "潍坊市"), (2, "2024年3月"), (3, "经济增长，形势稳定"), (4, "人均收入"), (5, "中国"), (6, "12.5"), (7, "青岛"), (8, "推动经济平稳"), (9, "")]
-    df = spark.createDataFrame(rows, "id int, `城市` string")
-    return entities.with_legality(df, ["城市"]).select("id", "filter_reason", "hard_reject")
+    city = F.element_at(F.array(*[F.lit(v) for v, *_ in _LEGAL]), (F.col("c_custkey") % len(_LEGAL) + 1).cast("int"))
+    rows = t(spark, d, "customer").select("c_custkey", city.alias("城市"))
+    return entities.with_legality(rows, ["城市"]).select("c_custkey", "filter_reason", "hard_reject")
 
 
 #: Values of a city field, what is made of each, and why.
@@ -607,10 +615,12 @@ def record_provenance(spark, d):
     return t(spark, d, "orders").select("o_orderkey", extraction.provenance_id(F.col("o_orderstatus"), F.col("o_orderkey"), F.lit(None)).alias("record_id"))
 
 
-@query("SELECT * FROM (VALUES (1, '潍坊市', '7471.4亿元', '939万人'), (2, 'New York', '', '8,804,190')) v(doc_id, entity, gdp, population)")
+@query("SELECT doc_id, '潍坊市' AS entity, doc_id || '亿元' AS gdp, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 97) || '万人' ELSE '' END AS population FROM documents")
 def text_records(spark, d):
-    rows = [(1, 0, "潍坊市实现地区生产总值约为7471.4亿元，常住人口939万人。"), (2, 0, "New York has 8,804,190 in population terms, population 8,804,190"), (3, 0, "没有数字")]
-    found = extraction.text_records(spark.createDataFrame(rows, "doc_id int, block_index int, content string"))
+    people = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("，常住人口"), F.col("doc_id") % 97, F.lit("万人"))).otherwise("")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]|(?i)population|budget|cases|tests", "")
+    segments = t(spark, d, "documents").select("doc_id", F.lit(0).alias("block_index"), F.concat(F.lit("潍坊市实现地区生产总值约为"), "doc_id", F.lit("亿元"), people, F.lit("。\n"), body).alias("content"))
+    found = extraction.text_records(segments)
     value = lambda k: F.coalesce(F.try_element_at("values", F.lit(k)), F.lit(""))
     return found.select("doc_id", "entity", value("gdp").alias("gdp"), value("population").alias("population"))
 
@@ -765,11 +775,15 @@ def smart_values(spark, d):
     return t(spark, d, "customer").select("c_custkey", lenient.smart_value(text).alias("v")).select("c_custkey", F.coalesce("v.whole", F.lit(-1).cast("long")).alias("whole"), F.coalesce("v.real", F.lit(-1.0)).alias("real"), F.coalesce("v.text", F.lit("")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 57750000.0, '万'), (2, 73000.0, '万元'), (3, 126000.0, '万'), (4, 1.5, ''), (5, 300000000.0, '万'), (6, -12.5, '元'), (7, 1234.0, '个')) v(id, num, unit)")
+#: Endings of a number's text, by what it is multiplied and the unit that is left.
+_ENDINGS = [(" 万", 10_000, "万"), ("万元", 10_000, "万元"), (" 万份", 10_000, "万"), ("", 1, ""), ("亿", 100_000_000, "亿"), ("元", 1, "元"), ("个", 1, "个")]
+
+
+@query("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {m}, '{u}')" for i, (_, m, u) in enumerate(_ENDINGS)) + f") AS x(i, times, unit)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey * times)::DOUBLE AS num, unit FROM lineitem JOIN v ON v.i = l_partkey % {len(_ENDINGS)}")
 def chinese_units(spark, d):
-    rows = [(1, "5775 万"), (2, "7.3 万元"), (3, "12.6 万份"), (4, "１．５"), (5, "三万"), (6, "-12.5元"), (7, "1,234个")]
-    df = spark.createDataFrame(rows, "id int, v string")
-    return df.select("id", V.number(F.col("v")).alias("num"), V.unit(F.col("v")).alias("unit"))
+    end = F.element_at(F.array(*[F.lit(e) for e, *_ in _ENDINGS]), (F.col("l_partkey") % len(_ENDINGS) + 1).cast("int"))
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.format_number("l_partkey", 0), end).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", V.number(F.col("v")).alias("num"), V.unit(F.col("v")).alias("unit"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, count(*) - count(value) AS n_missing, count(*) FILTER (value < 0) AS n_negative, round(sum(value), 4) AS sum_value FROM events GROUP BY ALL")
