@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fuseline.operators import concepts, context, merging, narrative, pairing, position, regions
+from fuseline.operators import concepts, context, lookup, merging, narrative, pairing, position, regions
 from fuseline.operators.context import DOMAIN_WORDS
 from fuseline.plans.catalogue import _BLOCKS_SQL, query, t
 from fuseline.sources import sinks
@@ -229,3 +229,20 @@ def ranked_evidence(spark, d):
     found = pairing.ranked_evidence(templates, sources, rows, enough)
     get = lambda *names: F.coalesce(*[F.try_element_at("values", F.lit(n)) for n in names])
     return found.select("template", "source", F.col("rank").cast("int").alias("rank"), "confidence", "row_no", get("客户", "日期").alias("first"), get("金额", "地区").alias("second"))
+
+
+_FILES = ["requirement.txt", "user_requirement.txt"]
+
+
+@query("""WITH f AS (SELECT doc_id, '/data/s' || doc_id || CASE doc_id % 3 WHEN 0 THEN '/l0' WHEN 1 THEN '' ELSE '/l1' END AS folder, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS name, trim(coalesce(text, ''), e' \t\n\r') AS text FROM documents),
+p AS (SELECT c_custkey AS task, unnest([0, 1]) AS place, unnest(['/data/s' || c_custkey % 300 || '/l' || c_custkey % 2, '/data/s' || (c_custkey + 1) % 300 || '/l0']) AS own FROM customer),
+d AS (SELECT task, place, 0 AS level, own AS folder FROM p UNION ALL SELECT task, place, 1, regexp_replace(own, '/[^/]*$', '') FROM p)
+SELECT task, f.folder || CASE name WHEN 1 THEN '/requirement.txt' ELSE '/user_requirement.txt' END AS path, text FROM d JOIN f USING (folder) WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY task ORDER BY place, level, name, f.folder) = 1""")
+def requirements_beside(spark, d):
+    """Documents lie beside or above the files of tasks, one for each customer."""
+    k = F.col("doc_id")
+    folder = F.concat(F.lit("/data/s"), k, F.when(k % 3 == 0, "/l0").when(k % 3 == 1, "").otherwise("/l1"))
+    files = t(spark, d, "documents").select(F.concat(folder, F.lit("/"), F.when(k % 2 == 0, _FILES[0]).otherwise(_FILES[1])).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    c = F.col("c_custkey")
+    own = F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("/data/s"), c % 300, F.lit("/l"), c % 2, F.lit("/t.xlsx")).alias("path")), F.struct(F.lit(1).alias("place"), F.concat(F.lit("/data/s"), (c + 1) % 300, F.lit("/l0/x.txt")).alias("path")))
+    return lookup.requirements_beside(t(spark, d, "customer").select(c.alias("task"), F.inline(own)), files, _FILES)

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from fuseline.functions.automaton import Automaton, words_in
-from fuseline.operators import context, merging, narrative, pairing, position, regions
+from fuseline.operators import context, lookup, merging, narrative, pairing, position, regions
 
 
 def test_numbers_in_order(spark):
@@ -212,3 +212,11 @@ def test_labels_are_plain_text(spark):
     docs = spark.createDataFrame([(1, "a.b: yes\naxb: no\n(c): 3")], "doc_id int, text string")
     got = {(r["label"], r["value"]) for r in narrative.labelled_values(docs, ["a.b", "(c)", "d+"]).collect()}
     assert got == {("a.b", "yes"), ("(c)", "3")}
+
+
+def test_requirement_nearest_to_the_files(spark):
+    paths = [("t", 0, "/a/b/x.xlsx"), ("t", 1, "/c/y.csv"), ("u", 0, "/c/y.csv"), ("v", 0, "z.md"), ("w", 0, "/top.md"), ("n", 0, None), ("o", 0, "/nowhere/at/all")]
+    files = [("/a/req.txt", "above"), ("/a/b/req.txt", " "), ("/a/b/other.txt", "no"), ("/c/user.txt", "second\n"), ("/c/req.txt", "first"), ("req.txt", "here"), ("/req.txt", "root"), ("/a/b/user.txt", None)]
+    out = lookup.requirements_beside(spark.createDataFrame(paths, "task string, place int, path string"), spark.createDataFrame(files, "path string, text string"), ["req.txt", "user.txt"])
+    assert {r["task"]: r["text"] for r in out.collect()} == {"t": "above", "u": "first", "v": "here", "w": "root"}
+    assert out.filter("task = 't'").first()["path"] == "/a/req.txt"
