@@ -45,11 +45,23 @@ def fuse(claims: DataFrame) -> DataFrame:
     return out.select("entity_key", "field", F.col("best.value").alias("value"), F.col("best.source").alias("winner"), "n_claims", "n_sources")
 
 
-def conflicts(claims: DataFrame) -> DataFrame:
-    """entity_key, field, left_value (the winner so far) and right_value of each conflict."""
-    before = Window.partitionBy("entity_key", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    winner = F.max(F.struct("priority", "confidence", (-F.col("seq")).alias("order"), "value")).over(before)
-    rows = claims.withColumn("left", winner).filter(F.col("left").isNotNull())
+#: Numbers of seq that are one stretch of a key's claims.
+STRETCH = 100_000
+
+
+def conflicts(claims: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """entity_key, field, left_value (the winner so far) and right_value of each conflict.
+
+    A key's claims are taken in stretches of seq. Each stretch's winner is found by an aggregation, the winner before a stretch is the greatest of
+    the few before it, and only within a stretch claims are gone through in order, so a hot key is many tasks'."""
+    keys = ["entity_key", "field", "stretch"]
+    rank = F.struct("priority", "confidence", (-F.col("seq")).alias("order"), "value")
+    rows = claims.withColumn("stretch", F.floor(F.col("seq") / stretch))
+    best = rows.groupBy(keys).agg(F.max(rank).alias("own"))
+    earlier = Window.partitionBy("entity_key", "field").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("held", F.max("own").over(earlier)).filter("held IS NOT NULL").select(*keys, "held")
+    before = Window.partitionBy(keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(best, keys, "left").withColumn("left", F.greatest("held", F.max(rank).over(before))).filter(F.col("left").isNotNull())
     differ = name_key(F.col("left.value")) != name_key(F.col("value"))
     return rows.filter(differ).select("entity_key", "field", F.col("left.value").alias("left_value"), F.col("value").alias("right_value"), "source")
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuseline.functions.headers import header_date
@@ -45,37 +45,44 @@ def entity_key(c: Column) -> Column:
     return F.regexp_replace(name_key(c), f"(?:{'|'.join(ENTITY_SUFFIXES)})$", "")
 
 
-def resolve(values: Sequence[str], order: str, gap: float = 0.08) -> list[Column]:
+def _has(v: str) -> Column:
+    return F.col(v).isNotNull() & (F.col(v).cast("string") != "")
+
+
+def resolve(values: Sequence[str], order: str) -> list[Column]:
     """For each value column v (with v_conf): the value of the most confident record that has one,
-    the first of equal ones, and whether another within gap of it differs and comes from elsewhere."""
+    the first of equal ones, and its confidence."""
     out = []
     for v in values:
-        has = F.col(v).isNotNull() & (F.col(v).cast("string") != "")
-        rank = F.when(has, F.struct(F.col(f"{v}_conf"), -F.col(order)))
-        top = F.max(F.when(has, F.col(f"{v}_conf")))
-        out.append(F.max_by(F.when(has, F.col(v)), rank).alias(v))
-        out.append(F.sort_array(F.collect_set(F.when(has, F.struct(F.col(f"{v}_conf").alias("conf"), F.col(v).cast("string").alias("value"), F.col("source_file"))))).alias(f"_{v}"))
-        out.append(top.alias(f"{v}_conf"))
+        out.append(F.max_by(F.when(_has(v), F.col(v)), F.when(_has(v), F.struct(F.col(f"{v}_conf"), -F.col(order)))).alias(v))
+        out.append(F.max(F.when(_has(v), F.col(f"{v}_conf"))).alias(f"{v}_conf"))
     return out
 
 
-def _within(limit: Column):
-    return lambda x: x["conf"] > limit
+def contested(records: DataFrame, key: str, values: Sequence[str], gap: float = 0.08) -> DataFrame:
+    """key and needs_review, the value columns of which a second spelling is within gap of the most confident one. Each
+    spelling's greatest confidence, then the two greatest of these are kept of a field, however many records a key has."""
+    claims = [F.when(_has(v), F.struct(F.lit(i).alias("i"), F.lit(v).alias("field"), F.col(f"{v}_conf").cast("double").alias("conf"), name_key(F.col(v).cast("string")).alias("spelling"))) for i, v in enumerate(values)]
+    long = records.select(key, F.explode(F.filter(F.array(*claims), lambda c: c.isNotNull())).alias("c")).select(key, "c.*")
+    spelt = long.groupBy(key, "i", "field", "spelling").agg(F.max("conf").alias("conf"))
+    place = F.row_number().over(Window.partitionBy(key, "i", "field").orderBy(F.desc_nulls_last("conf")))
+    two = spelt.withColumn("place", place).filter("place <= 2").groupBy(key, "i", "field").agg(F.max("conf").alias("top"), F.max(F.when(F.col("place") == 2, F.col("conf"))).alias("next"))
+    close = two.filter(F.col("next") > F.col("top") - gap)
+    return close.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "field")))["field"].alias("needs_review"))
 
 
 def semantic_merge(records: DataFrame, entity: str, values: Sequence[str], order: str, date: str | None = None, gap: float = 0.08) -> DataFrame:
     """One record for each entity (endings and spelling apart) and date: blanks are filled, of
     different values the more confident stays. needs_review lists the fields in which another
-    source differs within gap of the winner's confidence; records without key stay themselves."""
+    spelling is within gap of the winner's confidence; records without key stay themselves."""
     key = entity_key(F.col(entity))
     parts = [key] + ([F.col(date).cast("string")] if date else [])
     named = F.concat_ws("|", *parts)
     whole = F.when(named == "", F.concat(F.lit("#"), F.col(order).cast("string"))).otherwise(named)
-    out = records.groupBy(whole.alias("record_key")).agg(F.min_by(entity, order).alias(entity), *resolve(values, order, gap), F.count("*").alias("n_merged"), F.array_sort(F.collect_set("source_file")).alias("sources"))
-    near = {v: F.filter(f"_{v}", _within(F.col(f"{v}_conf") - gap)) for v in values}
-    close = [F.when(F.size(F.array_distinct(F.transform(n, lambda x: name_key(x["value"])))) > 1, F.lit(v)) for v, n in near.items()]
-    review = F.filter(F.array(*close), lambda x: x.isNotNull())
-    return out.withColumn("needs_review", review).drop(*[f"_{v}" for v in values])
+    rows = records.withColumn("record_key", whole)
+    out = rows.groupBy("record_key").agg(F.min_by(entity, order).alias(entity), *resolve(values, order), F.count("*").alias("n_merged"), F.array_sort(F.collect_set("source_file")).alias("sources"))
+    out = out.join(contested(rows, "record_key", values, gap), "record_key", "left")
+    return out.withColumn("needs_review", F.coalesce("needs_review", F.array().cast("array<string>")))
 
 
 def table_confidence(match: Column, coverage: Column, value: Column, offset: Column | float = 0.0) -> Column:

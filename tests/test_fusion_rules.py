@@ -12,7 +12,7 @@ from fuseline.functions import headers, lenient
 from fuseline.functions.registry import DEFAULT, Registry, name_key
 from fuseline.functions.values import clean, plain
 from fuseline.functions.values import name_key as name_key_of
-from fuseline.operators import documents, entities, filters, mapping, pairing, records
+from fuseline.operators import documents, entities, filters, fusion, mapping, pairing, records
 from fuseline.plans import requirement
 from fuseline.sources import readers
 
@@ -168,3 +168,26 @@ def test_entity_verdicts(spark, header, peers, value, level, reason):
     got = one(spark, entities.verdict(F.lit(value), entities.field_kind(header, peers)))
     assert (got["level"], got["reason"]) == (level, reason)
     assert one(spark, entities.reason_text(F.lit(reason))) == (entities.REASONS.get(reason) or "未知原因")
+
+
+def test_conflicts_in_stretches(spark):
+    """Stretches of any length give what one pass over each key gives; a hot key's too."""
+    rng = random.Random(7)
+    rows = [(rng.choice("aab"), rng.choice("xy"), rng.choice(["1", "2", "3", " 2"]), "s", rng.randint(1, 3), rng.choice([0.5, 0.9]), i) for i in range(600)]
+    want, held = [], {}
+    for key, field, value, _, priority, confidence, seq in rows:
+        mine, best = (priority, confidence, -seq, value), held.get((key, field))
+        if best and best[3].strip() != value.strip():
+            want.append((key, field, best[3], value))
+        held[key, field] = max(mine, best) if best else mine
+    df = spark.createDataFrame(rows, "entity_key string, field string, value string, source string, priority int, confidence double, seq long")
+    for stretch in (1, 7, 100, 100_000):
+        assert sorted(tuple(r)[:4] for r in fusion.conflicts(df, stretch).collect()) == sorted(want)
+
+
+def test_contested_values_of_a_hot_entity(spark):
+    rows = spark.range(30_000).selectExpr("'city' AS name", "cast(id % 5000 AS string) AS v", "double(id % 100) / 100 AS v_conf", "id AS seq", "'s' AS source_file", "'same' AS w", "0.5D AS w_conf")
+    one = records.semantic_merge(rows, "name", ["v", "w"], "seq").first()
+    assert one["v"] == "99" and one["v_conf"] == 0.99 and one["needs_review"] == ["v"] and one["n_merged"] == 30_000
+    clear = rows.withColumn("v_conf", F.when(F.col("seq") == 3, 1.0).otherwise(0.9))
+    assert records.semantic_merge(clear, "name", ["v", "w"], "seq").first()["needs_review"] == []
