@@ -82,17 +82,23 @@ def quality_issues(issues: DataFrame, limit: int, doc: str = "source") -> DataFr
     return issues.orderBy(rank, doc, "field_name", "location", "issue_type").limit(limit)
 
 
-def details(docs: DataFrame, blocks: DataFrame, found: DataFrame, first: int) -> DataFrame:
-    """docs (doc_id, ...) with n_blocks, n_entities and first_blocks, the first few of each document:
-    the parts are aggregated before they are joined."""
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """dimension, item and n: issues by type, by severity and by field, in one pass."""
+    return stats(issues, ["issue_type", "severity", "field_name"])
+
+
+def details(docs: DataFrame, blocks: DataFrame, found: DataFrame, first: int, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """docs (doc_id, ...) with n_blocks, n_entities and first_blocks, the first few of each document, and, for each name of
+    more, how many rows that table has of it: the parts are aggregated before they are joined."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_index"))
     shown = blocks.withColumn("place", place).filter(F.col("place") <= first)
     shown = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "content"))).alias("b")).select("doc_id", F.col("b.content").alias("first_blocks"))
-    counts = [t.groupBy("doc_id").agg(F.count("*").alias(n)) for t, n in ((blocks, "n_blocks"), (found, "n_entities"))]
+    tables = {"n_blocks": blocks, "n_entities": found, **(more or {})}
+    counts = [t.groupBy("doc_id").agg(F.count("*").alias(n)) for n, t in tables.items()]
     out = docs
     for part in (*counts, shown):
         out = out.join(part, "doc_id", "left")
-    return out.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("n_blocks", "n_entities")})
+    return out.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in tables})
 
 
 def stats(docs: DataFrame, by: list[str]) -> DataFrame:

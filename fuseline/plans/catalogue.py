@@ -438,12 +438,6 @@ def store_stats(spark, d):
     return store.stats(t(spark, d, "documents"), ["lang", "source"])
 
 
-@query("(SELECT 'document' AS result_type, doc_id, substr(text, 1, 200) AS text FROM documents WHERE text ILIKE '%licensed%' ORDER BY 2, 3 LIMIT 10) UNION ALL (SELECT 'page', page_id, substr(url, 1, 200) FROM pages WHERE url ILIKE '%licensed%' ORDER BY 2, 3 LIMIT 10)")
-def store_search(spark, d):
-    tables = {"document": (t(spark, d, "documents"), "text"), "page": (t(spark, d, "pages").withColumnRenamed("page_id", "doc_id"), "url")}
-    return store.search(tables, "licensed", 20)
-
-
 @query(r"SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]{11,})', 1)) AS entity_text, 'name' AS entity_type, 0.7::DOUBLE AS confidence FROM documents")
 def store_entities(spark, d):
     return store.words_with_capital(t(spark, d, "documents"))
@@ -519,14 +513,38 @@ def text_evidence(spark, d):
     return pairing.text_evidence(narrative.blocks(t(spark, d, "documents")), ["license name", "the city and region", "phone"])
 
 
-@query(_BLOCKS_SQL + r""", n AS (SELECT doc_id, count(*) AS n_blocks, array_to_string(list(content ORDER BY block_index)[:2], '|') AS first_blocks FROM b GROUP BY doc_id), e AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]{11,}')) AS n FROM documents)
-SELECT d.doc_id, d.lang, coalesce(n_blocks, 0) AS n_blocks, e.n::BIGINT AS n_entities, first_blocks FROM documents d LEFT JOIN n USING (doc_id) JOIN e USING (doc_id)""")
+@query(_BLOCKS_SQL + r""", n AS (SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (regexp_matches(content, '^#{1,6} ')) AS n_headings, array_to_string(list(content ORDER BY block_index)[:2], '|') AS first_blocks FROM b GROUP BY doc_id), e AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]{11,}')) AS n FROM documents),
+l AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id), w AS (SELECT doc_id, count(*) AS n FROM labels WHERE quality = 0 GROUP BY doc_id)
+SELECT d.doc_id, d.lang, coalesce(n_blocks, 0) AS n_blocks, coalesce(e.n, 0)::BIGINT AS n_entities, coalesce(n_headings, 0) AS n_headings, coalesce(l.n, 0) AS n_labels, coalesce(w.n, 0) AS n_issues, first_blocks FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN w USING (doc_id)""")
 def store_detail(spark, d):
-    docs = t(spark, d, "documents")
-    found = store.details(docs.select("doc_id", "lang"), narrative.blocks(docs), store.words_with_capital(docs), 2)
+    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
+    blocks = narrative.blocks(docs)
+    more = {"n_headings": blocks.filter("heading_level > 0"), "n_labels": labels, "n_issues": labels.filter("quality = 0")}
+    found = store.details(docs.select("doc_id", "lang"), blocks, store.words_with_capital(docs), 2, more)
     return found.withColumn("first_blocks", F.when(F.col("first_blocks").isNotNull(), F.concat_ws("|", "first_blocks")))
 
 
+_FOUND = "(SELECT '{0}' AS result_type, {1} AS doc_id, substr({2}, 1, 200) AS text FROM {3} WHERE {2} ILIKE '%ing%' ORDER BY 2, 3 LIMIT 10)"
+
+
+@query(_BLOCKS_SQL + ", e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{11,}')) AS entity FROM documents) " + " UNION ALL ".join(_FOUND.format(*x) for x in (("document", "doc_id", "text", "documents"), ("text_block", "doc_id", "content", "b"), ("table_row", "conv_id", "text", "conversations"), ("entity", "doc_id", "entity", "e"))))
+def store_search(spark, d):
+    docs = t(spark, d, "documents")
+    tables = {"document": (docs, "text"), "text_block": (narrative.blocks(docs), "content"), "table_row": (t(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id"), "text"), "entity": (store.words_with_capital(docs), "entity_text")}
+    return store.search(tables, "ing", 40)
+
+
+@query("SELECT doc_id, unnest(['青岛市', '海信集团']) AS entity_text, unnest(['location', 'organization']) AS entity_type, unnest([0.75, 0.7])::DOUBLE AS confidence FROM documents")
+def store_places(spark, d):
+    return store.entities(t(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n青岛市；海信集团；")).alias("text")))
+
+
+@query(_ISSUES_SQL + """, f AS (SELECT *, CASE issue_type WHEN 'missing_value' THEN 'name' WHEN 'duplicate_record' THEN '' WHEN 'cross_source_conflict' THEN 'segment' ELSE 'balance' END AS field, CASE issue_type WHEN 'cross_source_conflict' THEN 'error' ELSE 'warning' END AS severity FROM i WHERE n > 0)
+SELECT 'issue_type' AS dimension, issue_type AS item, sum(n)::BIGINT AS n FROM f GROUP BY 2 UNION ALL SELECT 'severity', severity, sum(n)::BIGINT FROM f GROUP BY 2 UNION ALL SELECT 'field_name', field, sum(n)::BIGINT FROM f GROUP BY 2""")
+def quality_issue_counts(spark, d):
+    return store.issue_counts(quality.analyze(_bad_cells(spark, d), _BAD_TYPES))
+
+
 @query(_BLOCKS_SQL + ", f AS (SELECT doc_id, block_index, trim(string_split(content, chr(10))[1], e' \\t\\r') AS line FROM b WHERE block_index < 6), g AS (SELECT doc_id, arg_min(line, block_index) AS line FROM f WHERE length(line) BETWEEN 2 AND 80 GROUP BY doc_id) SELECT d.doc_id, coalesce(line, 'doc-' || d.doc_id) AS title FROM documents d LEFT JOIN g USING (doc_id)")
 def document_titles(spark, d):
     return narrative.titles(t(spark, d, "documents"), F.concat(F.lit("/in/doc-"), "doc_id", F.lit(".txt")))
