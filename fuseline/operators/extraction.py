@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fuseline.functions.values import clean, plain
+from fuseline.functions.values import clean, let, plain
 from fuseline.operators.entities import FieldKind, verdict
 from fuseline.operators.records import scope_confidence
 
@@ -28,10 +28,16 @@ LEADING = r"^\s*(?:[-*•]|\d+[.)、])?\s*([一-龥]{2,8}?(?:省|市|区|县|州
 def near_number(text: Column, names: Sequence[str], reach: int = 32) -> Column:
     """The first number at most reach characters behind one of the names, the first name that has
     one; else one at most reach characters before it."""
-    names = [re.escape(n) for n in names]
-    found = [F.regexp_extract(text, rf"(?i){n}[^\d\n]{{0,{reach}}}?({NUMBER})", 1) for n in names]
-    before = [F.regexp_extract(text, rf"(?i)({NUMBER})[^\d\n]{{0,{reach}}}?{n}", 1) for n in names]
-    return F.coalesce(*[F.when(x != "", F.trim(x)) for x in found + before], F.lit(""))
+    # most texts lack most names: looking for a name is cheap, a pattern over a long text isn't
+    has = lambda low, n: F.contains(low, F.lit(n.lower()))
+    behind = [(n, rf"(?i){re.escape(n)}[^\d\n]{{0,{reach}}}?({NUMBER})") for n in names]
+    before = [(n, rf"(?i)({NUMBER})[^\d\n]{{0,{reach}}}?{re.escape(n)}") for n in names]
+
+    def first(low: Column) -> Column:
+        found = [F.when(has(low, n), F.regexp_extract(text, pattern, 1)) for n, pattern in behind + before]
+        return F.coalesce(*[F.when(x != "", F.trim(x)) for x in found], F.lit(""))
+
+    return let(F.lower(text), first)
 
 
 def concept_value(text: Column, concept: str) -> Column:
@@ -77,8 +83,9 @@ def text_confidence(method: Column, value: Column) -> Column:
 def text_records(segments: DataFrame, concepts: Sequence[str] = tuple(CONCEPTS), least: int = 1) -> DataFrame:
     """doc_id, block_index, entity, values (map of the concepts found), confidence (map) of segments
     (doc_id, block_index, content) in which at least so many concepts have a number."""
-    values = F.map_filter(F.create_map(*[x for c in concepts for x in (F.lit(c), concept_value(F.col("content"), c))]), lambda _, v: v != "")
-    out = segments.select("doc_id", "block_index", leading_entity(F.col("content")).alias("entity"), values.alias("values"))
+    plain_of = segments.select("doc_id", "block_index", leading_entity(F.col("content")).alias("entity"), plain(F.col("content")).alias("_plain"))
+    values = F.map_filter(F.create_map(*[x for c in concepts for x in (F.lit(c), near_number(F.col("_plain"), CONCEPTS[c]))]), lambda _, v: v != "")
+    out = plain_of.select("doc_id", "block_index", "entity", values.alias("values"))
     out = out.filter(F.size("values") >= least)
     return out.withColumn("confidence", F.transform_values("values", lambda _, v: text_confidence(F.lit("text_context"), v)))
 
