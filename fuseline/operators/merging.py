@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuseline.functions.values import clean, name_key
+from fuseline.sources.scratch import stored
 
 EVIDENCE = 5
 
@@ -39,15 +40,18 @@ def merge_maps(records: DataFrame, key: str, order: str, gap: float = 0.08, evid
     of = lambda m: F.try_element_at(F.col(m), F.col("field"))
     rows = rows.select("id", "at", "source_file", "field", clean(of("values")).alias("value"), of("confidences").alias("conf"), of("evidence").alias("shown"), of("methods").alias("method"))
     keys = ["id", "field"]
-    # each different value of a field once, then the two best: what is left of a field is two rows
-    per_value = rows.filter("value <> ''").groupBy(*keys, "value").agg(F.max(F.struct(F.coalesce("conf", F.lit(-1.0)).alias("conf"), (-F.col("at")).alias("at"), F.col("source_file").alias("source"))).alias("best"))
-    spelt = per_value.groupBy(*keys, name_key(F.col("value")).alias("spelling")).agg(F.max(F.struct("best", "value")).alias("b"))
+    # a field's different values by source once; values, sources, confidences and methods all come from these few rows
+    told = F.when(F.coalesce("method", F.lit("")) != "", F.col("at"))
+    best = F.max(F.struct(F.coalesce("conf", F.lit(-1.0)).alias("conf"), (-F.col("at")).alias("at"), F.col("source_file").alias("source"))).alias("best")
+    few = rows.groupBy(*keys, "value", "source_file").agg(best, F.min("at").alias("at"), F.max("conf").alias("conf"), F.min_by("method", told).alias("method"), F.min(told).alias("told"))
+    few = stored(few, "values_by_source")
+    spelt = few.filter("value <> ''").groupBy(*keys, "value").agg(F.max("best").alias("best")).groupBy(*keys, name_key(F.col("value")).alias("spelling")).agg(F.max(F.struct("best", "value")).alias("b"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("b.best.conf"), F.desc("b.best.at")))
     two = spelt.withColumn("place", place).filter("place <= 2").groupBy(*keys).agg(F.max(F.when(F.col("place") == 1, F.col("b"))).alias("won"), F.max(F.when(F.col("place") == 2, F.col("b"))).alias("next"))
     review = (F.col("next.best.conf") > F.col("won.best.conf") - gap) & (F.col("next.best.source") != F.col("won.best.source")) & (F.col("next.best.conf") >= 0)
-    facts = rows.groupBy(*keys).agg(F.max("conf").alias("conf"), F.min_by("method", F.when(F.coalesce("method", F.lit("")) != "", F.col("at"))).alias("method"))
+    facts = few.groupBy(*keys).agg(F.max("conf").alias("conf"), F.min_by("method", "told").alias("method"))
     shown = first_distinct(rows.select(*keys, "at", F.posexplode("shown").alias("p", "piece")), keys, F.col("piece"), F.struct("at", "p"), evidence, "shown")
-    sources = first_distinct(rows.join(two.select(*keys, F.col("won.value").alias("w")), keys).filter("value = w"), keys, F.col("source_file"), F.col("at"), evidence, "sources")
+    sources = first_distinct(few.join(two.select(*keys, F.col("won.value").alias("w")), keys).filter("value = w"), keys, F.col("source_file"), F.col("at"), evidence, "sources")
     whole = facts.join(two, keys, "left").join(shown, keys, "left").join(sources, keys, "left")
     part = lambda value, has=None: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.lit(True) if has is None else has, F.struct("field", value)))))
     won = F.col("won.value")

@@ -33,11 +33,14 @@ def with_types(cells: DataFrame, types: dict[str, str], registry: Registry = DEF
         kind = F.when(among(k), k).otherwise(kind)
     out = cells.withColumns({"_clean": clean(F.col("value")), "_kind": kind}).withColumn("_text", plain_text(F.col("_clean")))
     out = out.withColumn("_null", is_null_text(text, registry))
-    out = out.withColumns({
-        "_num": F.when(~F.col("_null") & among("number", "currency"), text_number(text)).when(~F.col("_null") & among("percent"), text_percent(text)),
-        "_day": F.when(among("date"), text_date(text)),
-        "_unit": F.when(among("date") | F.col("_null"), "").when(among("percent") & text.contains("%"), "%").otherwise(text_unit(text, registry)),
-    })
+    none = lambda k: F.lit(None).cast(k)
+    kinds, asked = set(types.values()), ~F.col("_null")
+    # only the readers of kinds that occur: each is a large expression, which takes the driver longer to build than a few values to read
+    num = F.when(asked & among("number", "currency"), text_number(text)) if kinds & {"number", "currency"} else none("double")
+    if "percent" in kinds:
+        num = F.when(asked & among("percent"), text_percent(text)).otherwise(num)
+    own = F.when(among("percent") & text.contains("%"), "%").otherwise(text_unit(text, registry)) if "percent" in kinds else text_unit(text, registry)
+    out = out.withColumns({"_num": num, "_day": F.when(among("date"), text_date(text)) if "date" in kinds else none("string"), "_unit": F.when(among("date") | F.col("_null"), "").otherwise(own)})
     out = out.withColumn("_value", F.when(among(*NUMERIC), rendered(F.col("_num"))).when(among("date"), F.col("_day")).otherwise(text))
     typed = F.struct(
         F.col("_clean").alias("original"), F.when(F.col("_null"), "").otherwise(F.coalesce("_value", "_text")).alias("standard_value"), F.col("_num").alias("num"),
