@@ -76,8 +76,8 @@ def similar_outputs(cells: DataFrame) -> DataFrame:
 
 
 def field_match_rate(cells: DataFrame) -> DataFrame:
-    """Percent of cells (value, match_method) with a value and a method, and the mean confidence of these."""
-    hit = (F.coalesce("value", F.lit("")) != "") & (F.coalesce("match_method", F.lit("")) != "")
+    """Percent of cells (value, match_method) with a value other than N/A and a method, and the mean confidence of these."""
+    hit = ~F.coalesce("value", F.lit("")).isin("", "N/A") & (F.coalesce("match_method", F.lit("")) != "")
     return cells.agg(F.round(F.count_if(hit) * 100.0 / F.greatest(F.count("*"), F.lit(1)), 4).alias("match_rate"), F.round(F.avg(F.when(hit, F.col("confidence"))), 4).alias("mean_confidence"))
 
 

@@ -48,6 +48,7 @@ def merge_maps(records: DataFrame, key: str, order: str, gap: float = 0.08, evid
     spelt = few.filter("value <> ''").groupBy(*keys, "value").agg(F.max("best").alias("best")).groupBy(*keys, name_key(F.col("value")).alias("spelling")).agg(F.max(F.struct("best", "value")).alias("b"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("b.best.conf"), F.desc("b.best.at")))
     two = spelt.withColumn("place", place).filter("place <= 2").groupBy(*keys).agg(F.max(F.when(F.col("place") == 1, F.col("b"))).alias("won"), F.max(F.when(F.col("place") == 2, F.col("b"))).alias("next"))
+    two = stored(two, "winners")  # two rows of a field at most; both what follows and its sources need it
     review = (F.col("next.best.conf") > F.col("won.best.conf") - gap) & (F.col("next.best.source") != F.col("won.best.source")) & (F.col("next.best.conf") >= 0)
     facts = few.groupBy(*keys).agg(F.max("conf").alias("conf"), F.min_by("method", "told").alias("method"))
     shown = first_distinct(rows.select(*keys, "at", F.posexplode("shown").alias("p", "piece")), keys, F.col("piece"), F.struct("at", "p"), evidence, "shown")

@@ -130,12 +130,31 @@ def titles(docs: DataFrame, name: Column, text: str = "text") -> DataFrame:
     return docs.select("doc_id", stem(name).alias("name")).join(found, "doc_id", "left").select("doc_id", F.coalesce("line", "name").alias("title"))
 
 
+def topics(docs: DataFrame, name: Column, text: str = "text") -> DataFrame:
+    """doc_id, title, topic and topic_tokens: the topic is the title if it has 2 to 80 characters, else the file's name, else the
+    first line of one of the first four blocks of which that holds, and without any the file's name again; its
+    tokens are the different runs of 2 to 20 Latin letters and of 2 to 16 ideographs, in small letters and sorted."""
+    fits = lambda c: F.when(F.length(clean(c)).between(2, 80), clean(c))
+    line = fits(F.when(F.col("block_index") < 4, F.get(F.split("content", "\n"), F.lit(0))))
+    lines = blocks(docs, text).withColumn("line", line).filter("line IS NOT NULL").groupBy("doc_id").agg(F.min_by("line", "block_index").alias("line"))
+    named = docs.select("doc_id", stem(name).alias("name")).join(titles(docs, name, text), "doc_id").join(lines, "doc_id", "left")
+    out = named.select("doc_id", "title", F.coalesce(fits(F.col("title")), fits(F.col("name")), "line", "name").alias("topic"))
+    runs = F.regexp_extract_all("topic", F.lit("([A-Za-z]{2,20}|[\u4e00-\u9fa5]{2,16})"), 1)
+    return out.withColumn("topic_tokens", F.array_sort(F.array_distinct(F.transform(runs, F.lower))))
+
+
 def replace_placeholders(c: Column, values: dict[str, str]) -> Column:
-    """{{x}}, {x}, 【x】 and ${x} replaced by values[x]."""
-    for name, value in values.items():
-        for mark in (f"{{{{{name}}}}}", f"${{{name}}}", f"{{{name}}}", f"【{name}】"):
-            c = F.replace(c, F.lit(mark), F.lit(value))
-    return c
+    """{{x}}, {x}, 【x】 and ${x} replaced by values[x], of marks at one place the longest. A text is gone through once: marks
+    within a value that was put in stay as they are, and so do those of unknown names."""
+    if not values:
+        return c
+    marks = {m: v for name, v in values.items() for m in (f"{{{{{name}}}}}", f"${{{name}}}", f"{{{name}}}", f"【{name}】")}
+    quoted = "|".join(re.sub(r"([\\\[\](){}.*+?^$|#&~-])", r"\\\1", m) for m in sorted(marks, key=lambda m: (-len(m), m)))
+    known = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])
+    # each piece between marks with the mark behind it
+    pieces = F.arrays_zip(F.split(c, quoted, -1).alias("text"), F.regexp_extract_all(c, F.lit(f"({quoted})"), 1).alias("mark"))
+    whole = F.concat_ws("", F.transform(pieces, lambda p: F.concat(p["text"], F.coalesce(F.try_element_at(known, p["mark"]), F.lit("")))))
+    return F.when(c.isNotNull(), whole)
 
 
 def narrative_profile(docs: DataFrame) -> DataFrame:

@@ -36,9 +36,15 @@ def dedup_records(records: DataFrame, headers: Sequence[str], order: str, row_id
     table = F.col(row_identity[0]).isNotNull()
     own = F.concat_ws("\x1f", F.lit("row"), "source_file", *[F.col(c).cast("string") for c in row_identity])
     key = F.when(table, own).otherwise(F.concat_ws("\x1f", F.lit("values"), visible_key(headers)))
+    rows = records.withColumn("record_key", key)
+    # equal pieces of evidence meet before any are put together, so that a key with many copies is no long list
+    pieces = rows.select("record_key", order, F.posexplode("evidence").alias("_p", "_piece"))
+    once = pieces.groupBy("record_key", "_piece").agg(F.min(F.struct(order, "_p")).alias("_at"))
+    shown = once.groupBy("record_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_piece")))["_piece"].alias("evidence"))
     agg = [F.min_by(h, order).alias(h) for h in headers]
-    evidence = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("evidence")))), lambda x: x["evidence"])))
-    return records.groupBy(key.alias("record_key")).agg(F.min(order).alias(order), *agg, evidence.alias("evidence"), F.max("confidence").alias("confidence"), F.count("*").alias("n_merged"))
+    out = rows.groupBy("record_key").agg(F.min(order).alias(order), *agg, F.max("confidence").alias("confidence"), F.count("*").alias("n_merged"))
+    out = out.join(shown, "record_key", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    return out.select("record_key", order, *headers, "evidence", "confidence", "n_merged")
 
 
 def entity_key(c: Column) -> Column:

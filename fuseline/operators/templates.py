@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuseline.operators.mapping import match_headers, project
+from fuseline.operators.position import numbered
 
 PLACEHOLDER = re.compile(r"\{\{\s*([^{}]+?)\s*\}\}|【([^】]+)】|\$?\{\s*([^{}]+?)\s*\}")
 TABLE_ROW = re.compile(r"^\s*\|(.+)\|\s*$")
@@ -41,8 +42,8 @@ def inspect(text: str, kind: str) -> Template:
 
 
 def fill_cells(records: DataFrame, headers: Sequence[str], order: str, slots: int | None = None) -> DataFrame:
-    """row_no, field, value, source_file of the template's cells: records' columns matched with
-    its headers, in records' order, as many as there are slots (None: all)."""
+    """row_no (from 1), field, value, source_file of the template's cells: records' columns matched with
+    its headers, in records' order, as many as there are slots (None: all, which no one task numbers)."""
     pairs = match_headers(list(headers), [c for c in records.columns if c not in (order, "source_file")])
     keep = [F.col(order).alias("_order")] + ([F.col("source_file")] if "source_file" in records.columns else [F.lit(None).cast("string").alias("source_file")])
     rows = records.select(*keep, *[F.col(s).cast("string").alias(t) for t, s, _ in pairs])
@@ -50,7 +51,7 @@ def fill_cells(records: DataFrame, headers: Sequence[str], order: str, slots: in
         rows = rows.orderBy("_order").limit(slots)
         rows = rows.withColumn("row_no", F.row_number().over(Window.orderBy("_order")))  # at most slots rows
     else:
-        rows = rows.withColumn("row_no", F.col("_order"))
+        rows = numbered(rows, ["_order"])
     entries = F.array(*[F.struct(F.lit(h).alias("field"), (F.col(h) if h in {t for t, _, _ in pairs} else F.lit(None).cast("string")).alias("value")) for h in headers])
     return rows.select("row_no", "source_file", F.explode(entries).alias("c")).select("row_no", "c.field", "c.value", "source_file")
 

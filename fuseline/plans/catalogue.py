@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fuseline.functions import headers, lenient
 from fuseline.functions import values as V
 from fuseline.functions.registry import DEFAULT
-from fuseline.operators import audit, documents, entities, extraction, filters, fusion, mapping, narrative, pairing, quality, records, store, templates
+from fuseline.operators import audit, documents, entities, extraction, filters, fusion, mapping, narrative, pairing, quality, records, reporting, store, templates
 from fuseline.plans import requirement
 from fuseline.sources.cells import cells_of
 from fuseline.sources.readers import body_cells, flatten_json, page_blocks
@@ -126,11 +126,10 @@ def quality_summary(spark, d):
     return quality.summary(quality.analyze(_bad_cells(spark, d), _BAD_TYPES))
 
 
-@query(_BAD_SQL + """SELECT 'error' AS severity, 'segment' AS field_name, 'key=' || lower(c.name) AS raw_value FROM c JOIN crm ON c.name = crm.name WHERE c.segment <> crm.segment ORDER BY 3 LIMIT 12""")
+@query(_BAD_SQL + """SELECT 'error' AS severity, 'segment' AS field_name, 'key=' || lower(c.name) AS raw_value, 'table0.row' || crm.k || '.col2' AS location, 'crm；customer' AS source FROM c JOIN crm ON c.name = crm.name WHERE c.segment <> crm.segment ORDER BY location LIMIT 12""")
 def quality_issue_page(spark, d):
-    found = quality.cross_source_conflicts(quality.with_types(_bad_cells(spark, d), _BAD_TYPES)).withColumns({"location": F.col("raw_value"), "source": F.lit("")})
-    first = store.quality_issues(found, 12)
-    return first.select("severity", "field_name", "raw_value")
+    found = quality.cross_source_conflicts(quality.with_types(_bad_cells(spark, d), _BAD_TYPES))
+    return store.quality_issues(found, 12).select("severity", "field_name", "raw_value", "location", "source")
 
 
 @query("""SELECT o_orderkey::VARCHAR AS row_key, count(DISTINCT p) AS n_values FROM (
@@ -403,11 +402,47 @@ def field_match_rate(spark, d):
     return out.select(*[F.col(c).cast("double").alias(c) for c in out.columns])
 
 
-@query("SELECT count(*) * 2 AS cells, round(avg(CASE WHEN c_acctbal IS NOT NULL THEN 100.0 ELSE 50.0 END), 4) AS fill_rate FROM customer")
+@query("SELECT count(*) * 2 AS cells, round(avg(CASE WHEN c_acctbal IS NOT NULL THEN 100.0 ELSE 50.0 END), 4) AS fill_rate, count(*) AS rows_filled, count(*) AS last_row FROM customer")
 def template_fill(spark, d):
     c = t(spark, d, "customer").withColumn("source_file", F.lit("customer"))
     cells = templates.fill_cells(c, ["c_name", "c_acctbal"], "c_custkey")
-    return cells.agg(F.count("*").alias("cells")).join(templates.fill_rate(cells).select(F.col("fill_rate").cast("double").alias("fill_rate")), F.lit(True))
+    rates = templates.fill_rate(cells).select(F.col("fill_rate").cast("double").alias("fill_rate"), "rows_filled")
+    return cells.agg(F.count("*").alias("cells"), F.max("row_no").alias("last_row")).join(rates, F.lit(True))
+
+
+_REPORT = """WITH c AS (SELECT 't' || c_nationkey % 3 AS template, c_custkey AS k, c_nationkey AS row_no, 'r' || lpad(c_custkey::VARCHAR, 12, '0') AS location, CASE WHEN c_custkey % 11 = 0 THEN 'N/A' WHEN c_custkey % 4 <> 0 THEN c_name END AS value, CASE WHEN c_custkey % 5 <> 0 THEN 'exact' END AS method,
+    CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 100) / 100.0 END::DOUBLE AS confidence, coalesce(value, '') NOT IN ('', 'N/A') AS filled FROM customer),
+r AS (SELECT template, count(*) AS n, count(DISTINCT row_no) FILTER (filled) AS rows_filled, round(count(*) FILTER (filled) * 100.0 / count(*), 4) AS fill, round(count(*) FILTER (filled AND method IS NOT NULL) * 100.0 / count(*), 4) AS hit FROM c GROUP BY 1),
+s AS (SELECT 'f' || o_custkey % 50 AS file, CASE o_custkey % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'excel' ELSE 'json' END AS kind FROM orders),
+i AS (SELECT 'value_without_evidence' AS kind FROM c WHERE filled AND k % 13 = 0 UNION ALL SELECT 'low_confidence' FROM c WHERE filled AND confidence < {low} UNION ALL SELECT 'missing_filled_value' FROM c WHERE NOT filled),
+x AS (SELECT 'o' || o_orderkey % 5 AS template, o_orderkey::VARCHAR AS e, round(o_totalprice * 100)::BIGINT::VARCHAR AS a, round((o_totalprice + 10) * 100)::BIGINT::VARCHAR AS b FROM orders WHERE o_orderkey % 21 = 0),
+y AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY e) AS place FROM x QUALIFY place <= 50)
+SELECT 'figures' AS section, 'data_source_count' AS item, NULL AS text, count(DISTINCT file)::DOUBLE AS value FROM s
+UNION ALL SELECT 'figures', 'quality_issue_count', NULL, count(*) FROM i UNION ALL SELECT 'figures', 'template_count', NULL, count(*) FROM r
+UNION ALL SELECT 'figures', 'fill_rate', NULL, round(avg(fill), 4) FROM r UNION ALL SELECT 'figures', 'field_match_rate', NULL, round(avg(hit), 4) FROM r
+UNION ALL SELECT 'source_types', kind, NULL, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'issue_types', kind, NULL, count(*) FROM i GROUP BY 2
+UNION ALL SELECT 'templates', template, rows_filled || '/' || n, fill FROM r
+UNION ALL (SELECT 'low_confidence_fields', template || ':' || location, 'name', confidence FROM c WHERE confidence < 0.45 ORDER BY template, location LIMIT 100)
+UNION ALL (SELECT 'conflict_fields', template || ':' || e || ':price', a || ' <> ' || b, NULL FROM y ORDER BY template, place LIMIT 100)
+UNION ALL SELECT 'validation_failures', 'response_time', NULL, NULL WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice / 1000 > 90) UNION ALL SELECT 'validation_failures', 'output_file_exists', NULL, NULL WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 5 = 0)""".replace("{low}", str(DEFAULT.low_confidence))
+
+
+@query(_REPORT)
+def task_report(spark, d):
+    """A report on customer's cells, with orders as sources, as conflicts and as tasks."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    cells = t(spark, d, "customer").select(
+        F.concat(F.lit("t"), F.col("c_nationkey") % 3).alias("template"), F.col("c_nationkey").alias("row_no"), F.lit("name").alias("field_name"), F.concat(F.lit("r"), F.lpad(k.cast("string"), 12, "0")).alias("location"),
+        F.when(k % 11 == 0, "N/A").when(k % 4 != 0, F.col("c_name")).alias("value"), F.when(k % 5 != 0, "exact").alias("match_method"), F.when(k % 7 != 0, k % 100 / 100.0).alias("confidence"),
+        F.lit("customer").alias("source_file"), F.when(k % 13 != 0, 1).alias("n_evidence"),
+    )
+    orders = t(spark, d, "orders")
+    kind = F.element_at(F.array(F.lit("csv"), F.lit("excel"), F.lit("json")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    sources = orders.select(F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("source_file"), kind.alias("file_type"))
+    found = fusion.conflicts(_claims(spark, d)).withColumn("template", F.concat(F.lit("o"), F.col("entity_key").cast("long") % 5))
+    none, yes = F.lit(0), F.lit(True)
+    tasks = orders.select((o % 5 != 0).alias("has_output"), none.alias("unresolved"), (F.col("o_totalprice") / 1000).alias("response_time"), F.lit(1).alias("rows_filled"), F.lit(1).alias("n_row_ids"), F.lit(1).alias("n_evidence"), F.lit(1).alias("n_records"), yes.alias("model_called"), F.lit(1).alias("model_calls"), none.alias("ledger_errors"))
+    return reporting.task_report(cells, sources, quality.analyze_filled(cells), found, audit.task_checks(tasks))
 
 
 @query("SELECT l_returnflag AS source_file, count(*) AS extracted_rows, count(DISTINCT l_orderkey) AS entities, count(*) FILTER (l_discount > 0.05) AS contributed FROM lineitem GROUP BY 1")
@@ -550,6 +585,15 @@ def document_titles(spark, d):
     return narrative.titles(t(spark, d, "documents"), F.concat(F.lit("/in/doc-"), "doc_id", F.lit(".txt")))
 
 
+@query(_BLOCKS_SQL + """, f AS (SELECT doc_id, block_index, trim(string_split(content, chr(10))[1], e' \\t\\r') AS line FROM b WHERE block_index < 6),
+g AS (SELECT doc_id, arg_min(line, block_index) AS line FROM f WHERE length(line) BETWEEN 2 AND 80 GROUP BY doc_id), p AS (SELECT d.doc_id, coalesce(line, repeat('long-', 20) || d.doc_id) AS title, repeat('long-', 20) || d.doc_id AS name FROM documents d LEFT JOIN g USING (doc_id))
+SELECT doc_id, title, title AS topic, list_sort(list_distinct(list_transform(regexp_extract_all(title, '[A-Za-z]{2,20}|[一-龥]{2,16}'), lambda x: lower(x))))::VARCHAR AS words FROM p""")
+def document_topics(spark, d):
+    """Topics of documents whose names are too long to be one: the title, or nothing better than the name."""
+    found = narrative.topics(t(spark, d, "documents"), F.concat(F.lit("/in/"), F.repeat(F.lit("long-"), 20), "doc_id", F.lit(".txt")))
+    return found.select("doc_id", "title", "topic", F.concat(F.lit("["), F.concat_ws(", ", "topic_tokens"), F.lit("]")).alias("words"))
+
+
 @query(_BLOCKS_SQL + "SELECT doc_id, block_index::INT AS block_index, content FROM b WHERE contains(content, 'Licensed')")
 def find_text(spark, d):
     return narrative.find(t(spark, d, "documents"), "Licensed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, quality, records, templates
+from fuseline.operators import audit, entities, extraction, filters, fusion, mapping, narrative, quality, records, reporting, templates
 from fuseline.plans import requirement
 from fuseline.sources.cells import cells_of
 
@@ -177,3 +177,53 @@ def test_context_checks(spark, template, value, names, stages, failed):
     checks = audit.context_checks(filled, sources, template)
     assert checks.count() == 3 and {r["check_name"] for r in checks.filter("not passed").collect()} == failed
     assert audit.status(checks).first()["passed"] is not bool(failed - {"narrative_stage_audit"})
+
+
+def test_placeholders_are_replaced_once(spark):
+    values = {"a": "{{b}} $1", "b": "{a}", "x.y": "[z]", "": "-"}
+    texts = ["{{a}}/{b}/【a】/${b}", "{{x.y}} {{xzy}} {c}", "", None, "{}{{a}", "no marks"]
+    got = [r["t"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", narrative.replace_placeholders(F.col("t"), values).alias("t")).orderBy("i").collect()]
+    assert got == ["{{b}} $1/{a}/{{b}} $1/{a}", "[z] {{xzy}} {c}", "", None, "-{{{b}} $1", "no marks"]
+    assert spark.range(1).select(narrative.replace_placeholders(F.lit("{a}"), {})).first()[0] == "{a}"
+
+
+def test_topics(spark):
+    rows = [(1, "a.txt", "# 北京市 GDP Report\n\nmore"), (2, "/d/城市 data.csv", ""), (3, "x.md", "y" * 90), (4, "x", None), (5, "n" * 90 + ".txt", "z" * 99)]
+    got = {r["doc_id"]: r for r in narrative.topics(spark.createDataFrame(rows, "doc_id int, name string, text string"), F.col("name")).collect()}
+    assert got[1]["topic"] == "# 北京市 GDP Report" and got[1]["topic_tokens"] == ["gdp", "report", "北京市"]
+    assert got[2]["topic"] == "城市 data" and got[2]["topic_tokens"] == ["data", "城市"]
+    assert (got[3]["title"], got[3]["topic"], got[3]["topic_tokens"]) == ("x", "x", []) and got[4]["topic"] == "x"
+    assert got[5]["topic"] == "n" * 90
+
+
+def test_task_report(spark):
+    cells = spark.createDataFrame([("t", 1, "f", f"{i:03}", "v", "exact", 0.1) for i in range(120)] + [("u", 1, "f", "0", "N/A", "exact", None), ("u", 2, "f", "1", None, None, 0.9)], "template string, row_no int, field_name string, location string, value string, match_method string, confidence double")
+    sources = spark.createDataFrame([("a", "csv"), ("a", "csv"), ("b", None)], "source_file string, file_type string")
+    issues = spark.createDataFrame([("x",), ("x",)], "issue_type string")
+    conflicts = spark.createDataFrame([(t, f"{i:03}", "f", "1", "2") for t in "pq" for i in range(60)] + [("r", "0", "f", "1", "2")], "template string, entity_key string, field string, left_value string, right_value string")
+    checks = spark.createDataFrame([("good", True), ("bad", False), ("none", None)], "check_name string, passed boolean")
+    report = reporting.task_report(cells, sources, issues, conflicts, checks)
+    got = {}
+    for r in report.collect():
+        got.setdefault(r["section"], {})[r["item"]] = (r["text"], r["value"])
+    assert {k: v for k, (_, v) in got["figures"].items()} == {"data_source_count": 2, "quality_issue_count": 2, "template_count": 2, "fill_rate": 50, "field_match_rate": 50}
+    assert got["source_types"] == {"csv": (None, 2), "": (None, 1)} and got["templates"] == {"t": ("1/120", 100), "u": ("0/2", 0)}
+    assert len(got["low_confidence_fields"]) == 100 and "t:099" in got["low_confidence_fields"] and set(got["validation_failures"]) == {"bad", "none"}
+    assert len(got["conflict_fields"]) == 100 and sum(k.startswith("q:") for k in got["conflict_fields"]) == 50
+    text = reporting.markdown(report).first()["markdown"]
+    assert text.startswith("## Figures\n- data_source_count 2.0") and text.endswith("## Failed checks\n- bad\n- none")
+    empty = reporting.task_report(*[x.limit(0) for x in (cells, sources, issues, conflicts, checks)]).collect()
+    assert len(empty) == 5 and all(r["value"] == 0 for r in empty)
+
+
+def test_dedup_unites_evidence_once(spark):
+    rows = [(i, "N", None, "s", [f"e{i % 3}", "e0"], 0.5) for i in range(30)] + [(30, "M", None, "s", None, None)]
+    df = spark.createDataFrame(rows, "seq long, v string, row_index int, source_file string, evidence array<string>, confidence double")
+    got = [(r["v"], r["evidence"], r["n_merged"]) for r in records.dedup_records(df, ["v"], "seq", ["row_index"]).orderBy("seq").collect()]
+    assert got == [("N", ["e0", "e1", "e2"], 30), ("M", [], 1)]
+
+
+def test_filled_rows_are_rows(spark):
+    df = spark.createDataFrame([(7, "A"), (7, "B"), (9, None)], "n int, city string")
+    cells = templates.fill_cells(df, ["city"], "n")
+    assert sorted(r["row_no"] for r in cells.collect()) == [1, 2, 3] and templates.fill_rate(cells).first()["rows_filled"] == 2
