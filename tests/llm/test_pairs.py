@@ -223,7 +223,7 @@ def test_components(spark):
 
 def check_vectors(spark, vectors, block, kind="float"):
     rows = [(i, v) for i, v in enumerate(vectors)]
-    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 AS rep", "2 AS n", "3 AS links")
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 AS rep", "2 AS n", "3 AS links", "4 AS cell", "5 AS lead", "6 AS least", "7 AS id", "8 AS role")
     got = embedding_join.near_embeddings(df, block=block).orderBy("vec_id").collect()
     sound = {i: np.asarray(v, np.float32 if kind == "float" else np.float64).astype(np.float64) / np.abs(v).max() for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
     links = {(i, j) for (i, a), (j, b) in itertools.combinations(sound.items(), 2) if len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9}

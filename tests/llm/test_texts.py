@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html import unescape
@@ -72,6 +73,14 @@ def test_shards_round_trip(spark, kind):
     assert token_shards.read_token_shards(empty).count() == 0
 
 
+def test_shards_of_clashing_names(spark):
+    plain = odd_docs(spark).select("doc_id", "text")
+    more = plain.selectExpr("*", "'x' AS h", "1 AS row", "2 AS shard", "3 AS size", "4 AS start")
+    path = tokenizer_path("word_bpe_49k.json")
+    read = lambda d: sorted(((r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_shards.read_token_shards(token_shards.write_token_shards(d, scratch_dir(spark), path), with_ids=False).collect()))
+    assert read(more) == read(plain)
+
+
 def check_packed(pieces, capacity):
     by = {}
     for p in pieces:
@@ -220,6 +229,7 @@ def test_personal_data_query(spark):
     out = {r["doc_id"]: r for r in personal_data.detect(df, with_text=True).collect()}
     assert (out[1]["n_email"], out[1]["n_ip"], out[1]["n_card"], out[1]["n_phone"]) == (1, 2, 1, 1) and out[2]["spans"] == ""
     assert out[3]["base_sha256"] == hashlib.sha256(b"").hexdigest() and "a.b@c.de" not in out[1]["redacted"]
+    assert personal_data.detect(df.limit(0)).count() == 0
 
 
 def test_boosting_learns():
@@ -456,6 +466,17 @@ def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>" + "x " * 100_000 + "</p></article>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     out = sorted((r["page_id"], r["n_chars"]) for r in html_text.extract_text(df).collect())
     assert out == [(1, 199_999), (2, 0), (2, 0)]
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_of_very_many_lines():
+    """100,000 lines in siblings at several depths: whole, and in time that grows with the lines."""
+    line = f"<p>{LONG}</p>"
+    for depth in (1, 4, 40):
+        html = "".join("<div>" * depth + line * 100 + "</div>" * depth for _ in range(1000))
+        began = time.time()
+        assert html_text.main_text(html) == "\n\n".join([LONG] * 100_000)
+        assert time.time() - began < 60
 
 
 # --- classifier ----------------------------------------------------------------------------------
