@@ -445,18 +445,34 @@ def task_report(spark, d):
     return reporting.task_report(cells, sources, quality.analyze_filled(cells), found, audit.task_checks(tasks))
 
 
-@query("SELECT l_returnflag AS source_file, count(*) AS extracted_rows, count(DISTINCT l_orderkey) AS entities, count(*) FILTER (l_discount > 0.05) AS contributed FROM lineitem GROUP BY 1")
+@query("""WITH l AS (SELECT l_returnflag AS a, l_linestatus AS b, l_orderkey AS k, l_discount > 0.05 AS kept, l_linenumber AS ln FROM lineitem),
+s AS (SELECT * FROM (VALUES ('A', true, false), ('N', false, false), ('R', NULL, true), ('F', false, false), ('O', true, true), ('X', true, true), ('Y', true, false), ('Z', false, false)) v(f, matched, invalid)),
+raw AS (SELECT a AS f, count(*) AS extracted FROM l GROUP BY 1), kept AS (SELECT f, count(*) AS filtered FROM (SELECT unnest([a, b]) AS f FROM l WHERE kept) GROUP BY 1), bl AS (SELECT a AS f, max(ln) AS entity_blocks FROM l GROUP BY 1),
+c AS (SELECT f, count(*) AS n_evidence, count(*) FILTER (f = v) AS n_values, count(DISTINCT CASE WHEN f = v THEN k END) AS n_rows FROM (SELECT unnest([a, b]) AS f, CASE WHEN ln % 2 = 1 THEN a END AS v, k FROM l) GROUP BY 1),
+w AS (SELECT f, list(reason || ' x' || n ORDER BY n DESC, reason)[1:3] AS reasons FROM (SELECT a AS f, 'r' || ln % 4 AS reason, count(*) AS n FROM l WHERE NOT kept GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT f, coalesce(matched, false) AS m, invalid, coalesce(extracted, 0) AS extracted, coalesce(filtered, 0) AS filtered, coalesce(entity_blocks, 0)::BIGINT AS entity_blocks, coalesce(n_evidence, 0) AS n_evidence, coalesce(n_values, 0) AS n_values, coalesce(n_rows, 0) AS contributed, coalesce(reasons, []) AS reasons FROM s LEFT JOIN raw USING (f) LEFT JOIN kept USING (f) LEFT JOIN bl USING (f) LEFT JOIN c USING (f) LEFT JOIN w USING (f)),
+g AS (SELECT *, filtered > 0 OR n_values > 0 OR n_evidence > 0 AS gave, invalid AND filtered = 0 AND n_values = 0 AS void FROM j)
+SELECT f AS source_file, 'csv' AS file_type, extracted, filtered, entity_blocks, n_evidence, n_values, contributed, (m AND NOT void) OR gave AS relevant, (CASE WHEN m AND NOT void THEN 1.0 ELSE 0.0 END + CASE WHEN gave THEN 0.5 ELSE 0.0 END)::DOUBLE AS relevance_score, array_to_string(reasons, ',') AS reasons,
+    concat_ws(',', CASE WHEN void THEN 'illegal_entities' END, CASE WHEN NOT ((m AND NOT void) OR gave) THEN 'not_relevant' END, CASE WHEN (m AND NOT void) AND NOT gave THEN 'nothing_given' END) AS warnings FROM g""")
 def source_stats(spark, d):
+    """Line items as records of their flags' sources."""
     li = t(spark, d, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("source_file")).agg(F.count("*").alias("extracted_rows"), F.count_distinct("l_orderkey").alias("entities"), F.count_if(F.col("l_discount") > 0.05).alias("contributed"))
+    flag, both, kept = F.col("l_returnflag"), F.array("l_returnflag", "l_linestatus"), F.col("l_discount") > 0.05
+    given = [("A", True, False), ("N", False, False), ("R", None, True), ("F", False, False), ("O", True, True), ("X", True, True), ("Y", True, False), ("Z", False, False)]
+    sources = spark.createDataFrame([(s, "csv", m, i) for s, m, i in given], "source_file string, file_type string, matched boolean, invalid boolean")
+    dropped = li.filter(~kept).select(flag.alias("source_file"), F.concat(F.lit("r"), (F.col("l_linenumber") % 4).cast("string")).alias("reason"))
+    cells = li.select(F.col("l_orderkey").alias("row_id"), both.alias("evidence_sources"), F.when(F.col("l_linenumber") % 2 == 1, F.array("l_returnflag")).otherwise(F.array().cast("array<string>")).alias("value_sources"))
+    out = reporting.source_stats(sources, li.select(flag.alias("source_file")), li.filter(kept).select(both.alias("sources")), dropped, li.select(flag.alias("source_file"), F.col("l_linenumber").alias("n")), cells)
+    return out.withColumns({c: F.concat_ws(",", c) for c in ("reasons", "warnings")})
 
 
-@query("SELECT 'entity' AS field_type, 'ok' AS status, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'number', 'ok', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'text', 'ok', (SELECT count(*) FROM customer)")
+_FIELDS_SQL = " UNION ALL ".join(f"SELECT 'field' AS section, '{DEFAULT.canonical_name(h) or h}' AS item, count({h}) AS n FROM {'customer' if h[0] == 'c' else 'supplier'}" for h in ("c_name", "c_acctbal", "c_mktsegment", "s_name", "s_acctbal"))
+
+
+@query(f"""SELECT section, item, sum(n)::BIGINT AS n FROM ({_FIELDS_SQL} UNION ALL SELECT 'type', 'entity', (SELECT count(c_name) FROM customer) + (SELECT count(s_name) FROM supplier) UNION ALL SELECT 'type', 'number', (SELECT count(c_acctbal) FROM customer) + (SELECT count(s_acctbal) FROM supplier)
+UNION ALL SELECT 'type', 'text', count(c_mktsegment) FROM customer UNION ALL SELECT 'status', 'ok', (SELECT count(c_name) + count(c_acctbal) + count(c_mktsegment) FROM customer) + (SELECT count(s_name) + count(s_acctbal) FROM supplier)) GROUP BY 1, 2 HAVING sum(n) > 0""")
 def normalization_report(spark, d):
-    c = cells_of(t(spark, d, "customer"), "customer", F.col("c_custkey"), ["c_name", "c_acctbal", "c_mktsegment"]).unionByName(cells_of(t(spark, d, "supplier"), "supplier", F.col("s_suppkey"), ["s_name", "s_acctbal"]))
-    kinds = F.create_map(*[x for k, v in _TYPES.items() for x in (F.lit(k), F.lit(v))])
-    typed = quality.with_types(c, _TYPES).withColumn("field_type", F.try_element_at(kinds, F.col("header")))
-    return typed.groupBy("field_type", F.col("typed.status").alias("status")).agg(F.count("*").alias("n"))
+    return reporting.normalization_report(_account_cells(spark, d))
 
 
 # --- store ---------------------------------------------------------------------------------------

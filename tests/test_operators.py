@@ -227,3 +227,26 @@ def test_filled_rows_are_rows(spark):
     df = spark.createDataFrame([(7, "A"), (7, "B"), (9, None)], "n int, city string")
     cells = templates.fill_cells(df, ["city"], "n")
     assert sorted(r["row_no"] for r in cells.collect()) == [1, 2, 3] and templates.fill_rate(cells).first()["rows_filled"] == 2
+
+
+def test_source_stats(spark):
+    sources = spark.createDataFrame([("a", "csv", True, False), ("b", "md", False, False), ("c", "md", True, True), ("d", None, None, None)], "source_file string, file_type string, matched boolean, invalid boolean")
+    one = lambda names: spark.createDataFrame([(n,) for n in names], "source_file string")
+    kept = spark.createDataFrame([(["a", "b", "a"],)], "sources array<string>")
+    dropped = spark.createDataFrame([("c", r) for r in "xyyzzw"] + [(None, "x")], "source_file string, reason string")
+    blocks = spark.createDataFrame([("b", 2), ("b", 5)], "source_file string, n int")
+    cells = spark.createDataFrame([(1, ["a", "b"], ["a"]), (2, ["a"], ["a"]), (3, ["a"], [])], "row_id int, evidence_sources array<string>, value_sources array<string>")
+    got = {r["source_file"]: r for r in reporting.source_stats(sources, one("ab"), kept, dropped, blocks, cells).collect()}
+    a, b, c, d = (got[k] for k in "abcd")
+    assert (a["extracted"], a["filtered"], a["n_evidence"], a["n_values"], a["contributed"], a["relevance_score"], a["warnings"]) == (1, 1, 3, 2, 2, 1.5, ["rows_over_extracted"])
+    assert (b["entity_blocks"], b["relevant"], b["relevance_score"], b["warnings"]) == (5, True, 0.5, [])
+    assert (c["relevant"], c["reasons"], c["warnings"]) == (False, ["y x2", "z x2", "w x1"], ["illegal_entities", "not_relevant"]) and d["warnings"] == ["not_relevant"]
+
+
+def test_normalization_report(spark):
+    cells = cells_of(spark.createDataFrame([(1, "北京", "12.5元"), (2, "", "x"), (3, "N/A", "-")], "r int, city string, price string"), "s", F.col("r"), ["city", "price"])
+    full = quality.with_types(cells, quality.header_types({"city": [], "price": []}))
+    got = {(r["section"], r["item"]): r["n"] for r in reporting.normalization_report(full).collect()}
+    assert got["unit", "元"] == 1 and sum(n for (s, _), n in got.items() if s == "status") == 5 and got["status", "type_error"] == 1 and got["status", "null"] == 2
+    assert [r["raw_value"] for r in reporting.normalization_examples(full, 3).collect()] == ["北京", "12.5元", "x"]
+    assert reporting.normalization_report(full.limit(0)).count() == 0 and reporting.normalization_examples(full.limit(0)).count() == 0
