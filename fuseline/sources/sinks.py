@@ -6,6 +6,7 @@ of its rows, and a failed job none. Options: max_rows, the rows of a workbook (a
 
 from __future__ import annotations
 
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -81,7 +82,11 @@ class XlsxSink(DataSource):
         return "xlsx"
 
     def writer(self, schema, overwrite: bool):
-        return XlsxWriter(dict(self.options), [f.name for f in schema.fields], overwrite)
+        out = XlsxWriter(dict(self.options), [f.name for f in schema.fields], overwrite)
+        # the driver makes the folder, not the tasks: one that is still at work when the job is given up can't make it again
+        store, folder = _store(out.path)
+        store.create_dir(f"{folder}/{out.staging}", recursive=True)
+        return out
 
 
 class XlsxWriter(DataSourceWriter):
@@ -98,7 +103,6 @@ class XlsxWriter(DataSourceWriter):
 
         task, out, rows = TaskContext.get(), Written(), iter(iterator)
         store, folder = _store(self.path)
-        store.create_dir(f"{folder}/{self.staging}", recursive=True)
         first = next(rows, None)
         while first is not None:
             name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(out.files):03d}-{self.job}.xlsx"
@@ -129,8 +133,15 @@ class XlsxWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, folder = _store(self.path)
-        if store.get_file_info(f"{folder}/{self.staging}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{folder}/{self.staging}")
+        for left in range(4, -1, -1):
+            if store.get_file_info(f"{folder}/{self.staging}").type == fs.FileType.NotFound:
+                return
+            try:
+                store.delete_dir(f"{folder}/{self.staging}")
+            except OSError:  # a task that was still at work put a file there meanwhile
+                if not left:
+                    raise
+                time.sleep(0.2)
 
 
 def _few(first, rows: Iterator, most: int) -> Iterator:
