@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,7 @@ from fuseline.llm.tokens import tokenizer_path
 
 CAPACITY = 1024
 _LAST = 1 << 62  # after every piece of a size
+_WORD = (1 << 30) - 1  # what Python counts with in one step
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -71,29 +72,40 @@ class Bins:
         self.bins: list[list[int]] = [items for items, _ in kept]
         self.room: list[int] = [room for _, room in kept]
         self._of: np.ndarray | None = None
+        self._rooms: np.ndarray | None = None
         for b, room in enumerate(self.room):
             if room:
                 self.by_room.setdefault(room, []).append(b)
         for room in self.by_room:
             self.free |= 1 << room
 
-    def put(self, item: int, size: int) -> None:
-        fits = self.free >> size
-        if fits:
-            room = size + (fits & -fits).bit_length() - 1
-            same = self.by_room[room]
-            b = same.pop()
-            if not same:
-                self.free ^= 1 << room
-            self.bins[b] = [*self.bins[b], item]
-            self.room[b] = room = room - size
-        else:
-            b, room = len(self.bins), self.capacity - size
-            self.bins.append([item])
-            self.room.append(room)
-        if room:
-            self.by_room.setdefault(room, []).append(b)
-            self.free |= 1 << room
+    def put(self, order: Iterable[int], sizes: list[int]) -> None:
+        """The pieces of order, one after the other."""
+        capacity, bins, rooms, by_room, free = self.capacity, self.bins, self.room, self.by_room, self.free
+        for item in order:
+            size = sizes[item]
+            fits = free >> size
+            if fits:
+                low = fits & _WORD or fits  # a bin that a piece nearly fills is found in a few bits
+                room = size + (low & -low).bit_length() - 1
+                same = by_room[room]
+                b = same.pop()
+                if not same:
+                    free ^= 1 << room
+                bins[b] = [*bins[b], item]
+                rooms[b] = room = room - size
+            else:
+                b, room = len(bins), capacity - size
+                bins.append([item])
+                rooms.append(room)
+            if room:
+                same = by_room.get(room)
+                if same:
+                    same.append(b)
+                else:
+                    by_room[room] = [b]
+                    free |= 1 << room
+        self.free = free
 
     def of(self, n: int) -> np.ndarray:
         """The bin of each of n pieces; asked for when nothing more is put in."""
@@ -102,18 +114,23 @@ class Bins:
             self._of[list(chain.from_iterable(self.bins))] = np.repeat(np.arange(len(self.bins)), list(map(len, self.bins)))
         return self._of
 
+    def rooms(self) -> np.ndarray:
+        """The bins' rooms; asked for when nothing more is put in."""
+        if self._rooms is None:
+            self._rooms = np.array(self.room, np.int64)
+        return self._rooms
+
 
 def best_fit(sizes: list[int], order, kept: list[tuple[list[int], int]], capacity: int) -> Bins:
     """The kept bins with the pieces of order best-fitted, one after the other, to them or new ones."""
     out = Bins(capacity, kept)
-    for i in order:
-        out.put(i, sizes[i])
+    out.put(order, sizes)
     return out
 
 
 def fitness(p: Bins) -> tuple[int, float]:
     """Fewer bins are better; of as many bins, more uneven filling is."""
-    return -len(p.bins), float((((p.capacity - np.asarray(p.room)) / p.capacity) ** 2).sum())
+    return -len(p.bins), float((((p.capacity - p.rooms()) / p.capacity) ** 2).sum())
 
 
 def _swap(items: list[int], room: int, loose: list[tuple[int, int]], sizes: list[int]) -> int:
@@ -150,7 +167,9 @@ def _swap(items: list[int], room: int, loose: list[tuple[int, int]], sizes: list
 def refit(kept: list[tuple[list[int], int]], displaced: list[int], sizes: list[int], capacity: int, rng: np.random.Generator) -> Bins:
     """The kept bins with the displaced pieces fitted in: open bins, in random order, first swap pieces
     for larger ones, then what is left is best-fitted, the largest first."""
-    loose = sorted((sizes[i], i) for i in displaced)
+    found = np.array([sizes[i] for i in displaced], np.int64)
+    by_size = np.lexsort((displaced, found))
+    loose = list(zip(found[by_size].tolist(), np.asarray(displaced, np.int64)[by_size].tolist(), strict=True))
     for k in rng.permutation([k for k, (_, room) in enumerate(kept) if room]).tolist():
         if not loose:
             break
@@ -162,15 +181,14 @@ def refit(kept: list[tuple[list[int], int]], displaced: list[int], sizes: list[i
 def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
     """a with well-filled bins of b injected whole; a's bins that share pieces with them are
     dropped, and so are its worst and a few others; their other pieces are fitted again."""
-    rooms_a, rooms_b = np.asarray(a.room), np.asarray(b.room)
+    n, rooms_a, rooms_b = len(sizes), a.rooms(), b.rooms()
     limit = np.quantile(rooms_b, rng.uniform(0.2, 0.6))
-    injected = np.flatnonzero((rooms_b <= limit) & (rng.random(len(rooms_b)) < 0.5)).tolist()
-    taken = list(chain.from_iterable(b.bins[k] for k in injected))
+    injected = (rooms_b <= limit) & (rng.random(len(rooms_b)) < 0.5)
+    taken = injected[b.of(n)]
     lost = (rooms_a > 0) & ((rooms_a >= np.quantile(rooms_a, 0.9)) | (rng.random(len(rooms_a)) < 0.02))
-    lost[a.of(len(sizes))[taken]] = True
-    here = set(taken)
-    kept = [(b.bins[k], b.room[k]) for k in injected] + [(a.bins[k], a.room[k]) for k in np.flatnonzero(~lost).tolist()]
-    return refit(kept, [i for k in np.flatnonzero(lost).tolist() for i in a.bins[k] if i not in here], sizes, a.capacity, rng)
+    lost[a.of(n)[taken]] = True
+    kept = [*compress(zip(b.bins, b.room, strict=True), injected.tolist()), *compress(zip(a.bins, a.room, strict=True), (~lost).tolist())]
+    return refit(kept, np.flatnonzero(lost[a.of(n)] & ~taken).tolist(), sizes, a.capacity, rng)
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -208,10 +226,9 @@ def _labels(p: Bins, n: int) -> np.ndarray:
 
 
 def _packing(labels: np.ndarray, sizes: list[int], capacity: int) -> Bins:
-    groups: list[list[int]] = [[] for _ in range(int(labels.max()) + 1)]
-    for i, b in enumerate(labels.tolist()):
-        groups[b].append(i)
-    return Bins(capacity, [(items, capacity - sum(sizes[i] for i in items)) for items in groups])
+    order, ends = np.argsort(labels, kind="stable").tolist(), np.cumsum(np.bincount(labels)).tolist()
+    room = capacity - np.bincount(labels, weights=sizes).astype(np.int64)
+    return Bins(capacity, [(order[a:b], r) for a, b, r in zip([0, *ends], ends, room.tolist(), strict=False)])
 
 
 _ISLAND = "problem long, island int, uids binary, lengths binary, members binary"

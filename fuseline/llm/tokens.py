@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer, each distinct word encoded once per worker.
+"""Token ids of whole texts by a public tokenizer, each distinct word encoded once per worker while it is held.
 
 In the two kinds of tokenizer recognised here, a run of letters and what is between two runs are
 encoded apart, so a text's ids are its parts' ids one after the other. Parts that are runs of
@@ -12,6 +12,8 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
+from operator import attrgetter
 
 #: Fixed: characters that Python takes as white space and the tokenizers' patterns don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -28,10 +30,23 @@ _RUN = rf"[{LATIN}]+(?=[\s!-@\[-`{{-~]|$)"
 PARTS = {"byte": rf" ?{_RUN}| ?\S+|\s+(?!\S)|\s+", "word": rf"{_RUN}|\S+"}
 
 
+class Known(dict):
+    """Parts of texts with their ids; one that isn't held is taken from older or learnt."""
+
+    def __init__(self, learn: Callable[[str], bytes], older: dict[str, bytes]):
+        self.learn, self.older = learn, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        self[word] = ids = self.learn(word) if ids is None else ids
+        return ids
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.
 
-    limit: words kept; when there are more the memory is emptied and filled anew."""
+    limit: words kept, in two halves. When the newer one is full it becomes the older one, from which
+    words in use come back, and what the older one had is forgotten."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -49,25 +64,26 @@ class Encoder:
 
     def _set(self, tokenizer, kind: str | None, special: list[str], limit: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.kind, self.limit, self.known = tokenizer, kind, limit, {}
+        self.tokenizer, self.kind, self.limit, self.known = tokenizer, kind, limit, Known(self._learn, {})
         self.find = re.compile(PARTS[kind]).findall if kind else None
         self.odd = special + list(ODD_SPACE)
         self.letters = re.compile(f" ?[{LATIN}]+").fullmatch
-        self.merges = tokenizer.model.tokenize
-        self.bytes = str.maketrans(byte_letters())
+        self.merges, self.ids = tokenizer.model.tokenize, attrgetter("id")
+        letters = byte_letters()
+        self.bytes, self.space = str.maketrans(letters), letters[" "]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, words: list[str]) -> None:
-        rest = []
-        for w in words:
-            if self.letters(w) and (self.kind == "byte" or w.islower()):
-                self.known[w] = array("I", [t.id for t in self.merges(w.encode().decode("latin-1").translate(self.bytes))]).tobytes()
-            else:
-                rest.append(w)
-        self.known.update(zip(rest, self._fresh(rest), strict=True))
+    def _learn(self, word: str) -> bytes:
+        if word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):  # the usual case of what follows
+            plain = self.space + word[1:] if word[0] == " " else word
+        else:
+            plain = word.encode().decode("latin-1").translate(self.bytes) if self.letters(word) else None
+        if plain is None or self.kind == "word" and not word.islower():
+            return self._fresh([word])[0]
+        return array("I", map(self.ids, self.merges(plain))).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Long texts are taken in parts that end at a single space, so that few words are held."""
@@ -94,20 +110,14 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if self.find is None or any(x in t for x in self.odd)]
         for i, ids in zip(whole, self._fresh([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if len(self.known) > self.limit:
-            self.known = {}
-        known, parts, new = self.known, [], {}
         for i, t in enumerate(texts):
             if out[i] is None:
+                if len(self.known) > self.limit // 2:
+                    older = self.known
+                    older.older = {}
+                    self.known = Known(self._learn, older)
                 words = self.find(t.lower() if self.kind == "word" and _narrow(t) else t)
-                if None in (ids := list(map(known.get, words))):
-                    parts.append((i, words, ids))
-                    new.update(dict.fromkeys([w for w, x in zip(words, ids, strict=True) if x is None]))
-                else:
-                    out[i] = b"".join(ids)
-        self._learn(list(new))
-        for i, words, ids in parts:
-            out[i] = b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)])
+                out[i] = b"".join(map(self.known.__getitem__, words))
         return out
 
 

@@ -47,6 +47,17 @@ def test_encoder_takes_long_texts_in_parts(name):
     assert len(parts) > 10 and "".join(parts) == text and b"".join(enc._encode(parts)) == enc._fresh([text])[0]
 
 
+def test_encoder_keeps_words_in_use():
+    """When the memory is full the words in use stay: each is merged once, however many others pass."""
+    enc, seen = Encoder(tokenizer_path("byte_bpe_50k.json"), limit=100), Counter()
+    merges = enc.merges
+    enc.merges = lambda w: (seen.update([w]), merges(w))[1]
+    for k in range(300):
+        enc.encode([f"x thething other{chr(97 + k % 26)}{chr(97 + k // 26)} mm"])
+    assert seen["Ġthething"] == seen["Ġmm"] == 1 and len(seen) > 300
+    assert len(enc.known) + len(enc.known.older) <= 110
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for ids in ([0], [1, 2, 3], list(range(70_000)), [2**32 - 1, 0, 5]):
