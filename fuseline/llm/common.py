@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fuseline.sources.scratch import scratch_dir, stored
 
-__all__ = ["WORD", "WORD_RE", "batches_of", "chunked", "grouped", "hash_words", "joined", "matrix", "mix64", "pieces", "scratch_dir", "shingle_sets", "stored", "table", "text_or_empty", "word_hashes"]
+__all__ = ["WORD", "WORD_RE", "batches_of", "chunked", "gathered", "grouped", "hash_words", "joined", "matrix", "mix64", "pieces", "scratch_dir", "shingle_sets", "stored", "table", "text_or_empty", "word_hashes"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +67,18 @@ def pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[st
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Neighbouring batches that together have limit bytes, or all that are left; holds one batch more than that at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= limit:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key from batches sorted by the keys; holds a key's rows and a batch."""
     held: list[pa.RecordBatch] = []

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuseline.llm.common import batches_of, stored, text_or_empty
+from fuseline.llm.common import batches_of, gathered, stored, text_or_empty
 from fuseline.llm.common import pieces as parts_of
 from fuseline.llm.token_shards import END_ID, encoder
-from fuseline.llm.tokens import tokenizer_path
+from fuseline.llm.tokens import TEXT_BYTES, tokenizer_path
 
 CAPACITY = 1024
 _LAST = 1 << 62  # after every piece of a size
@@ -48,10 +48,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+        for rows in gathered(batches, TEXT_BYTES):
+            ids = rows.column("doc_id").to_pylist()
             out: list[tuple] = []
-            for first, part in parts_of(batch.column("text")):
+            for first, part in parts_of(rows.column("text"), TEXT_BYTES):
                 for doc_id, got in zip(ids[first : first + len(part)], encode(part), strict=True):
                     got += end
                     n = len(got) // 4

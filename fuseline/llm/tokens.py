@@ -4,7 +4,10 @@ In the two kinds of tokenizer recognised here, a run of letters and what is betw
 encoded apart, so a text's ids are its parts' ids one after the other. Parts that are runs of
 Latin letters go straight to the tokenizer's merges, other parts through all of the tokenizer.
 Texts for which that could fail (those with special-token strings or characters on which
-white-space definitions differ), and all texts of any other kind of tokenizer, are encoded whole."""
+white-space definitions differ), and all texts of any other kind of tokenizer, are encoded whole.
+
+For a byte-level tokenizer, the parts of texts of ASCII and Latin letters are found in all of the
+texts' bytes at once, and Arrow numbers them, so that only distinct ones become Python's strings."""
 
 from __future__ import annotations
 
@@ -15,6 +18,11 @@ from array import array
 from collections.abc import Callable
 from operator import attrgetter
 
+import numpy as np
+import pyarrow as pa
+
+from fuseline.llm.common import chunked
+
 #: Fixed: characters that Python takes as white space and the tokenizers' patterns don't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -28,6 +36,43 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _RUN = rf"[{LATIN}]+(?=[\s!-@\[-`{{-~]|$)"
 #: How texts of either kind of tokenizer fall into parts.
 PARTS = {"byte": rf" ?{_RUN}| ?\S+|\s+(?!\S)|\s+", "word": rf"{_RUN}|\S+"}
+#: Kinds of bytes: the mark behind each text (no byte of UTF-8), a space, other white space, a Latin letter or
+#: half of one, another printable ASCII character, and what only the pattern takes apart.
+_END, _SPACE, _BREAK, _LETTER, _OTHER, _ODD = range(6)
+_MARK = b"\xff"
+#: Bytes of texts whose parts are numbered at once: the more there are, the fewer of them are distinct.
+TEXT_BYTES = 1 << 22
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, _ODD, np.uint8)
+    out[0x21:0x7F] = _OTHER
+    out[[b for b in range(0x80) if chr(b).isalpha()]] = _LETTER
+    out[[0xC3, *range(0x80, 0xC0)]] = _LETTER
+    out[[0x97, 0xB7]] = _ODD  # behind 0xC3 the signs × and ÷
+    out[9:14], out[0x20], out[0xFF] = _BREAK, _SPACE, _END
+    return out
+
+
+_KINDS = _kinds()
+
+
+def part_starts(kinds: np.ndarray) -> np.ndarray:
+    """Where the parts of PARTS["byte"] begin in texts of these kinds of bytes without odd ones, each with a
+    mark behind it, which is a part as well."""
+    solid, end = kinds >= _LETTER, kinds == _END
+    white = ~(solid | end)
+    after, before = np.append(kinds[1:], _END), np.concatenate(([_END], kinds[:-1]))
+    goes_on = after >= _LETTER
+    starts = end | (white & goes_on)  # the last of a white run stands with what follows, or alone if it is no space
+    starts |= white & ~goes_on & ~((before == _SPACE) | (before == _BREAK))
+    starts |= solid & ((before == _END) | (before == _BREAK))
+    turns = np.flatnonzero((kinds == _OTHER) & (before == _LETTER))
+    runs = np.flatnonzero(solid & (before < _LETTER))
+    of = np.searchsorted(runs, turns, side="right") - 1
+    first = np.append(True, of[1:] != of[:-1])[: len(of)]  # a run that begins with letters is cut where these end
+    starts[turns[first & (kinds[runs[of]] == _LETTER)]] = True
+    return np.flatnonzero(starts)
 
 
 class Known(dict):
@@ -110,16 +155,50 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if self.find is None or any(x in t for x in self.odd)]
         for i, ids in zip(whole, self._fresh([texts[i] for i in whole]), strict=True):
             out[i] = ids
+        if self.kind == "byte":
+            rest = [i for i, x in enumerate(out) if x is None]
+            for first, part in chunked([texts[i] for i in rest], TEXT_BYTES):
+                for i, ids in zip(rest[first : first + len(part)], self._by_bytes(part), strict=True):
+                    out[i] = ids
         for i, t in enumerate(texts):
             if out[i] is None:
-                if len(self.known) > self.limit // 2:
-                    older = self.known
-                    older.older = {}
-                    self.known = Known(self._learn, older)
+                self._turn()
                 words = self.find(t.lower() if self.kind == "word" and _narrow(t) else t)
                 out[i] = b"".join(map(self.known.__getitem__, words))
         return out
 
+    def _turn(self) -> None:
+        if len(self.known) > self.limit // 2:
+            older = self.known
+            older.older = {}
+            self.known = Known(self._learn, older)
+
+    def _by_bytes(self, texts: list[str]) -> list[bytes | None]:
+        """None for texts that only the pattern takes apart."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        plain = range(len(raw))
+        while True:
+            buf = np.frombuffer(b"".join([raw[i] + _MARK for i in plain]), np.uint8)
+            kinds = _KINDS[buf]
+            odd = np.flatnonzero(kinds == _ODD)
+            if not len(odd):
+                break
+            lost = set(np.searchsorted(np.flatnonzero(kinds == _END), odd).tolist())
+            plain = [i for k, i in enumerate(plain) if k not in lost]
+        out: list[bytes | None] = [None] * len(texts)
+        if not len(buf) or len(buf) > 1 << 28:  # ids of more would not fit Arrow's arrays
+            return out
+        self._turn()
+        starts = part_starts(kinds)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(buf)]).dictionary_encode()
+        ids = pa.array([b"" if w == _MARK else self.known[w.decode()] for w in parts.dictionary.to_numpy(zero_copy_only=False)], pa.binary()).take(parts.indices)
+        _, ends, data = ids.buffers()
+        data = memoryview(data or b"")
+        edges = np.frombuffer(ends, np.int32)[np.flatnonzero(kinds[starts] == _END)].tolist()
+        for i, a, b in zip(plain, [0, *edges], edges, strict=False):
+            out[i] = bytes(data[a:b])
+        return out
+
 
 def _narrow(text: str) -> bool:
     """Whether all characters are Latin-1: their lower case doesn't hang on neighbours."""

@@ -11,10 +11,11 @@ from collections import Counter
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fuseline.llm import html_text, packing, personal_data, quality_classifier, quality_rules, queries, token_shards
+from fuseline.llm import common, html_text, packing, personal_data, quality_classifier, quality_rules, queries, token_shards, tokens
 from fuseline.llm.boosting import boost
 from fuseline.llm.common import WORD_RE, scratch_dir
 from fuseline.llm.tokens import Encoder, tokenizer_path
@@ -58,6 +59,24 @@ def test_encoder_keeps_words_in_use():
     assert len(enc.known) + len(enc.known.older) <= 110
 
 
+def test_parts_by_bytes_are_the_pattern():
+    rng = random.Random(7)
+    find = re.compile(tokens.PARTS["byte"]).findall
+    for _ in range(2000):
+        texts = ["".join(rng.choice("aZéÿÀ .,'\n\t  9_~!\r") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 5))]
+        buf = np.frombuffer(b"".join(t.encode() + b"\xff" for t in texts), np.uint8)
+        starts = tokens.part_starts(tokens._KINDS[buf]).tolist()
+        got = [bytes(buf[a:b]) for a, b in zip(starts, [*starts[1:], len(buf)], strict=True)]
+        assert got == [w for t in texts for w in [*(x.encode() for x in find(t)), b"\xff"]]
+
+
+def test_small_batches_are_gathered():
+    """Batches are taken together up to a size, so that fewer parts of texts are looked up."""
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["x" * 100]}) for k in range(50)]
+    sizes = [t.num_rows for t in common.gathered(iter(batches), 1000)]
+    assert sum(sizes) == 50 and max(sizes) <= 10 and len(sizes) < 7 and list(common.gathered(iter([]), 1000)) == []
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for ids in ([0], [1, 2, 3], list(range(70_000)), [2**32 - 1, 0, 5]):
