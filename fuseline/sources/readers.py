@@ -272,8 +272,8 @@ def page_cells(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.inline(parse("html")))
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, block_index, content, heading_level of the text of pages."""
+def block_list(html: Column) -> Column:
+    """The blocks of a page's text in order, as an array of content and heading_level."""
     shape = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.StructField("heading_level", T.IntegerType())]))
 
     @F.arrow_udf(shape)
@@ -281,7 +281,20 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         out = [[{"content": t, "heading_level": level} for t, level in html_blocks(h.as_py())] for h in html]
         return pa.array(out, pa.list_(pa.struct([("content", pa.string()), ("heading_level", pa.int32())])))
 
-    return pages.select("page_id", F.posexplode(parse("html")).alias("block_index", "b")).select("page_id", "block_index", "b.*")
+    return parse(html)
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, block_index, content, heading_level of the text of pages."""
+    return pages.select("page_id", F.posexplode(block_list(F.col("html"))).alias("block_index", "b")).select("page_id", "block_index", "b.*")
+
+
+def page_titles(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
+    """page_id and title: each page's first heading of level 1, "" if it has none, null if it has no html. references:
+    the only character references that are decoded, and only with their semicolon; others stay as they are written."""
+    html = F.col("html") if references is None else F.regexp_replace("html", f"&(?!(?:{'|'.join(references)});)", "&amp;")
+    first = F.get(F.filter(block_list(html), lambda b: b["heading_level"] == 1), F.lit(0))["content"]
+    return pages.select("page_id", F.when(F.col("html").isNotNull(), F.coalesce(first, F.lit(""))).alias("title"))
 
 
 def _csv_cells(body: str) -> list[dict]:

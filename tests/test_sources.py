@@ -62,6 +62,22 @@ def test_html_tables(spark):
     assert [(c["header"], c["value"]) for c in cells] == [("City", "A"), ("GDP", "1"), ("City", "B"), ("GDP", "2")]
 
 
+def test_page_headings_are_their_sql(spark, tmp_path):
+    """References cut short or other than the SQL's three, no heading, two of them, no page."""
+    import duckdb
+
+    from fuseline.plans import catalogue
+
+    heads = ["<h1>a &amp; b&amp</h1>", "<h1>token = &quot;0b&copy; &lt;i&gt;</h1>", "<h1>&amp;lt; &amp;amp; &#65;&nbsp;&</h1>", "<p>none</p>", "<h1> one </h1><h1>two</h1>", "", None]
+    rows = [(i, f"u{i}", h and f"<html><head><title>t</title></head><body>{h}<p>&amp; &quot;x&quot;</p></body></html>") for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(con.sql(catalogue.oracle_sql()["page_headings"]).fetchall())
+    assert sorted(map(tuple, catalogue.queries()["page_headings"](spark, str(tmp_path)).collect())) == want
+    assert [r["content"] for r in readers.page_blocks(spark.read.parquet(f"{tmp_path}/pages.parquet").filter("page_id = 1")).collect()] == ['token = "0b© <i>', '& "x"']
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "a.db")
     with sqlite3.connect(path) as db:
