@@ -80,6 +80,20 @@ def name_key(c: Column) -> Column:
     return let(F.coalesce(c.cast("string"), F.lit("")), lambda x: F.when(x.rlike(r"\A[A-Za-z0-9#$%&+*=@]*\z"), F.lower(x)).otherwise(full(x)))
 
 
+#: A minus before a value's number, and the point of its only number.
+_MINUS, _POINT = r"\A-(?=[$¥￥€£ ]?\d)", r"\A([^\d.]*\d[\d,]*)\.(\d+[^\d.]*)\z"
+
+
+def value_key(c: Column, key: Column) -> Column:
+    """name_key() of a value, given as key, but where the value is one number, with or without a unit, its sign and
+    point stay: -1.25, 1.25 and 12.5 are different values, while headers and names are compared without punctuation."""
+    wide = F.translate(c, _WIDE, _PLAIN)
+    marked = F.regexp_replace(F.regexp_replace(wide, _MINUS, "−"), _POINT, "$1∙$2")
+    # a plain number is its own key; values without either mark have the given one
+    own = F.when(c.contains(".") | c.startswith("-") | ~is_ascii(c), F.translate(name_key(marked), "−∙", "-."))
+    return F.when(c.rlike(r"\A-?\d+(?:\.\d+)?\z"), c).otherwise(F.coalesce(own, key))
+
+
 def is_missing(c: Column, registry: Registry = DEFAULT) -> Column:
     return is_null_text(plain(c), registry)
 

@@ -3,14 +3,15 @@
 source, file_type, priority, table_index, row_id, col_index, header, value, row_key, row_print:
 row_key is the first of the row's first two values that isn't empty, as it is compared; a cell of the
 first column has only its own. row_print, at the first column only, is all of the row's values as
-they are compared: both come from the wide row, so that rules need not gather its cells again."""
+they are compared, numbers with sign and point: both come from the wide row, so that rules need not
+gather its cells again."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fuseline.functions.values import clean, name_key
+from fuseline.functions.values import clean, name_key, value_key
 
 COLUMNS = ["source", "file_type", "priority", "table_index", "row_id", "col_index", "header", "value", "row_key", "row_print"]
 
@@ -34,7 +35,7 @@ def cells_of(df: DataFrame, source: str, row_id: Column, columns: list[str] | No
     wide = wide.withColumns({f"_k{i}": name_key(F.col(f"_c{i}")) for i in range(len(columns))})
     entries = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(c).alias("header"), F.col(f"_v{i}").alias("value")) for i, c in enumerate(columns)])
     key = F.when(F.col("_c0") != "", F.col("_k0")).otherwise(F.col("_k1") if len(columns) > 1 else F.lit(""))
-    keys = F.filter(F.array(*[f"_k{i}" for i in range(len(columns))]), lambda x: x != "")
+    keys = F.filter(F.array(*[value_key(F.col(f"_c{i}"), F.col(f"_k{i}")) for i in range(len(columns))]), lambda x: x != "")
     rows = wide.select("row_id", F.col("_k0").alias("k0"), key.alias("k"), F.concat_ws("|", keys).alias("p"), F.explode(entries).alias("c"))
     return rows.select(
         F.lit(source).alias("source"), F.lit(file_type).alias("file_type"), F.lit(priority).alias("priority"), F.lit(table_index).alias("table_index"),

@@ -19,6 +19,30 @@ def test_quality_issues(spark):
     assert got == {("missing_value", 1), ("date_format_error", 1), ("range_anomaly", 2), ("duplicate_record", 1)}
 
 
+def test_duplicates_keep_sign_and_point(spark):
+    same = [("1,234.5元", "1234.5 元"), ("A-1", "a1"), ("2026-01-01", "2026/01/01"), ("２.５", "2.5"), ("v. 1", "v1"), ("-7", "-7")]
+    other = [("12.5", "125"), ("-3", "3"), ("１．５", "15"), ("-$4", "$4"), ("0.61%", "6.1%")]
+    rows = [(i, f"n{i // 2}", v) for i, v in enumerate(v for pair in same + other for v in pair)]
+    cells = cells_of(spark.createDataFrame(rows, "r int, name string, v string"), "s", F.col("r"), ["name", "v"])
+    assert sorted(r["raw_value"] for r in quality.duplicate_records(cells.withColumn("typed", F.struct(F.lit("").alias("standard_value")))).collect()) == ["n0|1234.5元", "n1|a1", "n2|20260101", "n3|2.5", "n4|v1", "n5|-7"]
+
+
+@pytest.mark.parametrize("name", ["quality_issue_counts"])
+def test_quality_counts_are_their_sql(spark, tmp_path, name):
+    """Customers without a name whose balances differ in sign or point alone, and two that are equal."""
+    import duckdb
+
+    from fuseline.plans import catalogue
+
+    odd = {1: 12.34, 98: 123.4, 195: -12.34, 292: 1234.0, 389: 7.5, 486: 7.5}
+    rows = [(k, f"Customer#{k:09d}", odd.get(k, 100.0 + k), "BUILDING") for k in range(500)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall())
+
+
 def test_outliers_need_five_values(spark):
     cells = cells_of(spark.createDataFrame([(i, "x", 1.0 if i else 100.0) for i in range(20)], "r int, name string, value double"), "s", F.col("r"), ["name", "value"])
     full = quality.with_types(cells, {"name": "entity", "value": "number"})
