@@ -27,7 +27,7 @@ def test_duplicates_keep_sign_and_point(spark):
     assert sorted(r["raw_value"] for r in quality.duplicate_records(cells.withColumn("typed", F.struct(F.lit("").alias("standard_value")))).collect()) == ["n0|1234.5元", "n1|a1", "n2|20260101", "n3|2.5", "n4|v1", "n5|-7"]
 
 
-@pytest.mark.parametrize("name", ["quality_issue_counts"])
+@pytest.mark.parametrize("name", ["quality_summary", "quality_issue_counts"])
 def test_quality_counts_are_their_sql(spark, tmp_path, name):
     """Customers without a name whose balances differ in sign or point alone, and two that are equal."""
     import duckdb
