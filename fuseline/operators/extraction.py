@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fuseline.functions.values import clean, let, plain
+from fuseline.functions.values import _SPACE, clean, let, plain
 from fuseline.operators.entities import FieldKind, verdict
 from fuseline.operators.records import scope_confidence
 
@@ -40,6 +40,16 @@ def near_number(text: Column, names: Sequence[str], reach: int = 32) -> Column:
     return let(F.lower(text), first)
 
 
+def near_digits(text: Column, names: Sequence[str], reach: int = 32) -> Column:
+    """The text with white space runs as one space and its long stretches without a digit cut to their ends, for near_number():
+    what lies within reach of a number, with the longest name and a unit, stays; names must hold no digits."""
+    keep = reach + max(map(len, names)) + 16
+    spaces = F.regexp_replace(text, f"{_SPACE}{{2,}}|[{_SPACE}&&[^ ]]", " ")  # single spaces, nearly all there are, stay untouched
+    runs = F.regexp_extract_all(spaces, F.lit("[^0-9０-９]+|[0-9０-９]+"), 0)
+    ends = lambda x: F.when((F.length(x) > 2 * keep) & ~x.rlike(r"\A[0-9０-９]"), F.concat(F.left(x, F.lit(keep)), F.right(x, F.lit(keep)))).otherwise(x)
+    return F.array_join(F.transform(runs, ends), "")
+
+
 def concept_value(text: Column, concept: str) -> Column:
     return near_number(plain(text), CONCEPTS[concept])
 
@@ -83,10 +93,12 @@ def text_confidence(method: Column, value: Column) -> Column:
 def text_records(segments: DataFrame, concepts: Sequence[str] = tuple(CONCEPTS), least: int = 1) -> DataFrame:
     """doc_id, block_index, entity, values (map of the concepts found), confidence (map) of segments
     (doc_id, block_index, content) in which at least so many concepts have a number."""
-    plain_of = segments.select("doc_id", "block_index", leading_entity(F.col("content")).alias("entity"), plain(F.col("content")).alias("_plain"))
-    values = F.map_filter(F.create_map(*[x for c in concepts for x in (F.lit(c), near_number(F.col("_plain"), CONCEPTS[c]))]), lambda _, v: v != "")
-    out = plain_of.select("doc_id", "block_index", "entity", values.alias("values"))
-    out = out.filter(F.size("values") >= least)
+    read = lambda x: F.create_map(*[y for c in concepts for y in (F.lit(c), near_number(x, CONCEPTS[c]))])
+    text = plain(near_digits(F.col("content"), [n for c in concepts for n in CONCEPTS[c]]))
+    values = F.map_filter(let(text, read), lambda _, v: v != "")
+    # a generated row, so that the optimizer doesn't work the values out a second time in a filter
+    enough = F.filter(F.array(F.struct(values.alias("values"))), lambda r: F.size(r["values"]) >= least)
+    out = segments.select("doc_id", "block_index", leading_entity(F.col("content")).alias("entity"), F.inline(enough))
     return out.withColumn("confidence", F.transform_values("values", lambda _, v: text_confidence(F.lit("text_context"), v)))
 
 

@@ -174,6 +174,25 @@ def test_extraction(spark):
     assert 0.80 <= df.select(extraction.text_confidence(F.lit("text_context"), F.col("v"))).first()[0] <= 0.89
 
 
+def test_text_records_read_each_text_once(spark):
+    """Values are worked out once, from what lies near digits, and are those of the whole text."""
+    import random
+
+    rng = random.Random(4)
+    names = [n for group in extraction.CONCEPTS.values() for n in group] + ["ＧＤＰ", "POPULATION", "GD", "P", "人", "口"]
+    pick = lambda: rng.choice([rng.choice(names), rng.choice(["12", "1,200.5 万亿元", "-3.5%", "３５０万", "7.8.9"]), "字" * rng.choice([2, 9, 31, 150]), "word " * rng.choice([1, 5, 40]), rng.choice(["\n", "   ", "\t\n", "\u3000 ", "。", "𠀀" * 70])])
+    texts = ["".join(pick() for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += [f"GDP{'x' * n}5{'y' * n}人口" for n in (31, 32, 33, 45, 500)] + [f"{' ' * 900}GDP{' ' * 900}8", f"9{'z' * 58}GD{'z' * 300}P{'z' * 58}9", "nan", None]
+    segments = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string").withColumn("block_index", F.lit(0)).repartition(4).localCheckpoint()
+    found = extraction.text_records(segments)
+    got = {r["doc_id"]: r["values"] for r in found.collect()}
+    want = segments.select("doc_id", *[extraction.concept_value(F.col("content"), c).alias(c) for c in extraction.CONCEPTS]).collect()
+    want = {r["doc_id"]: v for r in want if (v := {c: r[c] for c in extraction.CONCEPTS if r[c]})}
+    assert got == want
+    assert 100 < len(want) < len(texts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("map_filter(") == 1
+
+
 def test_source_and_task_checks(spark):
     shape = "source_file string, narrative boolean, n_blocks int, n_segments int, extracted int, filtered int, contributed int, cell_delta int, suspicious int, unexplained int, model_run boolean, n_reasons int"
     rows = [("a", True, 4, 4, 9, 1, 0, 0, 0, 0, True, 2), ("b", False, 0, 0, 5, 0, 0, 0, 0, 3, False, 1)]
